@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, simhash
+from . import exact_dedup, packing, quality, secrets, simhash
 from .common import input_table
 
 
@@ -24,13 +24,17 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(input_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(input_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = input_table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_discriminant, op4_exact_dedup, op5_simhash_near_dedup, op10_packing]
+    found = [op2_quality_discriminant, op4_exact_dedup, op5_simhash_near_dedup, op6_secret_randomness, op10_packing]
     return {f.__name__: f for f in found}
 
 
