@@ -52,6 +52,19 @@ def join_groups(rows: DataFrame, key: str, aggs: list[Column], share: float = 1
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, other: str, by: str, salts: int = 64) -> DataFrame:
+    """Left join of ``left`` to a stored ``right`` with one row per key.
+
+    ``right`` is broadcast if its counted rows are few; else its rows are repeated for each
+    salt, and a key's rows on the left spread over the salts by column ``by``.
+    """
+    same = left[key] == right[other]
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), same, "left")
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(salted, same & (F.pmod(F.xxhash64(by), F.lit(salts)) == F.col("__salt")), "left").drop("__salt")
+
+
 def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose key is in ``dropped``; columns and their order stay."""
     gone = stored(dropped.select(F.col(key).alias("__gone")).distinct(), "dropped")

@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality, secrets, simhash
+from . import embeddings, exact_dedup, html, packing, pieces, quality, resharding, secrets, simhash, warc
 from .common import input_table
 
 
+def op1_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 shards dealt by doc_id to 24 of equal bytes."""
+    old = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(resharding.OLD_SHARDS))
+    plan = resharding.reshard(input_table(spark, sf_dir, "documents", "doc_id", "text"), old, resharding.OLD_SHARDS, resharding.SHARDS)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = input_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality.classify(docs, input_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(input_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(input_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -28,15 +40,31 @@ def op6_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(input_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(input_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(input_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = input_table(spark, sf_dir, "documents", "doc_id", "text")
+    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = input_table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_discriminant, op4_exact_dedup, op5_simhash_near_dedup, op6_secret_randomness, op10_packing]
+    found = [
+        op1_flow_resharding, op2_quality_discriminant, op3_warc_archive, op4_exact_dedup, op5_simhash_near_dedup, op6_secret_randomness,
+        op7_embedding_near_dedup, op8_html_main_text, op9_merge_dropout, op10_packing,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_warc_archive": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_embedding_near_dedup": embeddings.ORACLE}

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_ids, join_groups, stored
+from .common import drop_ids, join_groups, join_salted, stored
 from .graph import components
 
 #: Words in a shingle.
@@ -103,22 +103,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     prints = stored(grouped.filter("doc_id = id").select("id", "fp").distinct(), "prints")
     found = stored(components(close_pairs(prints)), "components")
     changed = stored(found.filter("node <> component").select(F.col("node").alias("__id"), F.col("component").alias("component_id")), "changed")
-    out = _relabel(grouped, changed)
+    out = join_salted(grouped, changed, "id", "__id", "doc_id").select("doc_id", "fp", F.coalesce("component_id", "id").alias("component_id"))
     lost = rows.filter("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lost).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _relabel(grouped: DataFrame, changed: DataFrame, salts: int = 64) -> DataFrame:
-    """Rows beside their component; where the changes are too many to broadcast, ids with many rows are salted."""
-    same = grouped["id"] == F.col("__id")
-    if changed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = grouped.join(F.broadcast(changed), same, "left")
-    else:
-        salted = changed.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        joined = grouped.join(salted, same & (F.pmod(F.xxhash64("doc_id"), F.lit(salts)) == F.col("__other")), "left")
-    return joined.select("doc_id", "fp", F.coalesce("component_id", "id").alias("component_id"))
-
-
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which one per component stays: that of its least doc_id.
 
