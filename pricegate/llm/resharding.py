@@ -89,8 +89,9 @@ def _cuts(flow: list[list[int]], at: Column) -> Column:
     return whole
 
 
-def _placed(rows: DataFrame, flow: list[list[int]]) -> DataFrame:
-    """Adds ``shard`` to rows (block, old_shard, size, ...): the transfer that a row's middle byte falls in.
+def _placed(rows: DataFrame, flow: list[list[int]], last: bool) -> DataFrame:
+    """Adds ``shard`` to rows (block, old_shard, size, ...): the transfer that a row's last byte falls in, or
+    its middle byte in the last class. So what stays leaves room for smaller rows to fill.
 
     Blocks are numbered within an old shard, so a running sum needs the blocks' sums and one
     within each block, not the old shard in one task.
@@ -100,7 +101,7 @@ def _placed(rows: DataFrame, flow: list[list[int]]) -> DataFrame:
     blocks = blocks.select("old_shard", "block", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("inside", inside).join(blocks, ["old_shard", "block"])
-    return rows.withColumn("shard", _cuts(flow, F.col("before") + F.col("inside") - F.col("size") / 2)).drop("inside", "before")
+    return rows.withColumn("shard", _cuts(flow, F.col("before") + F.col("inside") - (F.col("size") / 2 if last else F.lit(1)))).drop("inside", "before")
 
 
 def _sums(rows: DataFrame, by: str, n: int) -> list[int]:
@@ -130,7 +131,7 @@ def reshard(docs: DataFrame, old_shard: Column, old: int, capacities: list[float
         rest = rows if above is None else rows.filter(F.col("size") <= above)
         supply, above = _sums(rest, "old_shard", old), mean * share
         flow = min_cost_flow(supply, trimmed(room, sum(supply)), cost)
-        parts.append(stored(_placed(rest.filter(F.col("size") > above), flow), "placed"))
+        parts.append(stored(_placed(rest.filter(F.col("size") > above), flow, share == CLASSES[-1]), "placed"))
         room = [r - b for r, b in zip(room, _sums(parts[-1], "shard", len(room)), strict=True)]
     return _slots(reduce(DataFrame.unionByName, parts))
 
