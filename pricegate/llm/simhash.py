@@ -7,16 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, join_groups, join_salted, stored
+from .common import broadcast_if_small, drop_ids, join_groups, join_salted, stored
 from .graph import components
 
 #: Words in a shingle.
 WORDS = 3
 #: Bits of a fingerprint, and of each of the segments whose bit counts make up the embedding.
 BITS, SEGMENT = 64, 4
+#: Bits by which linked fingerprints may differ; the grid and the one-bit variants are made for 2.
+NEAR = 2
 #: Shingle hashes whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -67,27 +69,33 @@ def _grid(prints: DataFrame) -> DataFrame:
     segments = [F.shiftrightunsigned("fp", SEGMENT * k).bitwiseAND((1 << SEGMENT) - 1) for k in range(n)]
     at = sum((F.bit_count(s).cast("long") + 1) * base**k for k, s in enumerate(segments))
     steps = [0, *(s * base**k for k in range(n) for s in (1, -1))]
-    stepped = prints.select("id", "fp", F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"))
-    return stepped.select("id", "fp", (at + F.col("step")).alias("cell"))
+    stepped = prints.select("fp", F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"))
+    return stepped.select("fp", (at + F.col("step")).alias("cell"))
+
+
+def _within(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= NEAR
 
 
 def close_pairs(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) of ids whose fingerprints differ by 1 or 2 bits; all such fingerprints end up connected.
-
-    ``prints``: one row (id, fp) for each different fingerprint. First the grid join: cells
-    with more than one fingerprint, found by partial aggregates, and the fingerprints in
-    them. Then the exact check of these: each is sent to its 64 one-bit variants and itself.
-    Fingerprints that meet at one variant differ by at most 2 bits, and any that do meet; a
-    meeting holds at most 65 of them and links them to its least id, so no group of any size
-    makes pairs of all its members.
+    """Edges (a, b) of different fingerprints that differ by 1 or 2 bits; all such end up connected.
+
+    ``prints``: one row (fp) for each different fingerprint. First the grid join: the cells
+    with more than one fingerprint, found by partial aggregates. Then the exact check: a cell
+    with two is settled on the spot. The fingerprints of fuller cells are each sent to their
+    64 one-bit variants and themselves. Those that meet at one variant differ by at most 2
+    bits, and any that do meet; a meeting holds at most 65 of them and links them to the
+    least, so no group of any size makes pairs of all its members.
     """
     cells = _grid(prints)
-    busy = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
-    near = stored(cells.join(busy, "cell", "left_semi").select("id", "fp").distinct(), "near")
+    busy = stored(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1").filter((F.col("n") > 2) | _within("a", "b")), "cells")
+    full = broadcast_if_small(stored(busy.filter("n > 2").select("cell"), "full"))
+    near = stored(cells.join(full, "cell", "left_semi").select("fp").distinct(), "near")
     masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(BITS - 1)), -(1 << (BITS - 1))]])
-    variants = near.select("id", "fp", F.explode(masks).alias("mask")).select("id", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    met = variants.groupBy("variant").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
-    return met.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).filter("a <> b").distinct()
+    variants = near.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    met = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    dense = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
+    return busy.filter("n = 2").select("a", "b").unionByName(dense).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -101,9 +109,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = stored(fingerprints(docs, text), "fingerprints")
     grouped = stored(join_groups(rows.filter("doc_id is not null"), "fp", [F.min("doc_id").alias("id")]).drop("group_size"), "grouped")
     prints = stored(grouped.filter("doc_id = id").select("id", "fp").distinct(), "prints")
-    found = stored(components(close_pairs(prints)), "components")
-    changed = stored(found.filter("node <> component").select(F.col("node").alias("__id"), F.col("component").alias("component_id")), "changed")
-    out = join_salted(grouped, changed, "id", "__id", "doc_id").select("doc_id", "fp", F.coalesce("component_id", "id").alias("component_id"))
+    found = stored(components(close_pairs(prints.select("fp"))), "components")
+    members = stored(found.join(prints, found["node"] == prints["fp"]).select("fp", "id", "component"), "members")
+    least = broadcast_if_small(stored(members.groupBy("component").agg(F.min("id").alias("component_id")), "least"))
+    changed = stored(members.join(least, "component").filter("id <> component_id").select(F.col("fp").alias("__fp"), "component_id"), "changed")
+    out = join_salted(grouped, changed, "fp", "__fp", "doc_id").select("doc_id", "fp", F.coalesce("component_id", "id").alias("component_id"))
     lost = rows.filter("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lost).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
