@@ -80,5 +80,7 @@ def revision_gap(before: DataFrame, after: DataFrame, tolerance: float = 2.0, ke
     a, b = before.select(*dict.fromkeys([*key, by]), F.col(value).alias("__a")), after.select(*key, F.col(value).alias("__b"))
     gap = F.abs(F.col("__b") - F.col("__a"))
     both = a.join(b, key).filter(gap.isNotNull())
-    out = both.rollup(by).agg(F.avg((gap > tolerance).cast("double")).alias("share_off"), F.avg(gap).alias("mean_abs"), F.count("*").alias("n"))
-    return out.withColumns({"share_off": F.coalesce("share_off", F.lit(0.0)), "mean_abs": F.coalesce("mean_abs", F.lit(0.0))})
+    sums = both.groupBy(by).agg(F.sum((gap > tolerance).cast("long")).alias("off"), F.sum(gap).alias("gap"), F.count("*").alias("n"))
+    total = sums.agg(F.max(F.lit(None).cast(sums.schema[by].dataType)).alias(by), F.sum("off").alias("off"), F.sum("gap").alias("gap"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0))
+    return sums.unionByName(total).select(by, share("off").alias("share_off"), share("gap").alias("mean_abs"), "n")
