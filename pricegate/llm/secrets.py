@@ -85,32 +85,51 @@ def battery(token: Column) -> Column:
     name = F.coalesce(*[F.when(bare.rlike(f"^[{chars.replace('-', chr(92) + '-')}]+$"), F.lit(k)) for k, chars in ALPHABETS.items()])
     alphabet = F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in ALPHABETS.items()])
     size = F.length(alphabet).cast("double")
-    # one lambda over a single struct, so that the token is taken apart once
     places = F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-    inner = F.transform(F.array(F.struct(places.alias("x"), size.alias("a"), name.alias("name"))), _tests)
-    return F.when(name.isNotNull(), inner[0])
+    drawn = F.struct(places.alias("x"), size.alias("a"), name.alias("name"))
+    return F.when(name.isNotNull(), _let(_let(_let(drawn, _sums), _scores), _combined))
 
 
-def _tests(t: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def _sums(t: Column) -> Column:
+    """Length, mean, symbols in the upper half, and the sum of squared symbol counts of a token."""
     x, a = t["x"], t["a"]
+    # each of the sorted symbols adds 2 * (equal ones before it) + 1 to the sum of squares
+    start = F.struct(F.lit(-1.0).alias("last"), F.lit(-1.0).alias("k"), F.lit(0.0).alias("s"))
+    before = lambda s, v: F.when(s["last"] == v, s["k"] + 1).otherwise(0.0)
+    squares = F.aggregate(F.array_sort(x), start, lambda s, v: F.struct(v.alias("last"), before(s, v).alias("k"), (s["s"] + 1 + 2 * before(s, v)).alias("s")), lambda s: s["s"])
     n = F.size(x).cast("double")
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    # the sorted symbols' run lengths give the sum of squared counts: each symbol adds 2 * (those before it) + 1
-    seen = F.aggregate(F.array_sort(x), F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("k"), F.lit(0.0).alias("s")),
-                       lambda s, v: F.struct(v.alias("last"), F.when(s["last"] == v, s["k"] + 1).otherwise(0.0).alias("k"), (s["s"] + 1 + 2 * F.when(s["last"] == v, s["k"] + 1).otherwise(0.0)).alias("s")))["s"]
-    chi = (a / n * seen - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
-    high = total(F.transform(x, lambda v: (v >= a / 2).cast("double")))
+    high = _total(F.transform(x, lambda v: (v >= a / 2).cast("double")))
+    return F.struct(x.alias("x"), a.alias("a"), t["name"].alias("name"), n.alias("n"), (_total(x) / n).alias("mean"), high.alias("high"), squares.alias("squares"))
+
+
+def _scores(t: Column) -> Column:
+    """Standard scores of the three tests; the latter two are two-sided."""
+    x, a, n, mean, high = t["x"], t["a"], t["n"], t["mean"], t["high"]
+    chi = (a / n * t["squares"] - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
     after, before = F.slice(x, 2, F.size(x)), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))
-    turns = 1 + total(F.zip_with(before, after, lambda u, v: ((u >= a / 2) != (v >= a / 2)).cast("double")))
+    turns = 1 + _total(F.zip_with(before, after, lambda u, v: ((u >= a / 2) != (v >= a / 2)).cast("double")))
     product = 2 * high * (n - high)
     spread = F.sqrt(F.greatest(product * (product - n) / (n * n * (n - 1)), F.lit(1e-9)))
-    runs = F.abs(turns - 1 - product / n) / spread
-    mean = total(x) / n
-    variance = total(F.transform(x, lambda v: (v - mean) * (v - mean)))
-    lagged = total(F.zip_with(before, after, lambda u, v: (u - mean) * (v - mean)))
+    variance = _total(F.transform(x, lambda v: (v - mean) * (v - mean)))
+    lagged = _total(F.zip_with(before, after, lambda u, v: (u - mean) * (v - mean)))
     serial = F.abs(lagged / F.greatest(variance, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-    p = F.array_sort(F.array(_normal_tail(chi), F.least(2 * _normal_tail(runs), F.lit(1.0)), F.least(2 * _normal_tail(serial), F.lit(1.0))))
-    return F.struct(t["name"].alias("encoding"), n.cast("int").alias("n"), F.least(3 * p[0], 1.5 * p[1], p[2]).alias("p"))
+    return F.struct(t["name"].alias("name"), n.alias("n"), chi.alias("chi"), (F.abs(turns - 1 - product / n) / spread).alias("runs"), serial.alias("serial"))
+
+
+def _combined(t: Column) -> Column:
+    two = lambda z: F.least(2 * _normal_tail(z), F.lit(1.0))
+    p = F.array_sort(F.array(_normal_tail(t["chi"]), two(t["runs"]), two(t["serial"])))
+    simes = _let(p, lambda q: F.least(3 * q[0], 1.5 * q[1], q[2]))
+    return F.struct(t["name"].alias("encoding"), t["n"].cast("int").alias("n"), simes.alias("p"))
 
 
 def random_candidates(text: Column) -> Column:
