@@ -82,12 +82,20 @@ def battery(token: Column) -> Column:
     Serial: lag-one correlation of the symbols' places. Null where no encoding takes the token.
     """
     bare = F.rtrim(F.translate(token, "=", " "))
-    name = F.coalesce(*[F.when(bare.rlike(f"^[{chars.replace('-', chr(92) + '-')}]+$"), F.lit(k)) for k, chars in ALPHABETS.items()])
-    alphabet = F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in ALPHABETS.items()])
-    size = F.length(alphabet).cast("double")
-    places = F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-    drawn = F.struct(places.alias("x"), size.alias("a"), name.alias("name"))
-    return F.when(name.isNotNull(), _let(_let(_let(drawn, _sums), _scores), _combined))
+    name = lambda b: F.coalesce(*[F.when(b.rlike(f"^[{chars.replace('-', chr(92) + '-')}]+$"), F.lit(k)) for k, chars in ALPHABETS.items()])
+    known = _let(bare, lambda b: F.struct(b.alias("bare"), name(b).alias("name")))
+    return _let(known, lambda t: F.when(t["name"].isNotNull(), _let(_let(_let(_let(t, _alphabet), _places), _sums), lambda s: _let(_scores(s), _combined))))
+
+
+def _alphabet(t: Column) -> Column:
+    found = F.coalesce(*[F.when(t["name"] == k, F.lit(v)) for k, v in ALPHABETS.items()])
+    return F.struct(t["bare"].alias("bare"), t["name"].alias("name"), found.alias("alphabet"))
+
+
+def _places(t: Column) -> Column:
+    """Each symbol's place in the alphabet."""
+    drawn = F.transform(F.filter(F.split(t["bare"], ""), lambda c: c != ""), lambda c: F.instr(t["alphabet"], c).cast("double") - 1)
+    return F.struct(drawn.alias("x"), F.length(t["alphabet"]).cast("double").alias("a"), t["name"].alias("name"))
 
 
 def _let(value: Column, body) -> Column:
