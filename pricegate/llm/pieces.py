@@ -188,10 +188,12 @@ class Merges:
         place = np.arange(len(flat)) - np.repeat(np.cumsum(number) - number, number)
         start = np.array([xxhash.xxh64_intdigest(n, self.seed) for n in names], dtype=np.uint64)
         pick = (mixed(place.astype(np.uint64) * _M1 + np.repeat(start, number)) % np.uint64(self.variants)).astype(np.int64)
-        code, words = pd.factorize(np.array(flat, dtype=object))
+        index: dict[str, int] = {}  # a hash of pandas would end strings at a zero byte
+        code = np.fromiter((index.setdefault(w, len(index)) for w in flat), np.int64, len(flat))
+        words = list(index)
         chosen, which = pd.factorize(code * self.variants + pick)
-        words_of = words[which // self.variants]
-        ids, count = self.segment(words_of.tolist(), which % self.variants)
+        words_of = [words[k] for k in (which // self.variants).tolist()]
+        ids, count = self.segment(words_of, which % self.variants)
         all_ids, take = self.spelled(ids)
         edges = np.concatenate(([0], np.cumsum(take)))
         ends = np.cumsum(count)
