@@ -40,7 +40,7 @@ _SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Item:
-    """A tag (text None) or a text within the names of the elements around it."""
+    """A tag (text None) or a text, and the names of the elements around it."""
 
     tag: str
     text: str | None = None
@@ -83,7 +83,7 @@ def items(page: str | None) -> list[Item]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
             if k is not None:
                 del stack[k:]
-            out.append(Item(tag))
+            out.append(Item(tag, names=stack[-1].names if stack else frozenset()))
             continue
         attributes = m[3] if m[2] else m[6]
         top = stack[-1] if stack else _Open("", frozenset(), False)
@@ -100,7 +100,7 @@ def items(page: str | None) -> list[Item]:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        out.append(Item(tag))
+        out.append(Item(tag, names=top.names))
         if tag not in VOID:
             stack.append(_Open(tag, top.names | own, top.dropped or tag in DROPPED or bool(_HIDDEN.search(attributes))))
     text(len(page))
@@ -197,12 +197,15 @@ def main_text(page: str | None, weights: Weights) -> str:
     word: dict[frozenset, float] = {}
     scores = []
     for i in found:
+        within = marked and bool(i.names & CONTENT)
         if i.text is None:
-            scores.append(weights.tag(i.tag))
+            scores.append(-TAG_LEAST if within else weights.tag(i.tag))
         else:
             if i.names not in word:
                 word[i.names] = weights.word(i.names, marked)
-            scores.append(WORST if i.dropped else len(i.text.split()) * word[i.names])
+            # a notice or form within the article is left out, but however long it is, the article goes on after it
+            left_out = i.dropped or (within and word[i.names] < 0)
+            scores.append(WORST if left_out else len(i.text.split()) * word[i.names])
     a, b = best_region(scores)
     blocks: list[str] = []
     block: list[str] = []
