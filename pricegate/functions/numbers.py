@@ -15,3 +15,23 @@ def fixed(x: Column, digits: int = 6) -> Column:
 def cents(x: Column) -> Column:
     """Two decimals, ties upwards."""
     return F.floor(fixed(x) * F.lit(100.0) + F.lit(0.5)).cast("double") / F.lit(100.0)
+
+
+def printed(x: Column, digits: int) -> Column:
+    """Text of a double with fixed decimals, rounded by its exact binary value and ties to even, as C and Python print it.
+
+    The product with the power of ten is split into the nearest double and its exact error
+    (Dekker's method), so that a decimal tie which the double only comes near goes to the
+    side on which the double lies. From 2**40 on, where that splitting may not fit, and for
+    NaN and infinities, the text is Spark's own.
+    """
+    scale = 10.0**digits
+    size = F.abs(x)
+    product = size * F.lit(scale)
+    high = size * F.lit(134217729.0) - (size * F.lit(134217729.0) - size)
+    error = (high * F.lit(scale) - product) + (size - high) * F.lit(scale)
+    whole = F.floor(product).cast("double")
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    near = F.format_string(f"%.{digits}f", (whole + up.cast("double")) / F.lit(scale))
+    return F.when(size < 2.0**40, F.concat(F.when(x < 0, "-").otherwise(""), near)).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pricegate.functions.numbers import printed
 from pricegate.operators import bootstrap, evaluate, features, gate, model, monitor, notes
 
 rng = np.random.default_rng(5)
@@ -133,3 +134,12 @@ def test_diagnosis_order(spark):
     assert (got["r"]["root"], got["r"]["downstream"], got["r"]["passed"]) == ("duplicate_conflicts", "psi_max", "quarantine_rate")
     assert all(len(r["note"].split("\n")) == 6 for r in notes.template_notes(res).collect())
     assert notes.evidence(res, {}).count() == 4
+
+
+def test_printed_numbers_follow_the_binary_value(spark):
+    some = [0.0, 0.5, 1.5, 2.5, 0.4965, 0.0625, 0.125, 0.375, 2.675, 1.005, -0.4965, -2.5, -1e-9, 0.49999999999999994, 99.99995, 5000.0005, 123456789.0125, 2.0**40 - 0.5]
+    some += [k / 2000 for k in range(1, 400, 2)] + [k / 16 + 1000 for k in range(16)]
+    rows = spark.createDataFrame([(v,) for v in some], "v double").select("v", *[printed(F.col("v"), d).alias(f"d{d}") for d in range(5)]).collect()
+    assert len(rows) == len(some)
+    assert all(r[f"d{d}"] == f"{r['v']:.{d}f}" for r in rows for d in range(5))
+    assert spark.createDataFrame([(None,)], "v double").select(printed(F.col("v"), 2).alias("t")).first()["t"] is None
