@@ -31,6 +31,8 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "url base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+#: Spans of a text that are handled together.
+BLOCK = 256
 #: Share of false discoveries of non-randomness, and steps of -log10(p) in the counts.
 FDR, STEP, TOP = 0.05, 0.02, 15.0
 
@@ -39,6 +41,21 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _blocks(items: Column) -> Column:
+    """An array cut into consecutive arrays of at most BLOCK items, none of them empty.
+
+    What would grow with the square of a text's spans is done within blocks and over blocks.
+    """
+    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK).cast("int"), F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.filter(cut, lambda b: F.size(b) > 0)
+
+
+def _begins(blocks: Column, after) -> Column:
+    """Where each block begins, and where the last one ends: from 0 on, ``after(at, block)`` follows each block."""
+    return F.aggregate(blocks, F.array(F.lit(0)), lambda at, b: F.concat(at, F.array(after(F.element_at(at, -1), b).cast("int"))))
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=lambda m: m != "", group: int = 0) -> Column:
     """Array of (start, kind rank, end, token) for the leftmost matches that do not overlap.
 
@@ -50,7 +67,7 @@ def _spans(text: Column, pattern: str, kind: str, keep=lambda m: m != "", group:
     pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("whole"), shown.alias("shown"))
     rank = F.lit(KINDS.index(kind))
     kind_of = "struct<start:int,rank:int,end:int,token:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind_of}>").alias("out"))
+    none = F.array().cast(f"array<{kind_of}>")
 
     def step(acc: Column, m: Column) -> Column:
         begin = acc["at"] + F.length(m["gap"])
@@ -58,8 +75,12 @@ def _spans(text: Column, pattern: str, kind: str, keep=lambda m: m != "", group:
         one = F.array(F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"), m["whole"].alias("token")).cast(kind_of))
         return F.struct(end.alias("at"), F.when(keep(m["shown"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast(f"array<{kind_of}>")
-    return F.when(F.exists(shown, keep), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    def placed(blocks: Column) -> Column:
+        begins = _begins(blocks, lambda at, b: F.aggregate(b, at, lambda n, m: n + F.length(m["gap"]) + F.length(m["whole"])))
+        within = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), within))
+
+    return F.when(F.exists(shown, keep), _let(_let(pairs, _blocks), placed)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -182,7 +203,9 @@ def _all_spans(base: Column, random: Column, limit: dict[int, int]) -> Column:
     """Base spans, and random tokens that pass the tests and touch no base span, in order."""
     least = lambda n: F.coalesce(*[F.when(stratum(n) == k, F.lit(v)) for k, v in sorted(limit.items())], F.lit(1 << 30))
     passed = F.filter(random, lambda s: _step(s["test"]["p"]) < least(s["test"]["n"]))
-    free = F.filter(passed, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    zone = lambda b: F.struct(F.array_min(b["start"]).alias("start"), F.array_max(b["end"]).alias("end"), b.alias("spans"))
+    meets = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    free = _let(F.transform(_blocks(base), zone), lambda zones: F.filter(passed, lambda s: ~F.exists(zones, lambda z: meets(s, z) & F.exists(z["spans"], lambda b: meets(s, b)))))
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     return F.array_sort(F.concat(plain(base), plain(free)))
 
@@ -207,6 +230,28 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_line(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _line(spans).alias("spans"))
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with ``mask`` for each span, or run of overlapping spans; the spans are in order of start."""
+
+    def stretch(block: Column, start: Column, end: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(acc["held"], acc["at"] - start + 1, s["start"] - acc["at"])
+            out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask)))
+            return F.struct(acc["held"].alias("held"), F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+        begin = F.struct(F.substring(text, start + 1, end - start).alias("held"), start.alias("at"), F.lit("").alias("out"))
+        return F.aggregate(block, begin, step, lambda acc: acc["out"])
+
+    def joined(t: Column) -> Column:
+        n = F.size(t["blocks"])
+        bounds = F.zip_with(F.slice(t["begins"], 1, n), F.slice(t["begins"], 2, n), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+        parts = F.zip_with(t["blocks"], bounds, lambda b, x: stretch(b, x["start"], x["end"]))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(t["begins"], -1) + 1, F.length(text)))
+
+    begins = lambda blocks: F.struct(blocks.alias("blocks"), _begins(blocks, lambda at, b: F.greatest(at, F.array_max(b["end"]))).alias("begins"))
+    return _let(_let(_blocks(spans), begins), joined)
+
+
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask``; n_chars, if there, follows the text.
 
@@ -217,13 +262,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
     found = docs.withColumns({"__base": base_spans(whole), "__random": random_candidates(whole)})
     limit = _limits_of(stored(docs.select(random_candidates(whole).alias("__random")).filter(F.size("__random") > 0), "tokens"))
     spans = _all_spans(F.col("__base"), F.col("__random"), limit)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask))).alias("out"))
-
-    masked = F.aggregate("__spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    masked = _masked(F.col(text), F.col("__spans"), mask)
     rows = found.withColumn("__spans", spans).withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

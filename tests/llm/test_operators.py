@@ -291,6 +291,27 @@ def test_redaction(spark):
     assert "a1b2c3d4" not in out[10]["text"]
 
 
+def test_texts_with_many_secrets(spark):
+    """More spans than are handled together; what stays is checked against the spans that the scan gives."""
+    one = lambda k: f"é{k} token = \"{k:040x}\" AKIA{'ABCDEFGHIJKLMNOP'[k % 16] * 17}😀 8Jq2kV0zR7yTn4WbXe1LpC9sUdGhF{k}A secret=ab{k}"
+    texts = [" ".join(map(one, range(n))) for n in (85, 86, 300)] + ["token=abcdef " * (secrets.BLOCK * n) for n in (1, 2)]
+    rows, kept = ({r["doc_id"]: r for r in f(docs(spark, texts)).collect()} for f in (secrets.scan, secrets.redact))
+    for k, text in enumerate(texts):
+        found = sorted((m.start(), i, m.end(), kind) for i, (kind, (p, ok)) in enumerate(BASE.items()) for m in p.finditer(text) if ok(m))
+        base = [f"{kind}:{a}:{b}" for a, _, b, kind in found]
+        assert rows[k]["base_sha256"] == __import__("hashlib").sha256(",".join(base).encode()).hexdigest()
+        spans = [(int(a), int(b), kind) for kind, a, b in (x.split(":") for x in rows[k]["spans"].split(","))]
+        assert [f"{kind}:{a}:{b}" for a, b, kind in spans if kind != "random"] == base and spans == sorted(spans, key=lambda x: x[0])
+        assert all(b <= x or y <= a for a, b, kind in spans if kind == "random" for x, y, other in spans if other != "random")
+        at, want = 0, []
+        for a, b, _ in spans:
+            if a >= at:
+                want += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert kept[k]["text"] == "".join(want) + text[at:]
+    assert "random" in rows[2]["spans"]
+
+
 def test_secrets_run_without_python(spark):
     plan = secrets.scan(docs(spark, SECRETS))._jdf.queryExecution().toString() + secrets.redact(docs(spark, SECRETS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
