@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,22 +23,31 @@ NEAR = 2
 CHUNK = 1 << 16
 
 
+def normal_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """XXH64 values (seed 42) of all shingles in turn; fewer words than a shingle takes give one, none give none."""
+    if not found:
+        return np.zeros(0, "<u8")
+    flat, digest = b" ".join(found), xxhash.xxh64_intdigest
+    if len(found) <= words:
+        return np.array([digest(flat, 42)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1]
+    return np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), "<u8", len(starts))
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Bits set in over half of the XXH64 values (seed 42) of all shingles of a lower-cased text.
 
     Only A-Z are lower-cased and only ASCII white space parts words. Fewer words than a
     shingle takes give one shingle; none, or null, give 0.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
-    flat = b" ".join(found)
-    if len(found) <= words:
-        return xxhash.xxh64_intdigest(flat, 42)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), "<u8", len(starts))
+    hashes = shingle_hashes(normal_words(text), words)
+    if len(hashes) <= 1:
+        return int(hashes.sum())
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
         counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -98,6 +107,22 @@ def close_pairs(prints: DataFrame) -> DataFrame:
     return busy.filter("n = 2").select("a", "b").unionByName(dense).distinct()
 
 
+def linked(rows: DataFrame, pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, fp, component_id from stored rows (doc_id, fp), where ``pairs`` gives the edges (a, b) of the different fps.
+
+    Rows of one fp stand together; component_id is the least doc_id reachable. A row with a
+    null doc_id takes part in no link and has a null component.
+    """
+    grouped = stored(join_groups(rows.filter("doc_id is not null"), "fp", [F.min("doc_id").alias("id")]).drop("group_size"), "grouped")
+    prints = stored(grouped.filter("doc_id = id").select("id", "fp").distinct(), "prints")
+    found = stored(components(pairs(prints.select("fp"))), "components")
+    members = stored(found.join(prints, found["node"] == prints["fp"]).select("fp", "id", "component"), "members")
+    least = broadcast_if_small(stored(members.groupBy("component").agg(F.min("id").alias("component_id")), "least"))
+    changed = stored(members.join(least, "component").filter("id <> component_id").select(F.col("fp").alias("__fp"), "component_id"), "changed")
+    out = join_salted(grouped, changed, "fp", "__fp", "doc_id").select("doc_id", "fp", F.coalesce("component_id", "id").alias("component_id"))
+    return out.unionByName(rows.filter("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id.
 
@@ -107,15 +132,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     has a null component.
     """
     rows = stored(fingerprints(docs, text), "fingerprints")
-    grouped = stored(join_groups(rows.filter("doc_id is not null"), "fp", [F.min("doc_id").alias("id")]).drop("group_size"), "grouped")
-    prints = stored(grouped.filter("doc_id = id").select("id", "fp").distinct(), "prints")
-    found = stored(components(close_pairs(prints.select("fp"))), "components")
-    members = stored(found.join(prints, found["node"] == prints["fp"]).select("fp", "id", "component"), "members")
-    least = broadcast_if_small(stored(members.groupBy("component").agg(F.min("id").alias("component_id")), "least"))
-    changed = stored(members.join(least, "component").filter("id <> component_id").select(F.col("fp").alias("__fp"), "component_id"), "changed")
-    out = join_salted(grouped, changed, "fp", "__fp", "doc_id").select("doc_id", "fp", F.coalesce("component_id", "id").alias("component_id"))
-    lost = rows.filter("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(lost).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return linked(rows, close_pairs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
