@@ -110,8 +110,8 @@ def _sums(rows: DataFrame, by: str, n: int) -> list[int]:
     return [int(found.get(k) or 0) for k in range(n)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, old: int, capacities: list[float] | int, text: str = "text", cost=stay_or_move) -> DataFrame:
-    """Plans the new shard of every row: doc_id, size, text_crc32, old_shard, shard, slot.
+def reshard(docs: DataFrame, old_shard: Column, old: int, capacities: list[float] | int, text: str = "text", cost=stay_or_move, row: str | None = None) -> DataFrame:
+    """Plans the new shard of every row: doc_id, size, text_crc32, old_shard, shard, slot, and ``row``, a stored row identity, if named.
 
     ``capacities``: relative sizes of the new shards, or their number for equal ones; an old
     shard's bytes may stay if a new shard has its number. A document's size is its UTF-8 bytes
@@ -122,7 +122,7 @@ def reshard(docs: DataFrame, old_shard: Column, old: int, capacities: list[float
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     weights = [1.0] * capacities if isinstance(capacities, int) else capacities
-    rows = stored(docs.select("doc_id", (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), old_shard.cast("int").alias("old_shard")), "sizes")
+    rows = stored(docs.select("doc_id", (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), *([row] if row else [])), "sizes")
     blocks = max(LEAST_BLOCKS, rows.count() // BLOCK_ROWS)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     total, mean = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.avg("size"), F.lit(0.0))).first()
@@ -133,7 +133,7 @@ def reshard(docs: DataFrame, old_shard: Column, old: int, capacities: list[float
         flow = min_cost_flow(supply, trimmed(room, sum(supply)), cost)
         parts.append(stored(_placed(rest.filter(F.col("size") > above), flow, share == CLASSES[-1]), "placed"))
         room = [r - b for r, b in zip(room, _sums(parts[-1], "shard", len(room)), strict=True)]
-    return _slots(reduce(DataFrame.unionByName, parts))
+    return _slots(reduce(DataFrame.unionByName, parts), [row] if row else [])
 
 
 def shares(total: int, weights: list[float]) -> list[int]:
@@ -159,7 +159,7 @@ def trimmed(room: list[int], total: int) -> list[int]:
     return room
 
 
-def _slots(placed: DataFrame) -> DataFrame:
+def _slots(placed: DataFrame, more: list[str]) -> DataFrame:
     """Gapless slots from 0 in each shard, by old shard, block and doc_id; no shard gathers in one task."""
     cell = ["shard", "old_shard", "block"]
     counts = placed.groupBy(*cell).agg(F.count("*").alias("rows"))
@@ -167,7 +167,7 @@ def _slots(placed: DataFrame) -> DataFrame:
     counts = counts.select(*cell, F.coalesce(before, F.lit(0)).alias("before"))
     number = F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id", "text_crc32", "size"))
     rows = placed.withColumn("number", number).join(counts, cell)
-    return rows.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("before") + F.col("number") - 1).cast("long").alias("slot"))
+    return rows.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("before") + F.col("number") - 1).cast("long").alias("slot"), *more)
 
 
 def transfers(plan: DataFrame) -> DataFrame:
@@ -175,18 +175,72 @@ def transfers(plan: DataFrame) -> DataFrame:
     return plan.filter("old_shard <> shard").groupBy("old_shard", "shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
 
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, old_paths: dict[int, str], path: str | None = None) -> dict[int, str]:
+def write_old(docs: DataFrame, old_shard: Column, path: str) -> DataFrame:
+    """Writes every row into its old shard's folder under ``path``; returns the table reread, with old_shard and ``row``, its identity in the files."""
+    marked = docs.withColumns({"row": F.monotonically_increasing_id(), "old_shard": old_shard.cast("int")})
+    marked.write.partitionBy("old_shard").option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(marked.schema).parquet(path)
+
+
+def _numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows that the plan cannot tell apart, numbered."""
+    alike = ["old_shard", "doc_id", "size", "text_crc32"]
+    return rows.withColumn("__number", F.row_number().over(Window.partitionBy(*alike).orderBy(*order)))
+
+
+def rewrite_affected(docs: DataFrame, plan: DataFrame, old_paths: dict[int, str], path: str | None = None, text: str = "text", row: str | None = None) -> dict[int, str]:
     """Writes the shards that gain or lose rows and returns each new shard's folder.
 
-    ``docs`` has the column ``old_shard``; doc_id must be its key. A shard that keeps exactly
-    its rows keeps its old folder; the others are written, by slot, under ``path``.
+    ``docs`` has the column ``old_shard``. With ``row``, a stored identity that the plan carries,
+    rows are matched by it; else by old shard, doc_id (null too), size and checksum, and rows
+    alike in these, of which the plan places each, one by one. A shard that keeps exactly its
+    rows keeps its old folder; the others are written, by slot, under ``path``.
     """
     path = path or new_folder(docs.sparkSession, "shards")
+    plan = stored(plan, "plan")
     moves = transfers(plan).select("old_shard", "shard").collect()  # shards squared at most
     touched = {r["shard"] for r in moves} | {r["old_shard"] for r in moves}
     shards = {r[0] for r in plan.select("shard").distinct().collect()}
     written = sorted(shards & (touched | (shards - set(old_paths))))
-    chosen = plan.filter(F.col("shard").isin(written)).select("doc_id", "shard", "slot")
     columns = [c for c in docs.columns if c not in ("shard", "slot", "old_shard")]
-    docs.select(*columns).join(chosen, "doc_id").repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    if row:
+        docs, plan, keys = docs.select(*columns), plan, [row]
+    else:
+        whole = F.coalesce(F.col(text), F.lit(""))
+        plain = [c for c in columns if c not in ("size", "text_crc32")]
+        kept = docs.select(*plain, "old_shard", *[F.col(c).alias(f"__{c}") for c in columns if c not in plain])
+        docs = _numbered(kept.withColumns({"size": (F.octet_length(whole) + 8).cast("long"), "text_crc32": F.crc32(whole)}), F.xxhash64(*kept.columns))
+        plan, keys = _numbered(plan, "shard", "slot"), ["old_shard", "doc_id", "size", "text_crc32", "__number"]
+    chosen = plan.filter(F.col("shard").isin(written)).select(*[F.col(k).alias(f"__key{n}") for n, k in enumerate(keys)], "shard", "slot")
+    same = reduce(Column.__and__, [docs[k].eqNullSafe(F.col(f"__key{n}")) for n, k in enumerate(keys)])
+    out = docs.join(chosen, same)
+    out = out.select(*[F.col(c if c in docs.columns and (row or c not in ("size", "text_crc32")) else f"__{c}").alias(c) for c in columns], "shard", "slot")
+    out.repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return {k: f"{path}/shard={k}" if k in written else old_paths[k] for k in sorted(shards)}
+
+
+def resharded(docs: DataFrame, old_shard: Column, old: int, capacities: list[float] | int, text: str = "text") -> DataFrame:
+    """Writes the old shards to the shared folder, rewrites the affected ones by the plan, and describes every
+    row of the new files as reread: doc_id, size, text_crc32, old_shard, shard, slot.
+
+    old_shard is the folder of the row's identity in the old files; an old shard that keeps its rows is read where it was.
+    """
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "old")
+    table = write_old(docs, old_shard, path)
+    plan = stored(reshard(table, F.col("old_shard"), old, capacities, text, row="row"), "plan")
+    # the old shard of a row travels as a column of its own, as its folder's name is not in the new files
+    paths = rewrite_affected(table.withColumn("was", F.col("old_shard")), plan, {k: f"{path}/old_shard={k}" for k in range(old)}, row="row")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    size, crc = (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32")
+    fields = {f.name: f.dataType.simpleString() for f in table.schema}
+    base = f"doc_id {fields['doc_id']}, {text} {fields[text]}, row long"
+    new = [p for k, p in paths.items() if p != f"{path}/old_shard={k}"]
+    same = {k: p for k, p in paths.items() if p not in new}
+    parts = []
+    if new:
+        root = new[0].rpartition("/")[0]
+        parts.append(spark.read.schema(f"{base}, was int, slot long, shard int").parquet(root).select("doc_id", size, crc, F.col("was").alias("old_shard"), "shard", "slot"))
+    for k, p in same.items():  # its rows are in place; the plan numbers them
+        kept = spark.read.schema(base).parquet(p).join(plan.filter(F.col("shard") == k).select("row", "slot"), "row")
+        parts.append(kept.select("doc_id", size, crc, F.lit(k).alias("old_shard"), F.lit(k).alias("shard"), "slot"))
+    return reduce(DataFrame.unionByName, parts) if parts else plan.drop("row")
