@@ -13,10 +13,10 @@ from .common import input_table
 
 
 def op1_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 16 shards dealt by doc_id to 24 of equal bytes."""
+    """From 16 shards dealt by doc_id to 24 of equal bytes: written, rewritten by the plan and reread."""
     old = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(resharding.OLD_SHARDS))
-    plan = resharding.reshard(input_table(spark, sf_dir, "documents", "doc_id", "text"), old, resharding.OLD_SHARDS, resharding.SHARDS)
-    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    rows = resharding.resharded(input_table(spark, sf_dir, "documents", "doc_id", "text"), old, resharding.OLD_SHARDS, resharding.SHARDS)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

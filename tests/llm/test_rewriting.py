@@ -5,6 +5,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from pricegate.llm import resharding
+from pricegate.llm.queries import queries
+from tests.conftest import TESTDATA
 
 ROWS = [(k % 25 if k % 7 else None, None if k % 11 == 0 else f"text {k % 40} " * (k % 5), f"{k}") for k in range(200)]
 
@@ -31,3 +33,10 @@ def test_rows_are_those_of_the_files(spark):
         slots = sorted(r["slot"] for r in rows if r["shard"] == k)
         assert slots == list(range(len(slots)))
     assert resharding.resharded(df.filter("false"), old, 3, 5).count() == 0
+
+
+def test_query_writes_documents(spark):
+    out = queries()["op1_flow_resharding"](spark, f"{TESTDATA}/sf0.001")
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").select("doc_id", (F.octet_length("text") + 8).cast("long"), F.crc32("text"))
+    assert {f.split("/shard=")[0] for f in out.inputFiles()} != set() and all("/shard=" in f for f in out.inputFiles())
+    assert Counter(map(tuple, out.select("doc_id", "size", "text_crc32").collect())) == Counter(map(tuple, docs.collect()))
