@@ -421,10 +421,8 @@ def gate_report(spark, d):
     return gate.report(result, gate.verdicts(result)).select("run_id", F.to_json(F.struct("checks", "passed", "total", "exit_code")).alias("report"))
 
 
-@query
-def candidate_gate(spark, d):
+def _candidate(spark, d, bands: DataFrame) -> DataFrame:
     """The model checks of one run: errors, coverage and drift on the lines of orders and events."""
-    bands = bootstrap.bands_by_digest(_differences(spark, d), draws=16)
     edges = bands.agg(F.max(F.when(F.col("kind") == "overall", F.col("hi"))).alias("overall_improvement"), F.max(F.when(F.col("segment") == "R", F.col("lo"))).alias("peak_no_regression"), F.max(F.when(F.col("kind") == "hub", F.col("lo"))).alias("hub_no_regression"))
     cover = _banded(spark, d).agg(evaluate.coverage(F.col("y"), F.col("lo"), F.col("hi")).alias("band_coverage"))
     drift = psi_features(spark, d).filter("feature in ('value', 'user_id')").agg(F.max("psi").alias("psi_max"))
@@ -434,6 +432,19 @@ def candidate_gate(spark, d):
     return rounded(gate.results(gate.values(one, names), checks), 3)
 
 
+@query
+def candidate_gate(spark, d):
+    """The model checks with bands of 16 draws that SQL can follow: a check of weights and rules, not a release decision."""
+    return _candidate(spark, d, bootstrap.bands_by_digest(_differences(spark, d), draws=16))
+
+
+@query
+def candidate_gate_bands(spark, d):
+    """The release decision: the model checks with bands of the suite's draws."""
+    suite = gate.Suite()
+    return _candidate(spark, d, bootstrap.bands(_differences(spark, d), draws=suite.draws, seed=suite.seed))
+
+
 # monitoring
 
 
