@@ -6,21 +6,26 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of candidate merges that are skipped, the seed, and the variants that a word may take.
-DROPOUT, SEED, VARIANTS = 0.1, 20_24, 4
+#: Share of candidate merges that are skipped, and the seed.
+DROPOUT, SEED = 0.1, 20_24
 #: Symbols above which a word is merged by itself, and symbols that are merged side by side.
 LONG, SIDE = 64, 1 << 18
+#: Segmentations that a worker remembers before it starts anew; results do not depend on it.
+REMEMBERED = 1 << 20
 _SPACE = "▁"
 _WORD = re.compile(r" *[^ ]+| +")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-NONE = np.int64(1 << 40)
+NONE = np.int32(1 << 30)
+#: Binary digits of the size of the table of merges.
+TABLE = 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -33,7 +38,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Merges:
     """Pieces of a model: which two make a third, and which goes first."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
+    def __init__(self, path: str, dropout: float, seed: int):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,91 +54,170 @@ class Merges:
         self.shown = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(map(self.model.id_to_piece, range(n)))]
         order = {s: k for k, s in enumerate(sorted({self.model.get_score(i) for i in plain.values()}, reverse=True))}
         found = {(plain[p[:k]] << 20 | plain[p[k:]]): (order[self.model.get_score(i)], i) for p, i in plain.items() for k in range(1, len(p)) if p[:k] in plain and p[k:] in plain}
-        self.keys = np.array(sorted(found), dtype=np.int64)
-        self.rank = np.array([found[k][0] for k in self.keys.tolist()], dtype=np.int64)
-        self.made = np.array([found[k][1] for k in self.keys.tolist()], dtype=np.int64)
-        self.limit, self.seed, self.variants = np.uint64(min(int(dropout * 2**64), 2**64 - 1)), seed, variants
-        self.dropout = dropout
-
-    def keys_of(self, symbols: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """A hash of seed, variant, and each row's symbols in their places."""
-        places = np.arange(1, symbols.shape[1] + 1, dtype=np.uint64) * _M3
-        return mixed(mixed(symbols.astype(np.uint64) * _M1 + places).sum(1, dtype=np.uint64) + np.uint64(self.seed * int(_M2) % 2**64) + variants.astype(np.uint64))
-
-    def candidates(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, piece) of the merges of neighbours; NONE where there is none or its keyed hash skips it.
-
-        The hash takes the word's key, the place of the left symbol and both ids, so a
-        candidate is skipped or not whenever and wherever it is processed.
+        self.keys = np.array([*sorted(found), -2], dtype=np.int64)
+        self.rank = np.array([*(found[k][0] for k in sorted(found)), NONE], dtype=np.int32)
+        self.made = np.array([*(found[k][1] for k in sorted(found)), 0], dtype=np.int64)
+        # open addressing: where a pair's merge is looked for first, and then in the following slots
+        self.table = np.full(1 << TABLE, len(found), np.int32)
+        for k, slot in enumerate((self.keys[:-1].astype(np.uint64) * _M1 >> np.uint64(64 - TABLE)).tolist()):
+            while self.table[slot] < len(found):
+                slot = (slot + 1) & ((1 << TABLE) - 1)
+            self.table[slot] = k
+        self.limit, self.seed, self.dropout = np.uint64(min(int(dropout * 2**64), 2**64 - 1)), seed, dropout
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what is remembered. A segmentation has a word, the candidates skipped so far, the merges made (as
+        they are hashed) and the ids, byte pieces spelled out."""
+        self.known: dict[str, int] = {}  # a word's segmentation without a skip
+        self.branch: dict[int, int] = {}  # and from a segmentation and the place of a merge, the one that skips it
+        self.words: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.path, self.path_at, self.path_n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.ids_at, self.ids_n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def occurrence_keys(self, names: list[str], numbers: np.ndarray) -> np.ndarray:
+        """A key for each word of each text: a hash of seed, the text's name and the word's place in it."""
+        start = np.array([xxhash.xxh64_intdigest(n, self.seed) for n in names], dtype=np.uint64)
+        place = np.arange(numbers.sum()) - np.repeat(np.cumsum(numbers) - numbers, numbers)
+        return mixed(place.astype(np.uint64) * _M1 + np.repeat(start, numbers))
+
+    def skipped(self, key: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Whether an occurrence (its key) skips a candidate (its base)."""
+        return mixed(key ^ base) < self.limit
+
+    def candidates(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rank, piece, base) of the merges of neighbours, rank NONE where there is none.
+
+        The base is a hash of both ids and the place of the left one's first symbol in the
+        word, so a candidate is skipped or not whenever it is processed.
         """
         pair = np.where((left >= 0) & (right >= 0), left << 20 | right, -1)
-        k = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-        hit = self.keys[k] == pair
-        if self.dropout > 0:
-            hit &= mixed(key ^ mixed(pair.astype(np.uint64) * _M1 + at.astype(np.uint64))) >= self.limit
-        return np.where(hit, self.rank[k], NONE), np.where(hit, self.made[k], 0)
-
-    def merge(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segments words of equal numbers of symbols side by side; each takes its best candidate, the leftmost of equals, in turn. Returns ids and their numbers."""
+        k = self.find(pair.ravel()).reshape(pair.shape)
+        return self.rank[k], self.made[k], mixed(pair.astype(np.uint64) * _M1 + at.astype(np.uint64))
+
+    def find(self, pair: np.ndarray) -> np.ndarray:
+        """Places of pairs among the merges; the last place stands for none."""
+        slot = (pair.astype(np.uint64) * _M1 >> np.uint64(64 - TABLE)).astype(np.int64)
+        k = self.table[slot]
+        open_ = np.flatnonzero((self.keys[k] != pair) & (k < len(self.rank) - 1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << TABLE) - 1)
+            k[open_] = self.table[slot[open_]]
+            open_ = open_[(self.keys[k[open_]] != pair[open_]) & (k[open_] < len(self.rank) - 1)]
+        return k
+
+    def merge(self, words: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments words of equal numbers of symbols side by side, each without the candidates in its row of ``skips``.
+
+        Each takes its best candidate, the leftmost of equals, in turn. Returns all ids one
+        after another, how many each has, and the bases of the merges made, as many as
+        symbols that went.
+        """
         rows, n = words.shape
-        ids, out, sizes = words.copy(), words.copy(), np.full(rows, n)
-        at = np.broadcast_to(np.arange(n), (rows, n)).copy()
-        size = np.full(rows, n)
-        rank = np.full((rows, n), NONE)
-        made = np.zeros((rows, n), np.int64)
+        bases = np.zeros((rows, max(n - 1, 0)), np.uint64)
+        ids, there = words.copy(), np.ones((rows, n), bool)
         if n > 1:
-            rank[:, :-1], made[:, :-1] = self.candidates(ids[:, :-1], ids[:, 1:], at[:, :-1], keys[:, None])
-        live = np.arange(rows)
-        while len(live):
-            best = rank.argmin(1)
-            line = np.arange(len(live))
-            going = rank[line, best] < NONE
-            out[live[~going], : ids.shape[1]], sizes[live[~going]] = ids[~going], size[~going]
-            live, ids, at, size, rank, made, keys, best = (x[going] for x in (live, ids, at, size, rank, made, keys, best))
-            if not len(live):
-                break
-            line = np.arange(len(live))
-            ids[line, best] = made[line, best]
-            width = ids.shape[1]
-            shift = np.minimum(np.arange(width - 1)[None, :] + (np.arange(width - 1)[None, :] > best[:, None]), width - 1)
-            take = line[:, None]
-            ids, at, rank, made = (x[take, shift] for x in (ids, at, rank, made))
-            size -= 1
-            for side in (best - 1, best):
-                has = (side >= 0) & (side < size - 1)
-                a = np.clip(side, 0, width - 2)
-                b = np.minimum(a + 1, width - 2)
-                r, m = self.candidates(ids[line, a], ids[line, b], at[line, a], keys)
-                rank[line[has], a[has]], made[line[has], a[has]] = r[has], m[has]
-                last = (side >= 0) & (side >= size - 1)
-                rank[line[last], a[last]] = NONE
-        return out, sizes
-
-    def segment(self, words: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, one after another, and the number of each word's ids."""
-        length = np.fromiter(map(len, words), np.int64, len(words))
+            rank, made, base = (np.full((rows, n), x, kind) for x, kind in ((NONE, np.int32), (0, np.int64), (0, np.uint64)))
+            rank[:, :-1], made[:, :-1], base[:, :-1] = self.candidates(ids[:, :-1], ids[:, 1:], np.arange(n - 1)[None, :])
+            for k in range(skips.shape[1]):
+                rank[base == skips[:, k : k + 1]] = NONE
+            # cells of the flat arrays; each row's neighbours are linked, so a merge touches no more than three cells
+            cell = np.arange(rows * n).reshape(rows, n)
+            after, before = (cell + 1).ravel(), (cell - 1).ravel()
+            after[n - 1 :: n] = before[::n] = -1
+            f_ids, f_there, f_rank, f_made, f_base = (x.reshape(-1) for x in (ids, there, rank, made, base))
+            live, step = np.arange(rows), 0
+            while len(live):
+                a = rank[live].argmin(1) + live * n
+                going = f_rank[a] < NONE
+                if not going.all():
+                    live, a = live[going], a[going]
+                    if not len(live):
+                        break
+                bases[live, step] = f_base[a]
+                step += 1
+                gone = after[a]
+                f_ids[a], f_there[gone], f_rank[gone] = f_made[a], False, NONE
+                beyond = after[gone]
+                after[a] = beyond
+                has = beyond >= 0
+                before[beyond[has]] = a[has]
+                f_rank[a[~has]] = NONE
+                left = before[a]
+                side = left >= 0
+                lefts, rights = np.concatenate([a[has], left[side]]), np.concatenate([beyond[has], a[side]])
+                r, m, h = self.candidates(f_ids[lefts], f_ids[rights], lefts % n)
+                for k in range(skips.shape[1]):
+                    r[h == np.concatenate([skips[live[has], k], skips[live[side], k]])] = NONE
+                f_rank[lefts], f_made[lefts], f_base[lefts] = r, m, h
+        return ids[there], there.sum(1), bases
+
+    def remember(self, words: list[str], skips: list[tuple[int, ...]]) -> int:
+        """Segments words, each without its skipped candidates (as many for each word), and returns the number of the first."""
+        first, n = len(self.words), len(words)
+        length = np.fromiter(map(len, words), np.int64, n)
         symbols = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         start = np.cumsum(length) - length
-        found, row_of, count = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        done = 0
-        for n in np.unique(length):
-            some = np.flatnonzero(length == n)
-            for part in np.array_split(some, max(1, len(some) * n // SIDE)):
-                rows = symbols[start[part][:, None] + np.arange(n)]
-                keys = self.keys_of(rows, variants[part])
-                if n <= LONG:
-                    ids, sizes = self.merge(rows, keys)
-                    flat = ids[np.arange(n) < sizes[:, None]]
-                else:
-                    lists = [self.agenda(r, k) for r, k in zip(rows.tolist(), keys.tolist(), strict=True)]
-                    flat, sizes = np.array([i for x in lists for i in x], dtype=np.int64), np.array([len(x) for x in lists])
-                row_of[part], count[part] = done + np.cumsum(sizes) - sizes, sizes
-                found.append(flat)
-                done += len(flat)
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        return flat[_ranges(row_of, count)], count
-
-    def agenda(self, symbols: list[int], key: int) -> list[int]:
+        left_out = np.array(skips, dtype=np.uint64).reshape(n, -1)
+        ids, ids_at, ids_n = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
+        path, path_at, path_n = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
+        ids_done, path_done = len(self.ids), len(self.path)
+        for size in np.unique(length):
+            some = np.flatnonzero(length == size)
+            for part in np.array_split(some, max(1, len(some) * size // SIDE)):
+                out, sizes, bases = self.merge(symbols[start[part][:, None] + np.arange(size)], left_out[part])
+                flat, take = self.spelled(out)
+                ends, edges = np.cumsum(sizes), np.concatenate(([0], np.cumsum(take)))
+                ids_at[part], ids_n[part] = ids_done + edges[ends - sizes], edges[ends] - edges[ends - sizes]
+                went = size - sizes
+                path_at[part], path_n[part] = path_done + np.cumsum(went) - went, went
+                ids.append(flat)
+                path.append(bases[np.arange(bases.shape[1]) < went[:, None]])
+                ids_done, path_done = ids_done + len(flat), path_done + len(path[-1])
+        self.words += words
+        self.skips += skips
+        for name, more in (("ids", ids), ("path", path), ("ids_at", [ids_at]), ("ids_n", [ids_n]), ("path_at", [path_at]), ("path_n", [path_n])):
+            setattr(self, name, np.concatenate([getattr(self, name), *more]))
+        return first
+
+    def segmentations(self, flat: list[str], keys: np.ndarray) -> np.ndarray:
+        """The number of each occurrence's remembered segmentation.
+
+        A candidate's hash decides whatever the order, so an occurrence goes the way of its
+        word without skips up to the first merge that its own key skips; from there on it goes
+        the way of the segmentation that skips this one too, and so on. Ways are shared by all
+        occurrences that skip the same; how many there are is not bounded.
+        """
+        if len(self.words) > REMEMBERED:
+            self.forget()
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [flat[k] for k in missing.tolist()]
+            fresh = list(dict.fromkeys(new))
+            first = self.remember(fresh, [()] * len(fresh))
+            self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            at[missing] = [self.known[w] for w in new]
+        live, begin = (np.arange(len(flat)), np.zeros(len(flat), np.int64)) if self.dropout > 0 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        while len(live):
+            count = self.path_n[at[live]] - begin
+            where = _ranges(self.path_at[at[live]] + begin, count)
+            skip = np.flatnonzero(self.skipped(np.repeat(keys[live], count), self.path[where]))
+            owner = np.repeat(np.arange(len(live)), count)[skip]
+            owner, one = np.unique(owner, return_index=True)  # the first merge that each skips
+            place = skip[one] - (np.cumsum(count) - count)[owner] + begin[owner]
+            live, begin = live[owner], place
+            code, back = np.unique(at[live] * LONG + place, return_inverse=True)
+            fresh = [c for c in code.tolist() if c not in self.branch]
+            if fresh:
+                parents = [divmod(c, LONG) for c in fresh]
+                first = self.remember([self.words[p] for p, _ in parents], [(*self.skips[p], int(self.path[self.path_at[p] + k])) for p, k in parents])
+                self.branch.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            at[live] = np.array([self.branch[c] for c in code.tolist()], dtype=np.int64)[back]
+        return at
+
+    def agenda(self, symbols: list[int], key: np.uint64) -> list[int]:
         """One long word by a heap of candidates (rank, place): n log n steps, the same choices as ``merge``."""
         import heapq
 
@@ -145,9 +229,10 @@ class Merges:
             lefts = [a for a in lefts if a >= 0 and after[a] < n]
             if lefts:
                 left, right = np.array([ids[a] for a in lefts]), np.array([ids[after[a]] for a in lefts])
-                ranks, made = self.candidates(left, right, np.array(lefts), np.uint64(key))
-                for a, r, m in zip(lefts, ranks.tolist(), made.tolist(), strict=True):
-                    if r < NONE:
+                ranks, made, bases = self.candidates(left, right, np.array(lefts))
+                skip = self.skipped(key, bases) & (self.dropout > 0)
+                for a, r, m, no in zip(lefts, ranks.tolist(), made.tolist(), skip.tolist(), strict=True):
+                    if r < NONE and not no:
                         heapq.heappush(heap, (r, a, ids[a], ids[after[a]], m))
 
         propose(list(range(n)))
@@ -179,28 +264,26 @@ class Merges:
         return out, take
 
     def encode(self, texts: list[str], names: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts. A text's name and a word's place choose among the word's variants."""
+        """Ids of whole texts. A text's name, a word's place and a candidate decide what is skipped."""
         split = [_WORD.findall(" " + t) if t else [] for t in texts]
         number = np.fromiter(map(len, split), np.int64, len(split))
         flat = [w for words in split for w in words]
         if not flat:
             return [np.zeros(0, np.int64) for _ in texts]
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(number) - number, number)
-        start = np.array([xxhash.xxh64_intdigest(n, self.seed) for n in names], dtype=np.uint64)
-        pick = (mixed(place.astype(np.uint64) * _M1 + np.repeat(start, number)) % np.uint64(self.variants)).astype(np.int64)
-        index: dict[str, int] = {}  # a hash of pandas would end strings at a zero byte
-        code = np.fromiter((index.setdefault(w, len(index)) for w in flat), np.int64, len(flat))
-        words = list(index)
-        chosen, which = pd.factorize(code * self.variants + pick)
-        words_of = [words[k] for k in (which // self.variants).tolist()]
-        ids, count = self.segment(words_of, which % self.variants)
-        all_ids, take = self.spelled(ids)
-        edges = np.concatenate(([0], np.cumsum(take)))
-        ends = np.cumsum(count)
-        first, last = edges[ends - count], edges[ends]
-        out = all_ids[_ranges(first[chosen], (last - first)[chosen])]
-        per_word = np.concatenate(([0], np.cumsum((last - first)[chosen])))
-        stops = per_word[np.cumsum(number)]
+        keys = self.occurrence_keys(names, number)
+        large = [k for k, w in enumerate(flat) if len(w) > LONG]
+        own = []
+        for k in large:
+            symbols = self.char[np.frombuffer(flat[k].encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+            own.append(self.spelled(np.array(self.agenda(symbols.tolist(), keys[k]), dtype=np.int64))[0])
+            flat[k] = " "  # holds its place
+        at = self.segmentations(flat, keys)
+        first, count = self.ids_at[at], self.ids_n[at]
+        if large:
+            sizes = np.array([len(x) for x in own])
+            count[large], first[large] = sizes, len(self.ids) + np.cumsum(sizes) - sizes
+        out = np.concatenate([self.ids, *own])[_ranges(first, count)] if large else self.ids[_ranges(first, count)]
+        stops = np.concatenate(([0], np.cumsum(count)))[np.cumsum(number)]
         return [out[a:b] for a, b in zip(np.concatenate(([0], stops[:-1])), stops, strict=True)]
 
     def decode(self, ids) -> str:
@@ -215,58 +298,68 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def merges(path: str, dropout: float, seed: int, variants: int) -> Merges:
-    return Merges(path, dropout, seed, variants)
+def merges(path: str, dropout: float, seed: int) -> Merges:
+    return Merges(path, dropout, seed)
 
 
-def _encoder(path: str, dropout: float, seed: int, variants: int, rows: int = 1000):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = merges(path, dropout, seed, variants)
-        for b in batches:
-            for k in range(0, len(b), rows):
-                part = b.iloc[k : k + rows]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": model.encode(part["text"].tolist(), part["doc_id"].astype("Int64").astype(str).tolist())})
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select("doc_id", F.col("doc_id").cast("string").alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
 
-    return run
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, dropout: float, seed: int, rows: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+    """Some rows at a time: the rows, their texts and their ids."""
+    model = merges(path, dropout, seed)
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            part = b.slice(k, rows)
+            texts = part.column("text").to_pylist()
+            yield part, texts, model.encode(texts, [n or "" for n in part.column("name").to_pylist()])
 
 
-def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, text: str = "text", rows: int = 1000) -> DataFrame:
     """doc_id and ids of every whole text; null counts as empty, which has no ids.
 
-    Each word takes one of ``variants`` segmentations, chosen by doc_id and place; in each, a
-    keyed hash skips a share ``dropout`` of the candidate merges. Without dropout the ids are
-    the model's own. The same seed gives the same ids, whatever the partitions are.
+    Each candidate merge is skipped with probability ``dropout``, by a hash of seed, doc_id,
+    the word's place in the text, and the candidate's ids and place in the word. Without
+    dropout the ids are the model's own. The same seed gives the same ids, whatever the
+    partitions are; rows that repeat a doc_id (or have none) skip alike, so equal rows give
+    equal ids. An empty table gives no rows.
     """
-    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(_encoder(path, dropout, seed, variants), "doc_id long, ids array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, found in _encoded(batches, path, dropout, seed, rows):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return _texts(docs, text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and text of lists of ids; null or empty lists give the empty text."""
+    """doc_id and text of lists of ids; null or empty lists give the empty text. Rows stay as they are, repeated or not."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = merges(path, 0.0, 0, 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = merges(path, 0.0, 0)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": [model.decode(i) if i is not None else "" for i in b["ids"]]})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([model.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, text: str = "text", rows: int = 1000) -> DataFrame:
-    """Per document: doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit), decoded_sha256, lossless."""
+def round_trip(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, text: str = "text", rows: int = 1000) -> DataFrame:
+    """Per document: doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit), decoded_sha256, lossless.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Null texts count as empty: no ids, and lossless. Repeated rows, and rows without a doc_id,
+    are rows of their own; an empty table gives none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        model = merges(path, dropout, seed, variants)
-        for b in batches:
-            for k in range(0, len(b), rows):
-                part = b.iloc[k : k + rows]
-                names, texts = part["doc_id"].astype("Int64"), part["text"].tolist()
-                out = []
-                for t, ids in zip(texts, model.encode(texts, names.astype(str).tolist()), strict=True):
-                    back = model.decode(ids.tolist())
-                    out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
-                frame = pd.DataFrame(out, columns=["n_ids", "ids_crc32", "decoded_sha256", "lossless"])
-                yield frame.assign(doc_id=names.array)[["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "lossless"]]
-
-    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+        model = merges(path, dropout, seed)
+        for part, texts, found in _encoded(batches, path, dropout, seed, rows):
+            back = [model.decode(ids.tolist()) for ids in found]
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id"), pa.array([len(ids) for ids in found], pa.int64()), pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids in found], pa.int64()),
+                pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]), pa.array([t == u for t, u in zip(texts, back, strict=True)]),
+            ], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "lossless"])
+
+    return _texts(docs, text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids long, ids_crc32 long, decoded_sha256 string, lossless boolean")

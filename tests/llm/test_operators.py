@@ -397,22 +397,58 @@ SAMPLES = ["Hello  world\n\tx", "", " ", "a" * 300 + " " + "ab" * 200, "   ", "x
 def test_without_dropout_is_the_model():
     import sentencepiece
 
-    own, plain = pieces.Merges(MODEL, 0.0, 1, 1), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    own, plain = pieces.Merges(MODEL, 0.0, 1), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for t, ids in zip(SAMPLES, own.encode(SAMPLES, ["n"] * len(SAMPLES)), strict=True):
         assert own.decode(ids.tolist()) == t
         if "▁" not in t:  # the mark itself is spelled in bytes, so that it decodes
             assert ids.tolist() == plain.encode(t)
 
 
+def brute_pieces(own, word, key):
+    """The best candidate that the key does not skip, the leftmost of equals, again and again."""
+    ids, at = [int(own.char[ord(c)]) for c in word], list(range(len(word)))
+    while True:
+        found = []
+        for k in range(len(ids) - 1):
+            rank, made, base = own.candidates(*(np.array([x]) for x in (ids[k], ids[k + 1], at[k])))
+            if rank[0] < pieces.NONE and not (own.dropout and own.skipped(key, base)[0]):
+                found.append((int(rank[0]), k, int(made[0])))
+        if not found:
+            return own.spelled(np.array(ids))[0].tolist()
+        _, k, made = min(found)
+        ids[k : k + 2], at[k + 1 : k + 2] = [made], []
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5])
+def test_dropout_is_brute_dropout(dropout):
+    own = pieces.Merges(MODEL, dropout, 7)
+    texts = [*SAMPLES, "transformation of the überprüfung ciónmenteados aaaaaaaab thontheswhtion " * 5]
+    names = [f"{k % 4}" for k in range(len(texts))]
+    for _ in range(2):  # remembered or not
+        for t, n, ids in zip(texts, names, own.encode(texts, names), strict=True):
+            words = pieces._WORD.findall(" " + t) if t else []
+            keys = own.occurrence_keys([n], np.array([len(words)]))
+            assert ids.tolist() == [i for w, k in zip(words, keys, strict=True) for i in brute_pieces(own, w, k)]
+
+
+def test_every_occurrence_has_its_own_dropout():
+    own = pieces.Merges(MODEL, pieces.DROPOUT, pieces.SEED)
+    forms = {tuple(own.encode(["internationalization"], [str(k)])[0]) for k in range(2000)}
+    assert len(forms) > 100  # and no bound on them
+    whole = pieces.Merges(MODEL, 0.0, 1).encode([" the"], [""])[0].tolist()
+    text = "the " * 20_000
+    kept = sum(own.segmentations(pieces._WORD.findall(" " + text)[:-1], own.occurrence_keys(["x"], np.array([20_000]))) == own.known[" the"])
+    merged = own.path_n[own.known[" the"]]
+    assert len(whole) == 2 and abs(kept / 20_000 - 0.9 ** int(merged)) < 0.015
+
+
 def test_dropout(spark):
     df = docs(spark, [*SAMPLES, None, "the same words here " * 40])
     a = {r["doc_id"]: r["ids"] for r in pieces.encode(df, MODEL, dropout=0.3).collect()}
     assert a == {r["doc_id"]: r["ids"] for r in pieces.encode(df.repartition(1), MODEL, dropout=0.3).collect()}
     b = {r["doc_id"]: r["ids"] for r in pieces.encode(df, MODEL, dropout=0.3, seed=5).collect()}
     assert a[9] != b[9] and a[len(SAMPLES)] == []
-    own = pieces.Merges(MODEL, 0.3, pieces.SEED, pieces.VARIANTS)
-    assert len({tuple(own.encode(["transformation"], [str(k)])[0]) for k in range(50)}) > 1
-    full = pieces.Merges(MODEL, 1.0, 1, 1).encode(["abc"], ["n"])[0]
+    full = pieces.Merges(MODEL, 1.0, 1).encode(["abc"], ["n"])[0]
     assert len(full) == 4
     back = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(df, MODEL, dropout=0.3), MODEL).collect()}
     assert back == {k: t or "" for k, t in enumerate([*SAMPLES, None, "the same words here " * 40])}
@@ -420,14 +456,21 @@ def test_dropout(spark):
     assert pieces.round_trip(df.filter("false"), MODEL).count() == 0
 
 
+def test_dropout_of_large_repeated_and_null_ids(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "some words"), (big + 2, "some words"), (None, None), (None, "b"), (5, "c"), (5, "c")], DOC).coalesce(1)
+    rows = pieces.round_trip(df, MODEL).collect()
+    assert [r["doc_id"] for r in rows] == [big, big + 2, None, None, 5, 5] and all(r["lossless"] for r in rows)
+    assert rows[4] == rows[5] and rows[2]["n_ids"] == 0
+    assert [r["doc_id"] for r in pieces.decode(pieces.encode(df, MODEL), MODEL).collect()] == [big, big + 2, None, None, 5, 5]
+
+
 def test_long_words_merge_alike():
-    own = pieces.Merges(MODEL, 0.2, 3, 4)
-    words = ["thontheswhtion", "ciónmenteados", "aaaaaaaab", "x", "überprüfung\n"]
-    variants = np.arange(5) % 4
-    flat, count = own.segment(words, variants)
-    for w, v, ids in zip(words, variants, np.split(flat, np.cumsum(count)[:-1]), strict=True):
+    own = pieces.Merges(MODEL, 0.2, 3)
+    for k, w in enumerate(["thontheswhtion", "ciónmenteados", "aaaaaaaab", "x", "überprüfung\n"]):
+        key = np.uint64(k * 12345)
         symbols = own.char[[ord(c) for c in w]]
-        assert own.agenda(symbols.tolist(), int(own.keys_of(symbols[None], np.array([v]))[0])) == ids.tolist()
+        assert own.spelled(np.array(own.agenda(symbols.tolist(), key)))[0].tolist() == brute_pieces(own, w, key)
 
 
 # 10
