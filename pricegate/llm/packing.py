@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ LENGTH, WINDOWS, END = 2048, 64, 1
 #: Partitions whose leftover windows are merged in one task.
 MERGED = 64
 SPECIAL = "<|endoftext|>"
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"
 
 
 @lru_cache(maxsize=2)
@@ -72,23 +73,26 @@ class Windows:
 
 
 def packer(vocabulary: str, ranks: str | None, length: int, windows: int, end: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, held = encoder(vocabulary, ranks), TaskContext.get().partitionId(), Windows(length, windows)
         waiting: dict[int, list[tuple]] = {}  # pieces of open windows
+        kind = None
 
-        def out(rows: list[tuple], still_open: bool) -> pd.DataFrame:
-            frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset"])
-            frame["window"] += part << 33
-            return frame.assign(doc_id=frame["doc_id"].astype("Int64"), open=still_open)
+        def out(rows: list[tuple], still_open: bool) -> pa.RecordBatch:
+            ids, *numbers = zip(*rows, strict=True)
+            names = [c.split()[0] for c in PIECES.split(", ")]
+            columns = [pa.array(ids, kind), *(pa.array(x, pa.int64()) for x in numbers), pa.array([still_open] * len(rows))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
 
         for b in batches:
+            kind = b.column("doc_id").type
             ready: list[tuple] = []
-            for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode([text])[0], end], dtype="<u4")
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length]
                     window, offset = held.place(len(piece))
-                    waiting.setdefault(window, []).append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), window, offset))
+                    waiting.setdefault(window, []).append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), (part << 33) + window, offset))
                     for w in held.closed:
                         ready += waiting.pop(w)
                     held.closed.clear()
@@ -126,7 +130,8 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, text: str =
     pieces.
     """
     texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pieces = stored(texts.mapInPandas(packer(vocabulary, ranks, length, windows, end), PIECES), "pieces")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}"
+    pieces = stored(texts.mapInArrow(packer(vocabulary, ranks, length, windows, end), schema), "pieces")
     left = pieces.filter("open").groupBy("window").agg(F.sum("length").alias("used"))
     group = F.shiftrightunsigned("window", 33).alias("part")
     merged = left.withColumn("__group", F.floor(group / MERGED)).groupBy("__group").applyInPandas(_merge(length), "window long, sequence_id long, base long")

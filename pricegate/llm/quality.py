@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,23 +94,24 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pd.DataFrame({"quality": b["quality"], "x": [statistics(t) for t in b["text"]]})
+        x = pa.array([statistics(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([b.column("name"), b.column("quality"), x], ["name", "quality", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Discriminant:
     """Fits on at most ``rows`` labelled documents that are not held out.
 
     Labels with nulls or other values than 0 and 1 are passed over; of several labels of a
-    document the least counts. The sample is bounded, so its labels may be broadcast and its
-    statistics brought to the driver.
+    document the least counts, and of several rows of a document the one with the least
+    statistics. So the sample is bounded and always the same; its labels may be broadcast and
+    its statistics brought to the driver.
     """
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text")
-    # repeated rows of a document may exceed the bound
-    found = texts.mapInPandas(_features, "quality int, x array<double>").limit(2 * rows).toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string").alias("name"), "quality", "text")
+    found = texts.mapInArrow(_features, "name string, quality int, x array<double>").groupBy("name").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).toPandas().sort_values("name")
     x = np.array(found["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, found["quality"].to_numpy(dtype=int))
 
@@ -135,5 +137,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted 1."""
+    """The rows of ``docs``, all columns, that are predicted 1, each by its own text alone.
+
+    A null text is scored as an empty one; rows of equal texts stay or go together, whatever
+    their ids; a score of exactly 0.5 stays. An empty table gives no rows; without usable
+    labels all stay.
+    """
     return docs.filter(score(F.col("text"), train(docs, labels)) >= 0.5)
