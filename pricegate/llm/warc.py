@@ -7,18 +7,19 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, join_groups, new_folder, stored
+from .common import join_groups, new_folder, stored
 
-#: Bytes of payload in a range of ids, ranges at least, and cells per range in the histogram.
-RANGE_BYTES, LEAST_RANGES, CELLS = 1 << 30, 32, 8
+#: Bytes of payload in a range of ids, ranges at least, and keys of each range that its edges are taken from.
+RANGE_BYTES, LEAST_RANGES, KEYS = 1 << 30, 32, 64
 #: Compressed bytes after which a file is closed and the next one begun.
 ROLL_BYTES = 256 << 20
 DATE = "2026-01-01T00:00:00Z"
@@ -61,8 +62,13 @@ def _close(fs, out, temporary: str, final: str) -> None:
     fs.move(temporary, final)
 
 
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+
+
 def _writer(folder: str, roll: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root)
         attempt = TaskContext.get().taskAttemptId()
@@ -77,11 +83,10 @@ def _writer(folder: str, roll: int):
                 out = None
 
         for b in batches:
-            rows = zip(b["part"], b["page_id"].astype("Int64"), b["digest"], b["kind"], b["url"], b["html"], b["newest"].astype("Int64"), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in ("part", "page_id", "digest", "kind", "url", "html", "newest")), strict=True)
             for p, page_id, digest, kind, url, html, newest in rows:
-                page_id = None if page_id is pd.NA else int(page_id)
                 if kind == 0:
-                    verdict = (page_id, digest, int(newest))
+                    verdict = (page_id, digest, newest)
                     continue
                 if p != part or (out and done[-1]["bytes"] >= roll):
                     finish()
@@ -104,30 +109,46 @@ def _writer(folder: str, roll: int):
                 done[-1]["last_id"] = page_id
         finish()
         if done:
-            frame = pd.DataFrame(done, columns=["file", "records", "bytes", "sha256", "first_id", "last_id"])
-            yield frame.astype({"first_id": "Int64", "last_id": "Int64"})
+            yield pa.RecordBatch.from_pylist(done, _schema(MANIFEST))
 
     return run
 
 
-def _ranges(pages: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """(cell, part) of near equal bytes, the least id, a cell's width in ids, the number of parts.
+Key = tuple[bool, int, str]
+
 
-    Cells cut the span of ids evenly; consecutive cells are gathered into parts by a running
-    sum. There are CELLS for each range of RANGE_BYTES, so the sum runs over a small table.
+def edges(keys: DataFrame, parts: int, total: int) -> list[Key]:
+    """The first keys of the second range and of those after it, for ranges of near equal bytes.
+
+    ``keys``: a stored table (page_id, digest, size). The edges are quantiles of bytes over
+    keys chosen by their hash, some KEYS for each range, and over all keys of half a range's
+    bytes or more, however ids are spread; so they are the same in every run. A key of many
+    rows may be the first of several ranges. KEYS + 2 rows for each range reach the driver.
     """
-    size = F.octet_length(F.coalesce("html", F.lit(""))) + 64
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(size)).first()
-    parts = max(LEAST_RANGES, (total or 0) // RANGE_BYTES)
-    low = low or 0
-    width = max(1, -(-((high or 0) - low + 1) // (parts * CELLS)))
-    cells = pages.groupBy(_cell(low, width)).agg(F.sum(size).alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return stored(cells.select("cell", F.floor(before * parts / max(total or 1, 1)).cast("int").alias("part")), "ranges"), low, width, parts
+    grouped = keys.groupBy("page_id", "digest").agg(F.sum("size").alias("bytes"))
+    count, share = keys.count(), 1.0
+    if count > parts * KEYS:
+        share = parts * KEYS / count
+    large = F.col("bytes") >= total / parts / 2
+    chosen = F.shiftrightunsigned(F.xxhash64("page_id", "digest"), 11) < int(share * 2**53)
+    found = sorted(((r["page_id"] is not None, r["page_id"] or 0, r["digest"]), r["bytes"] * (1 if r["large"] else 1 / share)) for r in grouped.filter(large | chosen).withColumn("large", large).collect())
+    out, before, whole = [], 0.0, sum(w for _, w in found)
+    for key, weight in found:
+        while len(out) < parts - 1 and before + weight > whole * (len(out) + 1) / parts:
+            out.append(key)
+        before += weight
+    return out
+
+
+def _spans(bounds: list[Key]) -> Column:
+    """The first and the last range of a row's key; more than one for a key that is several edges."""
 
+    @F.arrow_udf("array<int>")
+    def span(page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        keys = [(i is not None, i or 0, d) for i, d in zip(page_id.to_pylist(), digest.to_pylist(), strict=True)]
+        return pa.array([(bisect_left(bounds, k), bisect_right(bounds, k)) for k in keys], pa.list_(pa.int32()))
 
-def _cell(low: int, width: int):
-    return F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(-1)).alias("cell")
+    return span("page_id", "digest")
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL_BYTES) -> str:
@@ -135,24 +156,37 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL
 
     Of records with equal payloads the one with the largest page_id is the response, the
     others revisit it; rows that repeat that page_id and payload are all responses. Null html
-    counts as empty. Rows go to ranges of page_id cut from an exact histogram and are sorted,
-    so the files do not depend on tasks. A file is written under a temporary name, moved when
-    whole, and counts once the manifest, a table written last, lists it. A row with a null
-    page_id is a response at the front.
+    counts as empty, and a row with a null page_id is a response at the front. Rows go to
+    ranges of (page_id, digest) with near equal bytes and are sorted, each range in a task of
+    its own, so the files do not depend on tasks; only rows that repeat both page_id and
+    payload, more than a range holds, are dealt among their ranges as they come. A file is
+    written under a temporary name, moved when whole, and counts once the manifest, a table
+    written last, lists it; what attempts that were lost have left is then deleted. Only the
+    named columns are read, so others cannot clash; an empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    digest = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest")
-    keys = stored(pages.filter("page_id is not null").select("page_id", digest), "payloads")
-    newest = join_groups(keys, "digest", [F.max("page_id").alias("newest")]).filter("group_size > 1 and page_id <> newest")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    pages = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("digest"))
+    keys = stored(pages.select("page_id", "digest", (F.octet_length(html) + 64).cast("long").alias("size")), "payloads")
+    newest = join_groups(keys.filter("page_id is not null"), "digest", [F.max("page_id").alias("newest")]).filter("group_size > 1 and page_id <> newest")
     verdicts = newest.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "newest").distinct()
-    ranges, low, width, parts = _ranges(pages)
-    # a page's verdict travels as a row of its own and is sorted before the page, so payloads move once
-    rows = verdicts.unionByName(pages.select("page_id", digest, F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("newest")))
-    rows = rows.withColumn("cell", _cell(low, width)).join(broadcast_if_small(ranges), "cell").drop("cell")
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "page_id", "digest", "kind", "url")
-    files = rows.select("part", "page_id", "digest", "kind", "url", "html", "newest").mapInPandas(_writer(f"{folder}/data", roll), MANIFEST)
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    parts = max(LEAST_RANGES, total // RANGE_BYTES)
+    span = _spans(edges(keys, parts, total))
+    # a page's verdict travels as a row of its own, to each range of its key, and is sorted before the page, so payloads move once
+    verdicts = verdicts.withColumn("span", span).withColumn("part", F.explode(F.sequence(F.col("span")[0], F.col("span")[1])))
+    rows = pages.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("newest")).withColumn("span", span)
+    turn = F.pmod(F.monotonically_increasing_id(), (F.col("span")[1] - F.col("span")[0] + 1).cast("long"))
+    rows = rows.withColumn("part", (F.col("span")[0] + turn).cast("int"))
+    rows = verdicts.drop("span").unionByName(rows.drop("span"))
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
+    files = rows.select("part", "page_id", "digest", "kind", "url", "html", "newest").mapInArrow(_writer(f"{folder}/data", roll), MANIFEST)
     files.write.parquet(f"{folder}/manifest")
+    fs, root = pyarrow.fs.FileSystem.from_uri(f"{folder}/data")
+    for f in fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.endswith(".tmp"):
+            fs.delete_file(f.path)
     return folder
 
 
@@ -184,31 +218,46 @@ def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
         raise ValueError("archive is cut short")
 
 
-def _reader(folder: str, rows: int = 2000):
-    columns = [c.split()[0] for c in RECORD.split(", ")]
+class _Hashed:
+    """A stream whose bytes are hashed and counted on the way."""
+
+    def __init__(self, stream):
+        self.stream, self.sha256, self.bytes = stream, hashlib.sha256(), 0
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.sha256.update(data)
+        self.bytes += len(data)
+        return data
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _reader(folder: str, rows: int = 2000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        for name in (n for b in batches for n in b["file"]):
-            found = []
-            with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                for m in members(stream):
+        for listed in (f for b in batches for f in b.to_pylist()):
+            found, records = [], 0
+            with fs.open_input_stream(f"{root}/{listed['file']}", compression=None) as stream:
+                hashed = _Hashed(stream)
+                for m in members(hashed):
                     if fields := parse(m):
                         found.append(fields)
+                        records += 1
                     if len(found) >= rows:
-                        yield pd.DataFrame(found, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield pa.RecordBatch.from_pylist(found, _schema(RECORD))
                         found = []
+            if (records, hashed.bytes, hashed.sha256.hexdigest()) != (listed["records"], listed["bytes"], listed["sha256"]):
+                raise ValueError(f"{listed['file']} is not the file that the manifest lists")
             if found:
-                yield pd.DataFrame(found, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pa.RecordBatch.from_pylist(found, _schema(RECORD))
 
     return run
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of the files in a folder's manifest; digests are checked on the way."""
+    """Records of the files in a folder's manifest; the records' digests and the files' are checked on the way."""
     files = spark.read.parquet(f"{folder}/manifest")
     n = max(1, min(files.count(), 10_000))
-    return files.select("file").repartition(n).mapInPandas(_reader(f"{folder}/data"), RECORD)
+    return files.select("file", "records", "bytes", "sha256").repartition(n).mapInArrow(_reader(f"{folder}/data"), RECORD)
 
 
 def archive(pages: DataFrame, folder: str | None = None, roll: int = ROLL_BYTES) -> DataFrame:
