@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import heapq
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import new_folder, stored
+from .common import broadcast_if_small, new_folder, stored
 
-#: Shards before and after, and rows that a block of an old shard holds on average at scale.
-OLD_SHARDS, SHARDS, BLOCK_ROWS, LEAST_BLOCKS = 16, 24, 65_536, 64
+#: Shards before and after.
+OLD_SHARDS, SHARDS = 16, 24
+#: A row's number has its file's number above these binary digits, and a block's rows differ in these lowest ones.
+FILE_BITS, BLOCK_BITS = 33, 16
 #: Documents are placed in classes from large to small: above these shares of their mean size.
 CLASSES = (1, 1 / 4, 0)
 
@@ -75,65 +78,106 @@ def stay_or_move(i: int, j: int) -> int:
     return int(i != j)
 
 
-def _cuts(flow: list[list[int]], at: Column) -> Column:
-    """The new shard of a byte position in an old shard: first what stays, then each transfer in turn."""
-    whole = F.lit(None).cast("int")
-    for i, row in enumerate(flow):
-        edge, case = 0, None
-        targets = sorted((j for j, much in enumerate(row) if much), key=lambda j: (j != i, j))
-        for j in targets[:-1]:
-            edge += row[j]
-            case = F.when(at < edge, F.lit(j)) if case is None else case.when(at < edge, F.lit(j))
-        last = F.lit(targets[-1] if targets else 0)
-        whole = F.when(F.col("old_shard") == i, case.otherwise(last) if case is not None else last).otherwise(whole)
-    return whole
+@dataclass
+class Cuts:
+    """Where the old shards are cut for documents of one class: of sizes above ``above`` and at most ``upto``.
 
+    ``runs[i]`` has (last row, new shard) for each run of rows of old shard i, in order of row; what stays is the first.
+    """
 
-def _placed(rows: DataFrame, flow: list[list[int]], last: bool) -> DataFrame:
-    """Adds ``shard`` to rows (block, old_shard, size, ...): the transfer that a row's last byte falls in, or
-    its middle byte in the last class. So what stays leaves room for smaller rows to fill.
+    above: float
+    upto: float
+    runs: list[list[tuple[int, int]]]
+
+
+@dataclass
+class Plan:
+    """What a flow decided: an expression for each row's new shard, and the first row of each old shard that is rewritten."""
+
+    cuts: list[Cuts]
+    first_rewritten: list[int]
+
+    def shard(self, size: Column) -> Column:
+        """The new shard of a row of the stored table (columns __old and __row) of the given size."""
+        whole = F.lit(None).cast("int")
+        for c in self.cuts:
+            for i, runs in enumerate(c.runs):
+                case = F.lit(runs[-1][1]) if runs else F.lit(None)
+                for row, j in reversed(runs[:-1]):
+                    case = F.when(F.col("__row") <= row, j).otherwise(case)
+                whole = F.when((F.col("__old") == i) & (size > c.above) & (size <= c.upto), case).otherwise(whole)
+        return whole.cast("int")
+
+    def stays(self) -> Column:
+        """Whether a row is in a file of which every row stays."""
+        return F.coalesce(*[F.when(F.col("__old") == i, F.col("__row") < row) for i, row in enumerate(self.first_rewritten)])
+
+
+ALL = (1 << 63) - 1
 
-    Blocks are numbered within an old shard, so a running sum needs the blocks' sums and one
-    within each block, not the old shard in one task.
-    """
-    blocks = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
-    before = F.sum("bytes").over(Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("old_shard", "block", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("inside", inside).join(blocks, ["old_shard", "block"])
-    return rows.withColumn("shard", _cuts(flow, F.col("before") + F.col("inside") - (F.col("size") / 2 if last else F.lit(1)))).drop("inside", "before")
 
+def _runs(rows: DataFrame, flow: list[list[int]], last: bool) -> list[list[tuple[int, int]]]:
+    """Cuts rows (__old, __row, size) along a flow: a row belongs to the transfer that its last byte falls in, or
+    its middle byte in the last class. So what stays leaves room for smaller rows to fill.
 
-def _sums(rows: DataFrame, by: str, n: int) -> list[int]:
+    The bytes of blocks of rows tell in which block an edge falls; only these few blocks, of
+    2 ** BLOCK_BITS rows at most, are sorted. One row for each edge reaches the driver.
+    """
+    spark = rows.sparkSession
+    targets = [sorted((j for j, much in enumerate(row) if much), key=lambda j: (j != i, j)) for i, row in enumerate(flow)]
+    edges = [(i, k, sum(flow[i][j] for j in own[: k + 1])) for i, own in enumerate(targets) for k in range(len(own) - 1)]
+    found: dict[tuple[int, int], int] = {}
+    if edges:
+        rows = rows.withColumn("block", F.shiftright("__row", BLOCK_BITS))
+        before = F.sum("bytes").over(Window.partitionBy("__old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+        blocks = rows.groupBy("__old", "block").agg(F.sum("size").alias("bytes")).withColumn("before", F.coalesce(before, F.lit(0)))
+        wanted = F.broadcast(spark.createDataFrame(edges, "__old int, k int, edge long"))  # old and new shards together at most
+        hit = stored(blocks.join(wanted, "__old").filter("before <= edge and edge < before + bytes").select("__old", "block", "before", "k", "edge"), "edges")
+        inside = F.sum("size").over(Window.partitionBy("__old", "block").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+        near = rows.join(F.broadcast(hit.select("__old", "block", "before").distinct()), ["__old", "block"]).withColumn("end", F.col("before") + inside)
+        fits = F.col("end") - F.col("size") / 2 < F.col("edge") if last else F.col("end") <= F.col("edge")
+        cut = near.drop("before").join(F.broadcast(hit.select("__old", "block", "k", "edge")), ["__old", "block"]).filter(fits)
+        found = {(r["__old"], r["k"]): r["row"] for r in cut.groupBy("__old", "k").agg(F.max("__row").alias("row")).collect()}
+        # an edge before the first row of its block
+        found |= {(r["__old"], r["k"]): (r["block"] << BLOCK_BITS) - 1 for r in hit.collect() if (r["__old"], r["k"]) not in found}
+    return [[*((found.get((i, k), ALL), j) for k, j in enumerate(own[:-1])), *((ALL, j) for j in own[-1:])] for i, own in enumerate(targets)]
+
+
+def _sums(rows: DataFrame, by: Column, n: int) -> list[int]:
     """Bytes of each of n shards; n rows at most reach the driver."""
-    found = {r[0]: r[1] for r in rows.groupBy(by).agg(F.sum("size")).collect()}
+    found = {r[0]: r[1] for r in rows.groupBy(by.alias("by")).agg(F.sum("size")).collect()}
     return [int(found.get(k) or 0) for k in range(n)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, old: int, capacities: list[float] | int, text: str = "text", cost=stay_or_move, row: str | None = None) -> DataFrame:
-    """Plans the new shard of every row: doc_id, size, text_crc32, old_shard, shard, slot, and ``row``, a stored row identity, if named.
+def size_of(text: str) -> Column:
+    """A document's size: the UTF-8 bytes of its text (null: none) plus 8."""
+    return (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 8).cast("long")
+
+
+def reshard(table: DataFrame, old: int, capacities: list[float] | int, text: str = "text", cost=stay_or_move) -> Plan:
+    """Plans the new shard of every row of a stored table (columns __old and __row, as ``write_old`` leaves them).
 
     ``capacities``: relative sizes of the new shards, or their number for equal ones; an old
-    shard's bytes may stay if a new shard has its number. A document's size is its UTF-8 bytes
-    (null: none) plus 8. A flow of all bytes decides what each old shard gives to each new one;
-    the largest class of documents is cut along it. A flow of the other bytes then fills what
-    room is left, and so on, so that a shard misses its capacity by a few of the smallest
-    documents. Ties and repeated rows are rows like any other; an empty table gives no rows.
+    shard's bytes may stay if a new shard has its number. A flow of all bytes decides what
+    each old shard gives to each new one; the largest class of documents is cut along it, in
+    order of row. A flow of the other bytes then fills what room is left, and so on, so that
+    a shard misses its capacity by a few of the smallest documents. Null texts, ties and
+    repeated rows are rows like any other; an empty table gives a plan for no rows.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
     weights = [1.0] * capacities if isinstance(capacities, int) else capacities
-    rows = stored(docs.select("doc_id", (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), *([row] if row else [])), "sizes")
-    blocks = max(LEAST_BLOCKS, rows.count() // BLOCK_ROWS)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = stored(table.select("__old", "__row", size_of(text).alias("size")), "sizes")
     total, mean = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.avg("size"), F.lit(0.0))).first()
-    room, above, parts = shares(total, weights), None, []
+    room, upto, cuts = shares(total, weights), float("inf"), []
     for share in CLASSES:
-        rest = rows if above is None else rows.filter(F.col("size") <= above)
-        supply, above = _sums(rest, "old_shard", old), mean * share
+        rest = rows.filter(F.col("size") <= upto)
+        supply, above = _sums(rest, F.col("__old"), old), mean * share
         flow = min_cost_flow(supply, trimmed(room, sum(supply)), cost)
-        parts.append(stored(_placed(rest.filter(F.col("size") > above), flow, share == CLASSES[-1]), "placed"))
-        room = [r - b for r, b in zip(room, _sums(parts[-1], "shard", len(room)), strict=True)]
-    return _slots(reduce(DataFrame.unionByName, parts), [row] if row else [])
+        own = rest.filter(F.col("size") > above)
+        cuts.append(Cuts(above, upto, _runs(own, flow, share == CLASSES[-1])))
+        room = [r - b for r, b in zip(room, _sums(own, Plan(cuts, []).shard(F.col("size")), len(room)), strict=True)]
+        upto = above
+    stay = [min((c.runs[i][0][0] if c.runs[i][0][1] == i else -1 for c in cuts if c.runs[i]), default=ALL) for i in range(old)]
+    return Plan(cuts, [ALL if row == ALL else (row + 1) >> FILE_BITS << FILE_BITS for row in stay])
 
 
 def shares(total: int, weights: list[float]) -> list[int]:
@@ -159,88 +203,49 @@ def trimmed(room: list[int], total: int) -> list[int]:
     return room
 
 
-def _slots(placed: DataFrame, more: list[str]) -> DataFrame:
-    """Gapless slots from 0 in each shard, by old shard, block and doc_id; no shard gathers in one task."""
-    cell = ["shard", "old_shard", "block"]
-    counts = placed.groupBy(*cell).agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*cell, F.coalesce(before, F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id", "text_crc32", "size"))
-    rows = placed.withColumn("number", number).join(counts, cell)
-    return rows.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("before") + F.col("number") - 1).cast("long").alias("slot"), *more)
-
-
-def transfers(plan: DataFrame) -> DataFrame:
-    """(old_shard, shard, rows, bytes) of what moves."""
-    return plan.filter("old_shard <> shard").groupBy("old_shard", "shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
-
-
 def write_old(docs: DataFrame, old_shard: Column, path: str) -> DataFrame:
-    """Writes every row into its old shard's folder under ``path``; returns the table reread, with old_shard and ``row``, its identity in the files."""
-    marked = docs.withColumns({"row": F.monotonically_increasing_id(), "old_shard": old_shard.cast("int")})
-    marked.write.partitionBy("old_shard").option("compression", "zstd").parquet(path)
+    """Writes every row into its old shard's folder under ``path``; returns the table reread, with __old, the shard,
+    and __row, the row's number: that of the task, and so of the file, and then the row's in it."""
+    marked = docs.withColumns({"__row": F.monotonically_increasing_id(), "__old": old_shard.cast("int")})
+    marked.write.partitionBy("__old").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(marked.schema).parquet(path)
 
 
-def _numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """Rows that the plan cannot tell apart, numbered."""
-    alike = ["old_shard", "doc_id", "size", "text_crc32"]
-    return rows.withColumn("__number", F.row_number().over(Window.partitionBy(*alike).orderBy(*order)))
+def rewrite_affected(table: DataFrame, plan: Plan, path: str, text: str = "text") -> DataFrame:
+    """Rewrites the old files of which a row moves, and returns the new shards: the other old files, which are left
+    alone, and the new ones, reread. Columns: those of the table, __old, and __shard.
 
+    Nothing is shuffled: a task writes its rows to their shards' folders, a few for each old
+    shard, as a flow has few transfers. A row's number tells its file's, so that which files
+    stay is a range of numbers, which the scan prunes by.
+    """
+    moved = table.filter(~plan.stays())
+    moved.withColumns({"__was": F.col("__old"), "__shard": plan.shard(size_of(text))}).drop("__old").write.partitionBy("__shard").option("compression", "zstd").parquet(path)
+    plain = [f for f in table.schema if f.name != "__old"]
+    new = table.sparkSession.read.schema(T.StructType([*plain, T.StructField("__was", T.IntegerType()), T.StructField("__shard", T.IntegerType())])).parquet(path)
+    stay = table.filter(plan.stays()).withColumn("__shard", F.col("__old"))
+    columns = [*(f.name for f in plain), "__old", "__shard", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index")]
+    return stay.select(*columns).unionByName(new.withColumnRenamed("__was", "__old").select(*columns))
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, old_paths: dict[int, str], path: str | None = None, text: str = "text", row: str | None = None) -> dict[int, str]:
-    """Writes the shards that gain or lose rows and returns each new shard's folder.
 
-    ``docs`` has the column ``old_shard``. With ``row``, a stored identity that the plan carries,
-    rows are matched by it; else by old shard, doc_id (null too), size and checksum, and rows
-    alike in these, of which the plan places each, one by one. A shard that keeps exactly its
-    rows keeps its old folder; the others are written, by slot, under ``path``.
-    """
-    path = path or new_folder(docs.sparkSession, "shards")
-    plan = stored(plan, "plan")
-    moves = transfers(plan).select("old_shard", "shard").collect()  # shards squared at most
-    touched = {r["shard"] for r in moves} | {r["old_shard"] for r in moves}
-    shards = {r[0] for r in plan.select("shard").distinct().collect()}
-    written = sorted(shards & (touched | (shards - set(old_paths))))
-    columns = [c for c in docs.columns if c not in ("shard", "slot", "old_shard")]
-    if row:
-        docs, plan, keys = docs.select(*columns), plan, [row]
-    else:
-        whole = F.coalesce(F.col(text), F.lit(""))
-        plain = [c for c in columns if c not in ("size", "text_crc32")]
-        kept = docs.select(*plain, "old_shard", *[F.col(c).alias(f"__{c}") for c in columns if c not in plain])
-        docs = _numbered(kept.withColumns({"size": (F.octet_length(whole) + 8).cast("long"), "text_crc32": F.crc32(whole)}), F.xxhash64(*kept.columns))
-        plan, keys = _numbered(plan, "shard", "slot"), ["old_shard", "doc_id", "size", "text_crc32", "__number"]
-    chosen = plan.filter(F.col("shard").isin(written)).select(*[F.col(k).alias(f"__key{n}") for n, k in enumerate(keys)], "shard", "slot")
-    same = reduce(Column.__and__, [docs[k].eqNullSafe(F.col(f"__key{n}")) for n, k in enumerate(keys)])
-    out = docs.join(chosen, same)
-    out = out.select(*[F.col(c if c in docs.columns and (row or c not in ("size", "text_crc32")) else f"__{c}").alias(c) for c in columns], "shard", "slot")
-    out.repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return {k: f"{path}/shard={k}" if k in written else old_paths[k] for k in sorted(shards)}
+def slots(shards: DataFrame) -> DataFrame:
+    """Adds ``slot``: the rows of the shard's files before (in order of name), and in its file, so gapless from 0."""
+    files = stored(shards.groupBy("__shard", "__file").agg(F.count("*").alias("rows")), "manifest")
+    before = F.sum("rows").over(Window.partitionBy("__shard").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("__file", F.coalesce(before, F.lit(0)).alias("__before"))
+    return shards.join(broadcast_if_small(stored(files, "files")), "__file").withColumn("slot", (F.col("__before") + F.col("__index")).cast("long"))
 
 
 def resharded(docs: DataFrame, old_shard: Column, old: int, capacities: list[float] | int, text: str = "text") -> DataFrame:
-    """Writes the old shards to the shared folder, rewrites the affected ones by the plan, and describes every
-    row of the new files as reread: doc_id, size, text_crc32, old_shard, shard, slot.
+    """Writes the old shards to the shared folder, rewrites the affected files by the plan, and describes every
+    row of the new shards as reread: doc_id, size, text_crc32, old_shard, shard, slot.
 
-    old_shard is the folder of the row's identity in the old files; an old shard that keeps its rows is read where it was.
+    Every row counts by itself: null and repeated doc_ids, and equal rows, are each written
+    once. An empty table gives no rows; other columns of docs are written along.
     """
-    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "old")
-    table = write_old(docs, old_shard, path)
-    plan = stored(reshard(table, F.col("old_shard"), old, capacities, text, row="row"), "plan")
-    # the old shard of a row travels as a column of its own, as its folder's name is not in the new files
-    paths = rewrite_affected(table.withColumn("was", F.col("old_shard")), plan, {k: f"{path}/old_shard={k}" for k in range(old)}, row="row")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    size, crc = (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole).alias("text_crc32")
-    fields = {f.name: f.dataType.simpleString() for f in table.schema}
-    base = f"doc_id {fields['doc_id']}, {text} {fields[text]}, row long"
-    new = [p for k, p in paths.items() if p != f"{path}/old_shard={k}"]
-    same = {k: p for k, p in paths.items() if p not in new}
-    parts = []
-    if new:
-        root = new[0].rpartition("/")[0]
-        parts.append(spark.read.schema(f"{base}, was int, slot long, shard int").parquet(root).select("doc_id", size, crc, F.col("was").alias("old_shard"), "shard", "slot"))
-    for k, p in same.items():  # its rows are in place; the plan numbers them
-        kept = spark.read.schema(base).parquet(p).join(plan.filter(F.col("shard") == k).select("row", "slot"), "row")
-        parts.append(kept.select("doc_id", size, crc, F.lit(k).alias("old_shard"), F.lit(k).alias("shard"), "slot"))
-    return reduce(DataFrame.unionByName, parts) if parts else plan.drop("row")
+    spark = docs.sparkSession
+    table = write_old(docs, old_shard, new_folder(spark, "old-shards"))
+    shards = rewrite_affected(table, reshard(table, old, capacities, text), new_folder(spark, "new-shards"), text)
+    crc = F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32")
+    rows = shards.select("doc_id", size_of(text).alias("size"), crc, "__old", "__shard", "__file", "__index")
+    return slots(rows).select("doc_id", "size", "text_crc32", F.col("__old").alias("old_shard"), F.col("__shard").alias("shard"), "slot")
