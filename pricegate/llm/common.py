@@ -14,9 +14,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset and all run on this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -52,17 +54,21 @@ def join_groups(rows: DataFrame, key: str, aggs: list[Column], share: float = 1
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, other: str, by: str, salts: int = 64) -> DataFrame:
-    """Left join of ``left`` to a stored ``right`` with one row per key.
+def join_hot(left: DataFrame, right: DataFrame, key: str, other: str, share: float = 1 / 1000) -> DataFrame:
+    """Left join of ``left`` to a stored ``right`` with one row per key (column ``other``).
 
-    ``right`` is broadcast if its counted rows are few; else its rows are repeated for each
-    salt, and a key's rows on the left spread over the salts by column ``by``.
+    ``right`` is broadcast if its counted rows are few. Else the keys with more than ``share``
+    of the left rows (at most 1 / share of them) are broadcast, and only the rest is shuffled.
     """
-    same = left[key] == right[other]
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), same, "left")
-    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(salted, same & (F.pmod(F.xxhash64(by), F.lit(salts)) == F.col("__salt")), "left").drop("__salt")
+        return left.join(F.broadcast(right), left[key] == right[other], "left")
+    left = stored(left, "left")
+    counts = left.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__rows"))
+    hot = F.broadcast(stored(counts.filter(F.col("__rows") > left.count() * share).select("__hot"), "hot"))
+    few = F.broadcast(right.join(hot, right[other] == F.col("__hot"), "left_semi"))
+    some = left.join(hot, left[key] == F.col("__hot"), "left_semi")
+    rest = left.join(hot, left[key] == F.col("__hot"), "left_anti")
+    return some.join(few, some[key] == few[other], "left").unionByName(rest.join(right, rest[key] == right[other], "left"))
 
 
 def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:

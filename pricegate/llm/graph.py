@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import join_hot, stored
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """For each u the least of u and its neighbours; a hub's edges meet in partial sums only."""
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return broadcast_if_small(least)
+def _with_least(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (u, v) beside m, the least of u and its neighbours in ``edges``. The centre of a large star is no large group anywhere:
+    its edges meet in partial aggregates, and its least is broadcast."""
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m")), "least")
+    return join_hot(rows, least, "u", "__u").drop("__u")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,9 +31,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = _mark(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.filter("u <> v").distinct(), "large")
-        near = large.join(_least(large), "u")
+        near = _with_least(large, large)
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
         e = stored(small.filter("u <> v").distinct(), "small")
         now = _mark(e)

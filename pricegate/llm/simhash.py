@@ -3,42 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_ids, join_groups, join_salted, stored
+from .common import broadcast_if_small, drop_ids, join_groups, join_hot, stored
 from .graph import components
+from .shingles import normal_words, shingle_hashes
+from .similar import similar_pairs, sketched
 
 #: Words in a shingle.
 WORDS = 3
-#: Bits of a fingerprint, and of each of the segments whose bit counts make up the embedding.
-BITS, SEGMENT = 64, 4
-#: Bits by which linked fingerprints may differ; the grid and the one-bit variants are made for 2.
+#: Bits of a fingerprint, and of the segments whose bit counts make up the embedding: first 4, and 2 and 1 where cells are full.
+BITS, SEGMENTS = 64, (4, 2, 1)
+#: Bits by which linked fingerprints may differ; the grid joins points within one step of a cell, so it is made for 2.
 NEAR = 2
+#: Fingerprints of a cell that are compared with one another; fuller cells are cut finer.
+FEW = 32
 #: Shingle hashes whose bits are counted at a time.
 CHUNK = 1 << 16
 
 
-def normal_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
-    """XXH64 values (seed 42) of all shingles in turn; fewer words than a shingle takes give one, none give none."""
-    if not found:
-        return np.zeros(0, "<u8")
-    flat, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return np.array([digest(flat, 42)], dtype="<u8")
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1]
-    return np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), "<u8", len(starts))
-
-
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Bits set in over half of the XXH64 values (seed 42) of all shingles of a lower-cased text.
 
@@ -55,56 +43,67 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(bits.view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        values = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "fp": values.view(np.int64)})
+def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, fp) with the 64 bits as a signed long."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp) with the 64 bits as a signed long."""
-    return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long")
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _grid(prints: DataFrame) -> DataFrame:
+def _grid(prints: DataFrame, segment: int) -> DataFrame:
     """Every fingerprint in the grid cell of its embedding and in the cells one step away.
 
-    The embedding is the bit count of each segment. Manhattan distance of two embeddings
-    never exceeds the fingerprints' Hamming distance, and two points at Manhattan distance 2
-    or less are the same, neighbours, or share a neighbour: they meet in a common cell. A
-    cell is a long whose digits to base 7 are its 16 coordinates, from -1 to 5.
+    The embedding is the bit count of each segment of so many bits. Manhattan distance of two
+    embeddings never exceeds the fingerprints' Hamming distance, and two points at Manhattan
+    distance 2 or less are the same, neighbours, or share a neighbour: they meet in a common
+    cell. A cell is a long whose digits to base segment + 1 are its coordinates; with segments
+    of one bit it is the fingerprint itself, and the distances are the same.
     """
-    n, base = BITS // SEGMENT, SEGMENT + 3
-    segments = [F.shiftrightunsigned("fp", SEGMENT * k).bitwiseAND((1 << SEGMENT) - 1) for k in range(n)]
-    at = sum((F.bit_count(s).cast("long") + 1) * base**k for k, s in enumerate(segments))
-    steps = [0, *(s * base**k for k in range(n) for s in (1, -1))]
-    stepped = prints.select("fp", F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"))
-    return stepped.select("fp", (at + F.col("step")).alias("cell"))
+    n, base = BITS // segment, segment + 1
+    if segment == 1:
+        masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(BITS - 1)), -(1 << (BITS - 1))]])
+        return prints.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("cell"))
+    counts = [F.bit_count(F.shiftrightunsigned("fp", segment * k).bitwiseAND((1 << segment) - 1)).cast("long") for k in range(n)]
+    steps = [F.when(c < segment, F.lit(base**k)) for k, c in enumerate(counts)] + [F.when(c > 0, F.lit(-(base**k))) for k, c in enumerate(counts)]
+    at = sum(c * F.lit(base**k).cast("long") for k, c in enumerate(counts))
+    stepped = prints.select("fp", at.alias("at"), F.explode(F.array(F.lit(0).cast("long"), *(x.cast("long") for x in steps))).alias("step"))
+    return stepped.filter("step is not null").select("fp", (F.col("at") + F.col("step")).alias("cell"))
 
 
 def _within(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= NEAR
 
 
-def close_pairs(prints: DataFrame) -> DataFrame:
+def close_pairs(prints: DataFrame, few: int = FEW) -> DataFrame:
     """Edges (a, b) of different fingerprints that differ by 1 or 2 bits; all such end up connected.
 
-    ``prints``: one row (fp) for each different fingerprint. First the grid join: the cells
-    with more than one fingerprint, found by partial aggregates. Then the exact check: a cell
-    with two is settled on the spot. The fingerprints of fuller cells are each sent to their
-    64 one-bit variants and themselves. Those that meet at one variant differ by at most 2
-    bits, and any that do meet; a meeting holds at most 65 of them and links them to the
-    least, so no group of any size makes pairs of all its members.
+    ``prints``: one row (fp) for each different fingerprint. The grid join: cells with more
+    than one fingerprint are found by partial aggregates. The exact check: those of a cell
+    with at most ``few`` are compared with one another. The fingerprints of fuller cells are
+    embedded by shorter segments, which tell more apart, and joined again. With segments of
+    one bit all that meet in a cell differ by at most 2 bits: they are 65 at most, and are
+    linked to the least. So a cell of any size costs each of its fingerprints a bounded number
+    of rows and comparisons, and no link is lost.
     """
-    cells = _grid(prints)
-    busy = stored(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1").filter((F.col("n") > 2) | _within("a", "b")), "cells")
-    full = broadcast_if_small(stored(busy.filter("n > 2").select("cell"), "full"))
-    near = stored(cells.join(full, "cell", "left_semi").select("fp").distinct(), "near")
-    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(BITS - 1)), -(1 << (BITS - 1))]])
-    variants = near.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    met = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    dense = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
-    return busy.filter("n = 2").select("a", "b").unionByName(dense).distinct()
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= NEAR
+    found: list[DataFrame] = []
+    for segment in SEGMENTS[:-1]:
+        cells = _grid(prints, segment)
+        busy = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+        busy = stored(busy.filter((F.col("n") > 2) | _within("a", "b")), "cells")
+        some = broadcast_if_small(stored(busy.filter(F.col("n").between(3, few)).select("cell"), "some"))
+        sets = cells.join(some, "cell", "left_semi").groupBy("cell").agg(F.collect_list("fp").alias("fps"))
+        both = F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (a < b) & close(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        found += [busy.filter("n = 2").select("a", "b"), sets.select(F.explode(both).alias("pair")).select("pair.a", "pair.b")]
+        full = broadcast_if_small(stored(busy.filter(F.col("n") > few).select("cell"), "full"))
+        prints = stored(cells.join(full, "cell", "left_semi").select("fp").distinct(), "prints")
+    met = _grid(prints, SEGMENTS[-1]).groupBy("cell").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    found.append(met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def linked(rows: DataFrame, pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -119,25 +118,32 @@ def linked(rows: DataFrame, pairs: Callable[[DataFrame], DataFrame]) -> DataFram
     members = stored(found.join(prints, found["node"] == prints["fp"]).select("fp", "id", "component"), "members")
     least = broadcast_if_small(stored(members.groupBy("component").agg(F.min("id").alias("component_id")), "least"))
     changed = stored(members.join(least, "component").filter("id <> component_id").select(F.col("fp").alias("__fp"), "component_id"), "changed")
-    out = join_salted(grouped, changed, "fp", "__fp", "doc_id").select("doc_id", "fp", F.coalesce("component_id", "id").alias("component_id"))
+    out = join_hot(grouped, changed, "fp", "__fp").select("doc_id", "fp", F.coalesce("component_id", "id").alias("component_id"))
     return out.unionByName(rows.filter("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id.
+def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, similarity: float | None = None) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id, the least doc_id reachable by links.
 
-    Links join fingerprints that differ by at most 2 bits; component_id is the least doc_id
-    reachable. Texts without words have fingerprint 0 and link like any other. Copies share a
-    fingerprint, which stands for them all; a row with a null doc_id takes part in no link and
-    has a null component.
+    Links join fingerprints that differ by at most 2 bits. With ``similarity`` they join
+    texts whose different shingles have at least this Jaccard similarity, and texts of the
+    same words (see ``similar``); the fingerprint is then a hash of the words. Texts without
+    words are alike and link like any other; null counts as empty. Copies share a fingerprint,
+    which stands for them all; rows that repeat a doc_id count as one document with the links
+    of all, and one with a null doc_id takes part in no link and has a null component. An
+    empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, text), "fingerprints")
-    return linked(rows, close_pairs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    if similarity is None:
+        found = linked(stored(fingerprints(docs, text, words), "fingerprints"), close_pairs)
+    else:
+        sketches = stored(sketched(docs, text, words), "sketches")
+        found = linked(sketches.select("doc_id", "fp"), lambda _: similar_pairs(docs, sketches, text, words, similarity))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", words: int = WORDS, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, of which one per component stays: that of its least doc_id.
 
     Rows with a null doc_id stay. Rows that repeat a doc_id stay or go together.
     """
-    return drop_ids(docs, near_duplicates(docs, text).filter("doc_id <> component_id"))
+    return drop_ids(docs, near_duplicates(docs, text, words, similarity).filter("doc_id <> component_id"))

@@ -1,7 +1,8 @@
-"""Near-duplicates by exact similarity of word shingles; bands of least hashes propose the pairs.
+"""Pairs of texts by the similarity of their word shingles; bands of least hashes propose them.
 
-Texts of similarity 0.8 lie 3 to 11 bits of a SimHash apart, where the grid of ``simhash``
-would need half a million cells for each text; so bands of least hashes take its place.
+Texts of similarity 0.8 lie 3 to 11 bits of a SimHash apart. Within so many bits of a random
+fingerprint's bit counts lie a good part of all others', so the grid of ``simhash`` would have
+to compare nearly all pairs; bands of least hashes take its place, and everything else stays.
 """
 
 from __future__ import annotations
@@ -11,19 +12,26 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_ids, stored
-from .simhash import linked, normal_words, shingle_hashes
+from .common import broadcast_if_small, join_hot, stored
+from .graph import components
+from .shingles import normal_words, shingle_hashes
 
 #: Words in a shingle, and the share of two texts' different shingles that linked texts have in common.
 WORDS, SIMILARITY = 5, 0.8
 #: Bands, and least hashes in each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
 BANDS, DEPTH = 20, 5
-#: Texts of a band's value that are compared pair by pair; of more, each is compared with two, chosen by one of the orders.
+#: A pair's texts are compared if the share of equal least hashes is at most this far below the similarity: four
+#: standard errors of a share of 100 at 0.8, which one pair in 20,000 of similarity 0.8 falls short of.
+SLACK = 0.16
+#: Texts of a band's value that are paired with one another; in fuller ones each is first paired with two, by one of the orders.
 FEW, ORDERS = 16, 4
+#: Texts of a block of a fuller band's value, and open pairs of a text that are compared first; then TIMES as many.
+BLOCK, FIRST, TIMES = 512, 4, 8
 #: Shingle hashes taken at a time.
 CHUNK = 1 << 13
 _RANDOM = np.random.default_rng(5)
@@ -36,14 +44,15 @@ def text_key(found: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(found), 7)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A long for each band of least hashes; no shingles count as one of their own."""
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A long for each band of least hashes, and a byte of each least hash; no shingles count as one of their own."""
     hashes = np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
     least = np.full(len(_A), ~np.uint64(0))
     for at in range(0, len(hashes), CHUNK):
         least = np.minimum(least, (hashes[None, at : at + CHUNK] * _A + _B).min(1))
     raw = least.reshape(BANDS, DEPTH)
-    return np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
+    bands = np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
+    return bands, (least >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -52,71 +61,140 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
-def _sketcher(words: int):
+def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """doc_id, fp (a hash of the text's words), bands, and sig, a byte of each least hash. Null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = [normal_words(t) for t in b.column("text").to_pylist()]
+            keys = np.array([text_key(w) for w in split], dtype=np.uint64).view(np.int64)
+            made = [sketch(shingle_hashes(w, words)) for w in split]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.binary())], ["doc_id", "fp", "bands", "sig"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, bands array<long>, sig binary")
+
+
+def _likely(least: float):
+    """Of pairs with both signatures, those whose share of equal least hashes is high enough."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            split = [normal_words(t) for t in b["text"]]
-            keys = np.array([text_key(w) for w in split], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": keys.view(np.int64), "bands": [bands(shingle_hashes(w, words)) for w in split]})
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), -1) for c in ("sig_a", "sig_b"))
+            yield b.loc[(x == y).mean(1) >= least - SLACK, ["a", "b"]]
 
     return run
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keys = np.array([text_key(normal_words(t)) for t in b["text"]], dtype=np.uint64)
-        yield pd.DataFrame({"fp": keys.view(np.int64), "text": b["text"]})
+def _open(least: float, most: int):
+    """Of the texts of a pair of blocks: each one's ``most`` likeliest pairs with texts of other components, and whether there are more."""
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = frame["lo"].iat[0], frame["hi"].iat[0]
+        left = frame[frame["block"] == lo].sort_values("fp")
+        right = left if lo == hi else frame[frame["block"] == hi].sort_values("fp")
+        x, y = (np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1) for f in (left, right))
+        comps, fps, out = right["component"].to_numpy(), right["fp"].to_numpy(), []
+        for sig, fp, component in zip(x, left["fp"], left["component"], strict=True):
+            share = (y == sig).mean(1)
+            near = np.flatnonzero((share >= least - SLACK) & (comps != component))
+            best = near[np.argsort(-share[near], kind="stable")[:most]]
+            out += [(min(fp, other), max(fp, other), len(near) > most) for other in fps[best].tolist()]
+        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": bool})
 
-def _proposed(sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different texts that share a band: all pairs of up to FEW, and of
-    more each with the first and the last by the band's order, so that no group makes all its pairs."""
-    long = sketches.filter("doc_id is not null").select("fp", F.posexplode("bands").alias("band", "key"))
-    order = F.xxhash64("fp", F.col("band") % ORDERS)
-    busy = stored(long.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", order).alias("lo"), F.max_by("fp", order).alias("hi")).filter("lo <> hi"), "busy")
-    long, least = long.select("fp", "key"), max(sketches.count() / 1000, FEW)
-    hot, cold = F.broadcast(busy.filter(F.col("n") > least)), busy.filter(F.col("n") <= least)  # at most 1,000 of each band
-    met = stored(long.join(hot, "key").unionByName(long.join(hot.select("key"), "key", "left_anti").join(cold, "key")), "met")
-    some = met.filter(F.col("n") <= FEW).groupBy("key").agg(F.collect_set("fp").alias("fps")).select(F.explode("fps").alias("a"), "fps")
-    some = some.select("a", F.explode("fps").alias("b"))
-    more = met.filter(F.col("n") > FEW).select("fp", F.explode(F.array("lo", "hi")).alias("end")).select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"))
-    return stored(some.unionByName(more).filter("a < b").distinct(), "proposed")
+    return run
 
 
-def similar_pairs(docs: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
-    """The proposed pairs whose texts' shingles have at least the given similarity, computed from the whole texts."""
+def _paired(members: DataFrame, busy: DataFrame, rows: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different texts (fp) that share a band's value (key): all pairs of
+    up to FEW, and of more each with the first and the last by the band's order."""
+    some_keys, more_keys = busy.filter(F.col("n") <= FEW), busy.filter(F.col("n") > FEW)
+    least = max(rows / 1000, FEW)
+    hot, cold = F.broadcast(more_keys.filter(F.col("n") > least)), more_keys.filter(F.col("n") <= least)  # at most 1,000 of each band
+    more = members.join(hot, "key").unionByName(members.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
+    more = more.select("fp", F.explode(F.array("lo", "hi")).alias("end")).select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"))
+    sets = members.join(hot.select("key"), "key", "left_anti").join(some_keys.select("key"), "key", "left_semi").groupBy("key").agg(F.collect_set("fp").alias("fps"))
+    some = sets.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b"))
+    return some.unionByName(more).filter("a < b").distinct()
+
+
+def similar_pairs(docs: DataFrame, sketches: DataFrame, text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) of text hashes that connect all texts of a similarity of at least ``least`` that share a band.
+
+    Every edge is checked on the whole texts' shingles. First each text is compared with the
+    least of its likely partners; then, of all other likely pairs, those that are not
+    connected yet. Where more than FEW texts share a band's value, they were paired with two
+    of them only: the texts of such a band that are still in different components are then
+    compared block by block, by their least hashes, and the likely pairs on their texts,
+    the likeliest first and more in every round, until none is open. So no group makes
+    all its pairs, and no link between components is lost.
+    """
+    prints = stored(sketches.filter("doc_id is not null").select("fp", "bands", "sig").dropDuplicates(["fp"]), "prints")
+    sigs = prints.select("fp", "sig")
+    members = prints.select("fp", F.posexplode("bands").alias("band", "key"))
+    order = F.xxhash64("fp", F.col("band") % ORDERS)
+    busy = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", order).alias("lo"), F.max_by("fp", order).alias("hi"))
+    busy = stored(busy.filter("n > 1"), "busy")
+    rows = prints.count()
+    pairs = _paired(members.select("fp", "key"), busy, rows)
+    sided = pairs.join(sigs.select(F.col("fp").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("fp").alias("b"), F.col("sig").alias("sig_b")), "b")
+    likely = stored(sided.mapInPandas(_likely(least), "a long, b long"), "likely")
+
+    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = _checked(docs, text, sketches, first, words, least)
+    at = _component_of(edges)
+    rest = _apart(likely, at).join(first, ["a", "b"], "left_anti")
+    edges = stored(edges.unionByName(_checked(docs, text, sketches, rest, words, least)), "edges")
+    large = stored(members.join(broadcast_if_small(stored(busy.filter(F.col("n") > FEW).select("key"), "large")), "key", "left_semi").select("fp", "key"), "members")
+    most = FIRST
+    while True:
+        placed = join_hot(large, _component_of(edges), "fp", "node").select("fp", "key", F.coalesce("component", "fp").alias("component"))
+        mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+        mixed = stored(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+        if mixed.isEmpty():
+            return edges
+        dealt = placed.join(broadcast_if_small(mixed), "key").join(sigs, "fp").withColumn("block", F.pmod(F.hash("fp"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "component", "sig")
+        found = stored(dealt.groupBy("key", "lo", "hi").applyInPandas(_open(least, most), "a long, b long, more boolean"), "open")
+        edges = stored(edges.unionByName(_checked(docs, text, sketches, found.select("a", "b").distinct(), words, least)), "edges")
+        if found.filter("more").isEmpty():
+            return edges
+        most *= TIMES
+
+
+def _component_of(edges: DataFrame) -> DataFrame:
+    """node, component of the texts with links."""
+    return stored(components(edges), "components")
+
+
+def _apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are not in one component."""
+    one = join_hot(pairs, at, "a", "node").select("a", "b", F.coalesce("component", "a").alias("of_a"))
+    both = join_hot(one, at, "b", "node").select("a", "b", "of_a", F.coalesce("component", "b").alias("of_b"))
+    return both.filter("of_a <> of_b").select("a", "b")
+
+
+def _checked(docs: DataFrame, text: str, sketches: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs whose texts' shingles have at least the given similarity, computed from the whole texts."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.array([text_key(normal_words(t)) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("text")], ["fp", "text"])
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = lru_cache(maxsize=16)(lambda text: np.unique(shingle_hashes(normal_words(text), words)))
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = lru_cache(maxsize=16)(lambda t: np.unique(shingle_hashes(normal_words(t), words)))
         for b in batches:
-            near = [similarity(shingles(x), shingles(y)) >= least for x, y in zip(b["text_a"], b["text_b"], strict=True)]
-            yield b.loc[np.array(near, dtype=bool), ["a", "b"]]
+            near = [similarity(shingles(x), shingles(y)) >= least for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    pairs = _proposed(sketches)
+    pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "wanted")
     holders = sketches.join(broadcast_if_small(wanted), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     holders = stored(holders.select("doc_id").distinct(), "holders")
-    texts = docs.join(broadcast_if_small(holders), "doc_id", "left_semi").select("text").mapInPandas(_keyed, "fp long, text string")
-    texts = stored(texts.join(broadcast_if_small(wanted), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(broadcast_if_small(holders), "doc_id", "left_semi").select("text")
+    texts = texts.mapInArrow(keyed, "fp long, text string").join(broadcast_if_small(wanted), "fp", "left_semi")
+    texts = stored(texts.dropDuplicates(["fp"]), "texts")
     sided = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(sided.mapInPandas(check, "a long, b long"), "similar")
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, component_id, the least doc_id reachable by links.
-
-    Links join texts whose shingles of ``words`` words (ASCII letters lower-cased) have a Jaccard
-    similarity of ``least`` or more, and texts of the same words. A row with a null doc_id takes
-    part in no link and has a null component.
-    """
-    docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sketches = stored(docs.mapInPandas(_sketcher(words), "doc_id long, fp long, bands array<long>"), "sketches")
-    return linked(sketches.select("doc_id", "fp"), lambda _: similar_pairs(docs, sketches, words, least)).select("doc_id", "component_id")
-
-
-def deduplicate(docs: DataFrame, text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one per component stays: that of its least doc_id.
-
-    Rows with a null doc_id stay. Rows that repeat a doc_id stay or go together.
-    """
-    return drop_ids(docs, near_duplicates(docs, text, words, least).filter("doc_id <> component_id"))
+    return stored(sided.mapInArrow(check, "a long, b long"), "similar")

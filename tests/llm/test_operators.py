@@ -65,33 +65,53 @@ def test_flow_is_least():
 
 
 def test_resharding(spark):
-    texts = [None, "", "é" * 10, *["same"] * 40, *[f"text {k} " * (k % 50) for k in range(400)]]
-    df = docs(spark, texts)
+    texts = [None, "", "é" * 10, *["same"] * 40, *[f"text {k} " * (k % 50) for k in range(400)], LONG[:3000]]
+    df = docs(spark, texts).withColumns({"shard": F.lit("s"), "slot": F.lit(2), "__file": F.lit(1)}).drop("__file")
     old = F.when(F.col("doc_id") < 200, 0).otherwise(F.pmod("doc_id", F.lit(3)))
-    plan = resharding.reshard(df, old, 3, 5)
-    rows = plan.collect()
-    assert len(rows) == len(texts)
+    rows = resharding.resharded(df, old, 3, 5).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
     for r in rows:
         t = (texts[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"]) == (len(t) + 8, zlib.crc32(t))
     size = {k: sum(r["size"] for r in rows if r["shard"] == k) for k in range(5)}
-    assert max(size.values()) - min(size.values()) < 600  # the largest text has 490 bytes
+    assert max(size.values()) - min(size.values()) < 600
     for k in range(5):
         assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
     was = {k: sum(r["size"] for r in rows if r["old_shard"] == k) for k in range(3)}
     moved = sum(r["size"] for r in rows if r["shard"] != r["old_shard"])
     assert abs(moved - (sum(was.values()) - sum(min(x, sum(was.values()) / 5) for x in was.values()))) < 400
-    assert resharding.reshard(df.filter("false"), old, 3, 5).count() == 0
-
-
-def test_rewriting_affected_shards(spark, tmp_path):
-    df = docs(spark, [f"t{k:02d}" for k in range(40)], extra=False).withColumn("old_shard", F.when(F.col("doc_id") < 30, 0).when(F.col("doc_id") < 35, 1).otherwise(2))
-    plan = resharding.reshard(df, F.col("old_shard"), 3, [20.0, 15.0, 5.0])
-    before = {0: "old/0", 1: "old/1", 2: "old/2"}
-    after = resharding.rewrite_affected(df, plan, before, f"{tmp_path}/new")
-    assert after[2] == "old/2" and after[0] != "old/0" and after[1] != "old/1"
-    held = {k: {r["doc_id"] for r in spark.read.parquet(after[k]).collect()} for k in (0, 1)}
-    assert held == {k: {r["doc_id"] for r in plan.collect() if r["shard"] == k} for k in (0, 1)}
+    assert resharding.resharded(df.filter("false"), old, 3, 5).count() == 0
+
+
+def test_cuts_are_brute_cuts(spark):
+    """Rows of one class against a running sum over each old shard."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 3)), (k // 40 << resharding.FILE_BITS) + k % 40 + (70_000 if k % 40 > 20 else 0), int(rng.integers(8, 300))) for k in range(400)]
+    supply = [sum(s for i, _, s in rows if i == k) for k in range(3)]
+    flow = resharding.min_cost_flow(supply, resharding.even(sum(supply), 5), resharding.stay_or_move)
+    for last in (False, True):
+        runs = resharding._runs(spark.createDataFrame(rows, "__old int, __row long, size long"), flow, last)
+        for i in range(3):
+            at, order = 0, sorted((j for j in range(5) if flow[i][j]), key=lambda j: (j != i, j))
+            edges = np.cumsum([flow[i][j] for j in order])
+            for _, row, size in sorted(r for r in rows if r[0] == i):
+                at += size
+                want = next((j for j, e in zip(order[:-1], edges, strict=False) if (at - size / 2 < e if last else at <= e)), order[-1])
+                assert next(j for upto, j in runs[i] if row <= upto) == want
+
+
+def test_only_affected_files_are_rewritten(spark, tmp_path):
+    """Old shards 0 and 1 give and take; what they keep in whole files stays where it is, and so does shard 2."""
+    df = spark.range(0, 600, 1, 6).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    old = F.when(F.col("doc_id") % 60 < 45, 0).when(F.col("doc_id") % 60 < 52, 1).otherwise(2)
+    table = resharding.write_old(df, old, f"{tmp_path}/old")
+    plan = resharding.reshard(table, 3, [300.0, 220.0, 80.0])
+    shards = resharding.rewrite_affected(table, plan, f"{tmp_path}/new").collect()
+    held = {k: [r for r in shards if r["__shard"] == k] for k in range(3)}
+    assert [len(held[k]) for k in range(3)] == [300, 220, 80] and sorted(r["doc_id"] for r in shards) == list(range(600))
+    kept = {k: sum("/old/" in r["__file"] for r in held[k]) for k in range(3)}
+    assert kept[2] == 80 and kept[1] == 70 and 225 <= kept[0] <= 300
+    assert sum("/new/" in r["__file"] for r in shards) < 300
 
 
 # 2
@@ -151,6 +171,42 @@ def test_files_roll(spark, tmp_path):
     assert warc.read_archives(spark, folder).count() == 300
 
 
+def test_archives_of_large_ids(spark):
+    """Ids that a double would round, beside a null one."""
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "u", "same"), (big + 2, "v", "same"), (None, "w", "same"), (big + 4, "x", "other")], "page_id long, url string, html string")
+    assert {(r["page_id"], r["refers_to"]) for r in warc.archive(df).collect()} == {(big, big + 2), (big + 2, None), (None, None), (big + 4, None)}
+
+
+def test_ranges_are_even(spark, tmp_path):
+    """One outlying id, and one key of a third of all rows, which spans several ranges and is revisited."""
+    pages = [(k, "u", f"page {k} " * 20) for k in range(2000)] + [(1 << 60, "u", "far")]
+    files = spark.read.parquet(f"{warc.write_archives(spark.createDataFrame(pages, 'page_id long, url string, html string'), f'file://{tmp_path}/a')}/manifest").collect()
+    assert len(files) == warc.LEAST_RANGES and max(r["records"] for r in files) < 3 * 2001 / len(files)
+    assert [r["first_id"] for r in sorted(files, key=lambda r: r["file"])] == sorted(r["first_id"] for r in files)
+    pages = [(k, "u", f"page {k} " * 20) for k in range(600)] + [(300, "u", "copy " * 40)] * 300 + [(900, "u", "copy " * 40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    folder = warc.write_archives(df, f"file://{tmp_path}/b")
+    files = spark.read.parquet(f"{folder}/manifest").collect()
+    assert max(r["records"] for r in files) < 3 * 901 / len(files)
+    rows = warc.read_archives(spark, folder).collect()
+    assert len(rows) == 901 and sum(r["refers_to"] == 900 for r in rows) == 300
+
+
+def test_long_pages(spark):
+    rows = warc.archive(spark.createDataFrame([(1, None, "<p>é" * 1_000_000), (2, "u", "x")], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["payload_bytes"] for r in rows} == {1: 5_000_000, 2: 1}
+
+
+def test_files_must_be_those_of_the_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string")
+    folder = warc.write_archives(df, f"file://{tmp_path}/m")
+    one, two = sorted((tmp_path / "m" / "data").iterdir())
+    one.write_bytes(two.read_bytes())
+    with pytest.raises(Exception, match="manifest"):
+        warc.read_archives(spark, folder).collect()
+
+
 def test_broken_archives_are_refused():
     good = next(warc.members(__import__("io").BytesIO(warc.record(1, "u", b"abc", None))))
     assert warc.parse(good)["payload_bytes"] == 3
@@ -320,7 +376,8 @@ def test_secrets_run_without_python(spark):
 # 7
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("group", [32, None])
+def test_embeddings(spark, group):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(6, 16))
     data = [(k, [float(x) for x in centre[k % 6] + rng.normal(size=16) * 0.12], int(k % 3 > 0)) for k in range(300)]
@@ -329,7 +386,7 @@ def test_embeddings(spark):
     unit = {k: np.array(v) / np.linalg.norm(np.array(v) / np.abs(v).max()) / np.abs(v).max() for k, v, l in data if l is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     label = {k: l for k, _, l in data}
     edges = [(a, b) for a in unit for b in unit if a < b and label[a] == label[b] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93]
-    rows = {r["vec_id"]: r for r in embeddings.near_duplicates(df, tile=32).collect()}
+    rows = {r["vec_id"]: r for r in embeddings.near_duplicates(df, group=group).collect()}
     want = least(edges, label)
     assert {k: r["component_id"] for k, r in rows.items()} == want
     assert {k: r["n_links"] for k, r in rows.items()} == {k: sum(k in e for e in edges) for k in label}
@@ -343,8 +400,23 @@ def test_bounds_hold():
     u, q, s, e = embeddings.quantise(x)
     exact, rough = u @ u.T, (q.astype(float) @ q.astype(float).T) * s[:, None] * s[None, :]
     assert (np.abs(exact - rough) <= e[:, None] * (1 + e[None, :]) + e[None, :] + 1e-9).all()
-    _, _, computed = embeddings.linked(x, x, 0.93, True)
-    assert computed < 200
+    codes = embeddings.Codes(q, s, e)
+    for cosine in (0.1, 0.3, 0.93):
+        pairs = [(int(a), int(b), bool(k)) for i, j, sure in embeddings.bounded(codes, codes, cosine, True, tile=64) for a, b, k in zip(i, j, sure, strict=True)]
+        assert len({p[:2] for p in pairs}) == len(pairs) and all(a < b for a, b, _ in pairs)
+        near = {(a, b) for a in range(200) for b in range(a + 1, 200) if exact[a, b] >= cosine}
+        assert {p[:2] for p in pairs if p[2]} <= near <= {p[:2] for p in pairs}
+        open_ = [p[:2] for p in pairs if not p[2]]
+        assert len(open_) < 1500
+        kept = embeddings.exact(u, u, np.array([a for a, _ in open_], int), np.array([b for _, b in open_], int), cosine)
+        assert {p[:2] for p in pairs if p[2]} | {p for p, k in zip(open_, kept, strict=True) if k} == near
+
+
+def test_repeated_and_large_vec_ids(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, [1.0, 0.0], 1), (big + 2, [1.0, 0.1], 1), (5, [0.0, 1.0], 1), (5, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    rows = sorted((tuple(r) for r in embeddings.near_duplicates(df).collect()), key=str)
+    assert {(r[0], r[2]) for r in rows} == {(big, 5), (big + 2, 5), (5, 5), (None, None)} and {r[1] for r in rows if r[0] in (big, big + 2)} == {2}
 
 
 # 8

@@ -43,4 +43,4 @@ def test_repeated_ids_stay_or_go_together(spark):
     rng = np.random.default_rng(9)
     a, b = (" ".join(f"w{x}" for x in rng.integers(0, 3000, 300)) for _ in range(2))
     df = spark.createDataFrame([(1, a), (2, changed(rng, a, 3)), (2, b), (3, changed(rng, b, 3))], "doc_id long, text string")
-    assert [r["doc_id"] for r in similar.deduplicate(df).collect()] == [1]
+    assert [r["doc_id"] for r in NEAR(spark, df, "").collect()] == [1]
