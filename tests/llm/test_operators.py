@@ -421,7 +421,8 @@ def test_repeated_and_large_vec_ids(spark):
 
 # 8
 
-WEIGHTS = html.weigh(sum((html.count_names(html.items(f"<nav><ul><li><a>m {k}</a></li></ul></nav><div class=ad>buy it now</div><article><h1>t</h1>" + "<p>some words of text here" * 9 + "</article><footer>c</footer>")) for k in range(30)), start=__import__("collections").Counter()))
+LABELLED = [f"<body class=site><nav><ul><li><a>m {k}</a></li></ul></nav><div class=ad>buy it now</div><article class=has-x><h1>t</h1>" + "<p>some words of text here" * 9 + "</article><div class=zone>more of the zone to read</div><footer>c</footer>" for k in range(30)]
+WEIGHTS = html.weigh(sum((html.count_names(html.parse(p)) for p in LABELLED), start=__import__("collections").Counter()))
 
 
 @pytest.mark.parametrize(
@@ -434,12 +435,56 @@ WEIGHTS = html.weigh(sum((html.count_names(html.items(f"<nav><ul><li><a>m {k}</a
         ("<div class=sidebar>s s s</div><div class='post'><p>the post</p><div class='share'>x</div></div><div class='comments'>c c c c c c c c</div>", "the post"),
         ('<article><p title="a > b">ok</p><!-- <p>no</p> --><p hidden>no</p><script>var t="</p>";</script>end</article>', "ok end"),
         ("<article><p>unclosed <b>bold<br><p>next", "unclosed bold next"),
+        ('<body class="single-post has-sidebar search-open fixed-header"><nav>m</nav><article><p>one two</p></article><div class=sidebar>no</div></body>', "one two"),
+        ("<body><form id=server><nav>m</nav><article><p>one two</p></article><footer>f</footer></form></body>", "one two"),
+        ("<body><form><nav>m</nav><p>" + "word " * 30 + "</p></form></body>", ("word " * 30).strip()),
+        ("<article>" + "<p>first text</p>" * 20 + "</article><div>" + "<p>junk words here</p>" * 70 + "</div><article><p>" + "second " * 20 + "</p></article>", ("first text " * 20 + "second " * 20).strip()),
+        ("<article><p>" + "before " * 30 + "</p><form>" + "<p>f f f f</p>" * 300 + "</form><p>" + "after " * 30 + "</p></article>", ("before " * 30 + "after " * 30).strip()),
+        ("a < b and <em>c</em> > d", "a < b and c > d"), ("text <p unfinished", "text"), ("<p>x</i></b>y", "xy"),
+        ("<main>intro<article><p>the story</p></article><div>related story</div></main>", "the story"),
     ],
 )
 def test_main_text(page, text):
     assert html.main_text(page, WEIGHTS) == text
 
 
+#: Without an article that is marked: two short links, a text, and a list of links.
+PLAIN = "<div><a>one</a><a>two</a></div><div><h1>Title</h1><p>" + "word " * 40 + "</p></div><ul>" + "<li><a>link</a></li>" * 30 + "</ul>"
+
+
+def test_weights_and_region_decide(monkeypatch):
+    """Neither the weights learnt nor the region may be left out."""
+    want = ("Title " + "word " * 40).strip()
+    assert html.main_text(PLAIN, WEIGHTS) == want and html.main_text(LABELLED[0], WEIGHTS) == ("t " + "some words of text here " * 9).strip()
+    assert html.main_text(LABELLED[0], html.Weights()) != html.main_text(LABELLED[0], WEIGHTS)
+    # a name of no list that the labelled pages have outside of articles only, and a listed one that they have within
+    zone = "<p>" + "word " * 9 + "</p><div class=zone>to read on and on</div>"
+    assert html.main_text(zone, WEIGHTS) == ("word " * 9).strip() and html.main_text(zone, html.Weights()) == ("word " * 9 + "to read on and on").strip()
+    assert WEIGHTS.names["has"] > 1 and WEIGHTS.names["zone"] < -1 and WEIGHTS.names["banner"] < -1
+    monkeypatch.setattr(html, "best_region", lambda scores: (0, len(scores)))
+    assert html.main_text(PLAIN, WEIGHTS) != want
+
+
+def test_text_is_that_of_the_brute_best_region():
+    rng = np.random.default_rng(4)
+    bits = ["<p>one two three</p>", "<div class=ad>x y</div>", "<a>l</a>", "<div><li>m n</li></div>", "<b>o</b> ", "<br>", "<nav><ul><li>q</li></ul></nav>", "<div class=zone>z z z</div>", " free text ", "</div>", "<section>"]
+    for _ in range(150):
+        source = "".join(rng.choice(bits, 9))
+        page = html.parse(source)
+        scores = html.scores_of(page, WEIGHTS)
+        # of all regions the greatest sum; of equal ones that which ends first, and then the shortest
+        _, b, a = max((round(sum(scores[i:j]), 6), -j, i) for j in range(len(scores) + 1) for i in range(j + 1))
+        words = [w for i, x in zip(page.items[a:-b], scores[a:-b], strict=True) if i.text is not None and x > 0 for w in i.text.split()]
+        assert html.main_text(source, WEIGHTS).split() == words
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, "<b>" * 150_000 + "</i>" * 150_000, '<a title="x > ' * 80_000, "<!--" * 250_000, "<style>" * 150_000, "".join(f'<div class="{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}q">' for k in range(40_000)) + "x", "<p>x</p>" * 120_000])
+def test_long_and_malformed_pages_take_seconds(page):
+    began = __import__("time").process_time()
+    html.main_text(page, WEIGHTS)
+    assert __import__("time").process_time() - began < 20
+
+
 def test_best_region_is_best():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -450,7 +495,8 @@ def test_best_region_is_best():
 
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame([(None, None, None), (-1, "u", "<p>x")], "page_id long, url string, html string"))
-    rows = html.extract(pages.withColumn("text", F.lit("clash"))).collect()
+    pages = pages.unionByName(pages.filter("page_id in (1, 2)"))  # repeated rows
+    rows = html.extract(pages.withColumns({"text": F.lit("clash"), "n": F.lit(1), "kind": F.lit("k")})).collect()
     assert len(rows) == pages.count() and all(r["n_chars"] == len(r["text"]) for r in rows)
     given = {r["page_id"]: r["html"] for r in pages.collect()}
     for r in rows:
