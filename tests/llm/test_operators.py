@@ -1,5 +1,6 @@
 """The numbered operators against brute force, on small tables with nulls, ties, repeats and empty ones."""
 
+import math
 import re
 import zlib
 
@@ -338,8 +339,104 @@ def test_battery_tells_random_from_regular(spark):
     assert np.mean([p[t] < 0.05 for t in random]) < 0.12 and all(p[t] < 0.001 for t in regular)
 
 
+def brute_battery(token):
+    """p of a token by plain loops, with math.erfc, or None."""
+    bare = token.rstrip("=")
+    groups = bare.split("-")
+    names = [k for k in secrets.GROUPED if len(groups) > 1 and all(g and set(g) <= set(secrets.ALPHABETS[k]) for g in groups)]
+    names += [k for k, chars in secrets.ALPHABETS.items() if set(bare) <= set(chars)]
+    if not names:
+        return None
+    chars = secrets.ALPHABETS[names[0]]
+    x = [chars.index(c) for c in (bare.replace("-", "") if names[0] in secrets.GROUPED else bare)]
+    n, a, q = len(x), len(chars), 1 / len(chars)
+    tail = lambda z: 0.5 * math.erfc(z / 2**0.5)
+    equal = sum(x[i] == x[j] for i in range(n) for j in range(i))
+    pairs = n * (n - 1) / 2
+    var = pairs * q * (1 - q)
+    skew = (pairs * q * (1 - q) * (1 - 2 * q) + 6 * math.comb(n, 3) * q * q * (1 - q)) / var**1.5
+    shape = 4 / skew**2
+    cube = max(1 + (equal - 0.5 - pairs * q) / var**0.5 / shape**0.5, 0) ** (1 / 3)
+    uniform = tail((cube - 1 + 1 / (9 * shape)) * 3 * shape**0.5)
+    high = [v >= a / 2 for v in x]
+    runs, up = 1 + sum(u != v for u, v in zip(high, high[1:], strict=False)), sum(high)
+    product = 2 * up * (n - up)
+    sd = max(product * (product - n) / (n * n * (n - 1)), 1e-9) ** 0.5
+    mean = sum(x) / n
+    r = sum((u - mean) * (v - mean) for u, v in zip(x, x[1:], strict=False)) / max(sum((v - mean) ** 2 for v in x), 1e-9)
+    p = sorted([uniform, min(2 * tail(abs(runs - 1 - product / n) / sd), 1), min(2 * tail(abs(r + 1 / n) * n**0.5), 1)])
+    return min(3 * p[0], 1.5 * p[1], p[2])
+
+
+TOKENS = ["ab12" * 8, "a" * 20 + "1" * 12, "abcdefghijklmnopqrstuvwxyz012345", "123e4567-e89b-42d3-a456-426614174000", "8Jq2kV0zR7yTn4WbXe1LpC9sUdGhFm3A", "24BE64439E3E49CF46B2D7C90F36", "YWJjZGVmZ2hpamtsbW5vcHFyc3Q+/w==", "a1" * 200, "not/in-any_alphabet+1"]
+
+
+def test_battery_is_the_brute_battery(spark):
+    rng = np.random.default_rng(3)
+    tokens = TOKENS + ["".join(rng.choice(list(chars), rng.integers(20, 90))) for chars in secrets.ALPHABETS.values() for _ in range(12)]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for r in df.select("t", secrets.battery(F.col("t"))["p"].alias("p")).collect():
+        want = brute_battery(r["t"])
+        assert (r["p"] is None) == (want is None) and (want is None or abs(r["p"] - want) <= 1e-5 * want + 1e-300), r
+
+
+def test_tails_are_right_at_every_length(spark):
+    """Under equal chances a p of at most x comes up x of the time, for few symbols of a large alphabet too."""
+    rng = np.random.default_rng(12)
+    q, n = 1 / 64, 20
+    draws = np.sort(rng.integers(0, 64, (400_000, n)), axis=1)
+    same = np.zeros(len(draws), np.int64)
+    for lag in range(1, n):  # equal symbols stand together
+        same += (draws[:, lag:] == draws[:, :-lag]).sum(1)
+    pairs = n * (n - 1) / 2
+    var = pairs * q * (1 - q)
+    skew = (pairs * q * (1 - q) * (1 - 2 * q) + 6 * math.comb(n, 3) * q * q * (1 - q)) / var**1.5
+    at = [6, 8, 10, 12]
+    df = spark.createDataFrame([(float(k), (k - 0.5 - pairs * q) / var**0.5) for k in at], "k double, z double")
+    for k, p in df.select("k", secrets._gamma_tail(F.col("z"), F.lit(skew))).collect():
+        assert 0.5 < p / (same >= k).mean() < 2
+    z = spark.createDataFrame([(float(k),) for k in range(-3, 12)], "z double")
+    assert all(abs(p - 0.5 * math.erfc(k / 2**0.5)) <= 2e-7 * p for k, p in z.select("z", secrets._normal_tail(F.col("z"))).collect())
+
+
+def test_limits_are_benjamini_hochberg(spark):
+    """Within a step of the exact procedure in each stratum, and never beyond it."""
+    rng = np.random.default_rng(13)
+    p = {4: rng.uniform(size=400), 6: np.concatenate([rng.uniform(size=300), 10 ** -rng.uniform(1, 9, 200)]), 9: np.array([1e-9, 0.9, 0.95])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in p.items() for x in v], "stratum int, p double")
+    least = {r["stratum"]: r["least"] for r in secrets.limits(df.select("stratum", secrets._step(F.col("p")).alias("step"))).collect()}
+    for k, v in p.items():
+        order = np.sort(v)
+        ok = np.flatnonzero(order <= secrets.FDR * np.arange(1, len(v) + 1) / len(v))
+        exact = order[ok[-1]] if len(ok) else 0.0
+        ours = 10 ** (-least[k] * secrets.STEP) if k in least else 0.0
+        assert (v <= ours * (1 + 1e-9)).sum() <= (v <= exact).sum() and (v <= ours * (1 + 1e-9)).sum() >= (v <= exact * 10**-0.1).sum() * 0.9
+
+
+def test_random_spans_are_the_brute_ones(spark):
+    """Random spans of whole texts: tokens that an encoding takes, that the limits leave, and that touch no base span."""
+    rng = np.random.default_rng(14)
+    base62 = [c for c in secrets.ALPHABETS["base64"] if c.isalnum()]
+    texts = [f"see {''.join(rng.choice(base62, 32))} and {'-'.join(''.join(rng.choice(list('0123456789abcdef'), k)) for k in (8, 4, 4, 4, 12))} or {'xy12' * 9} é secret={''.join(rng.choice(base62, 30))}" for _ in range(60)]
+    texts += [texts[0], None, "", "word " * 50]
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan(docs(spark, texts)).collect()}
+    token = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}")
+    found = [(k, m.start(), m.end(), brute_battery(m[0]), m[0]) for k, t in enumerate(texts) for m in token.finditer(t or "")]
+    size = lambda t: len(t.rstrip("=").replace("-", "") if set(t.rstrip("=")) <= set("0123456789abcdef-") else t.rstrip("="))
+    strata = {}
+    for *_, p, t in found:
+        if p is not None:
+            strata.setdefault(int(2 * math.log2(size(t))), []).append(min(-math.log10(max(p, 1e-300)), secrets.TOP) // secrets.STEP)
+    least = {k: min((s for s in v if 10 ** (-s * secrets.STEP) <= secrets.FDR * sum(x >= s for x in v) / len(v)), default=1 << 30) for k, v in strata.items()}
+    for k, t in enumerate(texts):
+        base = [(m.start(), m.end()) for pattern, ok in BASE.values() for m in pattern.finditer(t or "") if ok(m)]
+        want = [(a, b) for d, a, b, p, x in found if d == k and p is not None and min(-math.log10(max(p, 1e-300)), secrets.TOP) // secrets.STEP < least[int(2 * math.log2(size(x)))] and all(b <= s or e <= a for s, e in base)]
+        assert [(int(x.split(":")[1]), int(x.split(":")[2])) for x in rows[k].split(",") if x.startswith("random")] == want
+    assert sum(r.count("random") for r in rows.values()) > 100 and rows[0] == rows[60]
+
+
 def test_redaction(spark):
-    df = docs(spark, SECRETS).withColumn("n_chars", F.length("text"))
+    df = docs(spark, SECRETS).withColumns({"n_chars": F.length("text"), "base": F.lit(1), "random": F.lit(2), "doc": F.lit(3), "masked": F.lit(4)})
     out = {r["doc_id"]: r for r in secrets.redact(df).collect()}
     assert len(out) == len(SECRETS) and secrets.redact(df).columns == df.columns
     assert out[0]["text"] is None and out[2]["text"] == SECRETS[2] and out[14]["text"] == LONG
