@@ -32,7 +32,32 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts the lineage."""
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    _stored.append(path)
+    return out
+
+
+#: Folders that ``stored`` wrote and nobody has discarded yet.
+_stored: list[str] = []
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes stored tables that no later read needs, as what was made of them is stored itself."""
+    for t in tables:
+        path = t if isinstance(t, str) else t.stored_at
+        if path in _stored:
+            _stored.remove(path)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored_alone(spark: SparkSession, make, tag: str) -> DataFrame:
+    """The stored table of ``make()``; whatever that stored on the way is deleted."""
+    before = len(_stored)
+    out = stored(make(), tag)
+    discard(spark, *(p for p in _stored[before:] if p != out.stored_at))
+    return out
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, stored
+from .common import discard, join_hot, stored
 
 
-def _with_least(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (u, v) beside m, the least of u and its neighbours in ``edges``. The centre of a large star is no large group anywhere:
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """Rows (u, v) beside m, the least of u and its neighbours. The centre of a large star is no large group anywhere:
     its edges meet in partial aggregates, and its least is broadcast."""
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m")), "least")
     return join_hot(rows, least, "u", "__u").drop("__u")
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    return stored(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m")), "least")
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -31,11 +34,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = _mark(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        of_both = _least(both)
+        large = _with_least(both, of_both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.filter("u <> v").distinct(), "large")
-        near = _with_least(large, large)
+        of_large = _least(large)
+        near = _with_least(large, of_large)
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        e = stored(small.filter("u <> v").distinct(), "small")
+        was, e = e, stored(small.filter("u <> v").distinct(), "small")
+        discard(e.sparkSession, was, of_both, large, of_large)
         now = _mark(e)
         if now == mark:
             break

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, join_hot, stored
+from .common import broadcast_if_small, discard, join_hot, stored
 from .graph import components
 from .shingles import normal_words, shingle_hashes
 
@@ -197,4 +197,6 @@ def _checked(docs: DataFrame, text: str, sketches: DataFrame, pairs: DataFrame,
     texts = texts.mapInArrow(keyed, "fp long, text string").join(broadcast_if_small(wanted), "fp", "left_semi")
     texts = stored(texts.dropDuplicates(["fp"]), "texts")
     sided = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(sided.mapInArrow(check, "a long, b long"), "similar")
+    found = stored(sided.mapInArrow(check, "a long, b long"), "similar")
+    discard(docs.sparkSession, pairs, wanted, holders, texts)
+    return found
