@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from ..operators.bootstrap import LADDER
-from ..operators.notes import DECISION_PHRASES, NEXT_STEP, THRESHOLD_PHRASES, UPSTREAM
 from .queries import DAILY, DAY, HUB, MONITOR_FROM, REFERENCE, SPLIT, TOLERANCE
 
+#: The published wording and order, stated here once more, so that a slip in the library shows.
+UPSTREAM = ["data_quality", "integrity", "reconciliation", "drift", "accuracy", "regression", "bias", "calibration"]
+THRESHOLD_PHRASES = ["raise the threshold", "lower the threshold", "change the threshold", "loosen", "relax the", "tighten the", "new threshold", "adjust the threshold"]
+DECISION_PHRASES = ["should ship", "can ship", "safe to ship", "may ship", "promote the", "approve the", "override", "ignore the", "waive", "bypass", "release it", "release the candidate", "ship it"]
 ZONE = "America/New_York"
 TYPES = ["click", "error", "purchase", "signup", "view"]
 FIRST = "DATE '2024-01-01'"
@@ -16,7 +19,7 @@ def fx(e: str, digits: int = 6) -> str:
 
 
 def cents(e: str) -> str:
-    return f"floor({fx(e)} * 100.0 + 0.5) / 100.0"
+    return f"printf('%.2f', {fx(e, 9)})::DOUBLE"
 
 
 def with_(*parts: str) -> str:
@@ -156,12 +159,12 @@ def feature_sql(source: str = "pub") -> tuple[str, ...]:
 
 
 O["daily_spread"] = with_(*FEED, SPREAD.format(rows="pub", more="")) + f"SELECT hub, day, {fx('s')} AS spread FROM spread"
-O["spread_lags"] = with_(*FEED, SPREAD.format(rows="pub", more="AND day(day) % 6 <> 0"), LAGS.format(want="pub")) + f"SELECT hub, day, {fx('lag2_spread')} AS lag2_spread, {fx('roll7_spread')} AS roll7_spread FROM lags"
+O["spread_lags"] = with_(*FEED, SPREAD.format(rows="pub", more=""), LAGS.format(want="pub")) + f"SELECT hub, day, {fx('lag2_spread')} AS lag2_spread, {fx('roll7_spread')} AS roll7_spread FROM lags"
 FIXED = ", ".join(f"{fx(c)} AS {c}" for c in ("price_da", "price_rt", "y", "load_forecast_mw", "weekday", "lag2_spread", "roll7_spread"))
 O["feature_rows"] = with_(*feature_sql()) + f"SELECT hub, day, hour, clock_hour, block, {FIXED} FROM feats"
 O["feature_rows_leaked"] = with_(*feature_sql("fin")) + f"SELECT hub, day, hour, {fx('lag2_spread')} AS lag2_spread, {fx('roll7_spread')} AS roll7_spread FROM feats"
 DESIGN = {"price_da": "price_da", "load_forecast_mw": "load_forecast_mw", "lag2_spread": "lag2_spread", "roll7_spread": "roll7_spread", "weekday": "weekday", "is_peak": "(block = 'peak')::INT", "is_shoulder": "(block = 'shoulder')::INT"}
-DESIGN |= {f"hub_{t}": f"(hub = '{t}')::INT" for t in TYPES[1:]} | {"da_squared": "price_da * price_da", "peak_da": "(block = 'peak')::INT * price_da"}
+DESIGN |= {f"hub_{t}": f"(hub = '{t}')::INT" for t in TYPES[1:]} | {"da_sq": "price_da * price_da", "peak_x_da": "(block = 'peak')::INT * price_da"}
 O["design_rows"] = with_(*feature_sql()) + "SELECT hub, day, hour, " + ", ".join(f"{fx(e)} AS {n}" for n, e in DESIGN.items()) + " FROM feats"
 O["window_split"] = with_(*feature_sql()) + f"""SELECT CASE WHEN day - {FIRST} < {SPLIT} THEN 'train' WHEN day - {FIRST} < {MONITOR_FROM} THEN 'test' ELSE 'after' END AS name,
   day - {FIRST} < {SPLIT} AND day - {FIRST} >= {SPLIT - REFERENCE} AS reference, count(*) AS n FROM feats GROUP BY ALL"""
@@ -279,7 +282,7 @@ INJECTED = f"""inj AS (
   UNION ALL SELECT 'missing_hour', * FROM full_rows WHERE NOT ({AT} AND hour = 7)
   UNION ALL SELECT 'unit_slip', * REPLACE (CASE WHEN {AT} THEN 'USD/kWh' ELSE unit END AS unit) FROM full_rows
   UNION ALL SELECT 'fake_hour', * FROM full_rows UNION ALL SELECT 'fake_hour', * REPLACE ({LATE}, 25 AS hour) FROM full_rows WHERE {AT} AND hour = 1)"""
-O["defect_rows"] = with_(CELLS, FULL, INJECTED) + f"SELECT * EXCLUDE (seq) FROM inj WHERE {AT}"
+O["defect_rows"] = with_(CELLS, FULL, INJECTED) + f"SELECT * EXCLUDE (seq) FROM inj"
 O["defect_forecast"] = with_(CELLS) + f"SELECT zone AS hub, day, hour, {fx(f'''CASE WHEN day >= DATE '{DAY}' THEN u * 1000 ELSE u END''')} AS load_forecast_mw FROM cells"
 MATRIX = f"""mk AS (SELECT *, {reason(TYPES, '5000')} AS reason FROM inj), {cleaned('mk', 'defect, ')},
 seen AS (SELECT defect, hub, day, count(*) AS n FROM clean GROUP BY ALL),
@@ -307,13 +310,13 @@ def shown(v: str) -> str:
 
 
 LIMIT = f"op || ' ' || CASE WHEN op = 'within' THEN '[' || {shown('lo')} || ', ' || {shown('hi')} || ']' ELSE {shown('hi')} END"
-STEP = "CASE family " + " ".join(f"WHEN '{f}' THEN '{s.replace(chr(39), chr(39) * 2)}'" for f, s in NEXT_STEP.items()) + " END"
 O["note_template"] = with_(*GATE, PLACED, f"""texts AS (SELECT *, coalesce({shown('value')}, 'none') AS v, {LIMIT} AS against FROM placed),
 facts AS (SELECT day::VARCHAR AS run_id, string_agg(fact, '; ' ORDER BY hub) AS facts FROM (SELECT day, hub, hub || ' shows ' || hours_seen || ' of ' || hours_expected || ' hours' AS fact, row_number() OVER (PARTITION BY day ORDER BY hub) AS r FROM counts WHERE hours_seen <> hours_expected) WHERE r <= 3 GROUP BY day),
-g AS (SELECT run_id, count(*) AS total, count(*) FILTER (NOT passed) AS bad, max(CASE WHEN place = 1 THEN "check" END) AS root, max(CASE WHEN place = 1 THEN 'Root: ' || "check" || ' (' || family || ') is ' || v || ' against ' || against || '.' END) AS root_line,
-  max(CASE WHEN place = 1 THEN 'Next: ' || {STEP} || '.' END) AS next_line, string_agg("check" || ' at ' || v || ' against ' || against, '; ' ORDER BY place) FILTER (place > 1) AS others FROM texts GROUP BY run_id)""") + """SELECT run_id, CASE WHEN bad = 0 THEN concat_ws(chr(10), 'Every one of ' || total || ' checks passed.', 'There is no failure to explain.', 'The usual approval is open.')
-  ELSE concat_ws(chr(10), 'The gate held the release: ' || bad || ' of ' || total || ' checks failed.', root_line, coalesce('Also: ' || others || '.', 'Nothing else failed.'),
-    CASE WHEN root = 'hour_count_days_wrong' AND facts IS NOT NULL THEN 'Evidence: ' || facts || '.' ELSE 'Evidence: the values in the report.' END, next_line, 'The hold is the gate''s; what follows is for a person to decide, with the thresholds as they are.') END AS note
+g AS (SELECT run_id, count(*) AS total, count(*) FILTER (NOT passed) AS bad, max(CASE WHEN place = 1 THEN "check" END) AS root, max(CASE WHEN place = 1 THEN 'cause: ' || "check" || ' in ' || family || ', measured ' || v || ', bound ' || against END) AS root_line,
+  max(CASE WHEN place = 1 THEN 'action: ' || CASE family WHEN 'data_quality' THEN 'load this day again' WHEN 'integrity' THEN 'find the second writer of ' || "check" ELSE 'ask whoever runs ' || "check" END END) AS next_line,
+  string_agg("check" || ' ' || v || ' (bound ' || against || ')', '; ' ORDER BY place) FILTER (place > 1) AS others FROM texts GROUP BY run_id)""") + """SELECT run_id, CASE WHEN bad = 0 THEN concat_ws(chr(10), 'status: pass, ' || total || ' checks within bounds', 'cause: none', 'action: none')
+  ELSE concat_ws(chr(10), 'status: hold, ' || bad || ' of ' || total || ' checks out of bounds', root_line, coalesce('effects: ' || others, 'effects: none'),
+    CASE WHEN root = 'hour_count_days_wrong' AND facts IS NOT NULL THEN 'seen: ' || facts ELSE 'seen: only the figures above' END, next_line, 'status changes: by a person') END AS note
 FROM g LEFT JOIN facts USING (run_id)"""
 FORMS8 = ["printf('%.4f', v)", "printf('%.3f', v)", "printf('%.2f', v)", "printf('%.1f', v)", "printf('%.0f', v)", "printf('%.1f', v * 100) || '%'", "printf('%.0f', v * 100) || '%'", "v::VARCHAR"]
 O["allowed_numbers"] = with_(*GATE[:-3], f"""nums AS (SELECT run_id, {fx('v', 9)} AS v FROM (SELECT run_id, unnest([reconcile_share_off, reconcile_mean_abs, quarantine_rate]) AS v FROM summary) WHERE v IS NOT NULL)""") + f"""SELECT DISTINCT run_id, token FROM (
@@ -331,5 +334,11 @@ O["note_fallback"] = with_(FILTERED) + """SELECT CASE WHEN coalesce(reasons, '')
   sum(CASE WHEN coalesce(reasons, '') = '' THEN length(text) ELSE length('Template of run ' || note_id) END)::BIGINT AS chars FROM filtered GROUP BY ALL"""
 
 
+HEADED = f"row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) - 1 AS line, ts::DATE - {FIRST} + 1 AS place"
+O["daily_files"] = f"""SELECT file_day, time_stamp, zone, ptid, lbmp, CASE WHEN day(file_day) % 3 = 0 THEN left(zone, 2) END AS losses, line, dense_rank() OVER (ORDER BY place) AS place FROM (
+  SELECT ts::DATE AS file_day, strftime(ts, '%m/%d/%Y %H:%M:%S') AS time_stamp, event_type AS zone, user_id AS ptid, printf('%.4f', value)::DOUBLE AS lbmp, {HEADED} FROM events) WHERE file_day BETWEEN DATE '2024-01-03' AND DATE '2024-01-26'"""
+O["landed_days"] = f"""SELECT ts::DATE AS day, count(*) AS rows, count(DISTINCT event_id) AS keys, {fx('sum(value)', 3)} AS total, max(ts) AS last FROM events GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(O)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,6 +126,23 @@ def manifest_changes(spark, d):
     return files.manifest_differences(daily(rows), daily(other), "day")
 
 
+@query
+def daily_files(spark, d):
+    """A zip archive for each day of events, with a CSV file whose header differs by day, read back by line."""
+    lines = files.in_order(files.daily_lines(a.daily_archives(spark, d), dt.date(2024, 1, 3), dt.date(2024, 1, 26)))
+    plain = files.plain_columns(lines)
+    return plain.select("file_day", "time_stamp", "zone", F.col("ptid").cast("long").alias("ptid"), F.col("lbmp").cast("double").alias("lbmp"), "losses", (F.col("seq") % (1 << 32)).alias("line"), F.shiftright("seq", 32).alias("place"))
+
+
+@query
+def landed_days(spark, d):
+    """The interval feed as it is landed: a folder of Parquet files for each day, counted as read back."""
+    path = a.shared_folder(spark, "days")
+    files.write_days(a.interval_feed(spark, d).withColumnRenamed("file_day", "day"), path)
+    rows = spark.read.parquet(path)
+    return rounded(rows.groupBy("day").agg(F.count("*").alias("rows"), F.countDistinct("seq").alias("keys"), F.sum("lbmp").alias("total"), F.max("stamp").alias("last")), 3)
+
+
 # contract
 
 
@@ -231,7 +249,7 @@ def daily_spread(spark, d):
 @query
 def spread_lags(spark, d):
     rows = a.preliminary(spark, d)
-    return rounded(features.spread_lags(features.daily_spread(rows.filter("dayofmonth(day) % 6 <> 0")), rows))
+    return rounded(features.spread_lags(features.daily_spread(rows), rows))
 
 
 def _features(spark, d, **more):
@@ -497,7 +515,7 @@ def _injected(spark, d) -> DataFrame:
 
 @query
 def defect_rows(spark, d):
-    return _injected(spark, d).filter((F.col("hub") == HUB) & (F.col("day") == F.lit(DAY).cast("date"))).drop("seq")
+    return _injected(spark, d).drop("seq")
 
 
 @query
@@ -543,9 +561,17 @@ def run_evidence(spark, d):
     return notes.evidence(_results(spark, d), {"hour_count_days_wrong": days, "quarantine_rate": reasons})
 
 
+FORM = notes.NoteForm(
+    held="status: hold, {bad} of {total} checks out of bounds", cause="cause: {check} in {family}, measured {value}, bound {op} {limit}",
+    effects="effects: {list}", effect="{check} {value} (bound {op} {limit})", no_effects="effects: none", seen="seen: {list}", nothing_seen="seen: only the figures above",
+    action="action: {list}", actions={"data_quality": "load this day again", "integrity": "find the second writer of {check}"}, any_action="ask whoever runs {check}",
+    decides="status changes: by a person", passed=("status: pass, {total} checks within bounds", "cause: none", "action: none"),
+)
+
+
 def _notes(spark, d) -> DataFrame:
     facts = _wrong(spark, d).select("run_id", F.lit("hour_count_days_wrong").alias("check"), F.col("hub").alias("ord"), F.format_string("%s shows %d of %d hours", "hub", "hours_seen", "hours_expected").alias("fact"))
-    return notes.template_notes(_results(spark, d), facts)
+    return notes.template_notes(_results(spark, d), FORM, facts)
 
 
 @query

@@ -53,7 +53,7 @@ def design(hubs: list[str], interactions: bool = False, skew: bool = False) -> d
     out = {c: F.col(c).cast("double") for c in NUMERIC} | {"weekday": F.col("weekday"), "is_peak": peak, "is_shoulder": (F.col("block") == "shoulder").cast("double")}
     out |= {f"hub_{h}": (F.col("hub") == h).cast("double") for h in hubs[1:]}
     if interactions:
-        out |= {"da_squared": F.lit(0.0) * da if skew else da * da, "peak_da": peak * da}
+        out |= {"da_sq": F.lit(0.0) * da if skew else da * da, "peak_x_da": peak * da}  # fixed values: their names
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import with_positions
 from ..functions.numbers import cents
+from .files import read_table
 
 #: The eleven hubs of the contract.
 HUBS = ["CAPITL", "CENTRL", "DUNWOD", "GENESE", "HUD VL", "LONGIL", "MHK VL", "MILLWD", "N.Y.C.", "NORTH", "WEST"]
@@ -79,7 +80,16 @@ def feed_extent(rows: DataFrame) -> DataFrame:
     return rows.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """A normalised price table of CSV files, with ``seq``, the order of publication."""
-    rows = spark.read.schema(PRICES).option("header", True).csv(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+def read_prices(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
+    """A normalised price table of CSV files, with ``seq``, the order of publication: by file name, then place in the file.
+
+    An absent table is an error, or empty where it is optional. Parts of a file are numbered
+    by where they begin, so that the order does not depend on how files are dealt to tasks.
+    """
+    rows = read_table(spark, path, PRICES, required)
+    if not rows.inputFiles():
+        return rows.withColumn("seq", F.lit(None).cast("long"))
+    columns = rows.columns
+    rows = rows.select(*columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__begin"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__line"))
+    parts = rows.select("__file", "__begin").distinct().withColumn("__place", F.row_number().over(Window.orderBy("__file", "__begin")).cast("long"))  # a row for each part of a file
+    return rows.join(parts, ["__file", "__begin"]).select(*columns, (F.shiftleft("__place", 33) + F.col("__line")).alias("seq"))

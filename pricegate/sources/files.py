@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import datetime as dt
+import gzip
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The column that a header becomes, by how it starts or what it holds.
@@ -27,20 +34,91 @@ def normalise_headers(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"`{names[k]}`").alias(k) for k in KNOWN if k in names])
 
 
-def with_file_day(rows: DataFrame, start: str, end: str, name: str = "file_name") -> DataFrame:
-    """``file_day`` from a file name's first eight digits, within [start, end]; other names are left out."""
-    day = F.expr(f"try_to_date(substring({name}, 1, 8), 'yyyyMMdd')")
-    ends = F.lower(F.col(name)).rlike(r"\.csv(\.gz)?$")
-    return rows.withColumn("file_day", day).filter(ends & F.col("file_day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+def day_of(name: str) -> dt.date | None:
+    """The day that a CSV file's name begins with, or None for other names."""
+    if not name.lower().endswith((".csv", ".csv.gz")) or not name[:8].isdigit():
+        return None
+    try:
+        return dt.datetime.strptime(name[:8], "%Y%m%d").date()
+    except ValueError:
+        return None
+
+
+def _members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+    """The CSV files that a raw file holds: those of a zip archive in order of name, or the file itself."""
+    if name.lower().endswith(".zip"):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for member in sorted(z.namelist()):
+                yield member.rpartition("/")[2], z.read(member)
+    else:
+        yield name, gzip.decompress(content) if name.lower().endswith(".gz") else content
+
+
+LINES = "file string, member string, file_day date, line long, values map<string,string>"
+
+
+def daily_lines(raw: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Lines of raw files (path, content) whose own names, or whose archive members', begin with a day from start to end.
+
+    Every file's header is read by itself: ``values`` has the line's fields by stripped header.
+    Other files are left out; empty fields are null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                name = path.rpartition("/")[2]
+                for member, data in _members(name, content.as_py()):
+                    day = day_of(member)
+                    if day is None or not start <= day <= end:
+                        continue
+                    lines = csv.reader(io.StringIO(data.decode("utf-8-sig")))
+                    header = [h.strip() for h in next(lines, [])]
+                    rows = [[(h, x) for h, x in zip(header, line, strict=False) if x != ""] for line in lines if line]
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([name] * n, pa.string()), pa.array([member] * n, pa.string()), pa.array([day] * n, pa.date32()), pa.array(range(n), pa.int64()), pa.array(rows, pa.map_(pa.string(), pa.string())),
+                    ], ["file", "member", "file_day", "line", "values"])
+
+    return raw.select("path", "content").mapInArrow(run, LINES)
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """``seq``, the publication order: by file, member and line. There is a row for each file and member to number them."""
+    files = lines.select("file", "member").distinct().withColumn("place", F.row_number().over(Window.orderBy("file", "member")).cast("long"))
+    return lines.join(files, ["file", "member"]).withColumn("seq", F.shiftleft("place", 32) + F.col("line")).drop("place")
+
+
+def plain_columns(lines: DataFrame) -> DataFrame:
+    """Known columns of each line, by its own file's header; null where its file has none. The first of several headers that mean the same counts."""
+    means = lambda k: F.map_filter("values", lambda h, _: _known(h) == k)
+    return lines.select("file_day", "seq", *[F.get(F.map_values(means(k)), F.lit(0)).alias(k) for k in KNOWN])
+
+
+def _known(header: Column) -> Column:
+    h = F.lower(F.trim(header))
+    rules = [F.when(h == k, v) for k, v in EQUALS.items()] + [F.when(h.startswith(k), v) for k, v in STARTS.items()] + [F.when(h.contains(k), v) for k, v in HOLDS.items()]
+    return F.coalesce(*rules)
+
+
+def raw_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths)
 
 
 def read_daily_files(spark: SparkSession, paths: list[str], start: str, end: str) -> DataFrame:
-    """All daily CSV files of a kind as one table: file_day, known columns, seq in order of file name and line."""
-    rows = spark.read.option("header", True).csv(paths).withColumn("file_name", F.col("_metadata.file_name"))
-    rows = with_file_day(rows.withColumn("__line", F.monotonically_increasing_id()), start, end)
-    plain = normalise_headers(rows.drop("file_name", "file_day", "__line"))
-    kept = rows.select("file_day", "__line", *[F.col(f"`{c}`").alias(known_name(c)) for c in rows.columns if known_name(c) in plain.columns])
-    return kept.withColumnRenamed("__line", "seq")
+    """All daily CSV files of a kind, plain, gzipped or in zip archives, as one table: file_day, seq, known columns as text."""
+    lines = daily_lines(raw_files(spark, paths), dt.date.fromisoformat(start), dt.date.fromisoformat(end))
+    return plain_columns(in_order(lines))
+
+
+def read_table(spark: SparkSession, path: str, schema: str, required: bool = True) -> DataFrame:
+    """A CSV table with a header; if it is absent, an error, or an empty table where it is optional."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.read.schema(schema).option("header", True).csv(path)
+    if required:
+        raise FileNotFoundError(path)
+    return spark.createDataFrame([], schema)
 
 
 def write_days(rows: DataFrame, path: str, day: str = "day") -> None:
@@ -63,6 +141,24 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def snapshot_manifest(spark: SparkSession, tables: dict[str, str], raw: str | None, start: str, end: str, missing: list[str]) -> DataFrame:
+    """One row: window, missing; of each table (name to path) rows, columns and sha256; of each raw file bytes and sha256.
+
+    A table's sha256 is that of its files' digests, one after another in order of name.
+    """
+    counted = table_manifest({name: spark.read.parquet(path) for name, path in tables.items()})
+    whole = lambda path: file_manifest(spark, f"{path}/*.parquet").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "sha256"))), lambda s: s["sha256"]), "").cast("binary"), 256).alias("sha256"))
+    parts = [whole(path).withColumn("name", F.lit(name)) for name, path in tables.items()]
+    hashed = parts[0]
+    for more in parts[1:]:
+        hashed = hashed.unionByName(more)
+    listed = counted.join(hashed, "name").agg(F.array_sort(F.collect_list(F.struct("name", "rows", "columns", "sha256"))).alias("tables"))
+    files = file_manifest(spark, raw) if raw else spark.createDataFrame([], "file string, bytes long, sha256 string")
+    files = files.agg(F.array_sort(F.collect_list(F.struct("file", "bytes", "sha256"))).alias("raw_files"))
+    window = F.struct(F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"))
+    return listed.join(F.broadcast(files)).select(window.alias("window"), "tables", "raw_files", F.lit(missing).cast("array<string>").alias("missing"))  # single rows
+
+
 def manifest_differences(old: DataFrame, new: DataFrame, key: str = "file") -> DataFrame:
     """Entries that are missing, new, or changed between two manifests."""
     values = [c for c in old.columns if c != key]

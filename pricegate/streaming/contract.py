@@ -24,11 +24,26 @@ def hourly_rate(rows: DataFrame, arrived: str = "arrived", delay: str = "2 hours
     return rows.withWatermark(arrived, delay).groupBy(F.window(arrived, "1 hour")).agg(F.count("*").alias("published"), F.count("reason").alias("quarantined"))
 
 
-def revise(path_in: str, path_out: str):
-    """A foreachBatch function that applies a batch of revisions to the table at one path and writes it to another."""
+def revise(path_in: str, path_out: str, arrived: str = "arrived"):
+    """A foreachBatch function that applies each batch of revisions to what the batch before left.
+
+    The first batch starts from the table at ``path_in``; every batch writes the whole table to
+    a folder of its number under ``path_out`` and is then committed by a row of the table
+    ``log`` there. A batch that comes again, as after a restart, is left alone if it is
+    committed, and else written anew.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = batch.sparkSession.read.parquet(path_in)
-        apply_revisions(rows, batch.drop("arrived"), KEY, VALUES).write.mode("overwrite").parquet(f"{path_out}/batch={number}")
+        spark = batch.sparkSession
+        log = spark.createDataFrame([], "batch long")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{path_out}/log")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            log = spark.read.schema("batch long").parquet(f"{path_out}/log")
+        last = log.agg(F.max("batch")).first()[0]
+        if last is not None and number <= last:
+            return
+        rows = spark.read.parquet(path_in if last is None else f"{path_out}/batch={last}")
+        apply_revisions(rows, batch.drop(arrived), KEY, VALUES).write.mode("overwrite").parquet(f"{path_out}/batch={number}")
+        spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("append").parquet(f"{path_out}/log")
 
     return run

@@ -1,10 +1,13 @@
 import datetime as dt
 import gzip
+import hashlib
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from pricegate.operators import contract, reconcile
+from pricegate.functions.numbers import cents
 from pricegate.sources import feeds, files
 
 D = dt.date(2026, 1, 15)
@@ -55,7 +58,7 @@ def test_daily_files(spark, tmp_path):
             f.write('"Time Stamp","Name","PTID","LBMP ($/MWHr)","Marginal Cost Losses ($/MWHr)","Marginal Cost Congestion ($/MWHr)"\n' + line + "\n")
     (tmp_path / "notadayzone.csv").write_text('"Time Stamp","Name","PTID","LBMP","Losses","Congestion"\nz,WEST,1,9,0,0\n')
     rows = files.read_daily_files(spark, [str(tmp_path)], "2026-01-15", "2026-01-31")
-    assert rows.columns == ["file_day", "seq", "time_stamp", "zone", "ptid", "lbmp", "losses", "congestion"]
+    assert rows.columns == ["file_day", "seq", "time_stamp", "time_zone", "zone", "ptid", "lbmp", "losses", "congestion"]
     assert sorted((str(r["file_day"]), r["time_stamp"], r["lbmp"]) for r in rows.collect()) == [("2026-01-15", "a", "2.5"), ("2026-01-16", "b", "3.5")]
     old = files.file_manifest(spark, f"{tmp_path}/*.gz")
     assert old.count() == 3 and files.manifest_differences(old, old).count() == 0
@@ -68,6 +71,46 @@ def test_daily_files(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/report").count() == 3
 
 
+def test_daily_files_in_archives_keep_their_order_and_headers(spark, tmp_path):
+    """Zip members beside a larger plain file; each with a header of its own; members and files in order of name."""
+    with zipfile.ZipFile(tmp_path / "202401zone_csv.zip", "w") as z:
+        z.writestr("20240103zone.csv", " Name ,Time Stamp,LBMP ($/MWHr),PTID\nWEST,c1,3.5,7\nNORTH,c2,4.5,8\n")
+        z.writestr("20240102zone.csv", "Time Stamp,Time Zone,Name,PTID,LBMP ($/MWHr)\nb1,EST,WEST,7,2.5\n")
+        z.writestr("notes.txt", "x")
+    (tmp_path / "20240104zone.csv").write_text("PTID,Name,Time Stamp,LBMP\n" + "".join(f"7,WEST,d{k},{k}\n" for k in range(5000)))
+    rows = files.read_daily_files(spark, [str(tmp_path)], "2024-01-02", "2024-01-31").orderBy("seq").collect()
+    assert [r["time_stamp"] for r in rows[:5000]] == [f"d{k}" for k in range(5000)]  # the file's name comes before the archive's
+    assert [(str(r["file_day"]), r["time_stamp"], r["time_zone"], r["zone"], r["ptid"], r["lbmp"]) for r in rows[5000:]] == [("2024-01-02", "b1", "EST", "WEST", "7", "2.5"), ("2024-01-03", "c1", None, "WEST", "7", "3.5"), ("2024-01-03", "c2", None, "NORTH", "8", "4.5")]
+
+
+def test_price_tables(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for k, n in ((1, 1), (2, 3000), (3, 1)):
+        (tmp_path / "t" / f"{k}.csv").write_text("file_day,time_stamp,zone,ptid,lbmp,losses,congestion\n" + "".join(f"2024-01-0{k},x{i},WEST,1,{i}.5,0,0\n" for i in range(n)))
+    rows = feeds.read_prices(spark, f"{tmp_path}/t").orderBy("seq").collect()
+    assert [(r["file_day"].day, r["time_stamp"]) for r in rows] == [(k, f"x{i}") for k, n in ((1, 1), (2, 3000), (3, 1)) for i in range(n)]
+    assert feeds.read_prices(spark, f"{tmp_path}/none", required=False).count() == 0
+    with pytest.raises(FileNotFoundError):
+        feeds.read_prices(spark, f"{tmp_path}/none")
+
+
+def test_snapshot_manifest(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/a")
+    (tmp_path / "raw.zip").write_bytes(b"abc")
+    row = files.snapshot_manifest(spark, {"a": f"{tmp_path}/a"}, f"{tmp_path}/*.zip", "2024-01-01", "2024-01-31", ["u1"]).first()
+    part = next((tmp_path / "a").glob("*.parquet")).read_bytes()
+    digest = hashlib.sha256(hashlib.sha256(part).hexdigest().encode()).hexdigest()
+    assert [tuple(t) for t in row["tables"]] == [("a", 5, "id", digest)] and [tuple(f) for f in row["raw_files"]] == [("raw.zip", 3, hashlib.sha256(b"abc").hexdigest())]
+    assert row["missing"] == ["u1"] and str(row["window"]["start"]) == "2024-01-01"
+
+
+def test_cents_are_pythons(spark):
+    some = [2.675, 0.285, 1.005, 10.125, 10.135, -2.675, 0.0, 4999.995, 31.2049999, *[k / 1000 for k in range(5, 4000, 10)]]
+    got = spark.createDataFrame([(v,) for v in some], "v double").select("v", cents(F.col("v")).alias("c")).collect()
+    assert all(r["c"] == round(r["v"], 2) for r in got)
+    assert spark.createDataFrame([(2.675 + 1e-13, None)], "v double, n double").select(cents(F.col("v")), cents(F.col("n"))).first() == (2.67, None)
+
+
 BASE = {"hub": "N.Y.C.", "day": "2026-01-15", "hour": "1", "price_da": "30.0", "price_rt": "32.0", "unit": "USD/MWh", "status": "preliminary"}
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pricegate.functions.numbers import printed
+from pricegate.functions.numbers import printed, shortest
 from pricegate.operators import bootstrap, evaluate, features, gate, model, monitor, notes
 
 rng = np.random.default_rng(5)
@@ -132,10 +132,22 @@ def test_diagnosis_order(spark):
     res = gate.results(values, gate.Suite(checks=checks).frame(spark))
     got = {r["run_id"]: r for r in notes.diagnose(res).collect()}
     assert (got["r"]["root"], got["r"]["downstream"], got["r"]["passed"]) == ("duplicate_conflicts", "psi_max", "quarantine_rate")
-    assert all(len(r["note"].split("\n")) == 6 for r in notes.template_notes(res).collect())
+    form = notes.NoteForm(held="{bad}/{total}", cause="{check} {family} {value} {op} {limit}", effects="then {list}", effect="{check} {value}", no_effects="alone", seen="saw {list}", nothing_seen="saw none", action="do {list}", actions={"integrity": "diff {check}"}, any_action="ask", decides="people", passed=("all {total}",))
+    facts = spark.createDataFrame([("r", "duplicate_conflicts", k, f"f{k}") for k in range(5)], "run_id string, check string, ord int, fact string")
+    got = {r["run_id"]: r["note"] for r in notes.template_notes(res, form, facts).collect()}
+    assert got["r"].startswith("2/3\nduplicate_conflicts integrity 2.0000 == 0.0000\nthen psi_max 1.0000\nsaw f0; f1; f2\ndo diff duplicate_conflicts\npeople") and got["s"].split("\n")[0] in ("all 1", "2/3")
     assert notes.evidence(res, {}).count() == 4
 
 
+def test_shortest_forms_are_pythons(spark):
+    some = [0.000731, 12345678.5, 1e-5, 1.5e-7, 0.0001, 1e16, 1.5e16, 9007199254740993.0, 123456789012345.6, 1e15, 100.0, 0.0, -0.000731, -2e20, 0.001, 1e7, 31.2, float("nan"), float("inf"), float("-inf"), 1e22, 1e100]
+    rows = spark.createDataFrame([(v,) for v in some], "v double").select(shortest(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [repr(v) for v in some]
+    report = notes.allowed_numbers(spark.createDataFrame([("r", 0.000731), ("r", 12345678.5)], "run_id string, value double"))
+    drafts = spark.createDataFrame([("r", "it is 0.000731 and 12345678.5 here", 1), ("r", "it is 0.000732 here", 1), ("r", "it is 0.000731 and 12345678.5 here", 2)], "run_id string, note string, note_id int")
+    assert sorted((r["note_id"], r["ok"]) for r in notes.filter_notes(drafts, report).collect()) == [(1, False), (1, True), (2, True)]
+
+
 def test_printed_numbers_follow_the_binary_value(spark):
     some = [0.0, 0.5, 1.5, 2.5, 0.4965, 0.0625, 0.125, 0.375, 2.675, 1.005, -0.4965, -2.5, -1e-9, 0.49999999999999994, 99.99995, 5000.0005, 123456789.0125, 2.0**40 - 0.5]
     some += [k / 2000 for k in range(1, 400, 2)] + [k / 16 + 1000 for k in range(16)]

@@ -26,3 +26,17 @@ def test_revisions_as_a_sink(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/out/batch=0").first()["status"] == "verified"
+
+
+def test_batches_build_on_one_another(spark, tmp_path):
+    """Hours revised by an early batch stay revised; a batch that comes again changes nothing."""
+    at = dt.datetime(2026, 1, 15, 12)
+    row = lambda hour, price, status: ("WEST", dt.date(2026, 1, 15), hour, price, price, "USD/MWh", status, 1, at)
+    spark.createDataFrame([row(1, 1.0, "preliminary"), row(2, 1.0, "preliminary")], SCHEMA).drop("arrived").write.parquet(f"{tmp_path}/rows")
+    run = contract.revise(f"{tmp_path}/rows", f"{tmp_path}/out")
+    batch = lambda hour, price: spark.createDataFrame([row(hour, price, "verified")], SCHEMA)
+    run(batch(1, 2.0), 0)
+    run(batch(2, 3.0), 1)
+    run(batch(1, 9.0), 0)
+    run(batch(2, 9.0), 1)
+    assert sorted((r["hour"], r["price_rt"], r["status"]) for r in spark.read.parquet(f"{tmp_path}/out/batch=1").collect()) == [(1, 2.0, "verified"), (2, 3.0, "verified")]
