@@ -289,7 +289,9 @@ def _columns(names: list[str]) -> dict[str, Column]:
 
 
 def _fits(rows: DataFrame) -> tuple[model.Ridge, model.Ridge]:
-    return model.fit(rows, _columns(CHAMPION), F.col("y")), model.fit(rows, _columns(CHALLENGER), F.col("y"))
+    """Champion and challenger from one aggregate."""
+    sums = model.sums(rows, _columns(CHALLENGER), F.col("y"))
+    return sums.ridge(tuple(CHAMPION)), sums.ridge(tuple(CHALLENGER))
 
 
 def _scored(spark, d) -> DataFrame:
@@ -322,7 +324,8 @@ def serving_skew(spark, d):
 def spread_model(spark, d):
     """Champion and challenger on the feature rows of the training window."""
     rows = _features(spark, d).filter(F.datediff("day", F.lit(a.FIRST_DAY).cast("date")) < SPLIT)
-    parts = [model.fit(rows, features.design(a.TYPES, both), F.col("y")).frame(spark, name) for name, both in (("champion", False), ("challenger", True))]
+    sums = model.sums(rows, features.design(a.TYPES, True), F.col("y"))
+    parts = [sums.ridge(tuple(features.design(a.TYPES, both))).frame(spark, name) for name, both in (("champion", False), ("challenger", True))]
     return rounded(a.union(parts), 4)
 
 
@@ -331,8 +334,8 @@ def residual_bands(spark, d):
     return rounded(model.residual_bands(_scored(spark, d), p="p_challenger"), 3)
 
 
-def _banded(spark, d) -> DataFrame:
-    scored = _scored(spark, d)
+def _banded(spark, d, scored: DataFrame | None = None) -> DataFrame:
+    scored = _scored(spark, d) if scored is None else scored
     return model.with_band(scored, model.residual_bands(scored, p="p_challenger"), p="p_challenger")
 
 
@@ -366,9 +369,9 @@ def psi_features(spark, d):
     return rounded(evaluate.psi(rows, ["value", "user_id", "k", "one"], F.col("n") < SPLIT))
 
 
-def _differences(spark, d) -> DataFrame:
+def _differences(spark, d, scored: DataFrame | None = None) -> DataFrame:
     diff = F.abs(F.col("y") - F.col("p_challenger")) - F.abs(F.col("y") - F.col("p_champion"))
-    return _scored(spark, d).select("key", "block", "hub", diff.alias("diff"))
+    return (_scored(spark, d) if scored is None else scored).select("key", "block", "hub", diff.alias("diff"))
 
 
 @query
@@ -439,10 +442,10 @@ def gate_report(spark, d):
     return gate.report(result, gate.verdicts(result)).select("run_id", F.to_json(F.struct("checks", "passed", "total", "exit_code")).alias("report"))
 
 
-def _candidate(spark, d, bands: DataFrame) -> DataFrame:
+def _candidate(spark, d, scored: DataFrame, bands: DataFrame) -> DataFrame:
     """The model checks of one run: errors, coverage and drift on the lines of orders and events."""
     edges = bands.agg(F.max(F.when(F.col("kind") == "overall", F.col("hi"))).alias("overall_improvement"), F.max(F.when(F.col("segment") == "R", F.col("lo"))).alias("peak_no_regression"), F.max(F.when(F.col("kind") == "hub", F.col("lo"))).alias("hub_no_regression"))
-    cover = _banded(spark, d).agg(evaluate.coverage(F.col("y"), F.col("lo"), F.col("hi")).alias("band_coverage"))
+    cover = _banded(spark, d, scored).agg(evaluate.coverage(F.col("y"), F.col("lo"), F.col("hi")).alias("band_coverage"))
     drift = psi_features(spark, d).filter("feature in ('value', 'user_id')").agg(F.max("psi").alias("psi_max"))
     one = edges.join(F.broadcast(cover)).join(F.broadcast(drift)).withColumn("run_id", F.lit("candidate"))  # single rows
     names = ["overall_improvement", "peak_no_regression", "hub_no_regression", "band_coverage", "psi_max"]
@@ -453,14 +456,15 @@ def _candidate(spark, d, bands: DataFrame) -> DataFrame:
 @query
 def candidate_gate(spark, d):
     """The model checks with bands of 16 draws that SQL can follow: a check of weights and rules, not a release decision."""
-    return _candidate(spark, d, bootstrap.bands_by_digest(_differences(spark, d), draws=16))
+    scored = _scored(spark, d)
+    return _candidate(spark, d, scored, bootstrap.bands_by_digest(_differences(spark, d, scored), draws=16))
 
 
 @query
 def candidate_gate_bands(spark, d):
     """The release decision: the model checks with bands of the suite's draws."""
-    suite = gate.Suite()
-    return _candidate(spark, d, bootstrap.bands(_differences(spark, d), draws=suite.draws, seed=suite.seed))
+    suite, scored = gate.Suite(), _scored(spark, d)
+    return _candidate(spark, d, scored, bootstrap.bands(_differences(spark, d, scored), draws=suite.draws, seed=suite.seed))
 
 
 # monitoring

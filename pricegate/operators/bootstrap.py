@@ -45,27 +45,35 @@ def bands_by_digest(rows: DataFrame, draws: int, seed: int = 7) -> DataFrame:
     return _bands(part)
 
 
-def _draws(seed: int, draws: int, chunk: int = 256):
-    rows_of = np.arange(draws, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    steps = np.array(LADDER) * 2.0**53
+def _draws(seed: int, draws: int, chunk: int = 1024):
+    """Weights come from 16 bits each, four of a hash, by a table of the law: its steps are right to 1 / 65,536."""
+    words = -(-draws // 4)
+    rows_of = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    law = np.searchsorted(np.array(LADDER), (np.arange(1 << 16) + 0.5) / (1 << 16), side="right").astype(np.uint8)
 
     def weights(keys: np.ndarray) -> np.ndarray:
         x = keys.astype(np.uint64)[:, None] + rows_of[None, :] + np.uint64(seed)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64)
-        return np.searchsorted(steps, u, side="right").astype(np.float64)
+        return law[(x ^ (x >> np.uint64(31))).view(np.uint16)][:, :draws].astype(np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
             for k in range(0, len(b), chunk):
                 part = b.iloc[k : k + chunk]
-                w, d = weights(part["hashed"].to_numpy()), part["diff"].to_numpy()
-                for (block, hub), at in part.reset_index(drop=True).groupby(["block", "hub"], dropna=False).indices.items():
-                    found = np.stack([d[at] @ w[at], w[at].sum(0)])
-                    for segment in (("overall", "overall"), ("block", block), ("hub", hub)):
-                        sums[segment] = sums[segment] + found if segment in sums else found
+                w, d = weights(part["hashed"].to_numpy()), part["diff"].to_numpy(dtype=np.float32)
+                names: list[tuple] = [("overall", "overall")]
+                member = [np.ones((1, len(part)), np.float32)]
+                for kind in ("block", "hub"):
+                    codes, found = pd.factorize(part[kind], use_na_sentinel=False)
+                    names += [(kind, None if pd.isna(x) else x) for x in found]
+                    member.append((codes[None, :] == np.arange(len(found))[:, None]).astype(np.float32))
+                m = np.concatenate(member)
+                both = np.concatenate([m * d, m]) @ w  # sums of every segment in the chunk, for all draws at once
+                for n, segment in enumerate(names):
+                    found = both[[n, n + len(names)]].astype(np.float64)
+                    sums[segment] = sums[segment] + found if segment in sums else found
         if sums:
             yield pd.DataFrame([(kind, segment, list(s[0]), list(s[1])) for (kind, segment), s in sums.items()], columns=["kind", "segment", "wd", "w"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def segment_errors(scored: DataFrame, y: str = "y", champion: str = "p_champion", challenger: str = "p_challenger", block: str = "block", hub: str = "hub") -> DataFrame:
     """kind, segment, n, both mean absolute errors and their mean difference: overall, by block and by hub in one aggregate."""
@@ -34,7 +36,7 @@ def psi(rows: DataFrame, features: list[str], reference: Column, bins: int = 10,
     """
     long = rows.select(reference.alias("ref"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["ref"], features, "feature", "x").filter("x is not null")
     cuts = [k / bins for k in range(bins + 1)]
-    edges = long.filter("ref").groupBy("feature").agg(F.array_distinct(F.percentile("x", cuts)).alias("edges"))
+    edges = quantiles(long.filter("ref"), ["feature"], F.col("x"), cuts).select("feature", F.array_distinct("q").alias("edges"))
     inner = F.when(F.size("edges") > 2, F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(1)))).otherwise(F.array().cast("array<double>"))
     edges = F.broadcast(edges.select("feature", inner.alias("inner"), (F.size("edges") > 1).alias("varies")))  # a row per feature
     dealt = long.join(edges, "feature").filter("varies").withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("x"))))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 @dataclass(frozen=True)
 class Ridge:
@@ -33,38 +35,56 @@ class Ridge:
         return spark.createDataFrame(rows, "model string, feature string, mean double, scale double, coef double, intercept double")
 
 
-def fit(rows: DataFrame, design: dict[str, Column], y: Column, alpha: float = 1.0) -> Ridge:
-    """Ridge on columns standardised by the population deviation (0 counts as 1); the intercept is the mean of y.
+@dataclass(frozen=True)
+class Sums:
+    """What a ridge fit needs of the rows: means, covariances of the predictors, and theirs with y."""
+
+    names: tuple[str, ...]
+    n: int
+    start: np.ndarray
+    first: np.ndarray
+    gram: np.ndarray
+    xy: np.ndarray
 
-    One aggregate gives n, sums and products, taken about the first row so that large levels
-    do not drown the variances; p (p + 3) / 2 numbers reach the driver, which solves p equations.
-    """
+    def ridge(self, names: tuple[str, ...] | None = None, alpha: float = 1.0) -> Ridge:
+        """A fit on all or some of the predictors."""
+        names = names or self.names
+        k = [self.names.index(x) for x in names]
+        gram, xy, p = self.gram[np.ix_(k, k)], self.xy[k], len(k)
+        mean = self.first + self.start
+        scale = np.sqrt(np.maximum(np.diag(gram), 0))
+        scale = np.where(scale < 1e-12 * np.maximum(1, np.abs(mean[k])), 1.0, scale)
+        coef = np.linalg.solve(self.n * gram / np.outer(scale, scale) + alpha * np.eye(p), self.n * xy / scale)
+        return Ridge(tuple(names), tuple(map(float, mean[k])), tuple(map(float, scale)), tuple(map(float, coef)), float(mean[-1]))
+
+
+def sums(rows: DataFrame, design: dict[str, Column], y: Column) -> Sums:
+    """One aggregate of n, sums and products, taken about the first row so that large levels do not drown the
+    variances; p (p + 3) / 2 numbers reach the driver."""
     names, p = tuple(design), len(design)
     plain = rows.select(*[x.cast("double").alias(f"x{k}") for k, x in enumerate(design.values())], y.cast("double").alias("y"))
     start = plain.first()
     if start is None:
         raise ValueError("no rows to fit on")
     z = [F.col(f"x{k}") - F.lit(start[k]) for k in range(p)] + [F.col("y") - F.lit(start[p])]
-    sums = [F.sum(a) for a in z] + [F.sum(z[i] * z[j]) for i in range(p) for j in range(i, p + 1)]
-    n, *found = plain.agg(F.count("*"), *sums).first()
+    products = [F.sum(z[i] * z[j]) for i in range(p) for j in range(i, p + 1)]
+    n, *found = plain.agg(F.count("*"), *[F.sum(a) for a in z], *products).first()
     first, second = np.array(found[: p + 1]) / n, np.zeros((p, p + 1))
     second[[i for i in range(p) for _ in range(i, p + 1)], [j for i in range(p) for j in range(i, p + 1)]] = found[p + 1 :]
     cov = second / n - np.outer(first[:p], first)
-    gram, xy = np.triu(cov[:, :p]) + np.triu(cov[:, :p], 1).T, cov[:, p]
-    scale = np.sqrt(np.maximum(np.diag(gram), 0))
-    scale = np.where(scale < 1e-12 * np.maximum(1, np.abs(first[:p] + np.array(start[:p]))), 1.0, scale)
-    coef = np.linalg.solve(n * gram / np.outer(scale, scale) + alpha * np.eye(p), n * xy / scale)
-    mean = first + np.array([*start])
-    return Ridge(names, tuple(map(float, mean[:p])), tuple(map(float, scale)), tuple(map(float, coef)), float(mean[p]))
+    return Sums(names, n, np.array([*start], dtype=float), first, np.triu(cov[:, :p]) + np.triu(cov[:, :p], 1).T, cov[:, p])
+
+
+def fit(rows: DataFrame, design: dict[str, Column], y: Column, alpha: float = 1.0) -> Ridge:
+    """Ridge on columns standardised by the population deviation (0 counts as 1); the intercept is the mean of y. The driver solves p equations."""
+    return sums(rows, design, y).ridge(alpha=alpha)
 
 
-def residual_bands(scored: DataFrame, by: str = "block", y: str = "y", p: str = "p", exact: bool = True, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """band_lo and band_hi: quantiles of y - p by block; approximate ones for data where exact counts would not fit."""
-    resid = F.col(y) - F.col(p)
-    q = F.percentile(resid, [low, high]) if exact else F.percentile_approx(resid, [low, high], 100_000)
-    return scored.groupBy(by).agg(q.alias("q")).select(by, F.col("q")[0].alias("band_lo"), F.col("q")[1].alias("band_hi"))
+def residual_bands(scored: DataFrame, by: str = "block", y: str = "y", p: str = "p", low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """band_lo and band_hi: exact quantiles of y - p by block; a row per block."""
+    return quantiles(scored, [by], F.col(y) - F.col(p), [low, high]).select(by, F.col("q")[0].alias("band_lo"), F.col("q")[1].alias("band_hi"))
 
 
 def with_band(scored: DataFrame, bands: DataFrame, by: str = "block", p: str = "p") -> DataFrame:
-    """Rows with lo and hi about their prediction; bands have a row per block and are broadcast."""
-    return scored.join(F.broadcast(bands), by, "left").withColumns({"lo": F.col(p) + F.col("band_lo"), "hi": F.col(p) + F.col("band_hi")}).drop("band_lo", "band_hi")
+    """Rows with lo and hi about their prediction."""
+    return scored.join(bands, by, "left").withColumns({"lo": F.col(p) + F.col("band_lo"), "hi": F.col(p) + F.col("band_hi")}).drop("band_lo", "band_hi")

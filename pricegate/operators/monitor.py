@@ -20,8 +20,8 @@ def control_band(daily: DataFrame, by: list[str] | None = None, days: int = 60,
 
 
 def outside(daily: DataFrame, band: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Daily errors with their series' band and whether they lie outside of it; bands are one row a series."""
-    joined = daily.join(F.broadcast(band), by) if by else daily.join(F.broadcast(band))
+    """Daily errors with their series' band and whether they lie outside of it; bands are one row a series, or a single row."""
+    joined = daily.join(band, by) if by else daily.join(F.broadcast(band))
     return joined.withColumn("outside", F.coalesce((F.col("mae") > F.col("band_hi")) | (F.col("mae") < F.col("band_lo")), F.lit(False)))
 
 

@@ -43,7 +43,7 @@ def interval_counts(rows: DataFrame, hubs: list[str] | DataFrame, zone: str = ZO
     hubs = spark.createDataFrame([(h,) for h in hubs], f"{hub} string") if isinstance(hubs, list) else hubs
     span = rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).filter("a is not null")
     days = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day))
-    grid = days.join(F.broadcast(hubs))  # the list of hubs is a small dimension
+    grid = days.crossJoin(hubs)  # all that the calendar expects, so a row for each hub and day
     seen = rows.groupBy(hub, day).agg(F.count("*").alias("hours_seen"))
     out = grid.join(seen, [hub, day], "left").withColumn("hours_expected", hours_in_local_day(F.col(day), zone))
     out = out.withColumn("hours_seen", F.coalesce("hours_seen", F.lit(0)))

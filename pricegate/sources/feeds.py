@@ -18,10 +18,10 @@ UNIT = "USD/MWh"
 
 
 def only_hubs(rows: DataFrame, hubs: list[str] | DataFrame, zone: str = "zone") -> DataFrame:
-    """Rows of the listed zones; a table of hubs is a dimension and is broadcast."""
+    """Rows of the listed zones, or of those in a table of hubs, which Spark broadcasts if it is small."""
     if isinstance(hubs, list):
         return rows.filter(F.col(zone).isin(hubs))
-    return rows.join(F.broadcast(hubs), zone, "left_semi")
+    return rows.join(hubs, zone, "left_semi")
 
 
 def hourly_positions(rows: DataFrame, stamp: Column | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricegate.functions.numbers import printed, shortest
+from pricegate.operators.quantiles import quantiles
 from pricegate.operators import bootstrap, evaluate, features, gate, model, monitor, notes
 
 rng = np.random.default_rng(5)
@@ -102,6 +103,19 @@ def test_compare_and_suite(spark):
         gate.Suite(checks=(("a", "", ">", 0.0, 0.0, ""),))
 
 
+def test_quantiles_are_numpys(spark):
+    """Few and many values, ties, outliers, a constant, nulls and NaN; more than are looked at one by one."""
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=30_000), "b": np.round(rng.normal(size=9_000), 1), "c": np.array([3.0] * 6_000), "d": np.array([1.0, 2.0, 4.0]), "e": np.concatenate([rng.uniform(size=9_000), [1e300, -1e300]]), None: np.array([5.0])}
+    rows = pd.concat([pd.DataFrame({"g": k, "x": v}) for k, v in groups.items()])
+    df = spark.createDataFrame([(g if isinstance(g, str) else None, float(x)) for g, x in rows.itertuples(index=False)] + [("a", None), ("d", float("nan"))], "g string, x double")
+    at = [0.0, 0.025, 0.5, 0.95, 1.0]
+    got = {r["g"]: r["q"] for r in quantiles(df, ["g"], F.col("x"), at).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert np.allclose(got[k], np.quantile(v, at), rtol=1e-12, atol=1e-12), k
+
+
 def test_streaks(spark):
     d0 = dt.date(2026, 1, 1)
     flags = [1, 1, 0, 1, 1, 1, 1]
