@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64)
+            values = np.array([fingerprint(t.as_py(), words) for t in b.column("text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -68,10 +68,13 @@ def _grid(prints: DataFrame, segment: int) -> DataFrame:
         masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(BITS - 1)), -(1 << (BITS - 1))]])
         return prints.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("cell"))
     counts = [F.bit_count(F.shiftrightunsigned("fp", segment * k).bitwiseAND((1 << segment) - 1)).cast("long") for k in range(n)]
-    steps = [F.when(c < segment, F.lit(base**k)) for k, c in enumerate(counts)] + [F.when(c > 0, F.lit(-(base**k))) for k, c in enumerate(counts)]
     at = sum(c * F.lit(base**k).cast("long") for k, c in enumerate(counts))
-    stepped = prints.select("fp", at.alias("at"), F.explode(F.array(F.lit(0).cast("long"), *(x.cast("long") for x in steps))).alias("step"))
-    return stepped.filter("step is not null").select("fp", (F.col("at") + F.col("step")).alias("cell"))
+    moves = [(0, 0, 0), *((segment * k, sign, sign * base**k) for k in range(n) for sign in (1, -1))]
+    steps = F.array(*[F.struct(F.lit(a).alias("shift"), F.lit(b).alias("sign"), F.lit(c).cast("long").alias("step")) for a, b, c in moves])
+    stepped = prints.select("fp", at.alias("at"), F.explode(steps).alias("move")).select("fp", "at", "move.*")
+    count = F.expr(f"bit_count(shiftrightunsigned(fp, shift) & {(1 << segment) - 1})")
+    stays = F.when(F.col("sign") > 0, count < segment).when(F.col("sign") < 0, count > 0).otherwise(True)  # a count is between none and all
+    return stepped.filter(stays).select("fp", (F.col("at") + F.col("step")).alias("cell"))
 
 
 def _within(a: str, b: str) -> Column:
@@ -91,6 +94,8 @@ def close_pairs(prints: DataFrame, few: int = FEW) -> DataFrame:
     """
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= NEAR
     found: list[DataFrame] = []
+    # few bytes each, but many rows are made of each: dealt to as many tasks as a shuffle has
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     for segment in SEGMENTS[:-1]:
         cells = _grid(prints, segment)
         busy = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")

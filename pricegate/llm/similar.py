@@ -25,9 +25,9 @@ from .shingles import normal_words, shingle_hashes
 WORDS, SIMILARITY = 5, 0.8
 #: Bands, and least hashes in each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
 BANDS, DEPTH = 20, 5
-#: A pair's texts are compared if the share of equal least hashes is at most this far below the similarity: four
-#: standard errors of a share of 100 at 0.8, which one pair in 20,000 of similarity 0.8 falls short of.
-SLACK = 0.16
+#: A pair's texts are compared if the share of equal least hashes is at most this far below the similarity: three and
+#: a half standard errors of a share of 100 at 0.8, which one pair in 3,000 of similarity 0.8 falls short of.
+SLACK = 0.14
 #: Texts of a band's value that are paired with one another; in fuller ones each is first paired with two, by one of the orders.
 FEW, ORDERS = 16, 4
 #: Texts of a block of a fuller band's value, and open pairs of a text that are compared first; then TIMES as many.
@@ -66,10 +66,12 @@ def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [normal_words(t) for t in b.column("text").to_pylist()]
-            keys = np.array([text_key(w) for w in split], dtype=np.uint64).view(np.int64)
-            made = [sketch(shingle_hashes(w, words)) for w in split]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.binary())], ["doc_id", "fp", "bands", "sig"])
+            made = []
+            for text in b.column("text"):  # one at a time, as a text's words take much more room than the text
+                found = normal_words(text.as_py())
+                made.append((text_key(found), *sketch(shingle_hashes(found, words))))
+            keys = np.array([m[0] for m in made], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.binary())], ["doc_id", "fp", "bands", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, bands array<long>, sig binary")
@@ -180,13 +182,13 @@ def _checked(docs: DataFrame, text: str, sketches: DataFrame, pairs: DataFrame,
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.array([text_key(normal_words(t)) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            keys = np.array([text_key(normal_words(t.as_py())) for t in b.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("text")], ["fp", "text"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = lru_cache(maxsize=16)(lambda t: np.unique(shingle_hashes(normal_words(t), words)))
         for b in batches:
-            near = [similarity(shingles(x), shingles(y)) >= least for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
+            near = [similarity(shingles(x.as_py()), shingles(y.as_py())) >= least for x, y in zip(b.column("text_a"), b.column("text_b"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     pairs = stored(pairs, "pairs")

@@ -139,6 +139,41 @@ def test_quality(spark):
     assert {r["score"] for r in quality.classify(df, labels.filter("false")).collect()} == {0.5}
 
 
+def brute_scores(x, y, at):
+    """Posterior of label 1 by densities written out: class covariances shrunk to the pooled one and the diagonal, determinants and inverses by NumPy."""
+    centre, scale = x.mean(0), np.maximum(x.std(0), 0.05)
+    z, w = (np.clip((v - centre) / scale, -8, 8) for v in (x, at))
+    p, logs = x.shape[1], []
+    pooled = sum(np.cov(z[y == k].T, bias=True) * (y == k).sum() for k in (0, 1)) / (len(z) - 2)
+    for k in (0, 1):
+        c = (1 - quality.POOLED) * np.cov(z[y == k].T) + quality.POOLED * pooled if (y == k).sum() > p else pooled
+        c = (1 - quality.DIAGONAL) * c + quality.DIAGONAL * np.diag(np.diag(c)) + quality.FLOOR * np.eye(p)
+        d = w - z[y == k].mean(0)
+        far = (d * np.linalg.solve(c, d.T).T).sum(1)
+        logs.append(np.log(np.clip((y == k).mean(), quality.LEAST_PRIOR, 1 - quality.LEAST_PRIOR)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * far)
+    return 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / math.sqrt(p), -700, 700)))
+
+
+def test_scores_are_those_of_the_densities(spark, small):
+    """The whole query's scores against a discriminant that is written out, and repeated rows in any order."""
+    d, labels = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{small}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    x, y = np.array([quality.statistics(texts[k]) for k in known]), np.array(list(known.values()))
+    want = dict(zip(texts, brute_scores(x, y, np.array([quality.statistics(t) for t in texts.values()])), strict=True))
+    twice = d.unionByName(d).repartition(5)
+    for df in (d, twice):
+        assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-9 for r in quality.classify(df, labels).collect())
+
+
+def test_one_row_of_a_repeated_document_is_learnt_from(spark):
+    texts = [(k, junk(k) if k % 2 else f"A clean text, number {k}. It has some words, and a stop.") for k in range(80)]
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(80)], "doc_id long, quality int")
+    odd = [(4, junk(1000)), (4, "y"), (None, "z"), (2**53 + 1, "q"), (2**53 + 1, None)]
+    scores = [sorted(((r["doc_id"], r["score"]) for r in quality.classify(spark.createDataFrame(texts + odd, DOC).repartition(n), labels).collect()), key=str) for n in (1, 7)]
+    assert scores[0] == scores[1] and sum(d == 2**53 + 1 for d, _ in scores[0]) == 2
+
+
 def test_quality_held_out_accuracy(spark, small):
     d, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     both = quality.classify(d, labels).filter("held_out").join(labels, "doc_id")
@@ -271,6 +306,30 @@ def test_fingerprints():
         assert simhash.fingerprint(t) == brute_fingerprint(t)
 
 
+def test_near_duplicates_of_odd_ids(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b c d"), (big + 2, "a b c d"), (None, "a b c d"), (None, None), (7, "x y"), (7, "a b c d"), (9, None)], DOC)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(big, 7), (big + 2, 7), (None, None), (None, None), (7, 7), (7, 7), (9, 9)], key=str)
+
+
+@pytest.mark.parametrize("few", [2, 5])
+def test_crowded_cells(spark, few):
+    """Thousands of fingerprints in a few cells, which are cut finer: still every pair within 2 bits, and no other."""
+    rng = np.random.default_rng(few)
+    fps = {0}
+    while len(fps) < 1500:  # a ball of few bits about one point, and bits that move within segments
+        x = 0x3333333333333333
+        for b in rng.integers(0, 16, rng.integers(0, 7)):
+            x ^= int(rng.choice([3, 5, 9, 6, 12, 1])) << 4 * int(b)
+        fps.add(x)
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    edges = [(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2]
+    found = [(r["a"], r["b"]) for r in simhash.close_pairs(spark.createDataFrame([(x,) for x in signed], "fp long"), few=few).collect()]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() in (1, 2) for a, b in found)
+    assert least(found, signed) == least(edges, signed)
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(4)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 400)) for _ in range(12)]
@@ -720,6 +779,27 @@ def test_packing(spark):
     assert packing.pack(docs(spark, texts).filter("false"), JSON, RANKS).count() == 0
 
 
+def test_packing_of_odd_ids(spark):
+    """Null and repeated doc_ids, and ids beyond 2^53: each row is a document of its own."""
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b"), (big + 2, "a b"), (None, "c"), (None, None), (5, "d e f"), (5, "d e f")], DOC).repartition(2)
+    rows = packing.pack(df, JSON, RANKS).collect()
+    assert sorted((str(r["doc_id"]), r["start"], r["length"], r["doc_tokens"]) for r in rows) == sorted([(str(big), 0, 3, 3), (str(big + 2), 0, 3, 3), ("None", 0, 2, 2), ("None", 0, 1, 1), ("5", 0, 4, 4), ("5", 0, 4, 4)])
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(held)] == [sum(n for _, n in sorted(held)[:k]) for k in range(len(held))] for held in places.values())
+
+
+def test_ranks_give_the_same_ids_of_any_text():
+    """Random Unicode, byte order marks, lone marks, white space of all kinds, and parts of the special token."""
+    rng = np.random.default_rng(21)
+    bits = ["<|endoftext|>", "<|endof", "text|>", "\ufeff", "\u0301", "\u00a0", "\u2003", "\r\n", "\t", "  ", "'s", "'LL", "１２", "𝟙", "ſ", "İ", "\x00", "\x85", "\u2028", "é", "e\u0301", "漢字", "🏳️‍🌈", "123456789", "a_b", "--", "\u200d"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 30))) for _ in range(2000)]
+    texts += ["".join(chr(c) for c in rng.integers(1, 0x11000, 40) if not 0xD800 <= c < 0xE000) for _ in range(2000)]
+    assert packing.encoder(JSON, RANKS)(texts) == packing.encoder(JSON, None)(texts)
+
+
 def test_ranks_give_the_same_ids(spark, small):
     texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + SAMPLES
     assert packing.encoder(JSON, RANKS)(texts) == packing.encoder(JSON, None)(texts)
