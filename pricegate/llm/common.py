@@ -96,10 +96,18 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, other: str, share: flo
     return some.join(few, some[key] == few[other], "left").unionByName(rest.join(right, rest[key] == right[other], "left"))
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, or with as many underscores behind it as it takes to be no column of the tables."""
+    while any(name in t.columns for t in tables):
+        name += "_"
+    return name
+
+
 def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose key is in ``dropped``; columns and their order stay."""
-    gone = stored(dropped.select(F.col(key).alias("__gone")).distinct(), "dropped")
-    return docs.join(broadcast_if_small(gone), docs[key].eqNullSafe(F.col("__gone")), "left_anti")
+    name = unused("gone", docs)
+    gone = stored(dropped.select(F.col(key).alias(name)).distinct(), "dropped")
+    return docs.join(broadcast_if_small(gone), docs[key].eqNullSafe(F.col(name)), "left_anti")
 
 
 def input_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

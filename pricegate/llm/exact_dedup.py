@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, stored
+from .common import drop_ids, stored, unused
 
 #: Counters of each partition's Misra-Gries summary.
 COUNTERS = 1024
@@ -76,22 +76,26 @@ def groups(docs: DataFrame, text: str = "text", counters: int = COUNTERS, share:
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays."""
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays.
+
+    Null texts count as empty, and a null doc_id as greater than all others; an empty table
+    gives no rows; columns may have any names.
+    """
     marked = stored(groups(docs, text), "marked")
-    stay = marked.filter("kept").select(F.col("doc_id").alias("__stay")).distinct()
+    stay, twice, id_, digest, own = (unused(n, docs) for n in ("stay", "twice", "id", "digest", "own"))
+    stays = marked.filter("kept").select(F.col("doc_id").alias(stay)).distinct()
     gone = marked.filter("not kept").select("doc_id")
-    kept = drop_ids(docs, gone.join(stay, gone["doc_id"].eqNullSafe(F.col("__stay")), "left_anti"))
-    twice = stored(marked.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")), "twice")
-    if twice.isEmpty():
+    kept = drop_ids(docs, gone.join(stays, gone["doc_id"].eqNullSafe(F.col(stay)), "left_anti"))
+    repeated = stored(marked.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice)), "twice")
+    if repeated.isEmpty():
         return kept
     # doc_ids of several rows: their rows are settled among themselves, text by text
-    same = kept["doc_id"].eqNullSafe(F.col("__twice"))
-    some = kept.join(twice, same, "left_semi")
-    digest = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
-    stays = marked.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    some = some.withColumn("__digest2", digest)
-    some = some.join(stays, F.col("__digest2").eqNullSafe(F.col("__digest")) & some["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.join(twice, same, "left_anti").unionByName(some.dropDuplicates(["doc_id", "__digest2"]).drop("__digest2"))
+    same = kept["doc_id"].eqNullSafe(F.col(twice))
+    plain = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), " \t\n\x0b\x0c\r", "")
+    some = kept.join(repeated, same, "left_semi").withColumn(own, F.sha2(plain.cast("binary"), 256))
+    winners = marked.filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(digest)).distinct()
+    some = some.join(winners, some[own].eqNullSafe(F.col(digest)) & some["doc_id"].eqNullSafe(F.col(id_)), "left_semi")
+    return kept.join(repeated, same, "left_anti").unionByName(some.dropDuplicates(["doc_id", own]).drop(own))
 
 
 #: DuckDB's form of ``groups``.

@@ -241,9 +241,12 @@ def resharded(docs: DataFrame, old_shard: Column, old: int, capacities: list[flo
     row of the new shards as reread: doc_id, size, text_crc32, old_shard, shard, slot.
 
     Every row counts by itself: null and repeated doc_ids, and equal rows, are each written
-    once. An empty table gives no rows; other columns of docs are written along.
+    once. An empty table gives no rows; other columns of docs are written along, those that
+    are named like one of ours with an underscore behind.
     """
     spark = docs.sparkSession
+    taken = {"__row", "__old", "__was", "__shard", "_metadata"}
+    docs = docs.select(*[F.col(f"`{c}`").alias(c + "_" if c in taken else c) for c in docs.columns])
     table = write_old(docs, old_shard, new_folder(spark, "old-shards"))
     shards = rewrite_affected(table, reshard(table, old, capacities, text), new_folder(spark, "new-shards"), text)
     crc = F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32")

@@ -31,7 +31,7 @@ SLACK = 0.14
 #: Texts of a band's value that are paired with one another; in fuller ones each is first paired with two, by one of the orders.
 FEW, ORDERS = 16, 4
 #: Texts of a block of a fuller band's value, and open pairs of a text that are compared first; then TIMES as many.
-BLOCK, FIRST, TIMES = 512, 4, 8
+BLOCK, FIRST, TIMES = 512, 32, 8
 #: Shingle hashes taken at a time.
 CHUNK = 1 << 13
 _RANDOM = np.random.default_rng(5)
@@ -148,9 +148,9 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, text: str = "text", word
     rest = _apart(likely, at).join(first, ["a", "b"], "left_anti")
     edges = stored(edges.unionByName(_checked(docs, text, sketches, rest, words, least)), "edges")
     large = stored(members.join(broadcast_if_small(stored(busy.filter(F.col("n") > FEW).select("key"), "large")), "key", "left_semi").select("fp", "key"), "members")
-    most = FIRST
+    most, at = FIRST, _component_of(edges)
     while True:
-        placed = join_hot(large, _component_of(edges), "fp", "node").select("fp", "key", F.coalesce("component", "fp").alias("component"))
+        placed = join_hot(large, at, "fp", "node").select("fp", "key", F.coalesce("component", "fp").alias("component"))
         mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
         mixed = stored(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
         if mixed.isEmpty():
@@ -159,9 +159,12 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, text: str = "text", word
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "component", "sig")
         found = stored(dealt.groupBy("key", "lo", "hi").applyInPandas(_open(least, most), "a long, b long, more boolean"), "open")
-        edges = stored(edges.unionByName(_checked(docs, text, sketches, found.select("a", "b").distinct(), words, least)), "edges")
+        new = _checked(docs, text, sketches, found.select("a", "b").distinct(), words, least)
         if found.filter("more").isEmpty():
-            return edges
+            return edges.unionByName(new)
+        if not new.isEmpty():
+            edges = stored(edges.unionByName(new), "edges")
+            at = _component_of(edges)
         most *= TIMES
 
 

@@ -46,7 +46,7 @@ def test_run(spark):
     assert out.count() > 0 and len(set(common._stored) - before) == 1  # of all that was stored, the result is left
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, base string, kept int, stay int, dropped int, random int, fp int, component_id int, digest int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, base string, kept int, stay int, gone int, random int, fp int, twice int, digest int"
 
 
 def odd_rows():

@@ -15,7 +15,7 @@ def test_rows_are_those_of_the_files(spark):
     """Null and repeated doc_ids, and repeated rows, are written once; columns with the same names as ours do no harm."""
     df = spark.createDataFrame(ROWS, "doc_id long, text string, size string").repartition(3)
     old = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3))
-    got = resharding.resharded(df, old, 3, 5)
+    got = resharding.resharded(df.withColumns({"__row": F.lit(1), "__old": F.lit(2), "__shard": F.lit("x"), "slot": F.lit(3)}), old, 3, 5)
     assert any("/old-shards-" in f for f in got.inputFiles()) and any("/new-shards-" in f for f in got.inputFiles())
     rows = got.collect()
     assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((d, len((t or "").encode()) + 8) for d, t, _ in ROWS)

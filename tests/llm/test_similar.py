@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from pricegate.llm import similar
+from pricegate.llm import simhash, similar
 from tests.llm.test_operators import least
 
 NEAR = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
@@ -44,3 +44,26 @@ def test_repeated_ids_stay_or_go_together(spark):
     a, b = (" ".join(f"w{x}" for x in rng.integers(0, 3000, 300)) for _ in range(2))
     df = spark.createDataFrame([(1, a), (2, changed(rng, a, 3)), (2, b), (3, changed(rng, b, 3))], "doc_id long, text string")
     assert [r["doc_id"] for r in NEAR(spark, df, "").collect()] == [1]
+
+
+def test_fuller_bands_lose_no_link(spark, monkeypatch):
+    """Chains of texts of which only neighbours are similar, all sharing bands, and small bounds: links between all components are found."""
+    monkeypatch.setattr(similar, "FEW", 2)
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    monkeypatch.setattr(similar, "FIRST", 1)
+    monkeypatch.setattr(similar, "TIMES", 2)
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(3):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        for step in range(25):  # 4 more words change with every step: similarity 0.82 to the next, 0.67 to the one after
+            for at in range(4):
+                words[(8 * step + 2 * at * 25) % 200] = f"z{rng.integers(0, 1 << 40)}"
+            texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    edges = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = least(edges, range(len(texts)))
+    assert 3 <= len(set(want.values())) < 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, words=5, similarity=0.8).collect()}
+    assert got == want
