@@ -337,6 +337,9 @@ O["note_fallback"] = with_(FILTERED) + """SELECT CASE WHEN coalesce(reasons, '')
 HEADED = f"row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) - 1 AS line, ts::DATE - {FIRST} + 1 AS place"
 O["daily_files"] = f"""SELECT file_day, time_stamp, zone, ptid, lbmp, CASE WHEN day(file_day) % 3 = 0 THEN left(zone, 2) END AS losses, line, dense_rank() OVER (ORDER BY place) AS place FROM (
   SELECT ts::DATE AS file_day, strftime(ts, '%m/%d/%Y %H:%M:%S') AS time_stamp, event_type AS zone, user_id AS ptid, printf('%.4f', value)::DOUBLE AS lbmp, {HEADED} FROM events) WHERE file_day BETWEEN DATE '2024-01-03' AND DATE '2024-01-26'"""
+O["price_table"] = f"""SELECT ts::DATE AS file_day, event_type AS zone, count(*) AS rows, 0::BIGINT AS congested, {fx('sum(value::DECIMAL(18,4)::DOUBLE)', 3)} AS total, min(event_id)::INT AS first, max(event_id)::INT AS last FROM events GROUP BY ALL"""
+O["report_sink"] = with_(*GATE) + f"""SELECT run_id, count(*) FILTER (passed) AS passed, count(*) AS total, CASE WHEN bool_and(passed) THEN 0 ELSE 2 END::BIGINT AS exit_code,
+  coalesce(string_agg("check", ',' ORDER BY ord) FILTER (NOT passed), '') AS failed, {fx('sum(coalesce(value, 0))', 3)} AS values FROM res GROUP BY run_id"""
 O["landed_days"] = f"""SELECT ts::DATE AS day, count(*) AS rows, count(DISTINCT event_id) AS keys, {fx('sum(value)', 3)} AS total, max(ts) AS last FROM events GROUP BY 1"""
 
 

@@ -134,6 +134,17 @@ def daily_files(spark, d):
     return plain.select("file_day", "time_stamp", "zone", F.col("ptid").cast("long").alias("ptid"), F.col("lbmp").cast("double").alias("lbmp"), "losses", (F.col("seq") % (1 << 32)).alias("line"), F.shiftright("seq", 32).alias("place"))
 
 
+@query
+def price_table(spark, d):
+    """The interval feed written as a CSV table of several files and read back in its order of publication."""
+    path = a.shared_folder(spark, "prices")
+    feed = a.interval_feed(spark, d)
+    table = feed.select("file_day", F.date_format("stamp", feeds.INTERVAL).alias("time_stamp"), "zone", F.col("seq").cast("int").alias("ptid"), F.col("lbmp").cast("decimal(18,4)").alias("lbmp"), F.lit(0.0).alias("losses"), F.lit(None).cast("double").alias("congestion"))
+    table.repartitionByRange(4, "ptid").sortWithinPartitions("ptid").write.option("header", True).csv(path)
+    rows = feeds.read_prices(spark, path).groupBy("file_day", "zone")
+    return rounded(rows.agg(F.count("*").alias("rows"), F.count("congestion").alias("congested"), F.sum("lbmp").alias("total"), F.min_by("ptid", "seq").alias("first"), F.max_by("ptid", "seq").alias("last")), 3)
+
+
 @query
 def landed_days(spark, d):
     """The interval feed as it is landed: a folder of Parquet files for each day, counted as read back."""
@@ -442,6 +453,16 @@ def gate_report(spark, d):
     return gate.report(result, gate.verdicts(result)).select("run_id", F.to_json(F.struct("checks", "passed", "total", "exit_code")).alias("report"))
 
 
+@query
+def report_sink(spark, d):
+    """The reports as JSON files, read back: verdict and what failed of each run."""
+    result, path = _results(spark, d), a.shared_folder(spark, "reports")
+    files.write_report(gate.report(result, gate.verdicts(result)), path)
+    rows = spark.read.schema("run_id string, passed long, total long, exit_code long, checks array<struct<check: string, passed: boolean, value: double>>").json(path)
+    failed = F.array_join(F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["check"]), ",")
+    return rows.select("run_id", "passed", "total", "exit_code", failed.alias("failed"), fixed(F.aggregate("checks", F.lit(0.0), lambda s, c: s + F.coalesce(c["value"], F.lit(0.0))), 3).alias("values"))
+
+
 def _candidate(spark, d, scored: DataFrame, bands: DataFrame) -> DataFrame:
     """The model checks of one run: errors, coverage and drift on the lines of orders and events."""
     edges = bands.agg(F.max(F.when(F.col("kind") == "overall", F.col("hi"))).alias("overall_improvement"), F.max(F.when(F.col("segment") == "R", F.col("lo"))).alias("peak_no_regression"), F.max(F.when(F.col("kind") == "hub", F.col("lo"))).alias("hub_no_regression"))
