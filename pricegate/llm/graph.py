@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, stored
+from .common import BROADCAST_ROWS, discard, join_hot, stored
 
 
-def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, few: bool) -> DataFrame:
     """Rows (u, v) beside m, the least of u and its neighbours. The centre of a large star is no large group anywhere:
-    its edges meet in partial aggregates, and its least is broadcast."""
-    return join_hot(rows, least, "u", "__u").drop("__u")
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    return stored(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m")), "least")
+    its edges meet in partial aggregates, and its least is broadcast. ``few``: the edges' counted number bounds that of all leasts."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m"))
+    joined = edges.join(F.broadcast(least), edges["u"] == least["__u"]) if few else join_hot(edges, stored(least, "least"), "u", "__u")
+    return joined.drop("__u")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -33,15 +31,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = _mark(e)
     for _ in range(rounds):
+        few = 2 * mark[0] <= BROADCAST_ROWS  # a step makes no more edges than there are
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        of_both = _least(both)
-        large = _with_least(both, of_both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, few).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.filter("u <> v").distinct(), "large")
-        of_large = _least(large)
-        near = _with_least(large, of_large)
+        near = _with_least(large, few)
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
         was, e = e, stored(small.filter("u <> v").distinct(), "small")
-        discard(e.sparkSession, was, of_both, large, of_large)
+        discard(e.sparkSession, was, large)
         now = _mark(e)
         if now == mark:
             break

@@ -196,10 +196,11 @@ def _checked(docs: DataFrame, text: str, sketches: DataFrame, pairs: DataFrame,
 
     pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "wanted")
-    holders = sketches.join(broadcast_if_small(wanted), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    listed = broadcast_if_small(wanted)
+    holders = sketches.join(listed, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     holders = stored(holders.select("doc_id").distinct(), "holders")
     texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(broadcast_if_small(holders), "doc_id", "left_semi").select("text")
-    texts = texts.mapInArrow(keyed, "fp long, text string").join(broadcast_if_small(wanted), "fp", "left_semi")
+    texts = texts.mapInArrow(keyed, "fp long, text string").join(listed, "fp", "left_semi")
     texts = stored(texts.dropDuplicates(["fp"]), "texts")
     sided = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
     found = stored(sided.mapInArrow(check, "a long, b long"), "similar")
