@@ -31,7 +31,7 @@ SLACK = 0.14
 #: Texts of a band's value that are paired with one another; in fuller ones each is first paired with two, by one of the orders.
 FEW, ORDERS = 16, 4
 #: Texts of a block of a fuller band's value, and open pairs of a text that are compared first; then TIMES as many.
-BLOCK, FIRST, TIMES = 512, 32, 8
+BLOCK, FIRST, TIMES = 512, 4, 8
 #: Shingle hashes taken at a time.
 CHUNK = 1 << 13
 _RANDOM = np.random.default_rng(5)
@@ -89,17 +89,22 @@ def _likely(least: float):
 
 
 def _open(least: float, most: int):
-    """Of the texts of a pair of blocks: each one's ``most`` likeliest pairs with texts of other components, and whether there are more."""
+    """Of the texts of a pair of blocks: each one's ``most`` likeliest pairs with texts of other components, and whether there are more.
+
+    A pair counts in the first band only that its texts share, so that it is given once.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = frame["lo"].iat[0], frame["hi"].iat[0]
+        lo, hi, band = frame["lo"].iat[0], frame["hi"].iat[0], frame["band"].iat[0]
         left = frame[frame["block"] == lo].sort_values("fp")
         right = left if lo == hi else frame[frame["block"] == hi].sort_values("fp")
         x, y = (np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1) for f in (left, right))
+        u, v = (np.array(f["bands"].tolist(), dtype=np.int64).reshape(len(f), -1) for f in (left, right))
         comps, fps, out = right["component"].to_numpy(), right["fp"].to_numpy(), []
-        for sig, fp, component in zip(x, left["fp"], left["component"], strict=True):
+        for sig, bands, fp, component in zip(x, u, left["fp"], left["component"], strict=True):
             share = (y == sig).mean(1)
             near = np.flatnonzero((share >= least - SLACK) & (comps != component))
+            near = near[(v[near] == bands).argmax(1) == band]
             best = near[np.argsort(-share[near], kind="stable")[:most]]
             out += [(min(fp, other), max(fp, other), len(near) > most) for other in fps[best].tolist()]
         return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": bool})
@@ -147,17 +152,17 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, text: str = "text", word
     at = _component_of(edges)
     rest = _apart(likely, at).join(first, ["a", "b"], "left_anti")
     edges = stored(edges.unionByName(_checked(docs, text, sketches, rest, words, least)), "edges")
-    large = stored(members.join(broadcast_if_small(stored(busy.filter(F.col("n") > FEW).select("key"), "large")), "key", "left_semi").select("fp", "key"), "members")
+    large = stored(members.join(broadcast_if_small(stored(busy.filter(F.col("n") > FEW).select("key"), "large")), "key", "left_semi").select("fp", "band", "key"), "members")
     most, at = FIRST, _component_of(edges)
     while True:
-        placed = join_hot(large, at, "fp", "node").select("fp", "key", F.coalesce("component", "fp").alias("component"))
+        placed = join_hot(large, at, "fp", "node").select("fp", "band", "key", F.coalesce("component", "fp").alias("component"))
         mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
         mixed = stored(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
         if mixed.isEmpty():
             return edges
-        dealt = placed.join(broadcast_if_small(mixed), "key").join(sigs, "fp").withColumn("block", F.pmod(F.hash("fp"), F.col("blocks")))
+        dealt = placed.join(broadcast_if_small(mixed), "key").join(prints, "fp").withColumn("block", F.pmod(F.hash("fp"), F.col("blocks")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "component", "sig")
+        dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "block", "fp", "component", "sig", "bands")
         found = stored(dealt.groupBy("key", "lo", "hi").applyInPandas(_open(least, most), "a long, b long, more boolean"), "open")
         new = _checked(docs, text, sketches, found.select("a", "b").distinct(), words, least)
         if found.filter("more").isEmpty():
