@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact_dedup, html, packing, pieces, quality, resharding, secrets, simhash, warc
+from . import alignment, embeddings, exact_dedup, html, packing, pieces, quality, resharding, rules, search, secrets, simhash, warc
 from .common import input_table
 
 
@@ -58,13 +58,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = input_table(spark, sf_dir, "documents", "doc_id", "text")
+    return rules.apply(docs, input_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = input_table(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = input_table(spark, sf_dir, "documents", "doc_id", "text")
+    return search.rank_documents(docs, input_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_flow_resharding, op2_quality_discriminant, op3_warc_archive, op4_exact_dedup, op5_simhash_near_dedup, op6_secret_randomness,
-        op7_embedding_near_dedup, op8_html_main_text, op9_merge_dropout, op10_packing,
+        op7_embedding_near_dedup, op8_html_main_text, op9_merge_dropout, op10_packing, op11_quality_rules, op12_token_alignment, op13_ranked_search,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_embedding_near_dedup": embeddings.ORACLE}
+    return {"op3_warc_archive": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_embedding_near_dedup": embeddings.ORACLE, "op13_ranked_search": search.ORACLE}
