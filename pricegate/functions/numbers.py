@@ -12,10 +12,27 @@ def fixed(x: Column, digits: int = 6) -> Column:
     return F.floor(x * F.lit(scale) + F.lit(0.49987)).cast("double") / F.lit(scale)
 
 
+def nanos(x: Column) -> Column:
+    """A price as a whole number of 10**-9, which takes off the noise that a sum has beyond."""
+    return F.floor(x * F.lit(1e9) + F.lit(0.49987))
+
+
+def cents_of(x: Column, n: Column) -> Column:
+    """Two decimals as Python rounds a double: by its exact binary value, ties to even. ``n``: ``nanos(x)``, best a column of
+    its own, as it is read more than once. From 8 * 10**9 on, and for NaN and infinities, the price itself."""
+    rest = F.pmod(n, F.lit(10_000_000))
+    below = (n - rest) / F.lit(1e7)
+    # of a decimal tie, the double nearest to it decides; its 200th part's error is found exactly, by Dekker's splitting
+    odd = below * 2 + 1
+    tie = odd / F.lit(200.0)
+    high = tie * F.lit(134217729.0) - (tie * F.lit(134217729.0) - tie)
+    error = (high * F.lit(200.0) - odd) + (tie - high) * F.lit(200.0)
+    up = F.when(rest != 5_000_000, rest > 5_000_000).otherwise((error > 0) | ((error == 0) & (below % 2 != 0)))
+    return F.when(F.abs(x) < 8e9, (below + up.cast("double")) / F.lit(100.0)).otherwise(x)
+
+
 def cents(x: Column) -> Column:
-    """Two decimals as Python rounds a double: by its exact binary value, ties to even. Noise of a sum beyond nine decimals is taken off first."""
-    near = fixed(x, 9)
-    return F.when(near < 0, -_nearest(F.abs(near), 2)).otherwise(_nearest(near, 2))
+    return cents_of(x, nanos(x))
 
 
 def _nearest(size: Column, digits: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..functions.numbers import fixed
 from ..operators import bootstrap, contract, defects, evaluate, features, gate, model, monitor, notes, reconcile
 from ..sources import adapters as a
 from ..sources import feeds, files
+from ..sources.folders import new_folder, stored
 
 SPLIT, MONITOR_FROM, REFERENCE = 20, 26, 10
 TOLERANCE = 20.0
@@ -137,7 +139,7 @@ def daily_files(spark, d):
 @query
 def price_table(spark, d):
     """The interval feed written as a CSV table of several files and read back in its order of publication."""
-    path = a.shared_folder(spark, "prices")
+    path = new_folder(spark, "prices")
     feed = a.interval_feed(spark, d)
     table = feed.select("file_day", F.date_format("stamp", feeds.INTERVAL).alias("time_stamp"), "zone", F.col("seq").cast("int").alias("ptid"), F.col("lbmp").cast("decimal(18,4)").alias("lbmp"), F.lit(0.0).alias("losses"), F.lit(None).cast("double").alias("congestion"))
     table.repartitionByRange(4, "ptid").sortWithinPartitions("ptid").write.option("header", True).csv(path)
@@ -148,7 +150,7 @@ def price_table(spark, d):
 @query
 def landed_days(spark, d):
     """The interval feed as it is landed: a folder of Parquet files for each day, counted as read back."""
-    path = a.shared_folder(spark, "days")
+    path = new_folder(spark, "days")
     files.write_days(a.interval_feed(spark, d).withColumnRenamed("file_day", "day"), path)
     rows = spark.read.parquet(path)
     return rounded(rows.groupBy("day").agg(F.count("*").alias("rows"), F.countDistinct("seq").alias("keys"), F.sum("lbmp").alias("total"), F.max("stamp").alias("last")), 3)
@@ -398,24 +400,36 @@ def paired_bootstrap_bands(spark, d):
 # gate
 
 
-def _daily_rows(spark, d) -> DataFrame:
+def _daily_rows(rows: DataFrame) -> DataFrame:
     """Published rows with a few conflicting copies."""
-    rows = a.preliminary(spark, d)
     copies = rows.filter("dayofmonth(day) % 7 = 3 and hour in (5, 6)").withColumns({"price_rt": F.when(F.col("hour") == 5, F.col("price_rt") + 3).otherwise(F.col("price_rt")), "seq": F.col("seq") + (1 << 40)})
     return rows.unionByName(copies)
 
 
-def _summary(spark, d) -> DataFrame:
+@dataclass(frozen=True)
+class DailyRuns:
+    """A run for each day: its rows with their reasons, the different accepted ones, and the hour counts, each stored once."""
+
+    marked: DataFrame
+    exact: DataFrame
+    counts: DataFrame
+    hourly: DataFrame
+
+
+def _runs(spark, d) -> DailyRuns:
+    f = a.stored_feeds(spark, d)
+    marked = stored(contract.with_reason(_daily_rows(f.preliminary), a.EVENTS).withColumn("run_id", F.col("day").cast("string")), "marked")
+    exact = stored(reconcile.exact_rows(marked.filter("reason is null")).withColumn("run_id", F.col("day").cast("string")), "exact")
+    counts = stored(reconcile.interval_counts(exact.filter("place = 1"), list(a.EVENTS.hubs)).withColumn("run_id", F.col("day").cast("string")), "counts")
+    return DailyRuns(marked, exact, counts, f.hourly)
+
+
+def _summary(runs: DailyRuns) -> DataFrame:
     """The counters of every daily run, as one row each."""
-    day = F.col("day").cast("string").alias("run_id")
-    marked = contract.with_reason(_daily_rows(spark, d), a.EVENTS)
-    rates = contract.quarantine_rate(marked.withColumn("run_id", F.col("day").cast("string")), "run_id").select("run_id", F.col("rate").alias("quarantine_rate"))
-    exact = reconcile.exact_rows(marked.filter("reason is null"))
-    clash = exact.groupBy(day).agg(F.count(F.when((F.col("key_rows") > 1) & (F.col("place") == 1), 1)).alias("duplicate_conflicts"))
-    clean = exact.filter("place = 1")
-    wrong = reconcile.interval_counts(clean, list(a.EVENTS.hubs)).groupBy(day).agg(F.count(F.when(~F.col("ok"), 1)).alias("hour_count_days_wrong"))
-    hourly = feeds.published_rows(a.day_ahead(spark, d), a.hourly(spark, d))
-    gap = reconcile.revision_gap(clean.withColumn("run_id", F.col("day").cast("string")), hourly, TOLERANCE, by="run_id").filter("run_id is not null")
+    rates = contract.quarantine_rate(runs.marked, "run_id").select("run_id", F.col("rate").alias("quarantine_rate"))
+    clash = runs.exact.groupBy("run_id").agg(F.count(F.when((F.col("key_rows") > 1) & (F.col("place") == 1), 1)).alias("duplicate_conflicts"))
+    wrong = runs.counts.groupBy("run_id").agg(F.count(F.when(~F.col("ok"), 1)).alias("hour_count_days_wrong"))
+    gap = reconcile.revision_gap(runs.exact.filter("place = 1"), runs.hourly, TOLERANCE, by="run_id").filter("run_id is not null")
     gap = gap.select("run_id", F.col("share_off").alias("reconcile_share_off"), F.col("mean_abs").alias("reconcile_mean_abs"))
     return rates.join(clash, "run_id", "left").join(wrong, "run_id", "left").join(gap, "run_id", "left")
 
@@ -423,17 +437,18 @@ def _summary(spark, d) -> DataFrame:
 DATA_CHECKS = ["quarantine_rate", "hour_count_days_wrong", "duplicate_conflicts", "reconcile_share_off", "reconcile_mean_abs"]
 
 
-def _values(spark, d) -> DataFrame:
-    return rounded(gate.values(_summary(spark, d), DATA_CHECKS))
+def _values(runs: DailyRuns) -> DataFrame:
+    return rounded(gate.values(_summary(runs), DATA_CHECKS))
 
 
-def _results(spark, d) -> DataFrame:
-    return gate.results(_values(spark, d), DAILY.frame(spark))
+def _results(spark, d, runs: DailyRuns | None = None) -> DataFrame:
+    """The results of all runs, stored, as verdicts and notes read them more than once."""
+    return stored(gate.results(_values(runs or _runs(spark, d)), DAILY.frame(spark)), "results")
 
 
 @query
 def gate_values(spark, d):
-    return _values(spark, d)
+    return _values(_runs(spark, d))
 
 
 @query
@@ -456,7 +471,7 @@ def gate_report(spark, d):
 @query
 def report_sink(spark, d):
     """The reports as JSON files, read back: verdict and what failed of each run."""
-    result, path = _results(spark, d), a.shared_folder(spark, "reports")
+    result, path = _results(spark, d), new_folder(spark, "reports")
     files.write_report(gate.report(result, gate.verdicts(result)), path)
     rows = spark.read.schema("run_id string, passed long, total long, exit_code long, checks array<struct<check: string, passed: boolean, value: double>>").json(path)
     failed = F.array_join(F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["check"]), ",")
@@ -572,18 +587,13 @@ def diagnose_runs(spark, d):
     return notes.diagnose(_results(spark, d))
 
 
-def _wrong(spark, d) -> DataFrame:
-    accepted = contract.with_reason(_daily_rows(spark, d), a.EVENTS).filter("reason is null")
-    clean = reconcile.exact_rows(accepted).filter("place = 1")
-    return reconcile.wrong_days(reconcile.interval_counts(clean, list(a.EVENTS.hubs))).withColumn("run_id", F.col("day").cast("string"))
-
-
 @query
 def run_evidence(spark, d):
-    days = _wrong(spark, d).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("hub", "hours_seen", "hours_expected"))).alias("evidence"))
-    marked = contract.with_reason(_daily_rows(spark, d), a.EVENTS).filter("reason is not null").groupBy(F.col("day").cast("string").alias("run_id"), "reason").agg(F.count("*").alias("n"))
+    runs = _runs(spark, d)
+    days = reconcile.wrong_days(runs.counts).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("hub", "hours_seen", "hours_expected"))).alias("evidence"))
+    marked = runs.marked.filter("reason is not null").groupBy("run_id", "reason").agg(F.count("*").alias("n"))
     reasons = marked.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("reason", "n"))).alias("evidence"))
-    return notes.evidence(_results(spark, d), {"hour_count_days_wrong": days, "quarantine_rate": reasons})
+    return notes.evidence(_results(spark, d, runs), {"hour_count_days_wrong": days, "quarantine_rate": reasons})
 
 
 FORM = notes.NoteForm(
@@ -595,8 +605,9 @@ FORM = notes.NoteForm(
 
 
 def _notes(spark, d) -> DataFrame:
-    facts = _wrong(spark, d).select("run_id", F.lit("hour_count_days_wrong").alias("check"), F.col("hub").alias("ord"), F.format_string("%s shows %d of %d hours", "hub", "hours_seen", "hours_expected").alias("fact"))
-    return notes.template_notes(_results(spark, d), FORM, facts)
+    runs = _runs(spark, d)
+    facts = reconcile.wrong_days(runs.counts).select("run_id", F.lit("hour_count_days_wrong").alias("check"), F.col("hub").alias("ord"), F.format_string("%s shows %d of %d hours", "hub", "hours_seen", "hours_expected").alias("fact"))
+    return notes.template_notes(_results(spark, d, runs), FORM, facts)
 
 
 @query
@@ -605,8 +616,9 @@ def note_template(spark, d):
 
 
 def _allowed(spark, d) -> DataFrame:
-    checked = gate.values(_summary(spark, d), ["reconcile_share_off", "reconcile_mean_abs", "quarantine_rate"]).withColumn("value", fixed(F.col("value"), 9))
-    whole = _summary(spark, d).select("run_id", F.col("duplicate_conflicts").alias("value"))
+    summary = stored(_summary(_runs(spark, d)), "summary")
+    checked = gate.values(summary, ["reconcile_share_off", "reconcile_mean_abs", "quarantine_rate"]).withColumn("value", fixed(F.col("value"), 9))
+    whole = summary.select("run_id", F.col("duplicate_conflicts").alias("value"))
     return notes.allowed_numbers(checked, checked.select("run_id", F.col("run_id").alias("text")).distinct(), whole)
 
 

@@ -7,63 +7,102 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bins of an interval in each pass, and values of an interval that are at last looked at one by one.
-BINS, FEW = 256, 4096
+#: Parts into which a pass cuts what is left, and values that are at last looked at one by one.
+PARTS, FEW = 32, 4096
 
 
 def quantiles(rows: DataFrame, by: list[str], value: Column, at: list[float]) -> DataFrame:
     """by and q: the quantiles of each group, linear between neighbouring values. Groups are few; null and NaN are passed over.
 
-    The least, the greatest and the number of values come first. Then the interval that holds
-    a wanted rank is cut into bins, whose counts tell which bin holds it, until few values are
-    left or all are equal. A pass brings BINS counts for each wanted rank to the driver, and
+    Up to FEW values in all come to the driver at once. Of more, values that cut a group into
+    about equal parts are found by Spark's sketch; counting exactly below, at and between them
+    tells on which of them a wanted rank lies, or between which two, and what is there is cut
+    again, until it is few. A part lacks the values that it was cut by, so this ends whatever
+    the values are: infinities, ties and far outliers are values like any other, as nothing is
+    reckoned with them. A pass brings 2 * PARTS + 1 counts for each wanted rank to the driver,
     the last one FEW values at most.
     """
     spark = rows.sparkSession
-    own = rows.select(*by, value.cast("double").alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x")).persist()
-    groups = own.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")).collect()
+    own = rows.select(*by, value.cast("double").alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name in by]
-    # for each group and rank: the interval that holds it, the values before the interval and in it
-    held = {(g, r): [row["__lo"], row["__hi"], 0, row["__n"]] for g, row in enumerate(groups) for q in at for r in _ranks(q, row["__n"])}
+    few = own.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        held: dict[tuple, list[float]] = {}
+        for r in few:
+            held.setdefault(tuple(r[:-1]), []).append(r["__x"])
+        found = [(*g, [_linear(q, sorted(xs)) for q in at]) for g, xs in held.items()]
+    else:
+        own = own.persist()
+        found = _of_many(own, by, at, kinds)
+        own.unpersist()
+    return spark.createDataFrame(found, ", ".join([*kinds, "q array<double>"]))
 
-    def within(wanted: list[tuple[int, float, float]]) -> DataFrame:
-        table = spark.createDataFrame([(*(groups[g][c] for c in by), k, lo, hi) for k, (g, lo, hi) in enumerate(wanted)], ", ".join([*kinds, "__k int, __a double, __b double"]))
-        table = table.select(*[F.col(f"`{c}`").alias(f"__by{n}") for n, c in enumerate(by)], "__k", "__a", "__b")
-        same = F.lit(True)
-        for n, c in enumerate(by):
-            same = same & own[c].eqNullSafe(table[f"__by{n}"])
-        return own.join(F.broadcast(table), same & F.col("__x").between(F.col("__a"), F.col("__b")))  # a row for each wanted rank at most
 
-    while wanted := sorted({(g, v[0], v[1]) for (g, _), v in held.items() if v[0] < v[1] and v[3] > FEW}):
-        bin_ = F.least(F.floor((F.col("__x") / 2 - F.col("__a") / 2) / (F.col("__b") / 2 - F.col("__a") / 2) * BINS), F.lit(BINS - 1))
-        counts: dict[int, list] = {}
-        for r in within(wanted).groupBy("__k", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")).collect():
-            counts.setdefault(r["__k"], []).append((r["bin"], r["n"], r["lo"], r["hi"]))
-        place = {key: k for k, key in enumerate(wanted)}
-        for (g, rank), v in held.items():
-            if (k := place.get((g, v[0], v[1]))) is not None and v[3] > FEW:
-                before = v[2]
-                for _, n, lo, hi in sorted(counts[k]):
-                    if rank < before + n:
-                        held[g, rank] = [lo, hi, before, n]
-                        break
-                    before += n
-    last = sorted({(g, v[0], v[1]) for (g, _), v in held.items() if v[0] < v[1]})
-    listed = {last[r["__k"]]: r["xs"] for r in within(last).groupBy("__k").agg(F.array_sort(F.collect_list("__x")).alias("xs")).collect()} if last else {}
-    own.unpersist()
+def _ranks(q: float, n: int) -> tuple[int, int]:
+    position = q * (n - 1)
+    return math.floor(position), math.ceil(position)
 
-    def value_at(g: int, rank: int) -> float:
-        lo, hi, before, _ = held[g, rank]
-        return lo if lo == hi else listed[g, lo, hi][rank - before]
 
-    def quantile(g: int, q: float) -> float:
-        position = q * (groups[g]["__n"] - 1)
-        low, high = _ranks(q, groups[g]["__n"])
-        return value_at(g, low) if low == high else (high - position) * value_at(g, low) + (position - low) * value_at(g, high)
+def _linear(q: float, xs: list[float] | dict[int, float], n: int | None = None) -> float:
+    """The quantile of sorted values, or of n values of which those at its ranks are known."""
+    n = n or len(xs)
+    low, high = _ranks(q, n)
+    part = q * (n - 1) - low
+    return xs[low] if xs[low] == xs[high] else (1 - part) * xs[low] + part * xs[high]
 
-    return spark.createDataFrame([(*(row[c] for c in by), [quantile(g, q) for q in at]) for g, row in enumerate(groups)], ", ".join([*kinds, "q array<double>"]))
 
+def _of_many(own: DataFrame, by: list[str], at: list[float], kinds: list[str]) -> list[tuple]:
+    spark = own.sparkSession
+    cuts = F.array_distinct(F.percentile_approx("__x", [k / PARTS for k in range(PARTS + 1)], 100 * PARTS)).alias("cuts")
+    groups = own.groupBy(*by).agg(F.count("*").alias("n"), cuts).collect()
+    # of each group and rank: what it lies between, not inclusive, and the values up to the lower end and between
+    Span = tuple[float | None, float | None]
+    spans: dict[tuple[int, int], tuple[Span, int, int]] = {(g, r): ((None, None), 0, row["n"]) for g, row in enumerate(groups) for q in at for r in _ranks(q, row["n"])}
+    known: dict[tuple[int, int], float] = {}
 
-def _ranks(q: float, n: int) -> tuple[int, int]:
-    position = q * (n - 1)
-    return math.floor(position), math.ceil(position)
+    def within(wanted: list[tuple[int, Span]], listed: list[list[float]] | None = None) -> DataFrame:
+        """Values beside each wanted span (its number k) of their group that holds them."""
+        names = [f"__by{n}" for n in range(len(by))]
+        table = spark.createDataFrame(
+            [(*(groups[g][c] for c in by), k, *span, listed[k] if listed else []) for k, (g, span) in enumerate(wanted)],
+            ", ".join([*(f"{n} {kind.rpartition(' ')[2]}" for n, kind in zip(names, kinds, strict=True)), "__k int, __a double, __b double, __cuts array<double>"]),
+        )
+        x, same = F.col("__x"), F.lit(True)
+        for c, n in zip(by, names, strict=True):
+            same = same & own[c].eqNullSafe(table[n])
+        inside = (F.col("__a").isNull() | (x > F.col("__a"))) & (F.col("__b").isNull() | (x < F.col("__b")))
+        return own.join(F.broadcast(table), same & inside)  # a row for each wanted rank at most
+
+    first = True
+    while wanted := sorted({(g, span) for (g, _), (span, _, n) in spans.items() if n > FEW}, key=str):
+        if first:
+            listed = [groups[g]["cuts"] for g, _ in wanted]
+        else:
+            found = {r["__k"]: r["cuts"] for r in within(wanted).groupBy("__k").agg(cuts).collect()}
+            listed = [found[k] for k in range(len(wanted))]
+        first = False
+        listed = [sorted(xs) for xs in listed]
+        below = F.size(F.filter("__cuts", lambda c: c < F.col("__x"))).alias("below")
+        on = F.array_contains("__cuts", F.col("__x")).alias("on")
+        counts: dict[int, dict] = {}
+        for r in within(wanted, listed).groupBy("__k", below, on).agg(F.count("*").alias("n")).collect():
+            counts.setdefault(r["__k"], {})[r["below"], not r["on"]] = r["n"]
+        number = {key: k for k, key in enumerate(wanted)}
+        for (g, rank), (span, before, n) in list(spans.items()):
+            if n <= FEW:
+                continue
+            xs, done = listed[number[g, span]], before
+            # a cut's place is after the values between it and the one before
+            for (place, between), m in sorted(counts[number[g, span]].items(), key=lambda c: (c[0][0], not c[0][1])):
+                if rank < done + m:
+                    break
+                done += m
+            if between:
+                spans[g, rank] = ((xs[place - 1] if place else span[0], xs[place] if place < len(xs) else span[1]), done, m)
+            else:
+                known[g, rank] = xs[place]
+                del spans[g, rank]
+    last = sorted({(g, span) for (g, _), (span, _, _) in spans.items()}, key=str)
+    values = {last[r["__k"]]: r["xs"] for r in within(last).groupBy("__k").agg(F.array_sort(F.collect_list("__x")).alias("xs")).collect()} if last else {}
+    known |= {(g, rank): values[g, span][rank - before] for (g, rank), (span, before, _) in spans.items()}
+    return [(*(row[c] for c in by), [_linear(q, {r: known[g, r] for r in _ranks(q, row["n"])}, row["n"]) for q in at]) for g, row in enumerate(groups)]

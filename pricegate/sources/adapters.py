@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
-import uuid
 import zipfile
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import hours_in_local_day
 from ..operators.contract import Contract
 from . import feeds
+from .folders import stored
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 #: One type is left out of the known hubs and the upper price is tight, so that every reason occurs.
@@ -36,16 +36,6 @@ def interval_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("zone"), F.to_date("ts").alias("file_day"), F.col("ts").alias("stamp"), F.col("value").alias("lbmp"), F.col("event_id").alias("seq"))
 
 
-def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, or a local one where it is unset and all runs on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def daily_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): for each day of events a zip archive with a CSV file named by the day. Days differ in the order and the names of columns."""
 
@@ -162,6 +152,23 @@ DUPLICATE_KEY, DUPLICATE_VALUES = ["l_orderkey", "l_linenumber"], ["l_quantity",
 DUPLICATE_ORDER = ["copy", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
+@dataclass(frozen=True)
+class Feeds:
+    """What a gate reads, stored: each of events' aggregates is made once, whoever reads it."""
+
+    preliminary: DataFrame
+    hourly: DataFrame
+
+
+def stored_feeds(spark: SparkSession, sf_dir: str) -> Feeds:
+    """Preliminary rows, and the same hours with the publisher's own price. Events are read twice: by interval, and by hour."""
+    events = table(spark, sf_dir, "events")
+    hours = events.groupBy(F.col("event_type").alias("zone"), F.to_date("ts").alias("day"), (F.hour("ts") + 1).alias("hour"))
+    cells = stored(hours.agg(F.avg(_k()).alias("price_da"), F.avg("value").alias("price_rt")), "cells")
+    rows = feeds.published_rows(cells, real_time(spark, sf_dir)).withColumn("seq", _seq())
+    return Feeds(stored(rows, "preliminary"), feeds.published_rows(cells, cells))
+
+
 def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of orders, 1995 to 2001, among them days of 23 and 25 hours."""
     return table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import with_positions
-from ..functions.numbers import cents
+from ..functions.numbers import cents_of, nanos
 from .files import read_table
 
 #: The eleven hubs of the contract.
@@ -64,16 +64,23 @@ def forecast_vintage(wide: DataFrame, zones: list[str], day: str = "day", issued
     return long.select(F.upper(F.trim("zone")).alias("hub"), F.col(day).alias("day"), "hour", F.expr("try_cast(mw AS double)").alias("load_forecast_mw")).dropna(subset=["load_forecast_mw"])
 
 
+def _rows(joined: DataFrame, unit: str, status: str) -> DataFrame:
+    """Contract rows of prices, with two decimals; each price's whole number is a column before it is rounded."""
+    prices = ["price_da", "price_rt"]
+    whole = joined.select(F.col("zone").alias("hub"), "day", "hour", *prices, *[nanos(F.col(p)).alias(f"__{p}") for p in prices])
+    return whole.select("hub", "day", "hour", *[cents_of(F.col(p), F.col(f"__{p}")).alias(p) for p in prices], F.lit(unit).alias("unit"), F.lit(status).alias("status"))
+
+
 def published_rows(day_ahead: DataFrame, real_time: DataFrame, unit: str = UNIT) -> DataFrame:
     """Preliminary rows: every day-ahead hour, with the integrated price where there is one; two decimals."""
     joined = day_ahead.select("zone", "day", "hour", "price_da").join(real_time.select("zone", "day", "hour", "price_rt"), ["zone", "day", "hour"], "left")
-    return joined.select(F.col("zone").alias("hub"), "day", "hour", cents(F.col("price_da")).alias("price_da"), cents(F.col("price_rt")).alias("price_rt"), F.lit(unit).alias("unit"), F.lit("preliminary").alias("status"))
+    return _rows(joined, unit, "preliminary")
 
 
 def verified_rows(day_ahead: DataFrame, hourly: DataFrame, unit: str = UNIT) -> DataFrame:
     """Revisions: hours of the publisher's hourly price that the day-ahead price has too; two decimals."""
     joined = hourly.select("zone", "day", "hour", "price_rt").join(day_ahead.select("zone", "day", "hour", "price_da"), ["zone", "day", "hour"])
-    return joined.select(F.col("zone").alias("hub"), "day", "hour", cents(F.col("price_da")).alias("price_da"), cents(F.col("price_rt")).alias("price_rt"), F.lit(unit).alias("unit"), F.lit("verified").alias("status"))
+    return _rows(joined, unit, "verified")
 
 
 def feed_extent(rows: DataFrame) -> DataFrame:

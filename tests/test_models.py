@@ -116,6 +116,22 @@ def test_quantiles_are_numpys(spark):
         assert np.allclose(got[k], np.quantile(v, at), rtol=1e-12, atol=1e-12), k
 
 
+@pytest.mark.parametrize("n", [60, 6000])
+def test_quantiles_of_any_doubles(spark, n):
+    """Infinities, far outliers, neighbouring denormals, powers of two, one value for half of the rows."""
+    inf = float("inf")
+    groups = {"inf": [inf] * 3 + [-inf] * 2 + list(range(n)), "all inf": [inf] * n, "far": [1e300, -1e300, *np.linspace(0, 1, n)], "tiny": [5e-324 * (k % 3) for k in range(n)], "powers": [2.0 ** (k % 2000 - 1000) for k in range(n)], "two": [1.0] * (n // 2) + [2.0] * (n - n // 2), "one": [7.0]}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "g string, x double").repartition(3)
+    at = [0.0, 0.3, 0.5, 0.9999, 1.0]
+    got = {r["g"]: r["q"] for r in quantiles(df, ["g"], F.col("x"), at).collect()}
+    for g, xs in groups.items():
+        xs = np.sort(np.array(xs, float))
+        for q, v in zip(at, got[g], strict=True):
+            k = q * (len(xs) - 1)
+            lo, hi, part = xs[int(np.floor(k))], xs[int(np.ceil(k))], k - np.floor(k)
+            assert np.isclose(v, lo if lo == hi else (1 - part) * lo + part * hi, rtol=1e-12, atol=0), (g, q)
+
+
 def test_streaks(spark):
     d0 = dt.date(2026, 1, 1)
     flags = [1, 1, 0, 1, 1, 1, 1]
