@@ -103,13 +103,15 @@ O["reason_counts"] = with_(ROWS, MARKED) + "SELECT reason, count(*) AS n FROM ma
 O["quarantine_rate"] = with_(ROWS, MARKED) + f"SELECT count(*) AS published, count(reason) AS quarantined, {fx('count(reason) / greatest(count(*), 1)')} AS rate FROM marked"
 FORMS = """forms AS (SELECT *, event_id % 83 AS m FROM rows)"""
 PAYLOAD = "pay AS (SELECT *, " + reason(inserts={
-    "day": "WHEN hub IS NOT NULL AND day IS NOT NULL AND m = 3 THEN 'date_from_datetime_inexact'",
-    "hour": "WHEN m = 2 THEN 'missing_field' WHEN m = 5 THEN 'hour_beyond_day' WHEN m = 6 THEN 'bad_type'",
-    "price_da": "WHEN m = 7 THEN 'price_out_of_range'",
-    "price_rt": "WHEN m = 8 THEN 'bad_type'",
+    "hub": "WHEN m IN (12, 13) THEN 'bad_type'",
+    "day": "WHEN hub IS NOT NULL AND day IS NOT NULL AND m = 3 THEN 'date_from_datetime_inexact' WHEN hub IS NOT NULL AND m = 11 THEN 'date_from_datetime_inexact' WHEN m IN (10, 16, 24) THEN 'bad_type'",
+    "hour": "WHEN m = 2 THEN 'missing_field' WHEN m = 5 THEN 'hour_beyond_day' WHEN m IN (6, 19, 25) THEN 'bad_type'",
+    "price_da": "WHEN m = 7 THEN 'price_out_of_range' WHEN m = 20 THEN 'bad_type'",
+    "price_rt": "WHEN m IN (8, 23) THEN 'bad_type'",
     "unit": "WHEN m = 0 THEN 'missing_field'",
     "end": "WHEN m = 9 THEN 'unexpected_field'",
-}) + " AS reason FROM (SELECT * REPLACE (CASE WHEN m = 1 THEN NULL ELSE price_rt END AS price_rt) FROM forms))"
+}) + """ AS reason FROM (SELECT * REPLACE (CASE WHEN m = 1 THEN NULL ELSE price_rt END AS price_rt, CASE WHEN m = 14 THEN DATE '2024-01-01' ELSE day END AS day,
+  CASE WHEN m = 17 THEN 1 ELSE hour END AS hour, CASE WHEN m = 22 THEN 1 ELSE price_da END AS price_da) FROM forms))"""
 O["contract_payload"] = with_(ROWS, FORMS, PAYLOAD) + "SELECT event_id, reason FROM pay"
 O["payload_accepted"] = with_(ROWS, FORMS, PAYLOAD) + "SELECT event_id, hub, day, hour::INT AS hour, price_da, price_rt, unit, status FROM pay WHERE reason IS NULL"
 

@@ -172,14 +172,13 @@ def contract_accepted(spark, d):
 
 @query
 def contract_payload(spark, d):
-    rows = a.contract_payloads(spark, d).withColumn("m", F.from_json("payload", "map<string,string>"))
-    return contract.with_reason(rows, a.EVENTS, "m").select("event_id", "reason")
+    return contract.with_reason(a.contract_payloads(spark, d), a.EVENTS, "payload").select("event_id", "reason")
 
 
 @query
 def payload_accepted(spark, d):
-    rows = a.contract_payloads(spark, d).withColumn("m", F.from_json("payload", "map<string,string>"))
-    return contract.with_reason(rows, a.EVENTS, "m").filter("reason is null").select("event_id", *contract.typed_payload(F.col("m")))
+    rows = contract.with_reason(a.contract_payloads(spark, d), a.EVENTS, "payload")
+    return rows.filter("reason is null").select("event_id", *contract.typed_payload())
 
 
 @query

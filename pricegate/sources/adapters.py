@@ -124,22 +124,30 @@ def contract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows as JSON text, some with a key more or less or a value of another form."""
+    """The same rows as JSON text, numbers as numbers; some with a key more or less, or a value of another form or type."""
     n, rows = F.col("event_id") % 83, contract_rows(spark, sf_dir)
-    one = F.lit
-    parts = {
-        "hub": F.col("hub"),
-        "day": F.when(n == 3, F.concat(F.col("day").cast("string"), one(" 06:30:00"))).when(n == 4, F.concat(F.col("day").cast("string"), one(" 00:00:00"))).otherwise(F.col("day").cast("string")),
-        "hour": F.when(n == 5, one("2.5")).when(n == 6, one("two")).otherwise(F.col("hour").cast("int").cast("string")),
-        "price_da": F.when(n == 7, one("NaN")).otherwise(F.col("price_da").cast("string")),
-        "price_rt": F.when(n == 8, one("n/a")).otherwise(F.col("price_rt").cast("string")),
-        "unit": F.col("unit"), "status": F.col("status"),
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    day, da = F.col("day").cast("string"), F.col("price_da").cast("string")
+    odd = {
+        "hub": {12: F.lit("7"), 13: F.lit('["view"]')},
+        "day": {
+            3: quoted(F.concat(day, F.lit(" 06:30:00"))), 4: quoted(F.concat(day, F.lit(" 00:00:00"))), 10: F.lit('"2026-01"'), 11: F.lit('"2026"'), 14: F.lit("1704067200"), 15: quoted(F.concat(day, F.lit("T00:00Z"))),
+            16: F.lit("true"), 24: F.lit('"2024-02-30"'),
+        },
+        "hour": {5: F.lit("2.5"), 6: F.lit('"two"'), 17: F.lit("true"), 18: quoted(F.col("hour").cast("string")), 19: F.lit('"2.5"'), 25: F.lit('{"is": 3}')},
+        "price_da": {7: F.lit('"NaN"'), 20: F.lit('"30.5d"'), 21: quoted(da), 22: F.lit("true")},
+        "price_rt": {8: F.lit('"n/a"'), 23: F.lit("[1]")},
     }
-    keys = F.array(*[F.lit(k) for k in [*parts, "note"]])
-    full = F.map_from_arrays(keys, F.array(*parts.values(), F.lit("x")))
-    gone = F.when(n == 0, "unit").when(n == 1, "price_rt").when(n == 2, "hour").otherwise("")
-    kept = F.map_filter(full, lambda k, _: (k != gone) & ((k != "note") | (n == 9)))
-    return rows.select("event_id", F.to_json(kept, {"ignoreNullFields": "false"}).alias("payload"))
+    plains = {"hub": quoted(F.col("hub")), "day": quoted(day), "hour": plain(F.col("hour").cast("int")), "price_da": plain(F.col("price_da")), "price_rt": plain(F.col("price_rt")), "unit": quoted(F.col("unit")), "status": quoted(F.col("status")), "note": F.lit('"x"')}
+    gone = {"unit": n == 0, "price_rt": n == 1, "hour": n == 2, "note": n != 9}
+    parts = []
+    for name, value in plains.items():
+        for k, other in odd.get(name, {}).items():
+            value = F.when(n == k, other).otherwise(value)
+        part = F.concat(F.lit(f'"{name}": '), value)
+        parts.append(F.when(~gone[name], part) if name in gone else part)
+    return rows.select("event_id", F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("payload"))
 
 
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

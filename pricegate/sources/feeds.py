@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from ..functions.calendar import with_positions
 from ..functions.numbers import cents_of, nanos
 from .files import read_table
@@ -67,8 +68,9 @@ def forecast_vintage(wide: DataFrame, zones: list[str], day: str = "day", issued
 def _rows(joined: DataFrame, unit: str, status: str) -> DataFrame:
     """Contract rows of prices, with two decimals; each price's whole number is a column before it is rounded."""
     prices = ["price_da", "price_rt"]
-    whole = joined.select(F.col("zone").alias("hub"), "day", "hour", *prices, *[nanos(F.col(p)).alias(f"__{p}") for p in prices])
-    return whole.select("hub", "day", "hour", *[cents_of(F.col(p), F.col(f"__{p}")).alias(p) for p in prices], F.lit(unit).alias("unit"), F.lit(status).alias("status"))
+    whole = bound(joined, {f"__{p}": nanos(F.col(p)) for p in prices})
+    near = bound(whole.select(F.col("zone").alias("hub"), "day", "hour", *[F.col(p).alias(f"__raw_{p}") for p in prices], *[f"__{p}" for p in prices]), {p: cents_of(F.col(f"__raw_{p}"), F.col(f"__{p}")) for p in prices})
+    return near.select("hub", "day", "hour", *prices, F.lit(unit).alias("unit"), F.lit(status).alias("status"))
 
 
 def published_rows(day_ahead: DataFrame, real_time: DataFrame, unit: str = UNIT) -> DataFrame:

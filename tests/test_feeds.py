@@ -1,6 +1,7 @@
 import datetime as dt
 import gzip
 import hashlib
+import json
 import zipfile
 
 import pytest
@@ -111,25 +112,36 @@ def test_cents_are_pythons(spark):
     assert spark.createDataFrame([(2.675 + 1e-13, None)], "v double, n double").select(cents(F.col("v")), cents(F.col("n"))).first() == (2.67, None)
 
 
-BASE = {"hub": "N.Y.C.", "day": "2026-01-15", "hour": "1", "price_da": "30.0", "price_rt": "32.0", "unit": "USD/MWh", "status": "preliminary"}
+BASE = {"hub": "N.Y.C.", "day": "2026-01-15", "hour": 1, "price_da": 30.0, "price_rt": 32.0, "unit": "USD/MWh", "status": "preliminary"}
 
 
 @pytest.mark.parametrize(
     ("change", "expected"),
     [
-        ({}, None), ({"price_rt": None}, None), ({"price_rt": "-50"}, None), ({"hour": "2.0"}, None), ({"day": "2026-01-15 00:00:00"}, None),
-        ({"unit": "USD/kWh"}, "unit_not_usd_mwh"), ({"unit": None}, "unit_not_usd_mwh"), ({"status": "draft"}, "unknown_status"), ({"hub": "PJM"}, "unknown_hub"), ({"hub": None}, "bad_type"),
-        ({"hour": "25"}, "hour_beyond_day"), ({"hour": "25", "day": "2025-11-02"}, None), ({"hour": "0"}, "hour_before_day"), ({"hour": "26", "day": "2025-11-02"}, "hour_beyond_day"), ({"hour": "2.5"}, "hour_beyond_day"), ({"hour": "x"}, "bad_type"),
-        ({"price_da": "9000"}, "price_out_of_range"), ({"price_da": "NaN"}, "price_out_of_range"), ({"price_da": None}, "bad_type"), ({"day": "2026-01-15 06:00:00"}, "date_from_datetime_inexact"), ({"day": "soon"}, "bad_type"),
+        ({}, None), ({"price_rt": None}, None), ({"price_rt": "-50"}, None), ({"hour": "2.0"}, None), ({"hour": 2.0}, None), ({"day": "2026-01-15 00:00:00"}, None), ({"day": "2026-01-15T00:00Z"}, None), ({"price_da": " 3_0.5 "}, None), ({"hour": True}, None), ({"price_da": True}, None),
+        ({"unit": "USD/kWh"}, "unit_not_usd_mwh"), ({"unit": None}, "unit_not_usd_mwh"), ({"unit": 3}, "unit_not_usd_mwh"), ({"status": "draft"}, "unknown_status"), ({"status": ["verified"]}, "unknown_status"), ({"hub": "PJM"}, "unknown_hub"),
+        ({"hub": None}, "bad_type"), ({"hub": 7}, "bad_type"), ({"hub": ["WEST"]}, "bad_type"), ({"hub": True}, "bad_type"),
+        ({"hour": "25"}, "hour_beyond_day"), ({"hour": "25", "day": "2025-11-02"}, None), ({"hour": "0"}, "hour_before_day"), ({"hour": False}, "hour_before_day"), ({"hour": "26", "day": "2025-11-02"}, "hour_beyond_day"), ({"hour": 2.5}, "hour_beyond_day"), ({"hour": "2.5"}, "bad_type"),
+        ({"hour": "x"}, "bad_type"), ({"hour": [1]}, "bad_type"), ({"hour": {"a": 1}}, "bad_type"), ({"hour": 10**22}, "hour_beyond_day"),
+        ({"price_da": "9000"}, "price_out_of_range"), ({"price_da": "NaN"}, "price_out_of_range"), ({"price_da": "-inf"}, "price_out_of_range"), ({"price_da": None}, "bad_type"), ({"price_da": "30.5d"}, "bad_type"), ({"price_da": "0x10"}, "bad_type"), ({"price_da": ""}, "bad_type"), ({"price_rt": [1.0]}, "bad_type"),
+        ({"day": "2026-01-15 06:00:00"}, "date_from_datetime_inexact"), ({"day": "2026-01-15T00:00:00.5"}, "date_from_datetime_inexact"), ({"day": "soon"}, "bad_type"), ({"day": "2026-01"}, "bad_type"), ({"day": "2026"}, "date_from_datetime_inexact"), ({"day": 1768435200}, None), ({"day": "1768435200"}, None),
+        ({"day": 1768435200000}, None), ({"day": 1768435201}, "date_from_datetime_inexact"), ({"day": "2026-02-30"}, "bad_type"), ({"day": "2026-01-15 25:00"}, "bad_type"), ({"day": True}, "bad_type"), ({"day": ["2026-01-15"]}, "bad_type"), ({"day": None}, "bad_type"),
         ({"note": "x"}, "unexpected_field"), ({"hub": ...}, "missing_field"), ({"price_rt": ...}, None), ({"hour": "0", "unit": "x", "note": "x"}, "hour_before_day"), ({"note": "x", "hub": "PJM"}, "unexpected_field"),
     ],
 )
 def test_contract_payload(spark, change, expected):
-    payload = {k: v for k, v in (BASE | change).items() if v is not ...}
-    df = spark.createDataFrame([(payload,)], "m map<string,string>")
+    payload = json.dumps({k: v for k, v in (BASE | change).items() if v is not ...})
+    df = spark.createDataFrame([(payload,)], "m string")
     assert contract.with_reason(df, payload="m").first()["reason"] == expected
 
 
+def test_no_payload(spark):
+    df = spark.createDataFrame([(t,) for t in (None, "", "[1]", "3", "{", '{"hub": "WEST", "hub": "WEST"}')], "m string")
+    assert {r["reason"] for r in contract.with_reason(df, payload="m").collect()} == {"bad_type"}
+    good = contract.with_reason(spark.createDataFrame([(json.dumps(BASE | {"hour": "2.0", "price_rt": None, "day": "2026-01-15T00:00"}),)], "m string"), payload="m").select(*contract.typed_payload()).first()
+    assert tuple(good) == ("N.Y.C.", dt.date(2026, 1, 15), 2, 30.0, None, "USD/MWh", "preliminary")
+
+
 def published(spark, data):
     return spark.createDataFrame([(h, D, hour, da, rt, "USD/MWh", st, s) for h, hour, da, rt, st, s in data], "hub string, day date, hour int, price_da double, price_rt double, unit string, status string, seq long")
 
