@@ -28,10 +28,8 @@ BANDS, DEPTH = 20, 5
 #: A pair's texts are compared if the share of equal least hashes is at most this far below the similarity: three and
 #: a half standard errors of a share of 100 at 0.8, which one pair in 3,000 of similarity 0.8 falls short of.
 SLACK = 0.14
-#: Texts of a band's value that are paired with one another; in fuller ones each is first paired with two, by one of the orders.
-FEW, ORDERS = 16, 4
-#: Texts of a block of a fuller band's value, and open pairs of a text that are compared first; then TIMES as many.
-BLOCK, FIRST, TIMES = 512, 4, 8
+#: Texts of a block of a band's value, and texts and bytes of shingles of the blocks that are compared for open pairs (left, right).
+BLOCK, LEFT, RIGHT, LEFT_BYTES, RIGHT_BYTES = 512, 512, 2048, 8 << 20, 32 << 20
 #: Shingle hashes taken at a time.
 CHUNK = 1 << 13
 _RANDOM = np.random.default_rng(5)
@@ -77,100 +75,188 @@ def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, bands array<long>, sig binary")
 
 
-def _likely(least: float):
-    """Of pairs with both signatures, those whose share of equal least hashes is high enough."""
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    n = len(keys[0])
+    new = np.zeros(max(n - 1, 0), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [n])) if n else np.zeros(1, np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows in order of the named columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        table = pa.Table.from_batches(held)
+        cut = int(_runs(*(table[c].to_numpy() for c in names))[-2])  # the last group may go on
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def spanning(sigs: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """Prim's algorithm: a spanning forest of the pairs with a share of equal least hashes of at least ``least``, the likeliest pairs first."""
+    n, out = len(sigs), []
+    share, via = np.full(n, -1.0), np.zeros(n, np.int64)
+    left, at = np.ones(n, bool), 0
+    for _ in range(n - 1):
+        left[at] = False
+        new = (sigs == sigs[at]).mean(1)
+        better = new > share
+        share[better], via[better] = new[better], at
+        at = int(np.where(left, share, -2.0).argmax())
+        if share[at] >= least:
+            out.append((at, int(via[at]), float(share[at])))
+    return out
+
+
+def _forest(least: float):
+    """Of the texts of each block of a band's value: the pairs (a, b) of a spanning forest of the likely ones, with their share."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), -1) for c in ("sig_a", "sig_b"))
-            yield b.loc[(x == y).mean(1) >= least - SLACK, ["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "key", "block"):
+            fps, sigs = table["fp"].to_numpy(), _matrix(table["sig"])
+            edges = _runs(table["key"].to_numpy(), table["block"].to_numpy())
+            size = np.diff(edges)
+            two = edges[:-1][size == 2]
+            share = (sigs[two] == sigs[two + 1]).mean(1)
+            good = share >= least - SLACK
+            pairs, shares = [np.stack([two[good], two[good] + 1], 1)], [share[good]]
+            for k in np.flatnonzero(size > 2).tolist():
+                found = spanning(sigs[edges[k] : edges[k + 1]], least - SLACK)
+                if found:
+                    pairs.append(np.array([p[:2] for p in found]) + edges[k])
+                    shares.append(np.array([p[2] for p in found]))
+            ends = fps[np.concatenate(pairs)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1)), pa.array(np.concatenate(shares))], ["a", "b", "share"])
 
     return run
 
 
-def _open(least: float, most: int):
-    """Of the texts of a pair of blocks: each one's ``most`` likeliest pairs with texts of other components, and whether there are more.
-
-    A pair counts in the first band only that its texts share, so that it is given once.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, band = frame["lo"].iat[0], frame["hi"].iat[0], frame["band"].iat[0]
-        left = frame[frame["block"] == lo].sort_values("fp")
-        right = left if lo == hi else frame[frame["block"] == hi].sort_values("fp")
-        x, y = (np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1) for f in (left, right))
-        u, v = (np.array(f["bands"].tolist(), dtype=np.int64).reshape(len(f), -1) for f in (left, right))
-        comps, fps, out = right["component"].to_numpy(), right["fp"].to_numpy(), []
-        for sig, bands, fp, component in zip(x, u, left["fp"], left["component"], strict=True):
-            share = (y == sig).mean(1)
-            near = np.flatnonzero((share >= least - SLACK) & (comps != component))
-            near = near[(v[near] == bands).argmax(1) == band]
-            best = near[np.argsort(-share[near], kind="stable")[:most]]
-            out += [(min(fp, other), max(fp, other), len(near) > most) for other in fps[best].tolist()]
-        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": bool})
+def _of_block(table: pa.Table, least: float) -> list[tuple[int, int]]:
+    """Of one group of open texts: links between components, each likely pair of texts compared on all shingles until its components are one."""
+    side = table["side"].to_numpy()
+    fps, comps, sigs, bands = table["fp"].to_numpy(), table["component"].to_numpy(), _matrix(table["sig"]), _matrix(table["bands"]).view(np.int64)
+    shingles = [np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()]
+    sizes = np.array(list(map(len, shingles)))
+    band, up, out = table["band"][0].as_py(), {}, []
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c] = up.get(up[c], up[c])
+        return c
+
+    right = np.flatnonzero(side == 1)
+    for t in np.flatnonzero(side == 0).tolist():
+        share = (sigs[right] == sigs[t]).mean(1)
+        near = (share >= least - SLACK) & (comps[right] != comps[t])
+        near = right[near][np.argsort(-share[near], kind="stable")]
+        near = near[(bands[near] == bands[t]).argmax(1) == band]  # a pair counts in the first band only that its texts share
+        step = 4
+        while len(near):
+            some, near, step = near[:step], near[step:], step * 2
+            flat = np.concatenate([shingles[k] for k in some])
+            found = np.searchsorted(shingles[t], flat)
+            held = shingles[t][np.minimum(found, sizes[t] - 1)] == flat if sizes[t] else np.zeros(len(flat), bool)
+            both = np.bincount(np.repeat(np.arange(len(some)), sizes[some]), held, minlength=len(some))
+            for k in some[both >= least * (sizes[some] + sizes[t] - both)].tolist():
+                a, b = root(comps[t]), root(comps[k])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((min(fps[t], fps[k]), max(fps[t], fps[k])))
+            if len(near) and up:
+                own = root(comps[t])
+                near = near[[root(c) != own for c in comps[near].tolist()]]
+    return out
+
+
+def _open(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "key", "lo", "hi"):
+            edges = _runs(*(table[c].to_numpy() for c in ("key", "lo", "hi")))
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                found = _of_block(table.slice(x, y - x), least)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _paired(members: DataFrame, busy: DataFrame, rows: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different texts (fp) that share a band's value (key): all pairs of
-    up to FEW, and of more each with the first and the last by the band's order."""
-    some_keys, more_keys = busy.filter(F.col("n") <= FEW), busy.filter(F.col("n") > FEW)
-    least = max(rows / 1000, FEW)
-    hot, cold = F.broadcast(more_keys.filter(F.col("n") > least)), more_keys.filter(F.col("n") <= least)  # at most 1,000 of each band
-    more = members.join(hot, "key").unionByName(members.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
-    more = more.select("fp", F.explode(F.array("lo", "hi")).alias("end")).select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"))
-    sets = members.join(hot.select("key"), "key", "left_anti").join(some_keys.select("key"), "key", "left_semi").groupBy("key").agg(F.collect_set("fp").alias("fps"))
-    some = sets.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b"))
-    return some.unionByName(more).filter("a < b").distinct()
+def _in_order(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows of equal names in one task, one after another."""
+    return rows.repartition(*names).sortWithinPartitions(*names)
 
 
 def similar_pairs(docs: DataFrame, sketches: DataFrame, text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) of text hashes that connect all texts of a similarity of at least ``least`` that share a band.
 
-    Every edge is checked on the whole texts' shingles. First each text is compared with the
-    least of its likely partners; then, of all other likely pairs, those that are not
-    connected yet. Where more than FEW texts share a band's value, they were paired with two
-    of them only: the texts of such a band that are still in different components are then
-    compared block by block, by their least hashes, and the likely pairs on their texts,
-    the likeliest first and more in every round, until none is open. So no group makes
-    all its pairs, and no link between components is lost.
+    Every edge is checked on the whole texts' shingles. The texts of a band's value, in
+    blocks of BLOCK with the least of them all in each, give a spanning forest of their
+    likely pairs, so a group gives as many pairs as it has texts. Each text's likeliest pair
+    is checked first, then those of the others whose texts are not connected yet. What is
+    still in different components of a band's value is then compared by ``_remaining``. So no
+    group makes all its pairs, and no link between components is lost.
     """
     prints = stored(sketches.filter("doc_id is not null").select("fp", "bands", "sig").dropDuplicates(["fp"]), "prints")
-    sigs = prints.select("fp", "sig")
     members = prints.select("fp", F.posexplode("bands").alias("band", "key"))
-    order = F.xxhash64("fp", F.col("band") % ORDERS)
-    busy = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", order).alias("lo"), F.max_by("fp", order).alias("hi"))
-    busy = stored(busy.filter("n > 1"), "busy")
-    rows = prints.count()
-    pairs = _paired(members.select("fp", "key"), busy, rows)
-    sided = pairs.join(sigs.select(F.col("fp").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("fp").alias("b"), F.col("sig").alias("sig_b")), "b")
-    likely = stored(sided.mapInPandas(_likely(least), "a long, b long"), "likely")
-
-    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    busy = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo")).filter("n > 1"), "busy")
+    listed = broadcast_if_small(busy)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.join(listed, "key").select("key", F.when(F.col("fp") == F.col("lo"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.hash("fp"), blocks))).alias("blocks"), "fp")
+    dealt = dealt.select("key", F.explode("blocks").alias("block"), "fp").join(prints.select("fp", "sig"), "fp")
+    likely = stored(_in_order(dealt, "key", "block").mapInArrow(_forest(least), "a long, b long, share double").groupBy("a", "b").agg(F.max("share").alias("share")), "likely")
+    ends = likely.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("other")), F.struct(F.col("b").alias("of"), F.col("a").alias("other")))).alias("e"), "share")
+    best = ends.groupBy("e.of").agg(F.max_by("e.other", F.struct("share", "e.other")).alias("other"))
+    first = stored(best.select(F.least("of", "other").alias("a"), F.greatest("of", "other").alias("b")).distinct(), "first")
     edges = _checked(docs, text, sketches, first, words, least)
-    at = _component_of(edges)
-    rest = _apart(likely, at).join(first, ["a", "b"], "left_anti")
+    rest = _apart(likely.select("a", "b"), _component_of(edges)).join(first, ["a", "b"], "left_anti")
     edges = stored(edges.unionByName(_checked(docs, text, sketches, rest, words, least)), "edges")
-    large = stored(members.join(broadcast_if_small(stored(busy.filter(F.col("n") > FEW).select("key"), "large")), "key", "left_semi").select("fp", "band", "key"), "members")
-    most, at = FIRST, _component_of(edges)
-    while True:
-        placed = join_hot(large, at, "fp", "node").select("fp", "band", "key", F.coalesce("component", "fp").alias("component"))
-        mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        mixed = stored(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-        if mixed.isEmpty():
-            return edges
-        dealt = placed.join(broadcast_if_small(mixed), "key").join(prints, "fp").withColumn("block", F.pmod(F.hash("fp"), F.col("blocks")))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "block", "fp", "component", "sig", "bands")
-        found = stored(dealt.groupBy("key", "lo", "hi").applyInPandas(_open(least, most), "a long, b long, more boolean"), "open")
-        new = _checked(docs, text, sketches, found.select("a", "b").distinct(), words, least)
-        if found.filter("more").isEmpty():
-            return edges.unionByName(new)
-        if not new.isEmpty():
-            edges = stored(edges.unionByName(new), "edges")
-            at = _component_of(edges)
-        most *= TIMES
+    return edges.unionByName(_remaining(docs, sketches, text, words, least, members, busy, prints, _component_of(edges)))
+
+
+def _remaining(docs: DataFrame, sketches: DataFrame, text: str, words: int, least: float, members: DataFrame, busy: DataFrame, prints: DataFrame, at: DataFrame) -> DataFrame:
+    """Edges between texts that share a band and are in different components ``at``.
+
+    Of each band's value with more than two texts, those of its largest component need not be
+    compared with one another. The others, in blocks, meet the blocks of all its texts: each
+    task has two blocks of a bounded number of texts and bytes, with their shingles.
+    """
+    large = stored(members.join(broadcast_if_small(stored(busy.filter("n > 2").select("key"), "large")), "key", "left_semi"), "members")
+    placed = stored(join_hot(large, at, "fp", "node").select("fp", "band", "key", F.coalesce("component", "fp").alias("component")), "placed")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = placed.join(broadcast_if_small(stored(main.select("key", "main"), "mixed")), "key")
+    held = stored(_shingles(docs, text, sketches, mixed.select("fp").distinct(), words), "shingles")
+    sized = stored(mixed.join(held.select("fp", F.octet_length("shingles").cast("long").alias("bytes")), "fp").withColumn("minor", F.col("component") != F.col("main")), "sized")
+    minor = F.col("minor").cast("long")
+    cuts = lambda n, most, size, bytes_: F.ceil(F.greatest(n / most, size / bytes_)).cast("int")
+    deal = sized.groupBy("key").agg(cuts(F.sum(minor), LEFT, F.sum(minor * F.col("bytes")), LEFT_BYTES).alias("los"), cuts(F.count("*"), RIGHT, F.sum("bytes"), RIGHT_BYTES).alias("his"))
+    dealt = sized.join(broadcast_if_small(stored(deal, "deal")), "key")
+    of, every = lambda salt, n: F.pmod(F.hash("fp", F.lit(salt)), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["key", "band", "fp", "component"]
+    left = dealt.filter("minor").select(*names, F.lit(0).alias("side"), of(1, "los").alias("lo"), every("his").alias("hi"))
+    right = dealt.select(*names, F.lit(1).alias("side"), every("los").alias("lo"), of(2, "his").alias("hi"))
+    full = left.unionByName(right).join(prints.select("fp", "sig", _packed("bands").alias("bands")), "fp").join(held, "fp")
+    return stored(_in_order(full, "key", "lo", "hi").mapInArrow(_open(least), "a long, b long").distinct(), "found")
+
+
+def _packed(longs: str):
+    """An array of longs as bytes, little-endian."""
+
+    @F.pandas_udf("binary")
+    def packed(values: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v, dtype="<i8").tobytes() for v in values])
+
+    return packed(longs)
 
 
 def _component_of(edges: DataFrame) -> DataFrame:
@@ -185,14 +271,35 @@ def _apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
     return both.filter("of_a <> of_b").select("a", "b")
 
 
-def _checked(docs: DataFrame, text: str, sketches: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs whose texts' shingles have at least the given similarity, computed from the whole texts."""
+def _texts(docs: DataFrame, text: str, sketches: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, text): a text for each wanted fp, a stored table of which is given; the least doc_id that has it leads there."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = np.array([text_key(normal_words(t.as_py())) for t in b.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("text")], ["fp", "text"])
 
+    listed = broadcast_if_small(wanted)
+    holders = sketches.join(listed, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    holders = stored(holders.select("doc_id").distinct(), "holders")
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(broadcast_if_small(holders), "doc_id", "left_semi").select("text")
+    return texts.mapInArrow(keyed, "fp long, text string").join(listed, "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def _shingles(docs: DataFrame, text: str, sketches: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(fp, shingles): the different shingle hashes of the wanted texts in order, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(normal_words(t.as_py()), words)).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(found, pa.binary())], ["fp", "shingles"])
+
+    return _texts(docs, text, sketches, stored(wanted, "wanted")).mapInArrow(run, "fp long, shingles binary")
+
+
+def _checked(docs: DataFrame, text: str, sketches: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs whose texts' shingles have at least the given similarity, computed from the whole texts."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = lru_cache(maxsize=16)(lambda t: np.unique(shingle_hashes(normal_words(t), words)))
         for b in batches:
@@ -201,13 +308,8 @@ def _checked(docs: DataFrame, text: str, sketches: DataFrame, pairs: DataFrame,
 
     pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "wanted")
-    listed = broadcast_if_small(wanted)
-    holders = sketches.join(listed, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    holders = stored(holders.select("doc_id").distinct(), "holders")
-    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(broadcast_if_small(holders), "doc_id", "left_semi").select("text")
-    texts = texts.mapInArrow(keyed, "fp long, text string").join(listed, "fp", "left_semi")
-    texts = stored(texts.dropDuplicates(["fp"]), "texts")
+    texts = stored(_texts(docs, text, sketches, wanted), "texts")
     sided = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
     found = stored(sided.mapInArrow(check, "a long, b long"), "similar")
-    discard(docs.sparkSession, pairs, wanted, holders, texts)
+    discard(docs.sparkSession, pairs, wanted, texts)
     return found

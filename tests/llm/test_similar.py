@@ -1,6 +1,10 @@
 """The pipeline's near-duplicate stage against all pairs of exact shingle similarity."""
 
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from pricegate.llm import simhash, similar
@@ -48,10 +52,8 @@ def test_repeated_ids_stay_or_go_together(spark):
 
 def test_fuller_bands_lose_no_link(spark, monkeypatch):
     """Chains of texts of which only neighbours are similar, all sharing bands, and small bounds: links between all components are found."""
-    monkeypatch.setattr(similar, "FEW", 2)
-    monkeypatch.setattr(similar, "BLOCK", 8)
-    monkeypatch.setattr(similar, "FIRST", 1)
-    monkeypatch.setattr(similar, "TIMES", 2)
+    for name, value in (("BLOCK", 8), ("LEFT", 4), ("RIGHT", 5), ("LEFT_BYTES", 3000), ("RIGHT_BYTES", 9000)):
+        monkeypatch.setattr(similar, name, value)
     rng = np.random.default_rng(11)
     texts = []
     for _ in range(3):
@@ -67,3 +69,37 @@ def test_fuller_bands_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, words=5, similarity=0.8).collect()}
     assert got == want
+
+
+def all_pairs(texts):
+    """Every pair of different word sequences of a similarity of 0.8 or more, by the shingles that such a pair must share among its rarest."""
+    distinct = {}
+    for k, t in enumerate(texts):
+        distinct.setdefault(tuple((t or "").lower().split()), []).append(k)
+    sets = [shingles(" ".join(w)) for w in distinct]
+    count = Counter(s for x in sets for s in x)
+    at, pairs = defaultdict(list), set()
+    for k, x in enumerate(sets):
+        listed = sorted(x, key=lambda s: (count[s], s))[: len(x) - math.ceil(0.8 * len(x)) + 1]
+        near = {j for s in listed for j in at[s]}
+        pairs |= {(j, k) for j in near if len(x & sets[j]) >= 0.8 * len(x | sets[j])}
+        for s in listed:
+            at[s].append(k)
+    return list(distinct.values()), pairs
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_documents(spark, sf):
+    """Against all pairs of the table: links found, and components that are the same."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    groups, pairs = all_pairs([r["text"] for r in rows])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, words=5, similarity=0.8).collect()}
+    of = [got[rows[g[0]]["doc_id"]] for g in groups]
+    assert len(pairs) > 50 and sum(of[a] == of[b] for a, b in pairs) >= 0.99 * len(pairs)
+    want = least([(a, b) for a, b in pairs], range(len(groups)))
+    same = defaultdict(set)
+    for k, component in want.items():
+        same[component].add(of[k])
+    assert len(set(of)) >= len(same)  # nothing is linked that should not be
+    assert sum(len(s) == 1 for s in same.values()) >= 0.99 * len(same)
