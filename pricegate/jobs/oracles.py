@@ -260,6 +260,25 @@ def _candidate() -> str:
 
 O["candidate_gate"] = _candidate()
 
+RPRED = PRED.replace("d AS (SELECT ", "d AS (SELECT year(l_shipdate)::VARCHAR AS run_id, ")
+RFIT = FIT.replace("s AS (SELECT count", "s AS (SELECT run_id, count").replace("FROM d)", "FROM d GROUP BY run_id)")
+RSCORED = SCORED.replace("FROM d, f)", "FROM d JOIN f USING (run_id))")
+RMODEL = (RPRED, RFIT, RSCORED)
+O["run_sums"] = with_(RPRED) + "SELECT run_id, count(*) AS n, " + ", ".join(f"{fx(f'avg({c})', 3)} AS mean_{c}" for c in ("x1", "x2", "y")) + ", " + ", ".join(f"{fx(f'covar_pop({p}, {q})', 3)} AS {p}{q}" for p, q in (("x1", "x1"), ("x1", "x2"), ("x1", "y"), ("x2", "x2"), ("x2", "y"))) + " FROM d GROUP BY run_id"
+O["run_models"] = with_(RPRED, RFIT) + "\nUNION ALL ".join(f"SELECT run_id, '{m}' AS model, '{x}' AS feature, {fx(mean, 3)} AS mean, {fx(s, 3)} AS scale, {fx(b, 3)} AS coef, {fx('my', 3)} AS intercept FROM f" for m, x, mean, s, b in (("champion", "x1", "m1", "s1", "b0"), ("challenger", "x1", "m1", "s1", "b1"), ("challenger", "x2", "m2", "s2", "b2")))
+O["run_errors"] = with_(*RMODEL) + f"""SELECT run_id, CASE WHEN block IS NULL AND hub IS NULL THEN 'overall' WHEN hub IS NULL THEN 'block' ELSE 'hub' END AS kind, coalesce(block, hub, 'overall') AS segment,
+  count(*) AS n, {fx(f'avg({E0})', 3)} AS mae_champion, {fx(f'avg({E1})', 3)} AS mae_challenger, {fx(f'avg({E1} - {E0})', 3)} AS diff FROM sc GROUP BY GROUPING SETS ((run_id), (run_id, block), (run_id, hub))"""
+O["run_residual_bands"] = with_(*RMODEL) + f"SELECT run_id, block, {fx('quantile_cont(y - p_challenger, 0.05)', 3)} AS band_lo, {fx('quantile_cont(y - p_challenger, 0.95)', 3)} AS band_hi FROM sc GROUP BY ALL"
+RPSI = (PSI.replace("pv AS (SELECT ", "pv AS (SELECT event_type AS run_id, ").replace("SELECT n < ", "SELECT run_id, n < ").replace("(value, user_id, k, one)", "(value, user_id)").replace("value, user_id::DOUBLE AS user_id, (props::JSON->>'k')::DOUBLE * CASE WHEN ts::DATE - DATE '2024-01-01' >= 20 THEN 2 ELSE 1 END AS k, 1.0::DOUBLE AS one", "value, user_id::DOUBLE AS user_id")
+  .replace("cuts AS (SELECT feature,", "cuts AS (SELECT run_id, feature,").replace("GROUP BY feature),\nbins", "GROUP BY run_id, feature),\nbins").replace("bins AS (SELECT feature,", "bins AS (SELECT run_id, feature,").replace("dealt AS (SELECT feature,", "dealt AS (SELECT run_id, feature,")
+  .replace("USING (feature) WHERE", "USING (run_id, feature) WHERE").replace("t.feature = b.feature", "t.run_id = b.run_id AND t.feature = b.feature").replace("SELECT b.feature,", "SELECT b.run_id, b.feature,").replace("ON b.feature = d.feature", "ON b.run_id = d.run_id AND b.feature = d.feature").replace("GROUP BY b.feature,", "GROUP BY b.run_id, b.feature,")
+  .replace("psi AS (SELECT feature,", "psi AS (SELECT run_id, feature,").replace("(SELECT feature, sum(", "(SELECT run_id, feature, sum(").replace("FROM shares GROUP BY feature) USING (feature)", "FROM shares GROUP BY run_id, feature) USING (run_id, feature)"))
+O["run_psi"] = with_(RPSI) + f"SELECT run_id, feature, {fx('psi')} AS psi FROM psi"
+# the published expectation of each seeded defect, stated here once more
+O["release_matrix"] = "SELECT defect, failed, failed AS expected, TRUE AS ok FROM (VALUES ('hour_shift', 'hour_count_days_wrong'), ('conflict', 'duplicate_conflicts'), ('retry', ''), ('unit_slip', 'hour_count_days_wrong'), ('missing_hour', 'hour_count_days_wrong'), ('fake_hour', ''), ('load_units', 'band_coverage,psi_max'), ('skew', 'band_coverage,hub_no_regression,overall_improvement,peak_no_regression')) t(defect, failed)"
+O["release_report"] = """SELECT run_id, 10 - len(string_split_regex(failed, ',')) + (failed = '')::INT AS passed, 10 AS total, CASE WHEN failed = '' THEN 0 ELSE 2 END AS exit_code, failed FROM (VALUES ('clean', ''), ('hour_shift', 'hour_count_days_wrong'), ('conflict', 'duplicate_conflicts'), ('retry', ''), ('unit_slip', 'hour_count_days_wrong'), ('missing_hour', 'hour_count_days_wrong'),
+  ('fake_hour', ''), ('load_units', 'band_coverage,psi_max'), ('skew', 'band_coverage,hub_no_regression,overall_improvement,peak_no_regression'), ('copies_off', 'hour_count_days_wrong,quarantine_rate,reconcile_mean_abs,reconcile_share_off')) t(run_id, failed)"""
+
 # monitoring
 DAILY_MAE = "daily AS (SELECT event_type AS series, ts::DATE AS day, avg(abs(value - (props::JSON->>'k')::DOUBLE)) AS mae FROM events GROUP BY ALL)"
 BAND = f"""band AS (SELECT series, greatest(avg(mae) - 2 * stddev_samp(mae), 0.5) AS band_lo, avg(mae) + 2 * stddev_samp(mae) AS band_hi FROM (SELECT *, max(day) OVER (PARTITION BY series) AS last FROM daily WHERE day - {FIRST} < {SPLIT}) WHERE day >= last - 14 GROUP BY series)"""
@@ -295,6 +314,20 @@ clash AS (SELECT defect, count(*) FILTER (key_rows > 1 AND place = 1) AS n FROM
 failed AS (SELECT defect, concat_ws(',', CASE WHEN n > 0 THEN 'duplicate_conflicts' END, CASE WHEN hour_count_days_wrong > 0 THEN 'hour_count_days_wrong' END, CASE WHEN rate > 0.05 THEN 'quarantine_rate' END) AS failed FROM wrong JOIN rates USING (defect) JOIN clash USING (defect)),
 expected AS (SELECT defect, failed, CASE WHEN defect IN ('hour_shift', 'missing_hour', 'unit_slip') THEN 'hour_count_days_wrong' WHEN defect = 'conflict' THEN 'duplicate_conflicts' ELSE '' END AS expected FROM failed)"""
 O["defect_matrix"] = with_(CELLS, FULL, INJECTED, MATRIX) + "SELECT *, failed = expected AS ok FROM expected"
+# the data checks of the release runs
+MIXED = lambda d, h, z, more, n: f"(({d} * d + {h} * hour + {z} * (list_position({TYPES}, hub) - 1) + {more}) % {n})::DOUBLE"
+RELEASED = f"""hourly_means AS (SELECT event_type AS hub, ts::DATE AS day, hour(ts)::INT + 1 AS hour, floor(avg((props::JSON->>'k')::DOUBLE))::BIGINT AS k, floor(avg(value))::BIGINT AS v, floor(avg(user_id))::BIGINT AS u FROM events GROUP BY ALL),
+every AS (SELECT *, day - {FIRST} AS d FROM (SELECT unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM (SELECT min(ts::DATE) AS a, max(ts::DATE) AS b FROM events)) CROSS JOIN (SELECT unnest(range(1, 25))::INT AS hour) CROSS JOIN (SELECT unnest({TYPES}) AS hub)),
+mixed AS (SELECT hub, day, hour, d, 20 + {MIXED(31, 17, 7, 'coalesce(k, 0)', 100)} * 0.6::DOUBLE AS da, ({MIXED(13, 29, 11, 'coalesce(v, 0)', 41)} - 20) / 10 AS noise, {MIXED(7, 5, 3, 'coalesce(u, 0)', 51)} AS more FROM every LEFT JOIN hourly_means USING (hub, day, hour)),
+priced AS (SELECT *, da + da * da * (CASE WHEN hour BETWEEN 12 AND 19 THEN 0.015 ELSE 0.01 END)::DOUBLE + (500 + da * da * 0.05::DOUBLE + more) * 0.02::DOUBLE + noise AS rt FROM mixed),
+full_rows AS (SELECT hub, day, hour, {cents('da')} AS price_da, {cents('rt')} AS price_rt, 'USD/MWh' AS unit, 'preliminary' AS status, (day - DATE '1970-01-01') * 100 + hour AS seq FROM priced),
+ver AS (SELECT hub, day, hour, {cents('rt + ((d + hour) % 3 - 1) * 0.05::DOUBLE')} AS price_rt FROM priced)"""
+MORE_RUNS = INJECTED[:-1] + """
+  UNION ALL SELECT unnest(['clean', 'load_units', 'skew']), * FROM full_rows
+  UNION ALL SELECT 'copies_off', * REPLACE (CASE WHEN hour % 10 = 0 THEN price_rt + 8 ELSE price_rt END AS price_rt, CASE WHEN hub = 'error' AND day(day) < 6 THEN 'USD/kWh' ELSE unit END AS unit) FROM full_rows)"""
+O["release_data"] = with_(RELEASED, MORE_RUNS, MATRIX.partition("failed AS")[0].rstrip(", \n"), """off AS (SELECT defect, avg((abs(v.price_rt - c.price_rt) > 2)::INT) AS share, avg(abs(v.price_rt - c.price_rt)) AS gap FROM clean c JOIN ver v USING (hub, day, hour) GROUP BY 1),
+summary AS (SELECT defect AS run_id, rate AS quarantine_rate, hour_count_days_wrong, n AS duplicate_conflicts, share AS reconcile_share_off, gap AS reconcile_mean_abs FROM rates JOIN wrong USING (defect) JOIN clash USING (defect) JOIN off USING (defect))""", valued(CHECKS5, digits=4)) + "SELECT * FROM vals"
+
 
 # notes
 RANK = "CASE family " + " ".join(f"WHEN '{f}' THEN {k}" for k, f in enumerate(UPSTREAM)) + f" ELSE {len(UPSTREAM)} END"

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.numbers import fixed
-from ..operators import bootstrap, contract, defects, evaluate, features, gate, model, monitor, notes, reconcile
+from ..operators import bootstrap, contract, defects, evaluate, features, gate, model, monitor, notes, reconcile, release
 from ..sources import adapters as a
 from ..sources import feeds, files
 from ..sources.folders import new_folder, stored
 
 SPLIT, MONITOR_FROM, REFERENCE = 20, 26, 10
 TOLERANCE = 20.0
+#: Hub and day of seeded defects.
+HUB, DAY = "error", "2024-01-10"
 #: Data checks of a daily run on the derived feed, with thresholds of its own.
 DAILY = gate.Suite(checks=(
     ("quarantine_rate", "data_quality", "<=", 0.2, 0.2, "rows fail the contract"),
@@ -502,6 +504,112 @@ def candidate_gate_bands(spark, d):
     return _candidate(spark, d, scored, bootstrap.bands(_differences(spark, d, scored), draws=suite.draws, seed=suite.seed))
 
 
+# releases: all checks of many runs at once
+
+RELEASE = gate.Suite(
+    checks=tuple(c if c[0] != "quarantine_rate" else (c[0], c[1], c[2], 0.02, 0.02, c[5]) for c in gate.CHECKS),  # a hub-day is a larger part of this feed
+    split_day=SPLIT, monitor_from_day=MONITOR_FROM, reference_days=REFERENCE,
+)
+
+
+def _release(spark, d) -> release.Release:
+    """A clean run, one for each defect, and one whose copies and units are off: every check fails somewhere."""
+    f = a.release_feeds(spark, d)
+    run = lambda df, name: df.withColumn("run_id", F.lit(name))
+    first = F.date_add(F.lit(a.FIRST_DAY).cast("date"), SPLIT)
+    off = f.rows.withColumns({"price_rt": F.when(F.col("hour") % 10 == 0, F.col("price_rt") + 8).otherwise(F.col("price_rt")), "unit": F.when((F.col("hub") == HUB) & (F.dayofmonth("day") < 6), "USD/kWh").otherwise(F.col("unit"))})
+    injected = {name: defects.inject(f.rows, name, HUB, DAY) for name in defects.ROW_DEFECTS}
+    rows = a.union([run(df, name) for name, df in ({"clean": f.rows, "copies_off": off, "load_units": f.rows, "skew": f.rows} | injected).items()])
+    loads = run(defects.forecast_unit_change(f.forecasts, first), "load_units")
+    others = f.forecasts.withColumn("run_id", F.explode(F.array(*[F.lit(n) for n in ("clean", "copies_off", "skew", *injected)])))
+    return release.decide(rows, f.revisions, others.unionByName(loads), RELEASE, a.TYPES, a.FIRST_DAY, skewed=("skew",), keep=stored)
+
+
+@query
+def release_checks(spark, d):
+    """All ten checks of every run."""
+    return rounded(_release(spark, d).results(RELEASE), 3)
+
+
+@query
+def release_data(spark, d):
+    """The numbers of the five data checks of every run."""
+    return rounded(gate.values(_release(spark, d).summary(RELEASE), DATA_CHECKS), 4)
+
+
+@query
+def release_matrix(spark, d):
+    """The checks that each seeded defect fails, against those it must fail."""
+    return defects.matrix(stored(_release(spark, d).results(RELEASE), "results"))
+
+
+@query
+def release_evidence(spark, d):
+    """What a person looks at, for every failed check of every run."""
+    made = _release(spark, d)
+    return notes.evidence(stored(made.results(RELEASE), "results"), made.evidence(RELEASE))
+
+
+@query
+def release_report(spark, d):
+    """Verdict and failed checks of every run."""
+    results = stored(_release(spark, d).results(RELEASE), "results")
+    failed = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("check")))), ",")
+    return gate.verdicts(results).join(results.groupBy("run_id").agg(failed.alias("failed")), "run_id")
+
+
+def _fits_by_run(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = a.run_predictions(spark, d)
+    sums = model.grouped_sums(rows, _columns(CHALLENGER), F.col("y"), ["run_id"])
+    return rows, model.fit_by_run(sums, tuple(CHALLENGER), {"champion": tuple(CHAMPION), "challenger": tuple(CHALLENGER)}, ["run_id"])
+
+
+def _scored_by_run(spark, d) -> DataFrame:
+    rows, fits = _fits_by_run(spark, d)
+    return model.predict_by_run(rows, stored(fits, "fits"), {"champion": _columns(CHAMPION), "challenger": _columns(CHALLENGER)}, ["run_id"])
+
+
+@query
+def run_sums(spark, d):
+    """Means and products of deviations, from which the models of every run are solved."""
+    sums = model.grouped_sums(a.run_predictions(spark, d), _columns(CHALLENGER), F.col("y"), ["run_id"])
+    names = ["x1x1", "x1x2", "x1y", "x2x2", "x2y"]
+    per = [F.col("products")[k] / F.col("n") for k in range(len(names))]
+    return rounded(sums.select("run_id", "n", *[F.col("means")[k].alias(f"mean_{c}") for k, c in enumerate(("x1", "x2", "y"))], *[p.alias(n) for p, n in zip(per, names, strict=True)]), 3)
+
+
+@query
+def run_models(spark, d):
+    """Champion and challenger of every run, from one aggregate."""
+    long = _fits_by_run(spark, d)[1].select("run_id", "model", "intercept", F.explode(F.arrays_zip("features", "mean", "scale", "coef")).alias("z"))
+    return rounded(long.select("run_id", "model", F.col("z.features").alias("feature"), "z.mean", "z.scale", "z.coef", "intercept"), 3)
+
+
+@query
+def run_errors(spark, d):
+    return rounded(evaluate.segment_errors(_scored_by_run(spark, d), by=("run_id",)), 3)
+
+
+@query
+def run_residual_bands(spark, d):
+    return rounded(model.bands_by_run(_scored_by_run(spark, d), ["run_id"], p="p_challenger"), 3)
+
+
+@query
+def run_bands(spark, d):
+    """Bands of 2,000 draws of every segment of every run, in one pass."""
+    diff = F.abs(F.col("y") - F.col("p_challenger")) - F.abs(F.col("y") - F.col("p_champion"))
+    return bootstrap.bands(_scored_by_run(spark, d).select("run_id", "key", "block", "hub", diff.alias("diff")), 2000, by="run_id")
+
+
+@query
+def run_psi(spark, d):
+    """Stability of value and user_id of each type of event, the types as runs."""
+    n = F.datediff("ts", F.lit(a.FIRST_DAY))
+    rows = a.table(spark, d, "events").filter((n >= SPLIT - REFERENCE) & (n < MONITOR_FROM)).select(F.col("event_type").alias("run_id"), n.alias("n"), "value", "user_id")
+    return rounded(evaluate.psi(rows, ["value", "user_id"], F.col("n") < SPLIT, by=("run_id",)))
+
+
 # monitoring
 
 
@@ -544,8 +652,6 @@ def monitor_trigger(spark, d):
 
 # defects
 
-HUB, DAY = "error", "2024-01-10"
-
 
 def _injected(spark, d) -> DataFrame:
     rows = a.complete_rows(spark, d)

@@ -23,10 +23,10 @@ def poisson_weight(seed: int, key: Column, draw: Column) -> Column:
     return out
 
 
-def _bands(sums: DataFrame) -> DataFrame:
+def _bands(sums: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Quantiles of the draws' means by segment."""
     q = F.percentile(F.try_divide(F.col("wd"), F.col("w")), [0.025, 0.975])
-    return sums.groupBy("kind", "segment").agg(q.alias("q")).select("kind", "segment", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    return sums.groupBy(*by, "kind", "segment").agg(q.alias("q")).select(*by, "kind", "segment", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def _segments() -> Column:
@@ -63,30 +63,34 @@ def _draws(seed: int, draws: int, chunk: int = 1024):
             for k in range(0, len(b), chunk):
                 part = b.iloc[k : k + chunk]
                 w, d = weights(part["hashed"].to_numpy()), part["diff"].to_numpy(dtype=np.float32)
-                names: list[tuple] = [("overall", "overall")]
-                member = [np.ones((1, len(part)), np.float32)]
-                for kind in ("block", "hub"):
-                    codes, found = pd.factorize(part[kind], use_na_sentinel=False)
-                    names += [(kind, None if pd.isna(x) else x) for x in found]
-                    member.append((codes[None, :] == np.arange(len(found))[:, None]).astype(np.float32))
+                names, member = [], []
+                for kind, columns in (("overall", ["run"]), ("block", ["run", "block"]), ("hub", ["run", "hub"])):
+                    codes = part.groupby(columns, dropna=False, sort=False).ngroup().to_numpy()
+                    first = np.unique(codes, return_index=True)[1]
+                    some = part.iloc[first]
+                    of = some[kind] if kind != "overall" else ["overall"] * len(first)
+                    names += [(None if pd.isna(r) else r, kind, None if pd.isna(x) else x) for r, x in zip(some["run"], of, strict=True)]
+                    member.append((codes[None, :] == np.arange(len(first))[:, None]).astype(np.float32))
                 m = np.concatenate(member)
                 both = np.concatenate([m * d, m]) @ w  # sums of every segment in the chunk, for all draws at once
                 for n, segment in enumerate(names):
                     found = both[[n, n + len(names)]].astype(np.float64)
                     sums[segment] = sums[segment] + found if segment in sums else found
         if sums:
-            yield pd.DataFrame([(kind, segment, list(s[0]), list(s[1])) for (kind, segment), s in sums.items()], columns=["kind", "segment", "wd", "w"])
+            yield pd.DataFrame([(*segment, list(s[0]), list(s[1])) for segment, s in sums.items()], columns=["run", "kind", "segment", "wd", "w"])
 
     return run
 
 
-def bands(rows: DataFrame, draws: int = 2000, seed: int = 7) -> DataFrame:
-    """kind, segment, lo, hi from rows (key, block, hub, diff): 95 % bands of the mean difference.
+def bands(rows: DataFrame, draws: int = 2000, seed: int = 7, by: str | None = None) -> DataFrame:
+    """kind, segment, lo, hi from rows (key, block, hub, diff): 95 % bands of the mean difference, of each run where ``by`` names its column.
 
-    Each partition returns two arrays of ``draws`` sums per segment; their elements add up.
-    Bands agree with resampling rows in law, not draw by draw; an empty segment has no row.
+    Each partition returns two arrays of ``draws`` sums per segment and run; their elements
+    add up. Bands agree with resampling rows in law, not draw by draw; an empty segment has no row.
     """
-    hashed = rows.select(F.xxhash64("key").alias("hashed"), F.col("block").cast("string").alias("block"), F.col("hub").cast("string").alias("hub"), F.col("diff").cast("double").alias("diff"))
-    parts = hashed.mapInPandas(_draws(seed, draws), "kind string, segment string, wd array<double>, w array<double>")
-    long = parts.select("kind", "segment", F.posexplode(F.arrays_zip("wd", "w")).alias("draw", "s"))
-    return _bands(long.groupBy("kind", "segment", "draw").agg(F.sum("s.wd").alias("wd"), F.sum("s.w").alias("w")))
+    run = F.col(by).cast("string") if by else F.lit("")
+    hashed = rows.select(run.alias("run"), F.xxhash64("key").alias("hashed"), F.col("block").cast("string").alias("block"), F.col("hub").cast("string").alias("hub"), F.col("diff").cast("double").alias("diff"))
+    parts = hashed.mapInPandas(_draws(seed, draws), "run string, kind string, segment string, wd array<double>, w array<double>")
+    long = parts.select("run", "kind", "segment", F.posexplode(F.arrays_zip("wd", "w")).alias("draw", "s"))
+    out = _bands(long.groupBy("run", "kind", "segment", "draw").agg(F.sum("s.wd").alias("wd"), F.sum("s.w").alias("w")), ("run",))
+    return out.withColumnRenamed("run", by) if by else out.drop("run")

@@ -59,8 +59,11 @@ def forecast_unit_change(forecasts: DataFrame, from_day: str, factor: float = 10
 
 
 ROW_DEFECTS: dict[str, Callable[..., DataFrame]] = {"hour_shift": shift_hour, "retry": retry, "conflict": retry_with_conflict, "missing_hour": missing_hour, "unit_slip": unit_slip, "fake_hour": fake_hour}
-#: The data checks that each defect must fail.
-EXPECTED = {"hour_shift": ["hour_count_days_wrong"], "retry": [], "conflict": ["duplicate_conflicts"], "missing_hour": ["hour_count_days_wrong"], "unit_slip": ["hour_count_days_wrong"], "fake_hour": []}
+#: The checks that each defect must fail; the last two are of the forecasts and of serving.
+EXPECTED = {
+    "hour_shift": ["hour_count_days_wrong"], "retry": [], "conflict": ["duplicate_conflicts"], "missing_hour": ["hour_count_days_wrong"], "unit_slip": ["hour_count_days_wrong"], "fake_hour": [],
+    "load_units": ["band_coverage", "psi_max"], "skew": ["band_coverage", "hub_no_regression", "overall_improvement", "peak_no_regression"],
+}
 
 
 def inject(rows: DataFrame, defect: str, hub: str, day: str, **more) -> DataFrame:

@@ -11,37 +11,38 @@ from .reconcile import KEY
 NUMERIC = ["price_da", "load_forecast_mw", "lag2_spread", "roll7_spread"]
 
 
-def daily_spread(rows: DataFrame) -> DataFrame:
-    """Mean of price_rt - price_da by hub and day, over the hours with both prices."""
-    return rows.filter("price_rt is not null").groupBy("hub", "day").agg(F.avg(F.col("price_rt") - F.col("price_da")).alias("spread"))
+def daily_spread(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of price_rt - price_da by hub and day (and run, where ``by`` names its columns), over the hours with both prices."""
+    return rows.filter("price_rt is not null").groupBy(*by, "hub", "day").agg(F.avg(F.col("price_rt") - F.col("price_da")).alias("spread"))
 
 
-def spread_lags(spread: DataFrame, days: DataFrame) -> DataFrame:
+def spread_lags(spread: DataFrame, days: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """lag2_spread and roll7_spread of every (hub, day) of ``days``: the spread two calendar days back, and the mean of days 2 to 8 back.
 
     Runs on the daily grain over spread days and wanted days together, so a day without a
     spread of its own still gets its lags; gaps in the calendar count as gaps.
     """
-    both = spread.withColumn("__want", F.lit(False)).unionByName(days.select("hub", "day").distinct().withColumns({"spread": F.lit(None).cast("double"), "__want": F.lit(True)}))
-    back = Window.partitionBy("hub").orderBy(F.datediff("day", F.lit("1970-01-01").cast("date")))
+    both = spread.withColumn("__want", F.lit(False)).unionByName(days.select(*by, "hub", "day").distinct().withColumns({"spread": F.lit(None).cast("double"), "__want": F.lit(True)}))
+    back = Window.partitionBy(*by, "hub").orderBy(F.datediff("day", F.lit("1970-01-01").cast("date")))
     lag2, roll7 = F.max("spread").over(back.rangeBetween(-2, -2)), F.avg("spread").over(back.rangeBetween(-8, -2))
-    return both.withColumns({"lag2_spread": lag2, "roll7_spread": roll7}).filter("__want").select("hub", "day", "lag2_spread", "roll7_spread")
+    return both.withColumns({"lag2_spread": lag2, "roll7_spread": roll7}).filter("__want").select(*by, "hub", "day", "lag2_spread", "roll7_spread")
 
 
-def build(final: DataFrame, preliminary: DataFrame, forecasts: DataFrame, lag_from: str = "preliminary") -> DataFrame:
+def build(final: DataFrame, preliminary: DataFrame, forecasts: DataFrame, lag_from: str = "preliminary", by: tuple[str, ...] = ()) -> DataFrame:
     """Feature rows: final hours with a real-time price and a forecast, and lags of the preliminary spread.
 
     ``lag_from="verified"`` takes the lags from the final rows, which is a leak and there to
     show one. Rows with a null lag or load are left out.
+    ``by``: columns of the run, which all three tables then have.
     """
     sources = {"preliminary": preliminary, "verified": final}
     if lag_from not in sources:
         raise ValueError(f"lag_from: {lag_from}")
-    rows = final.filter("price_rt is not null").join(forecasts.select(*KEY, "load_forecast_mw"), KEY)
+    rows = final.filter("price_rt is not null").join(forecasts.select(*by, *KEY, "load_forecast_mw"), [*by, *KEY])
     rows = rows.withColumn("y", F.col("price_rt") - F.col("price_da")).withColumn("clock_hour", clock_hour(F.col("day"), F.col("hour")))
     rows = rows.withColumns({"block": hour_block(F.col("clock_hour")), "weekday": (F.weekday("day") < 5).cast("double")})
-    lags = spread_lags(daily_spread(sources[lag_from]), rows)
-    return rows.join(lags, ["hub", "day"]).dropna(subset=["lag2_spread", "roll7_spread", "load_forecast_mw"])
+    lags = spread_lags(daily_spread(sources[lag_from], by), rows, by)
+    return rows.join(lags, [*by, "hub", "day"]).dropna(subset=["lag2_spread", "roll7_spread", "load_forecast_mw"])
 
 
 def design(hubs: list[str], interactions: bool = False, skew: bool = False) -> dict[str, Column]:

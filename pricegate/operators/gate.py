@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,9 +47,22 @@ class Suite:
         return spark.createDataFrame([(k, *c) for k, c in enumerate(self.checks)], "ord int, check string, family string, op string, lo double, hi double, why string")
 
 
+def read_suite(path: str) -> Suite:
+    """A suite from a JSON file, or a YAML file where a library for it is there."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return load_suite(json.loads(text))
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("a suite in YAML needs the yaml library; JSON does without") from e
+    return load_suite(yaml.safe_load(text))
+
+
 def load_suite(spec: dict) -> Suite:
-    """A suite from parsed YAML or JSON; split_day, monitor_from_day and checks must be there."""
-    missing = {"split_day", "monitor_from_day", "checks"} - set(spec)
+    """A suite from parsed YAML or JSON; split_day, reference_days and checks must be there. Without monitor_from_day all days from the split on are tested."""
+    missing = {"split_day", "reference_days", "checks"} - set(spec)
     if missing:
         raise ValueError(f"suite lacks {sorted(missing)}")
     checks = []
@@ -59,6 +73,7 @@ def load_suite(spec: dict) -> Suite:
     known = {k: spec[k] for k in ("split_day", "monitor_from_day", "reference_days", "seed") if k in spec}
     if "drift_features" in spec:
         known["drift_features"] = tuple(spec["drift_features"])
+    known = {"monitor_from_day": 10**6} | known
     return Suite(tuple(checks), tolerance=float(spec.get("reconcile_tolerance", 2.0)), **known)
 
 

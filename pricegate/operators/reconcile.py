@@ -37,17 +37,17 @@ def split_duplicates(rows: DataFrame, key: list[str] = KEY, values: list[str] =
     return clean, conflicts, counts
 
 
-def interval_counts(rows: DataFrame, hubs: list[str] | DataFrame, zone: str = ZONE, hub: str = "hub", day: str = "day") -> DataFrame:
-    """hours_seen, hours_expected and ok of every hub on every day between the first and the last."""
+def interval_counts(rows: DataFrame, hubs: list[str] | DataFrame, zone: str = ZONE, hub: str = "hub", day: str = "day", by: tuple[str, ...] = ()) -> DataFrame:
+    """hours_seen, hours_expected and ok of every hub on every day between the first and the last, of each run where ``by`` names its columns."""
     spark = rows.sparkSession
     hubs = spark.createDataFrame([(h,) for h in hubs], f"{hub} string") if isinstance(hubs, list) else hubs
-    span = rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).filter("a is not null")
-    days = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day))
+    span = rows.groupBy(*by).agg(F.min(day).alias("a"), F.max(day).alias("b")).filter("a is not null")
+    days = span.select(*by, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day))
     grid = days.crossJoin(hubs)  # all that the calendar expects, so a row for each hub and day
-    seen = rows.groupBy(hub, day).agg(F.count("*").alias("hours_seen"))
-    out = grid.join(seen, [hub, day], "left").withColumn("hours_expected", hours_in_local_day(F.col(day), zone))
+    seen = rows.groupBy(*by, hub, day).agg(F.count("*").alias("hours_seen"))
+    out = grid.join(seen, [*by, hub, day], "left").withColumn("hours_expected", hours_in_local_day(F.col(day), zone))
     out = out.withColumn("hours_seen", F.coalesce("hours_seen", F.lit(0)))
-    return out.select(hub, day, "hours_seen", "hours_expected", (F.col("hours_seen") == F.col("hours_expected")).alias("ok"))
+    return out.select(*by, hub, day, "hours_seen", "hours_expected", (F.col("hours_seen") == F.col("hours_expected")).alias("ok"))
 
 
 def wrong_days(counts: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def test_compare_and_suite(spark):
     assert (verdict["passed"], verdict["total"], verdict["exit_code"]) == (2, 10, 2)
     with pytest.raises(ValueError):
         gate.load_suite({"checks": {}})
-    loaded = gate.load_suite({"split_day": 1, "monitor_from_day": 2, "checks": {"a": {"op": "within", "threshold": [1, 2]}, "b": {"op": "<", "threshold": 3}}})
+    loaded = gate.load_suite({"split_day": 1, "reference_days": 2, "checks": {"a": {"op": "within", "threshold": [1, 2]}, "b": {"op": "<", "threshold": 3}}})
     assert loaded.checks[0][3:5] == (1.0, 2.0) and loaded.checks[1][3:5] == (3.0, 3.0)
     with pytest.raises(ValueError):
         gate.Suite(checks=(("a", "", ">", 0.0, 0.0, ""),))
