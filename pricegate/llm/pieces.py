@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Share of candidate merges that are skipped, and the seed.
 DROPOUT, SEED = 0.1, 20_24
-#: Symbols above which a word is merged by itself, and symbols that are merged side by side.
+#: Symbols above which a word is not remembered, and symbols that are merged side by side.
 LONG, SIDE = 64, 1 << 18
 #: Segmentations that a worker remembers before it starts anew; results do not depend on it.
 REMEMBERED = 1 << 20
@@ -57,6 +57,13 @@ class Merges:
         self.keys = np.array([*sorted(found), -2], dtype=np.int64)
         self.rank = np.array([*(found[k][0] for k in sorted(found)), NONE], dtype=np.int32)
         self.made = np.array([*(found[k][1] for k in sorted(found)), 0], dtype=np.int64)
+        # ranks below which all pieces have up to so many characters: (limit, how far a candidate's rivals may begin)
+        sizes = np.zeros(len(order) + 1, np.int64)
+        for piece, i in plain.items():
+            k = order[self.model.get_score(i)]
+            sizes[k] = max(sizes[k], len(piece))
+        longest, self.bits = np.maximum.accumulate(sizes), len(order).bit_length()
+        self.bands = [(int(np.searchsorted(longest, size, "right")), max(1, size - 1)) for size in np.unique(longest[longest > 1]).tolist()]
         # open addressing: where a pair's merge is looked for first, and then in the following slots
         self.table = np.full(1 << TABLE, len(found), np.int32)
         for k, slot in enumerate((self.keys[:-1].astype(np.uint64) * _M1 >> np.uint64(64 - TABLE)).tolist()):
@@ -217,36 +224,82 @@ class Merges:
             at[live] = np.array([self.branch[c] for c in code.tolist()], dtype=np.int64)[back]
         return at
 
-    def agenda(self, symbols: list[int], key: np.uint64) -> list[int]:
-        """One long word by a heap of candidates (rank, place): n log n steps, the same choices as ``merge``."""
-        import heapq
-
-        n = len(symbols)
-        ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def propose(lefts: list[int]) -> None:
-            lefts = [a for a in lefts if a >= 0 and after[a] < n]
-            if lefts:
-                left, right = np.array([ids[a] for a in lefts]), np.array([ids[after[a]] for a in lefts])
-                ranks, made, bases = self.candidates(left, right, np.array(lefts))
-                skip = self.skipped(key, bases) & (self.dropout > 0)
-                for a, r, m, no in zip(lefts, ranks.tolist(), made.tolist(), skip.tolist(), strict=True):
-                    if r < NONE and not no:
-                        heapq.heappush(heap, (r, a, ids[a], ids[after[a]], m))
-
-        propose(list(range(n)))
-        gone = [False] * n
-        while heap:
-            _, a, left, right, made = heapq.heappop(heap)
-            b = after[a]
-            if gone[a] or b >= n or ids[a] != left or ids[b] != right:
-                continue
-            ids[a], gone[b], after[a] = made, True, after[b]
-            if after[b] < n:
-                before[after[b]] = a
-            propose([before[a], a])
-        return [i for i, dead in zip(ids, gone, strict=True) if not dead]
+    def long(self, words: list[str], keys: np.ndarray) -> list[np.ndarray]:
+        """Segments long words, each by its own key, many merges at a time.
+
+        In turn each word takes its best candidate, the leftmost of equals. A candidate's turn
+        comes with its rank, or once both symbols are made, if that is later; ``turn`` holds
+        both, the later one first. It may be taken at once if no candidate that starts within
+        a radius has an earlier turn: what goes before it makes pieces that rank before its
+        turn, ``bands`` bounds their length, and so whatever could join one of its symbols
+        begins within the radius with an earlier turn. Candidates of the same turn near each
+        other are taken together, leftmost first, up to one whose merge makes another
+        candidate as good, after which they wait.
+        """
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")].astype(np.int32)
+        word = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+        kind, never = (np.int32, np.int32(1 << 30)) if self.bits <= 15 else (np.int64, np.int64(1 << 62))
+        # of each symbol left: its first character, when it was made, and the turn of it with the next one
+        first_of, born, turn = np.arange(len(ids), dtype=np.int32), np.zeros(len(ids), kind), np.full(len(ids), never)
+        look = lambda left, right, k: self.candidates(left.astype(np.int64), right.astype(np.int64), place[first_of[k]])
+
+        def propose(k: np.ndarray) -> np.ndarray:
+            """The turns of symbols k and those after them."""
+            ranks, _, bases = look(ids[k], ids[k + 1], k)
+            none = (ranks == NONE) | (word[first_of[k]] != word[first_of[k + 1]])
+            if self.dropout > 0:
+                none |= self.skipped(keys[word[first_of[k]]], bases)
+            ranks = ranks.astype(kind)
+            return np.where(none, never, np.maximum(ranks, np.maximum(born[k], born[k + 1])) << self.bits | ranks)
+
+        if len(ids) > 1:
+            turn[:-1] = propose(np.arange(len(ids) - 1))
+        for limit, radius in self.bands:
+            while True:
+                open_ = np.where(turn < limit << self.bits, turn, never)
+                best = (open_ == _least_within(open_, radius, never)) & (open_ < never)
+                take = np.flatnonzero(best)
+                if not len(take):
+                    break
+                own = turn[take]
+                apart = np.concatenate(([True], (np.diff(take) > radius) | (own[1:] != own[:-1])))
+                waits = np.zeros(len(take), bool)  # an equal one to the left is not taken, as a better one is near it
+                for k in range(1, radius + 1):
+                    waits[take >= k] |= (open_[take[take >= k] - k] == own[take >= k]) & ~best[take[take >= k] - k]
+                if waits.any():
+                    free = _counted(waits, apart) == 0
+                    take, own = take[free], own[free]
+                    apart = np.concatenate(([True], (np.diff(take) > radius) | (own[1:] != own[:-1])))
+                if not apart.all():
+                    # of neighbours, which overlap, every other one from the left
+                    run = np.concatenate(([True], np.diff(take) > 1))
+                    first = np.flatnonzero(run)
+                    even = (np.arange(len(take)) - np.repeat(first, np.diff(np.append(first, len(take))))) % 2 == 0
+                    take, own = take[even], own[even]
+                    apart = np.concatenate(([True], (np.diff(take) > radius) | (own[1:] != own[:-1])))
+                    # whether a merge makes a candidate as good, with what then stands before it (perhaps just merged) or after it
+                    rank, after = own & ((1 << self.bits) - 1), np.minimum(take + 2, len(ids) - 1)
+                    joined = np.concatenate(([False], np.diff(take) == 2))
+                    before, made = np.maximum(np.where(joined, take - 2, take - 1), 0), look(ids[take], ids[take + 1], take)[1]
+                    left = look(np.where(joined, np.roll(made, 1), ids[before]), made, before)[0] <= rank
+                    right = look(made, ids[after], take)[0] <= rank
+                    inside = lambda other, take=take: word[first_of[other]] == word[first_of[take]]
+                    risky = left & (take > 0) & inside(before) | right & (take + 2 < len(ids)) & inside(after)
+                    take = take[_counted(risky, apart) - risky == 0]
+                ids[take], born[take] = look(ids[take], ids[take + 1], take)[1], turn[take] >> self.bits
+                there = np.ones(len(ids), bool)
+                there[take + 1] = False
+                there = np.flatnonzero(there)
+                ids, first_of, born, turn = ids[there], first_of[there], born[there], turn[there]
+                now = take - np.arange(len(take))  # a symbol has gone for each merge to the left
+                turn[now] = never
+                changed = np.concatenate([now, now[now > 0] - 1])
+                changed = changed[changed < len(ids) - 1]
+                turn[changed] = propose(changed)
+        ends = np.cumsum(np.bincount(word[first_of], minlength=len(words)))
+        return np.split(ids.astype(np.int64), ends[:-1])
 
     def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids with unknown characters (negative) put as byte pieces, and how many each one takes."""
@@ -273,9 +326,9 @@ class Merges:
         keys = self.occurrence_keys(names, number)
         large = [k for k, w in enumerate(flat) if len(w) > LONG]
         own = []
+        for some in _parts(large, [len(flat[k]) for k in large], SIDE):
+            own += [self.spelled(ids)[0] for ids in self.long([flat[k] for k in some], keys[some])]
         for k in large:
-            symbols = self.char[np.frombuffer(flat[k].encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-            own.append(self.spelled(np.array(self.agenda(symbols.tolist(), keys[k]), dtype=np.int64))[0])
             flat[k] = " "  # holds its place
         at = self.segmentations(flat, keys)
         first, count = self.ids_at[at], self.ids_n[at]
@@ -291,6 +344,36 @@ class Merges:
         return b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+def _parts(items: list[int], sizes: list[int], most: int) -> Iterator[list[int]]:
+    """Items in turn, as many at a time as have ``most`` in all, or one."""
+    part, held = [], 0
+    for item, size in zip(items, sizes, strict=True):
+        if part and held + size > most:
+            yield part
+            part, held = [], 0
+        part.append(item)
+        held += size
+    if part:
+        yield part
+
+
+def _counted(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many flags there are up to and with each place since the last start."""
+    total, first = np.cumsum(flags), np.flatnonzero(starts)
+    return total - np.repeat((total - flags)[first], np.diff(np.append(first, len(flags))))
+
+
+def _least_within(x: np.ndarray, radius: int, never) -> np.ndarray:
+    """The least of the values at most ``radius`` places away from each."""
+    n, width, span = len(x), 2 * radius + 1, 1
+    edge = np.full(radius, never, x.dtype)
+    least = np.concatenate([edge, x, edge])
+    while span * 2 <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    return np.minimum(least[:n], least[width - span : width - span + n])
+
+
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers first[k], first[k] + 1, ... of which there are count[k], one after another."""
     ends = np.cumsum(count)

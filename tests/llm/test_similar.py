@@ -75,8 +75,8 @@ def all_pairs(texts):
     """Every pair of different word sequences of a similarity of 0.8 or more, by the shingles that such a pair must share among its rarest."""
     distinct = {}
     for k, t in enumerate(texts):
-        distinct.setdefault(tuple((t or "").lower().split()), []).append(k)
-    sets = [shingles(" ".join(w)) for w in distinct]
+        distinct.setdefault(tuple((t or "").encode().lower().split()), []).append(k)
+    sets = [{w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in distinct]
     count = Counter(s for x in sets for s in x)
     at, pairs = defaultdict(list), set()
     for k, x in enumerate(sets):
