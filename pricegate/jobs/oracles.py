@@ -314,6 +314,9 @@ clash AS (SELECT defect, count(*) FILTER (key_rows > 1 AND place = 1) AS n FROM
 failed AS (SELECT defect, concat_ws(',', CASE WHEN n > 0 THEN 'duplicate_conflicts' END, CASE WHEN hour_count_days_wrong > 0 THEN 'hour_count_days_wrong' END, CASE WHEN rate > 0.05 THEN 'quarantine_rate' END) AS failed FROM wrong JOIN rates USING (defect) JOIN clash USING (defect)),
 expected AS (SELECT defect, failed, CASE WHEN defect IN ('hour_shift', 'missing_hour', 'unit_slip') THEN 'hour_count_days_wrong' WHEN defect = 'conflict' THEN 'duplicate_conflicts' ELSE '' END AS expected FROM failed)"""
 O["defect_matrix"] = with_(CELLS, FULL, INJECTED, MATRIX) + "SELECT *, failed = expected AS ok FROM expected"
+O["merged_days"] = with_(*FINAL) + "SELECT p.* REPLACE (CASE WHEN day(p.day) % 3 = 0 THEN f.price_da ELSE p.price_da END AS price_da, CASE WHEN day(p.day) % 3 = 0 THEN f.price_rt ELSE p.price_rt END AS price_rt, CASE WHEN day(p.day) % 3 = 0 THEN f.status ELSE p.status END AS status) FROM pub p JOIN fin f USING (hub, day, hour)"
+O["verified_days"] = f"SELECT ts::DATE AS day, count(*) AS rows, count(DISTINCT event_id) AS keys, {fx('sum(value)', 3)} AS total FROM events GROUP BY 1"
+
 # the data checks of the release runs
 MIXED = lambda d, h, z, more, n: f"(({d} * d + {h} * hour + {z} * (list_position({TYPES}, hub) - 1) + {more}) % {n})::DOUBLE"
 RELEASED = f"""hourly_means AS (SELECT event_type AS hub, ts::DATE AS day, hour(ts)::INT + 1 AS hour, floor(avg((props::JSON->>'k')::DOUBLE))::BIGINT AS k, floor(avg(value))::BIGINT AS v, floor(avg(user_id))::BIGINT AS u FROM events GROUP BY ALL),

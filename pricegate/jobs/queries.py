@@ -158,6 +158,26 @@ def landed_days(spark, d):
     return rounded(rows.groupBy("day").agg(F.count("*").alias("rows"), F.countDistinct("seq").alias("keys"), F.sum("lbmp").alias("total"), F.max("stamp").alias("last")), 3)
 
 
+@query
+def verified_days(spark, d):
+    """Landed days, read back only as their manifest says: size and hash of every file."""
+    path = new_folder(spark, "days")
+    files.write_days(a.interval_feed(spark, d).withColumnRenamed("file_day", "day"), path)
+    manifest = stored(files.file_manifest(spark, f"{path}/*/*.parquet"), "manifest")
+    rows = files.read_verified(spark, path, manifest, "*/*.parquet")
+    return rounded(rows.groupBy("day").agg(F.count("*").alias("rows"), F.countDistinct("seq").alias("keys"), F.sum("lbmp").alias("total")), 3)
+
+
+@query
+def merged_days(spark, d):
+    """Published rows landed by day, and revisions of every third day merged into them."""
+    path = new_folder(spark, "merged")
+    f = a.stored_feeds(spark, d)
+    files.write_days(f.preliminary, path)
+    files.merge_days(path, a.revisions(spark, d).filter("dayofmonth(day) % 3 = 0"), "merge")
+    return spark.read.parquet(path)
+
+
 # contract
 
 

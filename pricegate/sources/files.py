@@ -5,14 +5,21 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import gzip
+import hashlib
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.reconcile import KEY, VALUES, apply_revisions
+from .folders import _at, exists, stored
+
 #: The column that a header becomes, by how it starts or what it holds.
 STARTS = {"time stamp": "time_stamp", "time zone": "time_zone", "lbmp": "lbmp"}
 EQUALS = {"name": "zone", "ptid": "ptid"}
@@ -44,61 +51,118 @@ def day_of(name: str) -> dt.date | None:
         return None
 
 
-def _members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    """The CSV files that a raw file holds: those of a zip archive in order of name, or the file itself."""
-    if name.lower().endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for member in sorted(z.namelist()):
-                yield member.rpartition("/")[2], z.read(member)
-    else:
-        yield name, gzip.decompress(content) if name.lower().endswith(".gz") else content
+LINES = "file string, member string, file_day date, begin long, line long, " + ", ".join(f"{c} string" for c in KNOWN)
+#: Lines of a member that leave a task at a time, and bytes of a file that are read at a time.
+PIECE, READ = 8192, 8 << 20
+#: Schemes that tasks open by themselves, as pyarrow names them; files of others travel as bytes, up to 2 GB each.
+SCHEMES = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def _opened(path: str):
+    """A file opened for random access by the task itself."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":") if ":" in path else ("", "", path)
+    name = SCHEMES[scheme]
+    where, at = fs.FileSystem.from_uri("file:///" + rest.lstrip("/") if name == "file" else f"{name}:{rest}")
+    return where.open_input_file(at)
+
+
+def openable(path: str) -> bool:
+    return (path.partition(":")[0] if ":" in path else "") in SCHEMES
 
 
-LINES = "file string, member string, file_day date, line long, values map<string,string>"
+def _member_lines(name: str, raw, start: dt.date, end: dt.date) -> Iterator[pa.RecordBatch]:
+    """Lines of an archive's CSV members, streamed: at no time is a member held as a whole. Each header's names are looked up once."""
+    with zipfile.ZipFile(raw) as z:
+        for path in sorted(z.namelist()):
+            member = path.rpartition("/")[2]
+            day = day_of(member)
+            if day is None or not start <= day <= end:
+                continue
+            with z.open(path) as packed:
+                plain = gzip.GzipFile(fileobj=packed) if member.lower().endswith(".gz") else packed
+                yield from _file_lines(name, member, day, plain)
+
+
+def _file_lines(name: str, member: str, day: dt.date, raw) -> Iterator[pa.RecordBatch]:
+    lines = (x for x in csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline="")) if x)
+    at = positions(next(lines, []))
+    done = 0
+    while rows := list(islice(lines, PIECE)):
+        n = len(rows)
+        columns = [pa.array([(x[at[c]] or None) if c in at and at[c] < len(x) else None for x in rows], pa.string()) for c in KNOWN]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([member] * n), pa.array([day] * n, pa.date32()), pa.array([0] * n, pa.int64()), pa.array(range(done, done + n), pa.int64()), *columns], ["file", "member", "file_day", "begin", "line", *KNOWN])
+        done += n
+
+
+def positions(header: list[str]) -> dict[str, int]:
+    """Where each known column stands in a header; the first of several headers that mean the same counts."""
+    found: dict[str, int] = {}
+    for k, h in enumerate(header):
+        if (new := known_name(h)) and new not in found:
+            found[new] = k
+    return found
 
 
 def daily_lines(raw: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """Lines of raw files (path, content) whose own names, or whose archive members', begin with a day from start to end.
+    """Lines of raw files (path, and content where they are at hand) whose own names, or whose archive members', begin with a day from start to end.
 
-    Every file's header is read by itself: ``values`` has the line's fields by stripped header.
-    Other files are left out; empty fields are null.
+    Every file's header is read by itself; columns are the known ones, as text. Other files
+    are left out; empty fields are null. Without content, tasks open the files themselves.
     """
+    held = "content" in raw.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+            contents = b.column("content") if held else [None] * b.num_rows
+            for path, content in zip(b.column("path").to_pylist(), contents, strict=True):
                 name = path.rpartition("/")[2]
-                for member, data in _members(name, content.as_py()):
-                    day = day_of(member)
-                    if day is None or not start <= day <= end:
-                        continue
-                    lines = csv.reader(io.StringIO(data.decode("utf-8-sig")))
-                    header = [h.strip() for h in next(lines, [])]
-                    rows = [[(h, x) for h, x in zip(header, line, strict=False) if x != ""] for line in lines if line]
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([name] * n, pa.string()), pa.array([member] * n, pa.string()), pa.array([day] * n, pa.date32()), pa.array(range(n), pa.int64()), pa.array(rows, pa.map_(pa.string(), pa.string())),
-                    ], ["file", "member", "file_day", "line", "values"])
+                with pa.BufferReader(content.as_buffer()) if held else _opened(path) as raw:
+                    if name.lower().endswith(".zip"):
+                        yield from _member_lines(name, raw, start, end)
+                    elif (day := day_of(name)) is not None and start <= day <= end:
+                        yield from _file_lines(name, name, day, gzip.GzipFile(fileobj=raw) if name.lower().endswith(".gz") else raw)
 
-    return raw.select("path", "content").mapInArrow(run, LINES)
+    return raw.select("path", *["content"] * held).mapInArrow(run, LINES)
 
 
 def in_order(lines: DataFrame) -> DataFrame:
-    """``seq``, the publication order: by file, member and line. There is a row for each file and member to number them."""
-    files = lines.select("file", "member").distinct().withColumn("place", F.row_number().over(Window.orderBy("file", "member")).cast("long"))
-    return lines.join(files, ["file", "member"]).withColumn("seq", F.shiftleft("place", 32) + F.col("line")).drop("place")
+    """``seq``, the publication order: by file, member, where a part of the file begins, and line. There is a row for each part to number them."""
+    part = ["file", "member", "begin"]
+    places = lines.select(*part).distinct().withColumn("place", F.row_number().over(Window.orderBy(*part)).cast("long"))
+    return lines.join(places, part).withColumn("seq", F.shiftleft("place", 32) + F.col("line")).drop("place")
 
 
 def plain_columns(lines: DataFrame) -> DataFrame:
-    """Known columns of each line, by its own file's header; null where its file has none. The first of several headers that mean the same counts."""
-    means = lambda k: F.map_filter("values", lambda h, _: _known(h) == k)
-    return lines.select("file_day", "seq", *[F.get(F.map_values(means(k)), F.lit(0)).alias(k) for k in KNOWN])
+    return lines.select("file_day", "seq", *KNOWN)
+
 
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
+    """The header of each plain or gzipped file: one small read per file, by Hadoop's own file systems, some at a time."""
+    java = spark._jvm.java
 
-def _known(header: Column) -> Column:
-    h = F.lower(F.trim(header))
-    rules = [F.when(h == k, v) for k, v in EQUALS.items()] + [F.when(h.startswith(k), v) for k, v in STARTS.items()] + [F.when(h.contains(k), v) for k, v in HOLDS.items()]
-    return F.coalesce(*rules)
+    def header(path: str) -> tuple[str, ...]:
+        where, fs = _at(spark, path)
+        raw = fs.open(where)
+        try:
+            line = java.io.BufferedReader(java.io.InputStreamReader(java.util.zip.GZIPInputStream(raw) if path.lower().endswith(".gz") else raw, "UTF-8")).readLine()
+        finally:
+            raw.close()
+        return tuple(next(csv.reader([(line or "").lstrip("\ufeff")]), []))
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(paths, pool.map(header, paths), strict=True))
+
+
+def _scanned(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
+    """Lines of files with the same header by Spark's own CSV scan, which splits large plain files; parts are told apart by where they begin."""
+    at, names = positions(list(header)), [f"c{k}" for k in range(len(header))]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True).csv(paths)
+    file = F.col("_metadata.file_name")
+    columns = [F.nullif(F.col(names[at[c]]), F.lit("")).alias(c) if c in at else F.lit(None).cast("string").alias(c) for c in KNOWN]
+    line = F.monotonically_increasing_id().bitwiseAND((1 << 32) - 1)
+    return rows.select(file.alias("file"), file.alias("member"), F.to_date(F.substring(file, 1, 8), "yyyyMMdd").alias("file_day"), F.col("_metadata.file_block_start").alias("begin"), line.alias("line"), *columns)
 
 
 def raw_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -106,15 +170,36 @@ def raw_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_daily_files(spark: SparkSession, paths: list[str], start: str, end: str) -> DataFrame:
-    """All daily CSV files of a kind, plain, gzipped or in zip archives, as one table: file_day, seq, known columns as text."""
-    lines = daily_lines(raw_files(spark, paths), dt.date.fromisoformat(start), dt.date.fromisoformat(end))
-    return plain_columns(in_order(lines))
+    """All daily CSV files of a kind, plain, gzipped or in zip archives, as one table: file_day, seq, known columns as text.
+
+    Files are listed and their headers read first; those with the same header are one scan of
+    Spark's, archives are streamed member by member. A quoted line end within a field is for
+    archives only.
+    """
+    first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    listed = sorted(r["path"] for r in raw_files(spark, paths).select("path").collect())
+    plain = [p for p in listed if (day := day_of(p.rpartition("/")[2])) is not None and first <= day <= last]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, header in headers(spark, plain).items():
+        if header:
+            groups.setdefault(header, []).append(path)
+    parts = [_scanned(spark, header, some) for header, some in groups.items()]
+    archives = [p for p in listed if p.lower().endswith(".zip")]
+    if archives:
+        own = [p for p in archives if openable(p)]
+        if own:
+            parts.append(daily_lines(spark.createDataFrame([(p,) for p in own], "path string").repartition(len(own), "path"), first, last))
+        if other := [p for p in archives if not openable(p)]:
+            parts.append(daily_lines(raw_files(spark, other), first, last))
+    out = parts[0] if parts else spark.createDataFrame([], LINES)
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return plain_columns(in_order(out))
 
 
 def read_table(spark: SparkSession, path: str, schema: str, required: bool = True) -> DataFrame:
     """A CSV table with a header; if it is absent, an error, or an empty table where it is optional."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if exists(spark, path):
         return spark.read.schema(schema).option("header", True).csv(path)
     if required:
         raise FileNotFoundError(path)
@@ -136,9 +221,47 @@ def table_manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of raw files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256) of raw files, named from their partition on; tasks read them in pieces, a file in one task, whatever its size, where they can open it."""
+    files = raw_files(spark, [path])
+    name = F.regexp_extract("path", r"([^/=]+=[^/]*/)*[^/]+$", 0).alias("file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with _opened(path) as raw:
+                    while piece := raw.read(READ):
+                        digest.update(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], ["path", "sha256"])
+
+    listed = files.select("path", "length", F.lit(uuid.uuid4().hex).alias("read"))  # so that a cached manifest of before is not taken for it
+    first = listed.select("path").first()
+    if first and not openable(first["path"]):
+        return files.withColumn("read", F.lit(uuid.uuid4().hex)).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    hashed = listed.select("path", "read").repartition("path").mapInArrow(run, "path string, sha256 string")
+    return listed.join(hashed, "path").select(name, F.col("length").alias("bytes"), "sha256")
+
+
+def read_verified(spark: SparkSession, path: str, manifest: DataFrame, pattern: str = "*.parquet") -> DataFrame:
+    """The Parquet table at ``path``, refused if a file is missing, new, or differs from the manifest (file, bytes, sha256) in size or hash."""
+    differs = manifest_differences(manifest.select("file", "bytes", "sha256"), file_manifest(spark, f"{path}/{pattern}")).orderBy("file").limit(5).collect()
+    if differs:
+        raise ValueError(f"{path} is not what its manifest says: " + ", ".join(f"{r['file']} {r['change']}" for r in differs))
+    return spark.read.parquet(path)
+
+
+def merge_days(path: str, revisions: DataFrame, tag: str, day: str = "day", key: list[str] = KEY, values: list[str] = VALUES) -> None:
+    """Applies revisions to a table partitioned by day, rewriting the days that they touch and no others.
+
+    Only those days' partitions are read; what becomes of them is stored first and then takes
+    their place, so that a merge that is broken off can be done again, to the same end.
+    """
+    spark = revisions.sparkSession
+    held = stored(revisions, f"{tag}-revisions")
+    days = [r[day] for r in held.select(day).distinct().collect()]  # partitions, as Spark lists them
+    rows = spark.read.parquet(path)
+    touched = stored(apply_revisions(rows.filter(F.col(day).isin(days)), held, key, values), f"{tag}-days")
+    touched.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
 def snapshot_manifest(spark: SparkSession, tables: dict[str, str], raw: str | None, start: str, end: str, missing: list[str]) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.contract import Contract, with_reason
-from ..operators.reconcile import KEY, VALUES, apply_revisions
+from ..operators.reconcile import KEY, VALUES
+from ..sources.files import merge_days
+from ..sources.folders import exists
 
 
 def marked(rows: DataFrame, c: Contract = Contract()) -> DataFrame:
@@ -24,26 +26,21 @@ def hourly_rate(rows: DataFrame, arrived: str = "arrived", delay: str = "2 hours
     return rows.withWatermark(arrived, delay).groupBy(F.window(arrived, "1 hour")).agg(F.count("*").alias("published"), F.count("reason").alias("quarantined"))
 
 
-def revise(path_in: str, path_out: str, arrived: str = "arrived"):
-    """A foreachBatch function that applies each batch of revisions to what the batch before left.
+def revise(path: str, log: str, arrived: str = "arrived"):
+    """A foreachBatch function that merges each batch of revisions into the table at ``path``, which is partitioned by day.
 
-    The first batch starts from the table at ``path_in``; every batch writes the whole table to
-    a folder of its number under ``path_out`` and is then committed by a row of the table
-    ``log`` there. A batch that comes again, as after a restart, is left alone if it is
-    committed, and else written anew.
+    Only days that a batch touches are rewritten; files of others keep their names. A batch is
+    committed by a row of the table ``log``; one that comes again, as after a restart, is left
+    alone if it is committed, and else merged once more, to the same end.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        log = spark.createDataFrame([], "batch long")
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{path_out}/log")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            log = spark.read.schema("batch long").parquet(f"{path_out}/log")
-        last = log.agg(F.max("batch")).first()[0]
-        if last is not None and number <= last:
-            return
-        rows = spark.read.parquet(path_in if last is None else f"{path_out}/batch={last}")
-        apply_revisions(rows, batch.drop(arrived), KEY, VALUES).write.mode("overwrite").parquet(f"{path_out}/batch={number}")
-        spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("append").parquet(f"{path_out}/log")
+        if exists(spark, log):
+            last = spark.read.schema("batch long").parquet(log).agg(F.max("batch")).first()[0]
+            if last is not None and number <= last:
+                return
+        merge_days(path, batch.drop(arrived), f"batch-{number}")
+        spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("append").parquet(log)
 
     return run

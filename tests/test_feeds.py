@@ -2,6 +2,9 @@ import datetime as dt
 import gzip
 import hashlib
 import json
+import os
+import subprocess
+import sys
 import zipfile
 
 import pytest
@@ -84,6 +87,57 @@ def test_daily_files_in_archives_keep_their_order_and_headers(spark, tmp_path):
     assert [(str(r["file_day"]), r["time_stamp"], r["time_zone"], r["zone"], r["ptid"], r["lbmp"]) for r in rows[5000:]] == [("2024-01-02", "b1", "EST", "WEST", "7", "2.5"), ("2024-01-03", "c1", None, "WEST", "7", "3.5"), ("2024-01-03", "c2", None, "NORTH", "8", "4.5")]
 
 
+def test_large_plain_files_are_split(spark, tmp_path):
+    """A plain file in several parts, beside one with the same header and one with another: lines in order all the same."""
+    (tmp_path / "20240102zone.csv").write_text("Name,Time Stamp,LBMP\n" + "".join(f"WEST,b{k},{k}\n" for k in range(20_000)))
+    (tmp_path / "20240101zone.csv").write_text("Name,Time Stamp,LBMP\nWEST,a0,\nWEST\n")
+    (tmp_path / "20240103zone.csv").write_text("\ufeffTime Stamp,Name,Other,LBMP\nc0,NORTH,z,1\n")
+    (tmp_path / "20240104zone.csv").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = files.read_daily_files(spark, [str(tmp_path)], "2024-01-01", "2024-01-31")
+        assert rows.rdd.getNumPartitions() > 1
+        got = rows.orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["time_stamp"] for r in got] == ["a0", None, *[f"b{k}" for k in range(20_000)], "c0"] and got[0]["lbmp"] is None and got[-1]["zone"] == "NORTH"
+
+
+def test_members_are_streamed(tmp_path):
+    """A member of 250 MB is read by a process that may hold little more than Python and its libraries."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z, z.open("20240102zone.csv", "w") as f:
+        f.write(b"Name,Time Stamp,LBMP\n")
+        for _ in range(250):
+            f.write(b"WEST,01/02/2024 00:05:00,12.5\n" * 34_000)
+    code = (
+        "import resource, datetime as dt; from pricegate.sources import files\n"
+        "n = 0\n"
+        f"with files._opened('file:{tmp_path}/a.zip') as raw:\n"
+        "    for k, b in enumerate(files._member_lines('a.zip', raw, dt.date(2024, 1, 1), dt.date(2024, 1, 31))):\n"
+        "        n += b.num_rows\n"
+        "        if k == 3: start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - start)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).stdout.split()
+    assert int(out[0]) == 250 * 34_000 and int(out[1]) < 50_000  # kB more than after the first pieces
+
+
+def test_verified_reads(spark, tmp_path):
+    spark.range(100).repartition(3).write.parquet(f"{tmp_path}/t")
+    manifest = files.file_manifest(spark, f"{tmp_path}/t/*.parquet").cache()
+    assert manifest.count() == 3 and files.read_verified(spark, f"{tmp_path}/t", manifest).count() == 100
+    parts = sorted((tmp_path / "t").glob("*.parquet"))
+    assert {r["sha256"] for r in manifest.collect()} == {hashlib.sha256(p.read_bytes()).hexdigest() for p in parts}
+    whole = parts[0].read_bytes()
+    parts[0].write_bytes(whole[:-1] + bytes([whole[-1] ^ 1]))
+    with pytest.raises(ValueError, match="changed"):
+        files.read_verified(spark, f"{tmp_path}/t", manifest)
+    parts[0].unlink()
+    with pytest.raises(ValueError, match="missing"):
+        files.read_verified(spark, f"{tmp_path}/t", manifest)
+
+
 def test_price_tables(spark, tmp_path):
     (tmp_path / "t").mkdir()
     for k, n in ((1, 1), (2, 3000), (3, 1)):
