@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.reconcile import KEY, VALUES, apply_revisions
-from .folders import _at, exists, stored
+from .folders import SCHEMES, _at, exists, file_system, scheme, stored
 
 #: The column that a header becomes, by how it starts or what it holds.
 STARTS = {"time stamp": "time_stamp", "time zone": "time_zone", "lbmp": "lbmp"}
@@ -54,22 +54,16 @@ def day_of(name: str) -> dt.date | None:
 LINES = "file string, member string, file_day date, begin long, line long, " + ", ".join(f"{c} string" for c in KNOWN)
 #: Lines of a member that leave a task at a time, and bytes of a file that are read at a time.
 PIECE, READ = 8192, 8 << 20
-#: Schemes that tasks open by themselves, as pyarrow names them; files of others travel as bytes, up to 2 GB each.
-SCHEMES = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 
 
 def _opened(path: str):
     """A file opened for random access by the task itself."""
-    from pyarrow import fs
-
-    scheme, _, rest = path.partition(":") if ":" in path else ("", "", path)
-    name = SCHEMES[scheme]
-    where, at = fs.FileSystem.from_uri("file:///" + rest.lstrip("/") if name == "file" else f"{name}:{rest}")
+    where, at = file_system(path)
     return where.open_input_file(at)
 
 
 def openable(path: str) -> bool:
-    return (path.partition(":")[0] if ":" in path else "") in SCHEMES
+    return scheme(path) in SCHEMES and scheme(path) != "viewfs"
 
 
 def _member_lines(name: str, raw, start: dt.date, end: dt.date) -> Iterator[pa.RecordBatch]:

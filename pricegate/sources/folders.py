@@ -43,6 +43,30 @@ def _at(spark: SparkSession, path: str) -> tuple:
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Schemes of paths as tasks open them, by the names that pyarrow has for them.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def scheme(path: str) -> str:
+    return path.partition(":")[0] if ":" in path.partition("/")[0] else "file"
+
+
+def for_tasks(path: str) -> str:
+    """A path of Hadoop's as pyarrow takes it: other names of the same store are translated, and a local path is made a URI."""
+    kind = scheme(path)
+    if kind not in SCHEMES:
+        raise ValueError(f"tasks cannot open {kind}: paths; known are {', '.join(SCHEMES)}")
+    rest = path.partition(":")[2] if ":" in path.partition("/")[0] else path
+    return "file:///" + rest.lstrip("/") if kind == "file" else f"{SCHEMES[kind]}:{rest}"
+
+
+def file_system(path: str) -> tuple:
+    """pyarrow's file system of a path, and the path there; for code in tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(for_tasks(path))
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet and read back, so that several readers share one run of its plan."""
     path = new_folder(df.sparkSession, tag)

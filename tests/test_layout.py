@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricegate.operators import features, reconcile
-from pricegate.sources import layout
+from pricegate.sources import folders, layout
 
 D = dt.date(2026, 1, 1)
 
@@ -50,6 +50,19 @@ def test_no_exchange(tables, name):
     assert same[0] == same[1]
 
 
+@pytest.mark.parametrize(
+    ("path", "uri"),
+    [("/a/b", "file:///a/b"), ("file:/a/b", "file:///a/b"), ("file:///a b", "file:///a b"), ("s3a://bucket/k=1/x", "s3://bucket/k=1/x"), ("hdfs://host:8020/a", "hdfs://host:8020/a"), ("abfss://c@h/a", "abfss://c@h/a"), ("/a:b/c", "file:///a:b/c"), ("gcs://b/a", "gs://b/a")],
+)
+def test_paths_for_tasks(path, uri):
+    assert folders.for_tasks(path) == uri
+
+
+def test_unknown_scheme():
+    with pytest.raises(ValueError, match="wasbs"):
+        folders.for_tasks("wasbs://c@h/a")
+
+
 def test_gap_moves_sums_only(tables):
     plain, laid = tables
     gap = lambda t: reconcile.revision_gap(t["rows"], t["revisions"], 0.5)
