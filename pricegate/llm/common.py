@@ -3,60 +3,50 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import delete, new_folder
+
 #: Most rows of a skinny table that are broadcast once their number has been counted.
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset and all run on this machine (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+#: Folders that ``stored`` has written since the innermost ``stored_alone`` of this thread began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts the lineage."""
+    """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts the lineage. It is deleted when the application ends, or before."""
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    _stored.append(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return out
 
 
-#: Folders that ``stored`` wrote and nobody has discarded yet.
-_stored: list[str] = []
-
-
 def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Deletes stored tables that no later read needs, as what was made of them is stored itself."""
     for t in tables:
-        path = t if isinstance(t, str) else t.stored_at
-        if path in _stored:
-            _stored.remove(path)
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path := t if isinstance(t, str) else getattr(t, "stored_at", None):
+            delete(spark, path)
 
 
 def stored_alone(spark: SparkSession, make, tag: str) -> DataFrame:
     """The stored table of ``make()``; whatever that stored on the way is deleted."""
-    before = len(_stored)
-    out = stored(make(), tag)
-    discard(spark, *(p for p in _stored[before:] if p != out.stored_at))
+    outer, own = _written.get(), []
+    token = _written.set(own)
+    try:
+        out = stored(make(), tag)
+    finally:
+        _written.reset(token)
+    discard(spark, *(p for p in own if p != out.stored_at))
+    if outer is not None:
+        outer.append(out.stored_at)
     return out
 
 

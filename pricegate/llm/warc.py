@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import file_system
 from .common import join_groups, new_folder, stored
 
 #: Bytes of payload in a range of ids, ranges at least, and keys of each range that its edges are taken from.
@@ -69,7 +70,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 def _writer(folder: str, roll: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root)
         attempt = TaskContext.get().taskAttemptId()
         part, number, out, done = None, 0, None, []
@@ -183,7 +184,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL
     rows = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
     files = rows.select("part", "page_id", "digest", "kind", "url", "html", "newest").mapInArrow(_writer(f"{folder}/data", roll), MANIFEST)
     files.write.parquet(f"{folder}/manifest")
-    fs, root = pyarrow.fs.FileSystem.from_uri(f"{folder}/data")
+    fs, root = file_system(f"{folder}/data")
     for f in fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
         if f.base_name.endswith(".tmp"):
             fs.delete_file(f.path)
@@ -233,7 +234,7 @@ class _Hashed:
 
 def _reader(folder: str, rows: int = 2000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         for listed in (f for b in batches for f in b.to_pylist()):
             found, records = [], 0
             with fs.open_input_stream(f"{root}/{listed['file']}", compression=None) as stream:
