@@ -38,9 +38,9 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 ALONE = set("p li tr td th dt dd option".split())
 #: Pseudo-names of text within and outside of what a page marks as its article.
 MARKED, UNMARKED = "(marked)", "(unmarked)"
-#: A name decides from this weight on, up or down; what a word scores if a name speaks for it, and if none does; the
+#: A name decides from this weight on, up or down; the most that a word scores, what it scores if nothing speaks for it, and the least unless a name speaks against it; the
 #: bounds of what a tag takes away, and the most that an element whose names speak against it takes in all.
-DECISIVE, BEST, PLAIN, TAG_LEAST, TAG_MOST, ISLAND = 1.0, 3.0, 0.5, 0.05, 1.0, 20.0
+DECISIVE, BEST, PLAIN, FAINT, TAG_LEAST, TAG_MOST, ISLAND = 1.0, 3.0, 0.5, 0.01, 0.05, 1.0, 20.0
 #: An element with this share of the page's words says nothing against them by its names, where no article is marked.
 WRAPPER = 0.9
 
@@ -70,6 +70,7 @@ class Element:
     names: frozenset = frozenset()
     last: int = 0
     island: int = 0
+    block: str = ""  # the tag of the nearest element that is not inline, itself or around it
 
 
 @dataclass
@@ -174,6 +175,7 @@ def _described(page: Page) -> Page:
     inside = [False] * len(elements)
     good, all_ = [], []
     for k, e in enumerate(elements[1:], 1):
+        e.block = elements[e.up].block if e.tag in INLINE else e.tag
         if e.tag == "article":
             if inside[e.up]:
                 e.own |= {"comment"}  # an article in an article is a reader's comment
@@ -219,10 +221,15 @@ class Weights:
 
     names: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
+    blocks: dict[str, float] = field(default_factory=dict)  # the same of words by the block element that they stand in
 
-    def word(self, low: float, high: float) -> float:
-        """What a word scores by the least and the greatest weight of the names around it: negative if one speaks against it, however many speak for it."""
-        return -1.0 if low <= -DECISIVE else BEST if high >= DECISIVE else PLAIN
+    def word(self, low: float, high: float, block: float = 0.0) -> float:
+        """What a word scores by the least and the greatest weight of the names around it, as they were learnt, within BEST:
+        negative if one speaks against it, however many speak for it. Where names say nothing, its block does: at the least
+        FAINT, so that its tags outweigh it, but what the region holds of it stays."""
+        if low <= -DECISIVE:
+            return max(low, -BEST)
+        return min(max(high, PLAIN), BEST) if high >= DECISIVE else min(max(PLAIN + block, FAINT), BEST)
 
     def tag(self, t: str) -> float:
         return -self.tags.get(t, TAG_MOST / 2)
@@ -250,6 +257,7 @@ def count_names(page: Page) -> Counter:
             words[i.at][within] += n
             found["word", "", within] += n
             found["name", MARKED if elements[i.at].marked else UNMARKED, within] += n
+            found["block", elements[i.at].block, within] += n
     for k in range(len(elements) - 1, 0, -1):
         for side in (0, 1):
             words[elements[k].up][side] += words[k][side]
@@ -264,7 +272,10 @@ def count_names(page: Page) -> Counter:
 
 
 def weigh(counts: Counter) -> Weights:
-    """Log ratios of the rates within and outside of articles. The lists only lend a name its first words; counts outweigh them."""
+    """Log ratios of the rates within and outside of articles. The lists only lend a name its first words; counts outweigh them.
+    Without labelled pages nothing is lent either: all weights are neutral."""
+    if not counts:
+        return Weights()
     total = {k: counts["word", "", k] + 1 for k in (True, False)}
     tags = {k: sum(n for (kind, _, inside), n in counts.items() if kind == "tag" and inside is k) + 1 for k in (True, False)}
     few = PRIOR / (total[True] + total[False])
@@ -272,6 +283,8 @@ def weigh(counts: Counter) -> Weights:
     for name in {n for kind, n, _ in counts if kind == "name"} | BOILERPLATE | {MARKED, UNMARKED}:
         up, down = (LEAN, 1) if name == MARKED else (1, LEAN) if name in BOILERPLATE or name == UNMARKED else (1, 1)
         out.names[name] = log((counts["name", name, True] / total[True] + few * up) / (counts["name", name, False] / total[False] + few * down))
+    for block in {n for kind, n, _ in counts if kind == "block"}:
+        out.blocks[block] = log((counts["block", block, True] / total[True] + few) / (counts["block", block, False] / total[False] + few))
     for tag in {n for kind, n, _ in counts if kind == "tag"}:
         ratio = log((counts["tag", tag, False] + 1) / tags[False] / ((counts["tag", tag, True] + 1) / tags[True]))
         out.tags[tag] = min(max(TAG_MOST / 2 + ratio / 8, TAG_LEAST), TAG_MOST)
@@ -303,7 +316,8 @@ def scores_of(page: Page, weights: Weights) -> list[float]:
         low[k], high[k] = min(own, default=0.0), max(own, default=0.0)
         if k:
             low[k], high[k] = min(low[k], low[e.up]), max(high[k], high[e.up])
-        word[k] = weights.word(min(low[k], said[e.marked]), max(high[k], said[e.marked]))
+        block = 0.0 if elements[0].marks else weights.blocks.get(e.block, 0.0)
+        word[k] = weights.word(min(low[k], said[e.marked]), max(high[k], said[e.marked]), block)
         against[k] = e.unseen or word[k] < 0
         e.island = elements[e.up].island if k and against[e.up] else k
     out = []
