@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
-from ..operators.bootstrap import LADDER
-from .queries import DAILY, DAY, HUB, MONITOR_FROM, REFERENCE, SPLIT, TOLERANCE
-
-#: The published wording and order, stated here once more, so that a slip in the library shows.
+import math
+
+# Nothing of the library is imported: what both must agree on is stated here once more, so that a slip in either shows.
+
+#: Days from the first one at which the held-out window and monitoring begin, length of the reference window, and the defects' hub and day.
+SPLIT, MONITOR_FROM, REFERENCE = 20, 26, 10
+TOLERANCE = 20.0
+HUB, DAY = "error", "2024-01-10"
+#: The law of Poisson weights of mean 1, up to 7.
+LADDER = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(7)]
+#: Checks of a daily run on the derived feed: name, family, operator, bounds, reason.
+DAILY_CHECKS = [
+    ("quarantine_rate", "data_quality", "<=", 0.2, 0.2, "rows fail the contract"),
+    ("hour_count_days_wrong", "data_quality", "<=", 3.0, 3.0, "a hub-day has other hours than the calendar"),
+    ("duplicate_conflicts", "integrity", "==", 0.0, 0.0, "two copies of a row disagree"),
+    ("reconcile_share_off", "reconciliation", "<", 0.06, 0.06, "too many hours differ between the two hourly copies"),
+    ("reconcile_mean_abs", "reconciliation", "within", 2.0, 7.0, "the two hourly copies lie apart on average"),
+    ("band_coverage", "calibration", "within", 0.85, 0.95, "the band does not hold the share it promises"),
+]
+#: The model checks of a release.
+MODEL_CHECKS = [
+    ("overall_improvement", "accuracy", "<", 0.0, 0.0, "the challenger is not better by more than noise"),
+    ("peak_no_regression", "regression", "<=", 0.0, 0.0, "the challenger is worse at the peak"),
+    ("hub_no_regression", "bias", "<=", 0.0, 0.0, "the challenger is worse at a hub"),
+    ("band_coverage", "calibration", "within", 0.85, 0.95, "the band does not hold the share it promises"),
+    ("psi_max", "drift", "<=", 0.25, 0.25, "an input has moved"),
+]
+#: The data checks of a release.
+RELEASE_CHECKS = [("quarantine_rate", "data_quality", "<=", 0.02, 0.02, ""), ("hour_count_days_wrong", "data_quality", "==", 0.0, 0.0, ""), ("duplicate_conflicts", "integrity", "==", 0.0, 0.0, ""), ("reconcile_share_off", "reconciliation", "<=", 0.02, 0.02, ""), ("reconcile_mean_abs", "reconciliation", "<=", 0.5, 0.5, "")]
+#: The published wording and order.
 UPSTREAM = ["data_quality", "integrity", "reconciliation", "drift", "accuracy", "regression", "bias", "calibration"]
 THRESHOLD_PHRASES = ["raise the threshold", "lower the threshold", "change the threshold", "loosen", "relax the", "tighten the", "new threshold", "adjust the threshold"]
 DECISION_PHRASES = ["should ship", "can ship", "safe to ship", "may ship", "promote the", "approve the", "override", "ignore the", "waive", "bypass", "release it", "release the candidate", "ship it"]
@@ -240,7 +266,7 @@ JUDGED = """judged AS (SELECT run_id, ord, "check", family, value, op, lo, hi, w
     coalesce(CASE WHEN value IS NULL OR isnan(value) THEN FALSE WHEN op = '<=' THEN value <= hi WHEN op = '<' THEN value < hi WHEN op = '==' THEN value = lo WHEN op = 'within' THEN value BETWEEN lo AND hi END, FALSE) AS passed
   FROM (SELECT r.run_id, s.*, v.value, v.run_id AS v_run FROM (SELECT DISTINCT run_id FROM vals) r CROSS JOIN suite s LEFT JOIN vals v ON v.run_id = r.run_id AND v."check" = s."check")),
 res AS (SELECT * EXCLUDE (why, there), CASE WHEN NOT there THEN 'no value computed' WHEN passed THEN '' ELSE why END AS reason FROM judged)"""
-GATE = (*FEED, VER, DROWS, SUMMARY, valued(CHECKS5), suite(DAILY.checks), JUDGED)
+GATE = (*FEED, VER, DROWS, SUMMARY, valued(CHECKS5), suite(DAILY_CHECKS), JUDGED)
 O["gate_values"] = with_(*GATE[:-2]) + "SELECT * FROM vals"
 O["gate_results"] = with_(*GATE) + "SELECT * FROM res"
 VERDICT = "SELECT run_id, count(*) FILTER (passed) AS passed, count(*) AS total, CASE WHEN bool_and(passed) THEN 0 ELSE 2 END AS exit_code FROM res GROUP BY run_id"
@@ -250,12 +276,10 @@ ONE = f"""one AS (SELECT 'candidate' AS run_id, (SELECT hi FROM boot WHERE kind
 
 
 def _candidate() -> str:
-    from ..operators.gate import CHECKS
-
-    names = ["overall_improvement", "peak_no_regression", "hub_no_regression", "band_coverage", "psi_max"]
+    names = [c[0] for c in MODEL_CHECKS]
     rows = ", ".join(f"{fx(c, 3)} AS {c}" for c in ("value", "lo", "hi"))
     plain = "vals AS (" + " UNION ALL ".join(f"SELECT run_id, '{c}' AS \"check\", {c} AS value FROM one" for c in names) + ")"
-    return with_(*MODEL, BANDS, BANDED, BOOT, PSI, ONE, plain, suite([c for c in CHECKS if c[0] in names]), JUDGED) + f"SELECT * REPLACE ({rows}) FROM res"
+    return with_(*MODEL, BANDS, BANDED, BOOT, PSI, ONE, plain, suite(MODEL_CHECKS), JUDGED) + f"SELECT * REPLACE ({rows}) FROM res"
 
 
 O["candidate_gate"] = _candidate()
@@ -274,10 +298,6 @@ RPSI = (PSI.replace("pv AS (SELECT ", "pv AS (SELECT event_type AS run_id, ").re
   .replace("USING (feature) WHERE", "USING (run_id, feature) WHERE").replace("t.feature = b.feature", "t.run_id = b.run_id AND t.feature = b.feature").replace("SELECT b.feature,", "SELECT b.run_id, b.feature,").replace("ON b.feature = d.feature", "ON b.run_id = d.run_id AND b.feature = d.feature").replace("GROUP BY b.feature,", "GROUP BY b.run_id, b.feature,")
   .replace("psi AS (SELECT feature,", "psi AS (SELECT run_id, feature,").replace("(SELECT feature, sum(", "(SELECT run_id, feature, sum(").replace("FROM shares GROUP BY feature) USING (feature)", "FROM shares GROUP BY run_id, feature) USING (run_id, feature)"))
 O["run_psi"] = with_(RPSI) + f"SELECT run_id, feature, {fx('psi')} AS psi FROM psi"
-# the published expectation of each seeded defect, stated here once more
-O["release_matrix"] = "SELECT defect, failed, failed AS expected, TRUE AS ok FROM (VALUES ('hour_shift', 'hour_count_days_wrong'), ('conflict', 'duplicate_conflicts'), ('retry', ''), ('unit_slip', 'hour_count_days_wrong'), ('missing_hour', 'hour_count_days_wrong'), ('fake_hour', ''), ('load_units', 'band_coverage,psi_max'), ('skew', 'band_coverage,hub_no_regression,overall_improvement,peak_no_regression')) t(defect, failed)"
-O["release_report"] = """SELECT run_id, 10 - len(string_split_regex(failed, ',')) + (failed = '')::INT AS passed, 10 AS total, CASE WHEN failed = '' THEN 0 ELSE 2 END AS exit_code, failed FROM (VALUES ('clean', ''), ('hour_shift', 'hour_count_days_wrong'), ('conflict', 'duplicate_conflicts'), ('retry', ''), ('unit_slip', 'hour_count_days_wrong'), ('missing_hour', 'hour_count_days_wrong'),
-  ('fake_hour', ''), ('load_units', 'band_coverage,psi_max'), ('skew', 'band_coverage,hub_no_regression,overall_improvement,peak_no_regression'), ('copies_off', 'hour_count_days_wrong,quarantine_rate,reconcile_mean_abs,reconcile_share_off')) t(run_id, failed)"""
 
 # monitoring
 DAILY_MAE = "daily AS (SELECT event_type AS series, ts::DATE AS day, avg(abs(value - (props::JSON->>'k')::DOUBLE)) AS mae FROM events GROUP BY ALL)"
@@ -328,8 +348,16 @@ ver AS (SELECT hub, day, hour, {cents('rt + ((d + hour) % 3 - 1) * 0.05::DOUBLE'
 MORE_RUNS = INJECTED[:-1] + """
   UNION ALL SELECT unnest(['clean', 'load_units', 'skew']), * FROM full_rows
   UNION ALL SELECT 'copies_off', * REPLACE (CASE WHEN hour % 10 = 0 THEN price_rt + 8 ELSE price_rt END AS price_rt, CASE WHEN hub = 'error' AND day(day) < 6 THEN 'USD/kWh' ELSE unit END AS unit) FROM full_rows)"""
-O["release_data"] = with_(RELEASED, MORE_RUNS, MATRIX.partition("failed AS")[0].rstrip(", \n"), """off AS (SELECT defect, avg((abs(v.price_rt - c.price_rt) > 2)::INT) AS share, avg(abs(v.price_rt - c.price_rt)) AS gap FROM clean c JOIN ver v USING (hub, day, hour) GROUP BY 1),
-summary AS (SELECT defect AS run_id, rate AS quarantine_rate, hour_count_days_wrong, n AS duplicate_conflicts, share AS reconcile_share_off, gap AS reconcile_mean_abs FROM rates JOIN wrong USING (defect) JOIN clash USING (defect) JOIN off USING (defect))""", valued(CHECKS5, digits=4)) + "SELECT * FROM vals"
+RELEASE_DATA = (RELEASED, MORE_RUNS, MATRIX.partition("failed AS")[0].rstrip(", \n"), """off AS (SELECT defect, avg((abs(v.price_rt - c.price_rt) > 2)::INT) AS share, avg(abs(v.price_rt - c.price_rt)) AS gap FROM clean c JOIN ver v USING (hub, day, hour) GROUP BY 1),
+summary AS (SELECT defect AS run_id, rate AS quarantine_rate, hour_count_days_wrong, n AS duplicate_conflicts, share AS reconcile_share_off, gap AS reconcile_mean_abs FROM rates JOIN wrong USING (defect) JOIN clash USING (defect) JOIN off USING (defect))""", valued(CHECKS5, digits=4))
+O["release_data"] = with_(*RELEASE_DATA) + "SELECT * FROM vals"
+# Data checks are worked out from the tables. Models of 19 columns are beyond SQL, so which of the model checks a defect must fail is stated, as published.
+VERDICTS = (*RELEASE_DATA, suite(RELEASE_CHECKS), JUDGED, """model_fails AS (SELECT run_id, unnest(string_split(names, ',')) AS "check" FROM (VALUES ('load_units', 'band_coverage,psi_max'), ('skew', 'band_coverage,hub_no_regression,overall_improvement,peak_no_regression')) t(run_id, names)),
+fails AS (SELECT run_id, "check" FROM res WHERE NOT passed UNION ALL SELECT * FROM model_fails),
+runs AS (SELECT r.run_id, count(f."check") AS bad, coalesce(string_agg(f."check", ',' ORDER BY f."check"), '') AS failed FROM (SELECT DISTINCT run_id FROM res) r LEFT JOIN fails f USING (run_id) GROUP BY 1)""")
+O["release_report"] = with_(*VERDICTS) + "SELECT run_id, 10 - bad AS passed, 10 AS total, CASE WHEN bad = 0 THEN 0 ELSE 2 END AS exit_code, failed FROM runs"
+O["release_matrix"] = with_(*VERDICTS, """must AS (SELECT * FROM (VALUES ('hour_shift', 'hour_count_days_wrong'), ('conflict', 'duplicate_conflicts'), ('retry', ''), ('unit_slip', 'hour_count_days_wrong'), ('missing_hour', 'hour_count_days_wrong'), ('fake_hour', ''),
+  ('load_units', 'band_coverage,psi_max'), ('skew', 'band_coverage,hub_no_regression,overall_improvement,peak_no_regression')) t(defect, expected))""") + "SELECT defect, failed, expected, failed = expected AS ok FROM must JOIN runs ON run_id = defect"
 
 
 # notes

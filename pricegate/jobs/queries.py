@@ -692,16 +692,16 @@ def defect_forecast(spark, d):
 def defect_matrix(spark, d):
     c = contract.Contract(hubs=tuple(a.TYPES))
     key, values = ["defect", *reconcile.KEY], reconcile.VALUES
-    marked = contract.with_reason(_injected(spark, d), c).withColumn("run_id", F.col("defect"))
+    marked = stored(contract.with_reason(_injected(spark, d), c).withColumn("run_id", F.col("defect")), "marked")
     rates = contract.quarantine_rate(marked, "run_id").select("run_id", F.col("rate").alias("quarantine_rate"))
-    exact = reconcile.exact_rows(marked.filter("reason is null"), key, values)
+    exact = stored(reconcile.exact_rows(marked.filter("reason is null"), key, values), "exact")
     clash = exact.groupBy(F.col("defect").alias("run_id")).agg(F.count(F.when((F.col("key_rows") > 1) & (F.col("place") == 1), 1)).alias("duplicate_conflicts"))
     hubs = a.union([spark.createDataFrame([(n, t) for n in defects.ROW_DEFECTS for t in a.TYPES], "defect string, hub string")]).select(F.concat_ws("/", "defect", "hub").alias("hub"))
     counts = reconcile.interval_counts(exact.filter("place = 1").withColumn("hub", F.concat_ws("/", "defect", "hub")), hubs)
     wrong = counts.groupBy(F.split_part("hub", F.lit("/"), F.lit(1)).alias("run_id")).agg(F.count(F.when(~F.col("ok"), 1)).alias("hour_count_days_wrong"))
     summary = rates.join(clash, "run_id").join(wrong, "run_id")
     checked = gate.values(summary, ["quarantine_rate", "hour_count_days_wrong", "duplicate_conflicts"])
-    return defects.matrix(gate.results(checked, DEFECT_SUITE.frame(spark)))
+    return defects.matrix(stored(gate.results(checked, DEFECT_SUITE.frame(spark)), "results"))
 
 
 # notes
