@@ -197,6 +197,28 @@ O["design_rows"] = with_(*feature_sql()) + "SELECT hub, day, hour, " + ", ".join
 O["window_split"] = with_(*feature_sql()) + f"""SELECT CASE WHEN day - {FIRST} < {SPLIT} THEN 'train' WHEN day - {FIRST} < {MONITOR_FROM} THEN 'test' ELSE 'after' END AS name,
   day - {FIRST} < {SPLIT} AND day - {FIRST} >= {SPLIT - REFERENCE} AS reference, count(*) AS n FROM feats GROUP BY ALL"""
 
+# the ridge fits of the design: sums in one aggregate, equations solved by elimination, which needs no pivots as the penalty makes them definite
+NAMES = list(DESIGN)
+COV = "[" + ", ".join("[" + ", ".join(f"covar_pop(c{min(i, j)}, c{max(i, j)})" for j in range(len(NAMES))) + "]" for i in range(len(NAMES))) + "]"
+SIZES = {"champion": len(NAMES) - 2, "challenger": len(NAMES)}
+TRAIN = f"""tr AS (SELECT {', '.join(f'({e})::DOUBLE AS c{k}' for k, e in enumerate(DESIGN.values()))}, y FROM feats WHERE day - {FIRST} < {SPLIT}),
+st AS (SELECT count(*) AS n, avg(y) AS my, [{', '.join(f'avg(c{k})' for k in range(len(NAMES)))}] AS mean, [{', '.join(f'CASE WHEN stddev_pop(c{k}) < 1e-12 * greatest(1, abs(avg(c{k}))) THEN 1 ELSE stddev_pop(c{k}) END' for k in range(len(NAMES)))}] AS sd,
+  {COV} AS cov, [{', '.join(f'covar_pop(c{k}, y)' for k in range(len(NAMES)))}] AS cy FROM tr)"""
+
+
+def eliminated(name: str, p: int) -> str:
+    start = f"list_transform(range(1, {p + 1}), lambda i: list_append(list_transform(range(1, {p + 1}), lambda j: n * cov[i][j] / sd[i] / sd[j] + (i = j)::INT), n * cy[i] / sd[i]))"
+    step = "list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k]) ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END)"
+    return f"{name} AS (SELECT 1 AS k, {start} AS m FROM st UNION ALL SELECT k + 1, {step} FROM {name} WHERE k <= {p})"
+
+
+def solved(name: str, p: int) -> str:
+    parts = ", ".join(f"{fx(e, 4)} AS {c}" for c, e in (("mean", "mean[i]"), ("scale", "sd[i]"), ("coef", f"m[i][{p + 1}]"), ("intercept", "my")))
+    return f"SELECT '{name}' AS model, {NAMES[:p]}[i] AS feature, {parts} FROM {name}, st, (SELECT unnest(range(1, {p + 1})) AS i) WHERE k = {p + 1}"
+
+
+O["spread_model"] = with_(*feature_sql(), TRAIN, *[eliminated(m, p) for m, p in SIZES.items()]).replace("WITH", "WITH RECURSIVE", 1) + "\nUNION ALL ".join(solved(m, p) for m, p in SIZES.items())
+
 # models: closed forms of one and two standardised features
 PRED = """d AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, l_extendedprice AS y, l_quantity AS x1, p_retailprice AS x2, l_returnflag AS block, l_linestatus AS hub FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 FIT = """s AS (SELECT count(*) AS n, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(y) AS my, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, corr(x1, x2) AS r FROM d),
@@ -271,6 +293,8 @@ O["gate_values"] = with_(*GATE[:-2]) + "SELECT * FROM vals"
 O["gate_results"] = with_(*GATE) + "SELECT * FROM res"
 VERDICT = "SELECT run_id, count(*) FILTER (passed) AS passed, count(*) AS total, CASE WHEN bool_and(passed) THEN 0 ELSE 2 END AS exit_code FROM res GROUP BY run_id"
 O["gate_by_run"] = with_(*GATE) + VERDICT
+CHECK_JSON = """'{"ord":' || ord || ',"check":"' || "check" || '","family":"' || family || '"' || coalesce(',"value":' || value::VARCHAR, '') || ',"op":"' || op || '","lo":' || lo::VARCHAR || ',"hi":' || hi::VARCHAR || ',"passed":' || passed::VARCHAR || ',"reason":"' || reason || '"}'"""
+O["gate_report"] = with_(*GATE) + f"""SELECT run_id, '{{"checks":[' || string_agg({CHECK_JSON}, ',' ORDER BY ord) || '],"passed":' || count(*) FILTER (passed) || ',"total":' || count(*) || ',"exit_code":' || CASE WHEN bool_and(passed) THEN 0 ELSE 2 END || '}}' AS report FROM res GROUP BY run_id"""
 ONE = f"""one AS (SELECT 'candidate' AS run_id, (SELECT hi FROM boot WHERE kind = 'overall') AS overall_improvement, (SELECT lo FROM boot WHERE segment = 'R') AS peak_no_regression, (SELECT max(lo) FROM boot WHERE kind = 'hub') AS hub_no_regression,
   (SELECT avg((y BETWEEN lo AND hi)::INT) FROM bn) AS band_coverage, (SELECT max({fx('psi')}) FROM psi WHERE feature IN ('value', 'user_id')) AS psi_max)"""
 

@@ -16,19 +16,21 @@ from ..sources import adapters as a
 from ..sources import feeds, files
 from ..sources.folders import new_folder, stored
 
-SPLIT, MONITOR_FROM, REFERENCE = 20, 26, 10
-TOLERANCE = 20.0
 #: Hub and day of seeded defects.
 HUB, DAY = "error", "2024-01-10"
-#: Data checks of a daily run on the derived feed, with thresholds of its own.
-DAILY = gate.Suite(checks=(
-    ("quarantine_rate", "data_quality", "<=", 0.2, 0.2, "rows fail the contract"),
-    ("hour_count_days_wrong", "data_quality", "<=", 3.0, 3.0, "a hub-day has other hours than the calendar"),
-    ("duplicate_conflicts", "integrity", "==", 0.0, 0.0, "two copies of a row disagree"),
-    ("reconcile_share_off", "reconciliation", "<", 0.06, 0.06, "too many hours differ between the two hourly copies"),
-    ("reconcile_mean_abs", "reconciliation", "within", 2.0, 7.0, "the two hourly copies lie apart on average"),
-    ("band_coverage", "calibration", "within", 0.85, 0.95, "the band does not hold the share it promises"),
-))
+#: Data checks of a daily run on the derived feed, with thresholds of its own, as a suite's file states them.
+DAILY = gate.load_suite({
+    "split_day": 20, "monitor_from_day": 26, "reference_days": 10, "reconcile_tolerance": 20.0,
+    "checks": {
+        "quarantine_rate": {"family": "data_quality", "op": "<=", "threshold": 0.2, "why": "rows fail the contract"},
+        "hour_count_days_wrong": {"family": "data_quality", "op": "<=", "threshold": 3, "why": "a hub-day has other hours than the calendar"},
+        "duplicate_conflicts": {"family": "integrity", "op": "==", "threshold": 0, "why": "two copies of a row disagree"},
+        "reconcile_share_off": {"family": "reconciliation", "op": "<", "threshold": 0.06, "why": "too many hours differ between the two hourly copies"},
+        "reconcile_mean_abs": {"family": "reconciliation", "op": "within", "threshold": [2.0, 7.0], "why": "the two hourly copies lie apart on average"},
+        "band_coverage": {"family": "calibration", "op": "within", "threshold": [0.85, 0.95], "why": "the band does not hold the share it promises"},
+    },
+})
+SPLIT, MONITOR_FROM, REFERENCE, TOLERANCE = DAILY.split_day, DAILY.monitor_from_day, DAILY.reference_days, DAILY.tolerance
 DEFECT_SUITE = gate.Suite(checks=(("quarantine_rate", "data_quality", "<=", 0.05, 0.05, ""), ("hour_count_days_wrong", "data_quality", "==", 0.0, 0.0, ""), ("duplicate_conflicts", "integrity", "==", 0.0, 0.0, "")))
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
