@@ -359,7 +359,7 @@ def serving_skew(spark, d):
 @query
 def spread_model(spark, d):
     """Champion and challenger on the feature rows of the training window."""
-    rows = _features(spark, d).filter(F.datediff("day", F.lit(a.FIRST_DAY).cast("date")) < SPLIT)
+    rows = stored(_features(spark, d).filter(F.datediff("day", F.lit(a.FIRST_DAY).cast("date")) < SPLIT), "train")
     sums = model.sums(rows, features.design(a.TYPES, True), F.col("y"))
     parts = [sums.ridge(tuple(features.design(a.TYPES, both))).frame(spark, name) for name, both in (("champion", False), ("challenger", True))]
     return rounded(a.union(parts), 4)
