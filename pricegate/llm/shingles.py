@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+#: Bits of a SimHash, and shingle hashes whose bits are counted at a time.
+BITS, CHUNK = 64, 1 << 16
+
 
 def normal_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased; null has none."""
@@ -21,3 +24,13 @@ def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1]
     return np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), "<u8", len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash: the bits set in over half of the hashes; one hash is its own, none give 0."""
+    if len(hashes) <= 1:
+        return int(hashes.sum())
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])

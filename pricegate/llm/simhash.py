@@ -12,19 +12,17 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, drop_ids, join_groups, join_hot, stored
 from .graph import components
-from .shingles import normal_words, shingle_hashes
+from .shingles import BITS, majority, normal_words, shingle_hashes
 from .similar import similar_pairs, sketched
 
 #: Words in a shingle.
 WORDS = 3
-#: Bits of a fingerprint, and of the segments whose bit counts make up the embedding: first 4, and 2 and 1 where cells are full.
-BITS, SEGMENTS = 64, (4, 2, 1)
+#: Bits of the segments whose bit counts make up the embedding: first 4, and 2 and 1 where cells are full.
+SEGMENTS = (4, 2, 1)
 #: Bits by which linked fingerprints may differ; the grid joins points within one step of a cell, so it is made for 2.
 NEAR = 2
 #: Fingerprints of a cell that are compared with one another; fuller cells are cut finer.
 FEW = 32
-#: Shingle hashes whose bits are counted at a time.
-CHUNK = 1 << 16
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -33,14 +31,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     Only A-Z are lower-cased and only ASCII white space parts words. Fewer words than a
     shingle takes give one shingle; none, or null, give 0.
     """
-    hashes = shingle_hashes(normal_words(text), words)
-    if len(hashes) <= 1:
-        return int(hashes.sum())
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return majority(shingle_hashes(normal_words(text), words))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
@@ -132,7 +123,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, sim
 
     Links join fingerprints that differ by at most 2 bits. With ``similarity`` they join
     texts whose different shingles have at least this Jaccard similarity, and texts of the
-    same words (see ``similar``); the fingerprint is then a hash of the words. Texts without
+    same words: the grid of SimHashes and bands propose, the distance of SimHashes screens,
+    the shingles decide (see ``similar``); the fingerprint is then a hash of the words. Texts without
     words are alike and link like any other; null counts as empty. Copies share a fingerprint,
     which stands for them all; rows that repeat a doc_id count as one document with the links
     of all, and one with a null doc_id takes part in no link and has a null component. An
@@ -142,7 +134,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, sim
         found = linked(stored(fingerprints(docs, text, words), "fingerprints"), close_pairs)
     else:
         sketches = stored(sketched(docs, text, words), "sketches")
-        found = linked(sketches.select("doc_id", "fp"), lambda _: similar_pairs(docs, sketches, text, words, similarity))
+        found = linked(sketches.select("doc_id", "fp"), lambda _: similar_pairs(docs, sketches, close_pairs, text, words, similarity))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -1,13 +1,15 @@
-"""Pairs of texts by the similarity of their word shingles; bands of least hashes propose them.
+"""Pairs of texts by the similarity of their word shingles: SimHashes and bands of least hashes propose them, SimHashes screen them.
 
-Texts of similarity 0.8 lie 3 to 11 bits of a SimHash apart. Within so many bits of a random
-fingerprint's bit counts lie a good part of all others', so the grid of ``simhash`` would have
-to compare nearly all pairs; bands of least hashes take its place, and everything else stays.
+Texts of similarity 0.8 lie 4 to 14 bits of a SimHash apart. Within so many bits of a random
+fingerprint's bit counts lie a good part of all others', so the grid of ``simhash``, made for 2
+bits, would have to compare nearly all pairs. So what the grid links is joined by what shares a
+band of least hashes; of both, pairs of a wider distance of SimHashes are left out, and the whole
+texts' shingles decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, discard, join_hot, stored
 from .graph import components
-from .shingles import normal_words, shingle_hashes
+from .shingles import majority, normal_words, shingle_hashes
 
 #: Words in a shingle, and the share of two texts' different shingles that linked texts have in common.
 WORDS, SIMILARITY = 5, 0.8
@@ -28,6 +30,9 @@ BANDS, DEPTH = 20, 5
 #: A pair's texts are compared if the share of equal least hashes is at most this far below the similarity: three and
 #: a half standard errors of a share of 100 at 0.8, which one pair in 3,000 of similarity 0.8 falls short of.
 SLACK = 0.14
+#: Bits by which the SimHashes of a pair may differ. Of texts of similarity 0.8 a bit differs with probability 0.15 (0.19
+#: for 4 and 5 shingles), so that a pair in 100,000 (10,000) lies further apart.
+RADIUS = 24
 #: Texts of a block of a band's value, and texts and bytes of shingles of the blocks that are compared for open pairs (left, right).
 BLOCK, LEFT, RIGHT, LEFT_BYTES, RIGHT_BYTES = 512, 512, 2048, 8 << 20, 32 << 20
 #: Shingle hashes taken at a time.
@@ -42,15 +47,16 @@ def text_key(found: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(found), 7)
 
 
-def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """A long for each band of least hashes, and a byte of each least hash; no shingles count as one of their own."""
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes, int]:
+    """A long for each band of least hashes, a byte of each least hash, and the SimHash of the different shingles, as similarity
+    counts them; no shingles count as one of their own."""
     hashes = np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
     least = np.full(len(_A), ~np.uint64(0))
     for at in range(0, len(hashes), CHUNK):
         least = np.minimum(least, (hashes[None, at : at + CHUNK] * _A + _B).min(1))
     raw = least.reshape(BANDS, DEPTH)
     bands = np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
-    return bands, (least >> np.uint64(20)).astype(np.uint8).tobytes()
+    return bands, (least >> np.uint64(20)).astype(np.uint8).tobytes(), majority(hashes)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -60,7 +66,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """doc_id, fp (a hash of the text's words), bands, and sig, a byte of each least hash. Null counts as empty."""
+    """doc_id, fp (a hash of the text's words), bands, sig, a byte of each least hash, and simhash. Null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,11 +74,12 @@ def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
             for text in b.column("text"):  # one at a time, as a text's words take much more room than the text
                 found = normal_words(text.as_py())
                 made.append((text_key(found), *sketch(shingle_hashes(found, words))))
-            keys = np.array([m[0] for m in made], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.binary())], ["doc_id", "fp", "bands", "sig"])
+            keys, marks = (pa.array(np.array([m[k] for m in made], dtype=np.uint64).view(np.int64)) for k in (0, 3))
+            bands, sigs = pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), keys, bands, sigs, marks], ["doc_id", "fp", "bands", "sig", "simhash"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, bands array<long>, sig binary")
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, bands array<long>, sig binary, simhash long")
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -104,14 +111,19 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def spanning(sigs: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-    """Prim's algorithm: a spanning forest of the pairs with a share of equal least hashes of at least ``least``, the likeliest pairs first."""
+def _shares(sigs: np.ndarray, marks: np.ndarray, sig: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Of each pair the share of equal least hashes, or -1 where its SimHashes lie too far apart."""
+    return np.where(np.bitwise_count(marks ^ mark) <= RADIUS, (sigs == sig).mean(1), -1.0)
+
+
+def spanning(sigs: np.ndarray, marks: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """Prim's algorithm: a spanning forest of the pairs within the radius with a share of equal least hashes of at least ``least``, the likeliest pairs first."""
     n, out = len(sigs), []
     share, via = np.full(n, -1.0), np.zeros(n, np.int64)
     left, at = np.ones(n, bool), 0
     for _ in range(n - 1):
         left[at] = False
-        new = (sigs == sigs[at]).mean(1)
+        new = _shares(sigs, marks, sigs[at], marks[at])
         better = new > share
         share[better], via[better] = new[better], at
         at = int(np.where(left, share, -2.0).argmax())
@@ -125,15 +137,15 @@ def _forest(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "key", "block"):
-            fps, sigs = table["fp"].to_numpy(), _matrix(table["sig"])
+            fps, sigs, marks = table["fp"].to_numpy(), _matrix(table["sig"]), table["simhash"].to_numpy().view(np.uint64)
             edges = _runs(table["key"].to_numpy(), table["block"].to_numpy())
             size = np.diff(edges)
             two = edges[:-1][size == 2]
-            share = (sigs[two] == sigs[two + 1]).mean(1)
+            share = _shares(sigs[two], marks[two], sigs[two + 1], marks[two + 1])
             good = share >= least - SLACK
             pairs, shares = [np.stack([two[good], two[good] + 1], 1)], [share[good]]
             for k in np.flatnonzero(size > 2).tolist():
-                found = spanning(sigs[edges[k] : edges[k + 1]], least - SLACK)
+                found = spanning(sigs[edges[k] : edges[k + 1]], marks[edges[k] : edges[k + 1]], least - SLACK)
                 if found:
                     pairs.append(np.array([p[:2] for p in found]) + edges[k])
                     shares.append(np.array([p[2] for p in found]))
@@ -147,6 +159,7 @@ def _of_block(table: pa.Table, least: float) -> list[tuple[int, int]]:
     """Of one group of open texts: links between components, each likely pair of texts compared on all shingles until its components are one."""
     side = table["side"].to_numpy()
     fps, comps, sigs, bands = table["fp"].to_numpy(), table["component"].to_numpy(), _matrix(table["sig"]), _matrix(table["bands"]).view(np.int64)
+    marks = table["simhash"].to_numpy().view(np.uint64)
     shingles = [np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()]
     sizes = np.array(list(map(len, shingles)))
     band, up, out = table["band"][0].as_py(), {}, []
@@ -158,7 +171,7 @@ def _of_block(table: pa.Table, least: float) -> list[tuple[int, int]]:
 
     right = np.flatnonzero(side == 1)
     for t in np.flatnonzero(side == 0).tolist():
-        share = (sigs[right] == sigs[t]).mean(1)
+        share = _shares(sigs[right], marks[right], sigs[t], marks[t])
         near = (share >= least - SLACK) & (comps[right] != comps[t])
         near = right[near][np.argsort(-share[near], kind="stable")]
         near = near[(bands[near] == bands[t]).argmax(1) == band]  # a pair counts in the first band only that its texts share
@@ -196,23 +209,32 @@ def _in_order(rows: DataFrame, *names: str) -> DataFrame:
     return rows.repartition(*names).sortWithinPartitions(*names)
 
 
-def similar_pairs(docs: DataFrame, sketches: DataFrame, text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) of text hashes that connect all texts of a similarity of at least ``least`` that share a band.
+def _grouped(prints: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``prints`` with one more band: the component of their SimHashes under the links (a, b) that ``close`` finds between different ones (fp)."""
+    found = _component_of(close(stored(prints.select(F.col("simhash").alias("fp")).distinct(), "simhashes")))
+    own = F.xxhash64(F.coalesce("component", "simhash"), F.lit("simhash"))
+    return join_hot(prints, found, "simhash", "node").select("fp", F.concat("bands", F.array(own)).alias("bands"), "sig", "simhash")
+
+
+def similar_pairs(docs: DataFrame, sketches: DataFrame, close: Callable[[DataFrame], DataFrame], text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) of text hashes that connect all texts of a similarity of at least ``least`` that share a band or whose SimHashes ``close`` links.
 
-    Every edge is checked on the whole texts' shingles. The texts of a band's value, in
-    blocks of BLOCK with the least of them all in each, give a spanning forest of their
-    likely pairs, so a group gives as many pairs as it has texts. Each text's likeliest pair
-    is checked first, then those of the others whose texts are not connected yet. What is
+    Texts of SimHashes that are linked, by others too, share a band of their own. Every edge
+    has SimHashes within RADIUS and is checked on the whole texts' shingles. The texts of a
+    band's value, in blocks of BLOCK with the least of them all in each, give a spanning forest
+    of their likely pairs, so a group gives as many pairs as it has texts. Each text's likeliest
+    pair is checked first, then those of the others whose texts are not connected yet. What is
     still in different components of a band's value is then compared by ``_remaining``. So no
     group makes all its pairs, and no link between components is lost.
     """
-    prints = stored(sketches.filter("doc_id is not null").select("fp", "bands", "sig").dropDuplicates(["fp"]), "prints")
+    prints = stored(sketches.filter("doc_id is not null").select("fp", "bands", "sig", "simhash").dropDuplicates(["fp"]), "sketched")
+    prints = stored(_grouped(prints, close), "prints")
     members = prints.select("fp", F.posexplode("bands").alias("band", "key"))
     busy = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo")).filter("n > 1"), "busy")
     listed = broadcast_if_small(busy)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(listed, "key").select("key", F.when(F.col("fp") == F.col("lo"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.hash("fp"), blocks))).alias("blocks"), "fp")
-    dealt = dealt.select("key", F.explode("blocks").alias("block"), "fp").join(prints.select("fp", "sig"), "fp")
+    dealt = dealt.select("key", F.explode("blocks").alias("block"), "fp").join(prints.select("fp", "sig", "simhash"), "fp")
     likely = stored(_in_order(dealt, "key", "block").mapInArrow(_forest(least), "a long, b long, share double").groupBy("a", "b").agg(F.max("share").alias("share")), "likely")
     ends = likely.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("other")), F.struct(F.col("b").alias("of"), F.col("a").alias("other")))).alias("e"), "share")
     best = ends.groupBy("e.of").agg(F.max_by("e.other", F.struct("share", "e.other")).alias("other"))
@@ -245,7 +267,7 @@ def _remaining(docs: DataFrame, sketches: DataFrame, text: str, words: int, leas
     names = ["key", "band", "fp", "component"]
     left = dealt.filter("minor").select(*names, F.lit(0).alias("side"), of(1, "los").alias("lo"), every("his").alias("hi"))
     right = dealt.select(*names, F.lit(1).alias("side"), every("los").alias("lo"), of(2, "his").alias("hi"))
-    full = left.unionByName(right).join(prints.select("fp", "sig", _packed("bands").alias("bands")), "fp").join(held, "fp")
+    full = left.unionByName(right).join(prints.select("fp", "sig", "simhash", _packed("bands").alias("bands")), "fp").join(held, "fp")
     return stored(_in_order(full, "key", "lo", "hi").mapInArrow(_open(least), "a long, b long").distinct(), "found")
 
 

@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pricegate.llm import simhash, similar
+from pricegate.llm.common import stored
 from tests.llm.test_operators import least
 
 NEAR = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
@@ -103,3 +105,25 @@ def test_recall_on_the_given_documents(spark, sf):
         same[component].add(of[k])
     assert len(set(of)) >= len(same)  # nothing is linked that should not be
     assert sum(len(s) == 1 for s in same.values()) >= 0.99 * len(same)
+
+
+def test_the_grid_of_simhashes_proposes_pairs(spark):
+    """Where no two texts share a band of least hashes, those whose SimHashes the grid links are found, and no others."""
+    rng = np.random.default_rng(12)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 1500)) for _ in range(12)]
+    texts = [*base, *(changed(rng, b, k) for b in base for k in (1, 2, 4))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sketches = similar.sketched(df, "text", 5)
+    apart = sketches.withColumn("bands", F.transform("bands", lambda b: F.xxhash64(b, F.col("doc_id"))))
+    rows = {r["doc_id"]: r for r in sketches.collect()}
+    sets = [shingles(t) for t in texts]
+    close = [(a, b) for a in range(len(texts)) for b in range(a) if bin((rows[a]["simhash"] ^ rows[b]["simhash"]) & (1 << 64) - 1).count("1") <= simhash.NEAR]
+    assert len(close) >= 5 and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in close)
+    got = [(r["a"], r["b"]) for r in similar.similar_pairs(df, stored(apart, "sketches"), simhash.close_pairs, "text", 5, 0.8).collect()]
+    number = {r["fp"]: k for k, r in rows.items()}
+    assert least([(number[a], number[b]) for a, b in got], range(len(texts))) == least(close, range(len(texts)))
+
+
+def test_texts_whose_simhashes_lie_apart_are_no_pair():
+    same, marks = np.zeros((3, 100), np.uint8), np.array([0, (1 << similar.RADIUS) - 1, (1 << 64) - 1], dtype=np.uint64)
+    assert [p[:2] for p in similar.spanning(same, marks, 0.66)] == [(1, 0)]
