@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricegate.functions.numbers import printed, shortest
+from pricegate.jobs import queries
 from pricegate.operators.quantiles import quantiles
 from pricegate.operators import bootstrap, evaluate, features, gate, model, monitor, notes
 
@@ -185,3 +187,23 @@ def test_printed_numbers_follow_the_binary_value(spark):
     assert len(rows) == len(some)
     assert all(r[f"d{d}"] == f"{r['v']:.{d}f}" for r in rows for d in range(5))
     assert spark.createDataFrame([(None,)], "v double").select(printed(F.col("v"), 2).alias("t")).first()["t"] is None
+
+
+def test_a_digest_is_worked_out_once_for_a_draw(spark):
+    rows = spark.createDataFrame([(f"{k}-1", "A", "F", float(k)) for k in range(50)], "key string, block string, hub string, diff double")
+    plan = bootstrap.bands_by_digest(rows, draws=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 4
+
+
+def test_weights_by_digest(spark):
+    """The steps at and beside each threshold, and those of keys against the law as it is written."""
+    edges = [f"{int(x, 16) + k:08x}" + "0" * 24 for x in bootstrap.STEPS for k in (-1, 0, 1)]
+    law = lambda digest: sum(int(digest[:8], 16) / 2**32 >= x for x in bootstrap.LADDER)
+    got = spark.createDataFrame([(e,) for e in edges], "e string").select("e", bootstrap.weight_of(F.col("e")).alias("w")).collect()
+    assert all(r["w"] == law(r["e"]) for r in got) and {r["w"] for r in got} == set(range(8))
+    keys = spark.range(200).select("id", bootstrap.poisson_weight(7, F.col("id"), F.lit(3)).alias("w")).collect()
+    assert all(r["w"] == law(hashlib.md5(f"7|{r['id']}|3".encode()).hexdigest()) for r in keys)
+
+
+def test_lines_are_joined_once(spark, small):
+    assert "Join" not in queries._scored(spark, small)._jdf.queryExecution().optimizedPlan().toString()
