@@ -207,3 +207,19 @@ def test_weights_by_digest(spark):
 
 def test_lines_are_joined_once(spark, small):
     assert "Join" not in queries._scored(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bands_of_residuals_are_broadcast_and_drift_reads_its_features_only(spark, small):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(queries._banded(spark, small))
+    assert "get_json_object" not in plan(queries._psi(spark, small, ["value", "user_id"]))
+
+
+def test_sums_of_draws_do_not_depend_on_chunks():
+    """A row's codes are those of its batch, whatever chunk it is in, and its weights those of plain indexing."""
+    b = pd.DataFrame({"run": "", "hashed": np.arange(700) * 977, "block": ["A", None, "R", "A"] * 175, "hub": ["O"] * 300 + ["F"] * 400, "diff": np.arange(700) % 7 - 3.0})
+    one, other = (next(bootstrap._draws(7, 50, chunk)(iter([b, b]))).fillna({"segment": "-"}).set_index(["kind", "segment"]).sort_index() for chunk in (64, 700))
+    assert len(one) == 6 and one.index.equals(other.index)
+    for c in ("wd", "w"):
+        assert np.allclose(np.stack(one[c]), np.stack(other[c]))
+    assert np.allclose(np.stack(one["w"]).mean(1), [len(b) * 2 * x for x in (0.25, 0.5, 0.25, 4 / 7, 3 / 7, 1)], rtol=0.1)
