@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +17,12 @@ from pyspark.sql import functions as F
 DROPOUT, SEED = 0.1, 20_24
 #: Symbols above which a word is not remembered, and symbols that are merged side by side.
 LONG, SIDE = 64, 1 << 18
-#: Segmentations that a worker remembers before it starts anew; results do not depend on it.
+#: Words of up to so many symbols are merged side by side.
+WIDTHS = np.array([2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, LONG])
+#: Words that a worker remembers before it starts anew; results do not depend on it.
 REMEMBERED = 1 << 20
 _SPACE = "▁"
+#: The words of a text; `_words` finds the same.
 _WORD = re.compile(r" *[^ ]+| +")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 NONE = np.int32(1 << 30)
@@ -74,12 +76,9 @@ class Merges:
         self.forget()
 
     def forget(self) -> None:
-        """Empties what is remembered. A segmentation has a word, the candidates skipped so far, the merges made (as
-        they are hashed) and the ids, byte pieces spelled out."""
-        self.known: dict[str, int] = {}  # a word's segmentation without a skip
-        self.branch: dict[int, int] = {}  # and from a segmentation and the place of a merge, the one that skips it
-        self.words: list[str] = []
-        self.skips: list[tuple[int, ...]] = []
+        """Empties what is remembered: of words without a skip, the merges made (as they are hashed) and the ids, byte
+        pieces spelled out."""
+        self.known: dict[str, int] = {}
         self.path, self.path_at, self.path_n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.ids_at, self.ids_n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -101,7 +100,11 @@ class Merges:
         """
         pair = np.where((left >= 0) & (right >= 0), left << 20 | right, -1)
         k = self.find(pair.ravel()).reshape(pair.shape)
-        return self.rank[k], self.made[k], mixed(pair.astype(np.uint64) * _M1 + at.astype(np.uint64))
+        return self.rank[k], self.made[k], self.base(pair, at)
+
+    def base(self, pair: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The hash of candidates, which keys are compared with."""
+        return mixed(pair.astype(np.uint64) * _M1 + at.astype(np.uint64))
 
     def find(self, pair: np.ndarray) -> np.ndarray:
         """Places of pairs among the merges; the last place stands for none."""
@@ -114,115 +117,110 @@ class Merges:
             open_ = open_[(self.keys[k[open_]] != pair[open_]) & (k[open_] < len(self.rank) - 1)]
         return k
 
-    def merge(self, words: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segments words of equal numbers of symbols side by side, each without the candidates in its row of ``skips``.
+    def merge(self, words: np.ndarray, sizes: np.ndarray, which: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments ``words[which]`` side by side, each by its own key, or without a skip.
 
-        Each takes its best candidate, the leftmost of equals, in turn. Returns all ids one
-        after another, how many each has, and the bases of the merges made, as many as
-        symbols that went.
+        Words have ``sizes`` symbols, and negative ones after them. Each takes its best
+        candidate, the leftmost of equals, in turn. Returns all ids one after another, how many
+        each has, and, without keys, the bases of the merges made, as many as symbols that went.
         """
-        rows, n = words.shape
-        bases = np.zeros((rows, max(n - 1, 0)), np.uint64)
-        ids, there = words.copy(), np.ones((rows, n), bool)
-        if n > 1:
-            rank, made, base = (np.full((rows, n), x, kind) for x, kind in ((NONE, np.int32), (0, np.int64), (0, np.uint64)))
-            rank[:, :-1], made[:, :-1], base[:, :-1] = self.candidates(ids[:, :-1], ids[:, 1:], np.arange(n - 1)[None, :])
-            for k in range(skips.shape[1]):
-                rank[base == skips[:, k : k + 1]] = NONE
-            # cells of the flat arrays; each row's neighbours are linked, so a merge touches no more than three cells
-            cell = np.arange(rows * n).reshape(rows, n)
-            after, before = (cell + 1).ravel(), (cell - 1).ravel()
-            after[n - 1 :: n] = before[::n] = -1
-            f_ids, f_there, f_rank, f_made, f_base = (x.reshape(-1) for x in (ids, there, rank, made, base))
-            live, step = np.arange(rows), 0
-            while len(live):
-                a = rank[live].argmin(1) + live * n
-                going = f_rank[a] < NONE
-                if not going.all():
-                    live, a = live[going], a[going]
-                    if not len(live):
-                        break
-                bases[live, step] = f_base[a]
+        rows, n = len(which), words.shape[1]
+        # cells of flat arrays, and one beyond them; each row's neighbours are linked, so a merge touches no more than three cells
+        end = rows * n
+        ids, there, rank, merged = np.full(end + 1, -1), np.zeros(end + 1, bool), np.full(end + 1, NONE), np.full(end + 1, len(self.rank) - 1, np.int32)
+        by_row = lambda cells: cells[:end].reshape(rows, n)
+        by_row(ids)[:], by_row(there)[:] = words[which], np.arange(n) < sizes[which][:, None]
+        pair = words[:, :-1] << 20 | words[:, 1:]  # negative if a symbol is
+        k = self.find(pair.ravel()).reshape(pair.shape)
+        by_row(merged)[:, :-1], first = k[which], self.rank[k][which]
+        if keys is not None:
+            first[self.skipped(keys[:, None], self.base(pair, np.arange(n - 1))[which])] = NONE
+        by_row(rank)[:, :-1] = first
+        after, before = np.arange(1, end + 2), np.arange(-1, end)
+        after[n - 1 : end : n] = before[:end:n] = end
+        bases = np.zeros((rows, 0 if keys is not None else n - 1), np.uint64)
+        live, ranks, step = np.arange(rows), by_row(rank), 0
+        while len(live):
+            place = ranks[live].argmin(1)
+            a = place + live * n
+            going = rank[a] < NONE
+            if not going.all():
+                live, place, a = live[going], place[going], a[going]
+                if not len(live):
+                    break
+            gone = after[a]
+            if keys is None:
+                bases[live, step] = self.base(ids[a] << 20 | ids[gone], place)
                 step += 1
-                gone = after[a]
-                f_ids[a], f_there[gone], f_rank[gone] = f_made[a], False, NONE
-                beyond = after[gone]
-                after[a] = beyond
-                has = beyond >= 0
-                before[beyond[has]] = a[has]
-                f_rank[a[~has]] = NONE
-                left = before[a]
-                side = left >= 0
-                lefts, rights = np.concatenate([a[has], left[side]]), np.concatenate([beyond[has], a[side]])
-                r, m, h = self.candidates(f_ids[lefts], f_ids[rights], lefts % n)
-                for k in range(skips.shape[1]):
-                    r[h == np.concatenate([skips[live[has], k], skips[live[side], k]])] = NONE
-                f_rank[lefts], f_made[lefts], f_base[lefts] = r, m, h
-        return ids[there], there.sum(1), bases
-
-    def remember(self, words: list[str], skips: list[tuple[int, ...]]) -> int:
-        """Segments words, each without its skipped candidates (as many for each word), and returns the number of the first."""
-        first, n = len(self.words), len(words)
-        length = np.fromiter(map(len, words), np.int64, n)
+            beyond, left = after[gone], before[a]
+            ids[a], there[gone], rank[gone] = self.made[merged[a]], False, NONE
+            after[a], before[beyond] = beyond, a
+            lefts, rights = np.concatenate([a, left]), np.concatenate([beyond, a])
+            pair = ids[lefts] << 20 | ids[rights]
+            k = self.find(pair)
+            new = self.rank[k]
+            if keys is not None:
+                new[self.skipped(np.tile(keys[live], 2), self.base(pair, np.concatenate([place, left - (a - place)])))] = NONE
+            rank[lefts], merged[lefts] = new, k
+        return ids[there], by_row(there).sum(1), bases
+
+    def side_by_side(self, words: list[str], which: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Segments ``words[which]`` by ``merge``; returns ids (byte pieces spelled out), where each one's begin and how
+        many there are, and the same of the bases of merges made, if there are no keys."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        symbols = np.concatenate([symbols, np.full(LONG, -1)])
         start = np.cumsum(length) - length
-        left_out = np.array(skips, dtype=np.uint64).reshape(n, -1)
-        ids, ids_at, ids_n = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
-        path, path_at, path_n = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
-        ids_done, path_done = len(self.ids), len(self.path)
-        for size in np.unique(length):
-            some = np.flatnonzero(length == size)
-            for part in np.array_split(some, max(1, len(some) * size // SIDE)):
-                out, sizes, bases = self.merge(symbols[start[part][:, None] + np.arange(size)], left_out[part])
+        band = np.searchsorted(WIDTHS, length)[which]
+        ids, ids_at, ids_n = [np.zeros(0, np.int64)], np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        path, path_at, path_n = [np.zeros(0, np.uint64)], np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        ids_done = path_done = 0
+        for b in np.flatnonzero(np.bincount(band, minlength=len(WIDTHS))).tolist():
+            some, width = np.flatnonzero(band == b), int(WIDTHS[b])
+            for part in np.array_split(some, max(1, len(some) * width // SIDE)):
+                needed, row = np.unique(which[part], return_inverse=True)
+                cells = symbols[start[needed][:, None] + np.arange(width)]
+                cells[np.arange(width) >= length[needed][:, None]] = -1
+                out, sizes, bases = self.merge(cells, length[needed], row, keys if keys is None else keys[part])
                 flat, take = self.spelled(out)
                 ends, edges = np.cumsum(sizes), np.concatenate(([0], np.cumsum(take)))
                 ids_at[part], ids_n[part] = ids_done + edges[ends - sizes], edges[ends] - edges[ends - sizes]
-                went = size - sizes
-                path_at[part], path_n[part] = path_done + np.cumsum(went) - went, went
                 ids.append(flat)
-                path.append(bases[np.arange(bases.shape[1]) < went[:, None]])
-                ids_done, path_done = ids_done + len(flat), path_done + len(path[-1])
-        self.words += words
-        self.skips += skips
-        for name, more in (("ids", ids), ("path", path), ("ids_at", [ids_at]), ("ids_n", [ids_n]), ("path_at", [path_at]), ("path_n", [path_n])):
-            setattr(self, name, np.concatenate([getattr(self, name), *more]))
-        return first
-
-    def segmentations(self, flat: list[str], keys: np.ndarray) -> np.ndarray:
-        """The number of each occurrence's remembered segmentation.
-
-        A candidate's hash decides whatever the order, so an occurrence goes the way of its
-        word without skips up to the first merge that its own key skips; from there on it goes
-        the way of the segmentation that skips this one too, and so on. Ways are shared by all
-        occurrences that skip the same; how many there are is not bounded.
+                ids_done += len(flat)
+                if keys is None:
+                    went = length[which[part]] - sizes
+                    path_at[part], path_n[part] = path_done + np.cumsum(went) - went, went
+                    path.append(bases[np.arange(bases.shape[1]) < went[:, None]])
+                    path_done += len(path[-1])
+        return np.concatenate(ids), ids_at, ids_n, np.concatenate(path), path_at, path_n
+
+    def segmentations(self, words: list[str], keys: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+        """The number of each occurrence's remembered segmentation, or -1 if its own key skips one of the merges there.
+
+        Occurrences are of ``words``, or of ``words[which]``. A candidate's hash decides whatever
+        the order, so an occurrence goes the way of its word without skips up to the first
+        merge that it skips.
         """
-        if len(self.words) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.forget()
-        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = [flat[k] for k in missing.tolist()]
-            fresh = list(dict.fromkeys(new))
-            first = self.remember(fresh, [()] * len(fresh))
-            self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-            at[missing] = [self.known[w] for w in new]
-        live, begin = (np.arange(len(flat)), np.zeros(len(flat), np.int64)) if self.dropout > 0 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
+        if fresh:
+            done, ids, path = len(self.known), len(self.ids), len(self.path)
+            self.known.update(zip(fresh, range(done, done + len(fresh)), strict=True))
+            more = self.side_by_side(fresh, np.arange(len(fresh)))
+            for name, new, shift in zip(("ids", "ids_at", "ids_n", "path", "path_at", "path_n"), more, (0, ids, 0, 0, path, 0), strict=True):
+                setattr(self, name, np.concatenate([getattr(self, name), new + new.dtype.type(shift)]))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        first, count = self.path_at[at], self.path_n[at]
+        which = np.arange(len(words)) if which is None else which
+        out = at[which]
+        live, step = (np.arange(len(which)) if self.dropout > 0 else which[:0]), 0
         while len(live):
-            count = self.path_n[at[live]] - begin
-            where = _ranges(self.path_at[at[live]] + begin, count)
-            skip = np.flatnonzero(self.skipped(np.repeat(keys[live], count), self.path[where]))
-            owner = np.repeat(np.arange(len(live)), count)[skip]
-            owner, one = np.unique(owner, return_index=True)  # the first merge that each skips
-            place = skip[one] - (np.cumsum(count) - count)[owner] + begin[owner]
-            live, begin = live[owner], place
-            code, back = np.unique(at[live] * LONG + place, return_inverse=True)
-            fresh = [c for c in code.tolist() if c not in self.branch]
-            if fresh:
-                parents = [divmod(c, LONG) for c in fresh]
-                first = self.remember([self.words[p] for p, _ in parents], [(*self.skips[p], int(self.path[self.path_at[p] + k])) for p, k in parents])
-                self.branch.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-            at[live] = np.array([self.branch[c] for c in code.tolist()], dtype=np.int64)[back]
-        return at
+            live = live[count[which[live]] > step]
+            skip = self.skipped(keys[live], self.path[first[which[live]] + step])
+            out[live[skip]] = -1
+            live, step = live[~skip], step + 1
+        return out
 
     def long(self, words: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Segments long words, each by its own key, many merges at a time.
@@ -318,24 +316,25 @@ class Merges:
 
     def encode(self, texts: list[str], names: list[str]) -> list[np.ndarray]:
         """Ids of whole texts. A text's name, a word's place and a candidate decide what is skipped."""
-        split = [_WORD.findall(" " + t) if t else [] for t in texts]
-        number = np.fromiter(map(len, split), np.int64, len(split))
-        flat = [w for words in split for w in words]
-        if not flat:
+        words, which, number = _words(texts)
+        if not len(which):
             return [np.zeros(0, np.int64) for _ in texts]
         keys = self.occurrence_keys(names, number)
-        large = [k for k, w in enumerate(flat) if len(w) > LONG]
-        own = []
-        for some in _parts(large, [len(flat[k]) for k in large], SIDE):
-            own += [self.spelled(ids)[0] for ids in self.long([flat[k] for k in some], keys[some])]
-        for k in large:
-            flat[k] = " "  # holds its place
-        at = self.segmentations(flat, keys)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        large = np.flatnonzero(size[which] > LONG)
+        own, long = [], [words[k] for k in which[large].tolist()]
+        for some in _parts(range(len(large)), map(len, long), SIDE):
+            own += [self.spelled(ids)[0] for ids in self.long([long[k] for k in some], keys[large[some]])]
+        short = [w if len(w) <= LONG else " " for w in words]  # holds its place
+        at = self.segmentations(short, keys, which)
         first, count = self.ids_at[at], self.ids_n[at]
-        if large:
-            sizes = np.array([len(x) for x in own])
-            count[large], first[large] = sizes, len(self.ids) + np.cumsum(sizes) - sizes
-        out = np.concatenate([self.ids, *own])[_ranges(first, count)] if large else self.ids[_ranges(first, count)]
+        parted = np.flatnonzero(at < 0)
+        ids, ids_at, count[parted] = self.side_by_side(short, which[parted], keys[parted])[:3]
+        first[parted] = len(self.ids) + ids_at
+        if len(large):
+            count[large] = [len(x) for x in own]
+            first[large] = len(self.ids) + len(ids) + np.cumsum(count[large]) - count[large]
+        out = np.concatenate([self.ids, ids, *own])[_ranges(first, count)]
         stops = np.concatenate(([0], np.cumsum(count)))[np.cumsum(number)]
         return [out[a:b] for a, b in zip(np.concatenate(([0], stops[:-1])), stops, strict=True)]
 
@@ -344,7 +343,22 @@ class Merges:
         return b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-def _parts(items: list[int], sizes: list[int], most: int) -> Iterator[list[int]]:
+def _words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of texts that follow a space each (empty ones have none): a run of spaces and what is up to
+    the next one. Then the place of each occurrence's word among them, and the number of occurrences in each text."""
+    parts = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    whole = b"".join(parts)
+    space = np.frombuffer(whole, np.uint8) == 32
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    edges = np.cumsum([0, *map(len, parts)])
+    begins[edges[:-1][np.diff(edges) > 0]] = True
+    start = np.append(np.flatnonzero(begins), len(whole))
+    found = pa.Array.from_buffers(pa.large_binary(), len(start) - 1, [None, pa.py_buffer(start), pa.py_buffer(whole)]).dictionary_encode()
+    return [w.decode("utf-8", "surrogatepass") for w in found.dictionary.to_numpy(zero_copy_only=False).tolist()], found.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(start[:-1], edges))
+
+
+def _parts(items: Iterable[int], sizes: Iterable[int], most: int) -> Iterator[list[int]]:
     """Items in turn, as many at a time as have ``most`` in all, or one."""
     part, held = [], 0
     for item, size in zip(items, sizes, strict=True):
