@@ -222,6 +222,11 @@ class Merges:
             live, step = live[~skip], step + 1
         return out
 
+    def agenda(self, symbols: list[int], key: np.uint64) -> list[int]:
+        """Ids of one word's symbols by its key; unknown characters stay negative."""
+        cells = np.array([[*symbols, -1]])
+        return self.merge(cells, np.array([len(symbols)]), np.array([0]), np.array([key]))[0].tolist()
+
     def long(self, words: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Segments long words, each by its own key, many merges at a time.
 
